@@ -195,6 +195,18 @@ def score(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
+def keep(docs: DataFrame, net: ByteNet, least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores at least ``least``, with all their columns. Null text counts as empty."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            p = net.scores([(t.as_py() or "").encode() for t in b.column(at)])
+            yield b.filter(pa.array(p >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no training sees: crc32 of the id as text leaves 2 modulo 4."""
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2

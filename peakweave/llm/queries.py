@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakweave.llm import bpe, html_text, media, neighbours, packing, private_data, quality, simhash, token_counts
+from peakweave.llm import bpe, html_text, licences, media, neighbours, packing, private_data, quality, simhash, token_counts
 from peakweave.session import ship
 
 
@@ -44,6 +44,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(read(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -56,8 +60,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_quality, op2_token_counts, op3_private_data, op4_html_text, op5_simhash, op6_bpe, op8_packing, op9_neighbours, op10_media)
-_ORACLES: dict[str, str] = {}
+_QUERIES = (op1_quality, op2_token_counts, op3_private_data, op4_html_text, op5_simhash, op6_bpe, op7_licences, op8_packing, op9_neighbours, op10_media)
+_ORACLES: dict[str, str] = {"op7_licences": licences.oracle()}
 
 
 def queries() -> dict:

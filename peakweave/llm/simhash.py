@@ -216,7 +216,7 @@ def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, words: int = WIDE_W
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, band: int = WIDE_BAND, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
-    """One row per input row: id_col and component_id, the smallest id reachable over links between similar texts.
+    """One row per input row: id_col, text_hash and component_id, the smallest id reachable over links between similar texts.
 
     Candidates share a band of ``band`` fingerprint bits: of 32 bands, texts with a similarity of 0.8 share one
     with a probability of 0.92, of 0.85 with 0.98, of 0.9 with 0.998. A candidate links if at most ``radius`` bits differ.
@@ -227,12 +227,12 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def marks(batches):
         for b in batches:
             fps = [wide_fingerprint(t.as_py() or "", shingle, words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(id_type), pa.array(fps, pa.binary())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(id_type), b.column(2), pa.array(fps, pa.binary())], names=["id", "text_hash", "fp"])
 
     source = texts(docs, id_col, text_col)
     id_type = arrow_type(source)
     kind = source.schema["id"].dataType.simpleString()
-    marked = written(source.mapInArrow(marks, f"id {kind}, fp binary"), "wide-fingerprints")
+    marked = written(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(marks, f"id {kind}, text_hash long, fp binary"), "wide-fingerprints")
     least = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "wide-distinct")
     step = band // 8
     keys = F.array(*[F.struct(F.lit(i).alias("no"), F.substring("fp", i * step + 1, step).alias("bits")) for i in range(8 * words // step)])
@@ -263,7 +263,32 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     joined = connected_components(groups.mapInArrow(compare, f"a {kind}, b {kind}"))
     named = least.join(joined, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "component_id")
+    return marked.join(named, "fp").select(F.col("id").alias(id_col), "text_hash", "component_id")
+
+
+#: Rows up to which the list of copies is broadcast (16 bytes each); beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of the table without near copies: of each class the row with the smallest id stays, with all its columns.
+
+    Of rows that repeat that id one stays. Rows with a null id all stay, unless a text like theirs has an id. Texts aren't
+    shuffled as long as the list of copies is small enough to broadcast.
+    """
+    classes = written(similar_classes(docs, id_col, text_col, **settings), "classes")
+    copies = written(classes.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "copies")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_hash"))
+    small = copies.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(copies) if small else copies, same, "left_anti")
+    twice = classes.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_id"))
+    twice = written(twice, "repeated-ids")
+    n = twice.count()
+    if not n:
+        return kept
+    twice = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
+    again = F.col(id_col) == F.col("_id")
+    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates([id_col]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
