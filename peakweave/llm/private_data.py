@@ -53,19 +53,28 @@ def _valid(kind: str, m: Column) -> Column:
     return F.length(digits).between(12, 19) & (checks % 10 == 0)
 
 
-def _places(kind: str, gaps: Column, found: Column) -> Column:
-    """Spans of the valid matches, from the matches and the stretches between them."""
-    empty = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,value:string>>")
+def _walk(gaps: Column, found: Column, kind: str, fields, keep=None) -> Column:
+    """The matches that ``keep`` accepts, as structs that ``fields`` makes from (start, end, match), in order.
+
+    gaps are the stretches between the matches, one more than those. Both are zipped first: what stands inside
+    the walk is evaluated at every step.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["pos"] + F.length(x["gap"])
+        end = start + F.length(x["m"])
+        longer = F.concat(acc["at"], F.array(fields(start, end, x["m"])))
+        return F.struct(end.alias("pos"), (F.when(keep(x["m"]), longer).otherwise(acc["at"]) if keep else longer).alias("at"))
 
-    def step(acc: Column, i: Column) -> Column:
-        m = F.get(found, i)
-        start = acc["pos"] + F.length(F.get(gaps, i))
-        end = start + F.length(m)
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), m.alias("value"))
-        return F.struct(end.alias("pos"), F.when(_valid(kind, m), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    return F.when(F.size(found) > 0, F.aggregate(both, F.struct(F.lit(0).alias("pos"), empty.alias("at")), step)["at"]).otherwise(empty)
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("pos"), empty.alias("spans")), step)
-    return F.when(F.size(found) > 0, walked["spans"]).otherwise(empty)
+
+def _places(kind: str, gaps: Column, found: Column) -> Column:
+    """Spans of the valid matches."""
+    fields = lambda start, end, m: F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), m.alias("value"))
+    return _walk(gaps, found, "struct<start:int,kind_no:int,end:int,kind:string,value:string>", fields, lambda m: _valid(kind, m))
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
@@ -134,14 +143,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     each = here.select("id", "hash", "text", F.explode("terms").alias("t")).groupBy("id", "hash", "text", "t.term").agg(F.max("t.share").alias("share"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
     each = each.select("id", "hash", "share", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("hits"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["pos"] + F.length(F.get("gaps", i))
-        end = start + F.length(F.get("hits", i))
-        return F.struct(end.alias("pos"), F.concat(acc["at"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("at"))
-
-    walked = F.aggregate(F.sequence(F.lit(0), F.size("hits") - 1), F.struct(F.lit(0).alias("pos"), empty.alias("at")), step)["at"]
+    walked = _walk(F.col("gaps"), F.col("hits"), "struct<start:int,end:int>", lambda start, end, m: F.struct(start.alias("start"), end.alias("end")))
     rows = each.filter(F.size("hits") > 0).select("id", "hash", "share", F.inline(walked))
     terms = rows.groupBy("id", "hash").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end", F.lit("term").alias("kind"), "share")).alias("terms"))
     return spans, terms
