@@ -276,18 +276,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat that id one stays. Rows with a null id all stay, unless a text like theirs has an id. Texts aren't
     shuffled as long as the list of copies is small enough to broadcast.
     """
+    key, mark = (next(n for n in (name + "_" * k for k in range(1, 99)) if n not in docs.columns) for name in ("copy_id", "copy_hash"))
     classes = written(similar_classes(docs, id_col, text_col, **settings), "classes")
-    copies = written(classes.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "copies")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_hash"))
+    copies = written(classes.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key), F.col("text_hash").alias(mark)).distinct(), "copies")
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(mark))
     small = copies.count() <= BROADCAST_ROWS
     kept = docs.join(F.broadcast(copies) if small else copies, same, "left_anti")
-    twice = classes.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_id"))
+    twice = classes.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias(key))
     twice = written(twice, "repeated-ids")
     n = twice.count()
     if not n:
         return kept
     twice = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
-    again = F.col(id_col) == F.col("_id")
+    again = F.col(id_col) == F.col(key)
     return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates([id_col]))
 
 
