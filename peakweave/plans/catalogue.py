@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from peakweave.plans import fdr_queries
+from peakweave.plans import fdr_queries, peak_queries
 
-_MODULES = (fdr_queries,)
+_MODULES = (fdr_queries, peak_queries)
 
 
 def queries() -> dict:
