@@ -97,21 +97,17 @@ def disclosing_terms(marked: DataFrame, texts_: DataFrame, support: int = SUPPOR
     corpus, over which terms are counted.
     """
     pairs = marked.select("id", "hash", "kind", "value", F.explode("near").alias("term")).distinct()
+    total = texts_.agg(F.count(F.lit(1)).alias("total"))
+    held = marked.select("id", "hash", "kind", "value").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_value"))
+    # a term occurs in as many texts at least as it does near protected values; one that is too frequent already there can't reach the share
+    seen = pairs.select("id", "hash", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_seen"))
     joint = pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("both"), F.approx_count_distinct("hash").alias("different"))
-    joint = written(joint.filter(F.col("different") >= support), "disclosure-candidates")
-    spark = marked.sparkSession
-    wanted = written(joint.select("term").distinct(), "disclosure-terms")
-    n = wanted.count()
-    if not n:
-        return spark.createDataFrame([], "kind string, value string, term string, share double")
+    joint = joint.filter(F.col("different") >= support).join(held, ["kind", "value"]).join(seen, "term").crossJoin(F.broadcast(total))  # one row
+    joint = joint.filter(F.col("n_seen") <= F.col("both") * F.pow(F.col("total") / F.col("n_value"), F.lit(1 - least)) * 1.000001)
+    # counted before they are joined: one row a term, not one an occurrence
     words = texts_.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    if n <= BROADCAST_ROWS:
-        counted = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    else:
-        counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term", "left_semi")
-    held = marked.select("id", "hash", "kind", "value").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_value"))
-    total = texts_.agg(F.count(F.lit(1)).alias("total"))
-    out = joint.join(held, ["kind", "value"]).join(counted, "term").crossJoin(F.broadcast(total))  # one row
+    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    out = joint.join(counted, "term")
     own = F.log2(F.col("total") / F.col("n_value"))
     mutual = F.log2(F.col("both") * F.col("total") / (F.col("n_value") * F.col("n_term")))
     share = F.when(own > 0, mutual / own).otherwise(0.0)
