@@ -8,11 +8,15 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: The size of Arrow batches is bounded in bytes too, as rows can hold long texts; a value that the session sets itself stays.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once an application."""
+    """Adds the package to the session's Python files, once an application, and bounds its Arrow batches."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "4m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
