@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable, Iterable
 
 #: Entries that a worker keeps; beyond that it starts anew. About 200 bytes each.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 
 
 class Cache(dict):
