@@ -99,9 +99,8 @@ def steps(mz: np.ndarray, tolerance: float, doubles: bool) -> list[list[tuple[in
     mass, names = jumps(2 if doubles else 1)
     out: list[list[tuple[int, str]]] = [[] for _ in mz]
     for k, (m, name) in enumerate(zip(mass.tolist(), names, strict=True)):
-        i, j = candidates(-mz[::-1], -mz[::-1], -m, tolerance)
-        n = len(mz) - 1
-        for x, y in zip((n - i).tolist(), (n - j).tolist(), strict=True):
+        later, earlier = candidates(mz, mz, m, tolerance)
+        for x, y in zip(earlier.tolist(), later.tolist(), strict=True):
             if mz[y] > mz[x]:
                 out[x].append((y, name))
     return out

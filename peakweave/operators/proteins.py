@@ -82,13 +82,14 @@ def mass_search(spectra: DataFrame, proteins: DataFrame, tolerance: float, longe
     return found.select("spec_idx", "db_index", "start_aa", "end_aa", (F.col("mass") - F.col("residue_mass")).alias("error"))
 
 
-def match_peptide(peaks: list[list[tuple[float, float]]], parent_masses: list[float], prefixes: list[float], tolerance: float = 0.5) -> float:
-    """Summed intensity of peaks at the prefix masses of a peptide, over spectra that may start at any prefix: each takes its best start. Small, for checks."""
+def match_peptide(peaks: list[list[tuple[float, float]]], parent_masses: list[float], prefixes: list[float], tolerance: float = 0.5, end: float = 1.0) -> float:
+    """Summed intensity of peaks at a peptide's prefix masses, over spectra of parts of it. Small, for checks.
+
+    Each spectrum takes its best start among the prefixes and its better direction: as it is, or as complements
+    (parent mass - m/z + ``end``). Both kinds of mass include ``end`` at the first residue.
+    """
     total = 0.0
-    for own in peaks:
-        best = 0.0
-        for start in prefixes:
-            hit = sum(i for m, i in own if any(abs(m + start - 1.0 - p) <= tolerance or abs(m + start - p) <= tolerance for p in prefixes))
-            best = max(best, hit)
-        total += best
+    for own, parent in zip(peaks, parent_masses, strict=True):
+        ways = [own, [(parent - m + end, i) for m, i in own]]
+        total += max(sum(i for m, i in way if any(abs(m - end + start - p) <= tolerance for p in prefixes)) for way in ways for start in prefixes)
     return total

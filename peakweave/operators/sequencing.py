@@ -160,7 +160,8 @@ def assembled(spectra: DataFrame, alignments: DataFrame, tolerance: float = 0.05
     ship(spectra.sparkSession)
     named = connected_components(alignments, "spec1", "spec2")
     nodes = spectra.join(named, F.col("spec_idx") == F.col("node")).select("component", "spec_idx", F.col("peaks")["mz"].alias("mz"), F.col("peaks")["intensity"].alias("intensity"))
-    edges = alignments.join(named, F.col("spec1") == F.col("node")).select("component", "spec1", "spec2", "score", F.col("matched")["first"].alias("m1"), F.col("matched")["second"].alias("m2"))
+    own = named.select(F.col("node").alias("edge_node"), F.col("component").alias("edge_component"))
+    edges = alignments.join(own, F.col("spec1") == F.col("edge_node")).select("edge_component", "spec1", "spec2", "score", F.col("matched")["first"].alias("m1"), F.col("matched")["second"].alias("m2"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         members = {int(s): (np.asarray(m, float), np.asarray(i, float)) for s, m, i in zip(left["spec_idx"], left["mz"], left["intensity"], strict=True)}
@@ -169,7 +170,7 @@ def assembled(spectra: DataFrame, alignments: DataFrame, tolerance: float = 0.05
         shown = [{"mz": m, "score": s, "members": [{"spec_idx": a, "peak_idx": k} for a, k in own]} for m, s, own in vertices]
         return pd.DataFrame({"contig_idx": [int(left["component"].iloc[0])], "vertices": [shown], "left_out": [out]}) if len(left) else pd.DataFrame(columns=["contig_idx", "vertices", "left_out"])
 
-    return nodes.groupBy("component").cogroup(edges.groupBy("component")).applyInPandas(run, "contig_idx long, vertices array<struct<mz:double,score:double,members:array<struct<spec_idx:long,peak_idx:int>>>>, left_out array<long>")
+    return nodes.groupBy("component").cogroup(edges.groupBy("edge_component")).applyInPandas(run, "contig_idx long, vertices array<struct<mz:double,score:double,members:array<struct<spec_idx:long,peak_idx:int>>>>, left_out array<long>")
 
 
 def stars(spectra: DataFrame, edges: DataFrame, tolerance: float) -> DataFrame:

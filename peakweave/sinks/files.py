@@ -58,6 +58,43 @@ def pairs_bytes(rows: list[tuple]) -> bytes:
     return struct.pack("<I", len(x)) + x.tobytes()
 
 
+def binary_spectra_bytes(rows: list[dict]) -> bytes:
+    """One file of binary spectra, format version 3.1 (see sources.spectra_files)."""
+    text = lambda xs: struct.pack("<I", len(xs)) + b"".join(struct.pack("<I", len(x)) + x for x in (s.encode() for s in xs))
+    kinds = {"CID": 0, "ETD": 1, "HCD": 2, "PRM": 3}
+    out = [struct.pack("<IbbI", 0, 3, 1, len(rows)), text(["version", "subversion"]), struct.pack("<HH", 3, 1)]
+    for r in rows:
+        peaks = r["peaks"] or []
+        out.append(struct.pack("<Ihhh?i", max(r["scan"] or 0, 0), r.get("ms_level") or 2, kinds.get(r.get("frag_type"), 100), 0, False, 0) + text([r.get("file_name") or ""]))
+        out.append(struct.pack("<ffhdfI", r.get("parent_mass") or 0, r.get("parent_mass_tol") or 0, r.get("charge") or 0, r.get("parent_mz") or 0, 0, len(peaks)))
+        if peaks:
+            out += [np.array([p[f] for p in peaks], "<f4").tobytes() for f in ("mz", "tol", "intensity")]
+            out.append(struct.pack("<ff", r.get("retention_time") or 0, r.get("precursor_intensity") or 0))
+    return b"".join(out)
+
+
+def binary_spectra(spectra: DataFrame, path: str) -> None:
+    """A folder of binary files, one a partition, written by the tasks through pyarrow's file systems. A task that runs again writes its file again."""
+    from peakweave.session import ship
+
+    ship(spectra.sparkSession)
+    names = spectra.columns
+
+    def run(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        rows = [dict(zip(names, x.values(), strict=True)) for b in batches for x in b.to_pylist()]
+        if rows:
+            system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+            system.create_dir(folder)
+            with system.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId():05d}.pklbin") as f:
+                f.write(binary_spectra_bytes(rows))
+        yield from ()
+
+    spectra.mapInArrow(run, "done int").count()
+
+
 def fasta(proteins: DataFrame, path: str) -> None:
     """>id description, then the sequence."""
     proteins.select(F.concat(F.lit(">"), F.concat_ws(" ", "id", F.when(F.col("description") != "", F.col("description"))), F.lit("\n"), "sequence").alias("value")).write.text(path)
@@ -78,7 +115,7 @@ def graphviz(edges: DataFrame, path: str, weight: str = "score1") -> None:
     edges.select(F.format_string('%d -- %d [label="%.3f"];', F.col("spec1"), F.col("spec2"), F.col(weight)).alias("value")).write.text(path)
 
 
-WRITERS = {"mgf": mgf, "ms2": ms2, "pkl": pkl, "parquet": lambda df, path: df.write.parquet(path)}
+WRITERS = {"pklbin": binary_spectra, "mgf": mgf, "ms2": ms2, "pkl": pkl, "parquet": lambda df, path: df.write.parquet(path)}
 
 
 def write_spectra(spectra: DataFrame, path: str, kind: str) -> None:

@@ -191,6 +191,55 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path, parse_mzml, SCHEMA)
 
 
+#: Fragmentation types of the binary format, by number.
+FRAGMENT = {0: "CID", 1: "ETD", 2: "HCD", 3: "PRM", 100: "NONE"}
+
+
+def parse_binary_spectra(content: bytes, file_name: str) -> Iterator[dict]:
+    """Binary spectra, format version 3: an empty integer, version and subversion, the count, names and numbers of versions, then each spectrum.
+
+    A spectrum: scan, level, fragmentation, analyser, reversed flag, file index, file names, masses, charge, m/z, energy, the number of
+    peaks, and (if any) their masses, tolerances and intensities, then retention time and precursor intensity.
+    """
+    at = 0
+
+    def take(form: str) -> tuple:
+        nonlocal at
+        out = struct.unpack_from("<" + form, content, at)
+        at += struct.calcsize("<" + form)
+        return out
+
+    def strings() -> list[str]:
+        nonlocal at
+        out = []
+        for _ in range(take("I")[0]):
+            n = take("I")[0]
+            out.append(content[at : at + n].decode("utf-8", "replace"))
+            at += n
+        return out
+
+    empty, version, _, count = take("IbbI")
+    if empty or version != 3:
+        raise ValueError(f"{file_name}: binary spectra of version {version} aren't supported")
+    take(f"{len(strings())}H")
+    for _ in range(count):
+        scan, level, fragment, _, _, _ = take("Ihhh?i")
+        names = strings()
+        mass, tol, charge, mz, _ = take("ffhdf")
+        n = take("I")[0]
+        xs = [np.frombuffer(content, "<f4", n, at + 4 * n * k).astype(float).tolist() for k in range(3)]
+        at += 12 * n
+        rt, intensity = take("ff") if n else (None, None)
+        row = _row(names[0] if names and names[0] else file_name, scan, [], charge, mz, mass, ms_level=level, frag_type=FRAGMENT.get(fragment), parent_mass_tol=tol, retention_time=rt, precursor_intensity=intensity)
+        row["peaks"] = [{"mz": m, "intensity": i, "tol": t} for m, t, i in zip(*xs, strict=True)]
+        yield row
+
+
+def read_binary_spectra(spark: SparkSession, path: str) -> DataFrame:
+    """Binary spectra, one task a file."""
+    return _binary(spark, path, parse_binary_spectra, SCHEMA)
+
+
 def parse_pairs(content: bytes, _: str) -> Iterator[tuple]:
     """A count, then six 32-bit floats a pair: spectra (from 1 on disk, from 0 in memory), shifts, scores."""
     n = struct.unpack("<I", content[:4])[0]
@@ -243,7 +292,7 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "mgf": read_mgf, "pkl": read_pkl, "ms2": read_ms2, "prms": read_prms, "prmsv3": read_prms, "mzxml": read_mzxml, "mzml": read_mzml,
+    "mgf": read_mgf, "pkl": read_pkl, "ms2": read_ms2, "prms": read_prms, "prmsv3": read_prms, "mzxml": read_mzxml, "mzml": read_mzml, "pklbin": read_binary_spectra,
     "parquet": lambda spark, path: spark.read.parquet(path),
 }
 
