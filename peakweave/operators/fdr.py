@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakweave.operators.ranges import with_range
+
 
 def top_hit(psms: DataFrame, keys: list[str], score: str = "score", tiebreak: list[str] | None = None, ascending: bool = False) -> DataFrame:
     """The best row of each key; ties go to the first in ``tiebreak`` order.
@@ -25,40 +27,40 @@ def merge_target_decoy(targets: DataFrame, decoys: DataFrame, keys: list[str], s
     return top_hit(both, keys, score, ["is_decoy", *(tiebreak or [])])
 
 
-def cumulative_fdr(psms: DataFrame, partition: list[str] | None = None, score: str = "score", tiebreak: list[str] | None = None, scale: float = 1.0, buckets: int = 64) -> DataFrame:
-    """Adds raw_fdr (decoys*scale/targets so far, at most 1) and fdr (its running minimum from the end).
+def cumulative_fdr(psms: DataFrame, partition: list[str] | None = None, score: str = "score", tiebreak: list[str] | None = None, scale: float = 1.0, buckets: int | None = None, autoscale: bool = False) -> DataFrame:
+    """Adds raw_fdr (decoys * scale / targets so far, at most 1, and 1 before the first target) and fdr (its running minimum from the end), for each value of ``partition`` or over all.
+
+    autoscale: scale is targets / decoys of the partition; partitions without decoys go.
 
-    With a partition column that is a plain window. Over the whole table a window would send every row
-    to one task; there, rows are dealt by score range, each range counts and minimises on its own, and
-    the counts of the ranges before it (one row a range) are joined back.
+    A window over all rows, or over a few large partitions, would send them to a few tasks. Instead rows are dealt by ranges of partition and score;
+    each stretch of a range counts and minimises on its own, and totals of the stretches before (minima of those behind) are joined back: as many rows
+    as there are ranges and partitions.
     """
+    bins = list(partition or [])
     tie = [F.col(c) for c in tiebreak or []]
     one = F.col("is_decoy").cast("long")
-    if partition:
-        w = Window.partitionBy(*partition).orderBy(F.desc(score), *tie)
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        out = psms.withColumn("_d", F.sum(one).over(upto)).withColumn("_t", F.sum(1 - one).over(upto))
-        out = out.withColumn("raw_fdr", _rate(scale))
-        return out.withColumn("fdr", F.min("raw_fdr").over(w.rowsBetween(0, Window.unboundedFollowing))).drop("_d", "_t")
-    dealt = psms.repartitionByRange(buckets, F.desc(score), *tie).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").agg(F.sum(one).alias("_pd"), F.sum(1 - one).alias("_pt"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_part", F.coalesce(F.sum("_pd").over(before), F.lit(0)).alias("_bd"), F.coalesce(F.sum("_pt").over(before), F.lit(0)).alias("_bt"))
-    w = Window.partitionBy("_part").orderBy(F.desc(score), *tie)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.join(F.broadcast(sizes), "_part")  # one row a range: at most ``buckets`` rows
-    out = out.withColumn("_d", F.col("_bd") + F.sum(one).over(upto)).withColumn("_t", F.col("_bt") + F.sum(1 - one).over(upto))
-    out = out.withColumn("raw_fdr", _rate(scale))
-    lows = out.groupBy("_part").agg(F.min("raw_fdr").alias("_low"))
-    after = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
-    lows = lows.select("_part", F.min("_low").over(after).alias("_after"))
-    out = out.join(F.broadcast(lows), "_part")
-    out = out.withColumn("fdr", F.least(F.min("raw_fdr").over(w.rowsBetween(0, Window.unboundedFollowing)), F.coalesce("_after", F.lit(1.0))))
-    return out.drop("_part", "_bd", "_bt", "_d", "_t", "_after")
-
-
-def _rate(scale: float):
-    return F.when(F.col("_t") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("_d") * F.lit(float(scale)) / F.col("_t")))
+    dealt = with_range(psms, [*map(F.col, bins), -F.col(score), *tie], "_part", buckets)
+    keys = ["_part", *bins]
+    sizes = dealt.groupBy(*keys).agg(F.sum(one).alias("_pd"), F.sum(1 - one).alias("_pt"))
+    whole = Window.partitionBy(*bins) if bins else Window.partitionBy(F.lit(0))
+    ahead = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    sizes = sizes.select(*keys, F.coalesce(F.sum("_pd").over(ahead), zero).alias("_bd"), F.coalesce(F.sum("_pt").over(ahead), zero).alias("_bt"), F.sum("_pd").over(whole).alias("_nd"), F.sum("_pt").over(whole).alias("_nt"))
+    if autoscale:
+        sizes = sizes.filter("_nd > 0")
+    factor = F.col("_nt") / F.col("_nd") if autoscale else F.lit(float(scale))
+    out = dealt.join(sizes if bins else F.broadcast(sizes), keys)  # without partitions, one row a range
+    w = Window.partitionBy(*keys).orderBy(F.desc(score), *tie).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("_d", F.col("_bd") + F.sum(one).over(w)).withColumn("_t", F.col("_bt") + F.sum(1 - one).over(w))
+    out = out.withColumn("raw_fdr", F.when(F.col("_t") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("_d") * factor / F.col("_t"))))
+    # frames that end with the partition are evaluated anew for each row; the reverse order's frames that begin with it aren't
+    back = Window.partitionBy(*keys).orderBy(F.asc(score), *[F.desc(c) for c in tiebreak or []]).rowsBetween(Window.unboundedPreceding, 0)
+    lows = out.groupBy(*keys).agg(F.min("raw_fdr").alias("_low"))
+    behind = whole.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    lows = lows.select(*keys, F.min("_low").over(behind).alias("_after"))
+    out = out.join(lows if bins else F.broadcast(lows), keys)
+    out = out.withColumn("fdr", F.least(F.min("raw_fdr").over(back), F.coalesce("_after", F.lit(1.0))))
+    return out.select(*psms.columns, "raw_fdr", "fdr")
 
 
 def prefix_cutoff(rated: DataFrame, threshold: float, keep_first: bool = False, score: str = "score", tiebreak: list[str] | None = None) -> DataFrame:
@@ -75,15 +77,10 @@ def prefix_cutoff(rated: DataFrame, threshold: float, keep_first: bool = False,
 
 def split_fdr(psms: DataFrame, bins: list[str], score: str = "score", tiebreak: list[str] | None = None, autoscale: bool = False) -> DataFrame:
     """Each bin rated on its own; a bin without decoys is dropped. autoscale: scale = targets / decoys of the bin."""
-    w = Window.partitionBy(*bins)
-    one = F.col("is_decoy").cast("long")
-    kept = psms.withColumn("_nd", F.sum(one).over(w)).withColumn("_nt", F.sum(1 - one).over(w)).filter("_nd > 0")
-    ordered = w.orderBy(F.desc(score), *[F.col(c) for c in tiebreak or []])
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    scale = F.col("_nt") / F.col("_nd") if autoscale else F.lit(1.0)
-    out = kept.withColumn("_d", F.sum(one).over(upto)).withColumn("_t", F.sum(1 - one).over(upto))
-    out = out.withColumn("raw_fdr", F.when(F.col("_t") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("_d") * scale / F.col("_t"))))
-    return out.withColumn("fdr", F.min("raw_fdr").over(ordered.rowsBetween(0, Window.unboundedFollowing))).drop("_d", "_t", "_nd", "_nt")
+    if autoscale:
+        return cumulative_fdr(psms, bins, score, tiebreak, autoscale=True)
+    some = psms.filter("is_decoy").select(*bins).distinct()
+    return cumulative_fdr(psms.join(some, bins, "left_semi").select(*psms.columns), bins, score, tiebreak)
 
 
 def remove_decoys(psms: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakweave.operators import kernels
+from peakweave.operators.ranges import with_range
 from peakweave.session import ship
 
 #: Slack on match tolerances.
@@ -197,7 +198,7 @@ def edge_fdr(edges: DataFrame, rate: float) -> DataFrame:
     if rate >= 1:
         return scored.drop("_s")
     counts = scored.groupBy("_s").agg(F.sum(F.col("is_decoy").cast("long")).alias("decoys"), F.sum(1 - F.col("is_decoy").cast("long")).alias("targets"))
-    ranged = counts.repartitionByRange(64, F.desc("_s")).withColumn("_part", F.spark_partition_id())
+    ranged = with_range(counts, [-F.col("_s")])
     sizes = ranged.groupBy("_part").agg(F.sum("decoys").alias("pd"), F.sum("targets").alias("pt"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_part", F.coalesce(F.sum("pd").over(ahead), F.lit(0)).alias("bd"), F.coalesce(F.sum("pt").over(ahead), F.lit(0)).alias("bt"))

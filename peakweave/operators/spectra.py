@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakweave.operators.ranges import with_range
+
 
 def at_least_peaks(spectra: DataFrame, n: int, empty: bool = False) -> DataFrame:
     """Spectra with at least n peaks; with ``empty``, the others stay without peaks."""
@@ -26,9 +28,9 @@ def of_charge(spectra: DataFrame, charges: str, empty: bool = True) -> DataFrame
     return spectra.withColumn("peaks", F.when(ok, F.col("peaks")).otherwise(F.slice("peaks", 1, 0))) if empty else spectra.filter(ok)
 
 
-def renumbered(spectra: DataFrame, order: list[str | Column], column: str = "scan", buckets: int = 64) -> DataFrame:
+def renumbered(spectra: DataFrame, order: list[str], column: str = "scan", buckets: int | None = None) -> DataFrame:
     """Consecutive numbers from 1 in the given order, by ranges: each range counts its own rows, and the sizes of those before it are added."""
-    dealt = spectra.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
+    dealt = with_range(spectra, [F.col(c) for c in order], "_part", buckets)
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
