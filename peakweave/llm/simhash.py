@@ -60,12 +60,74 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
+#: Groups up to this size are compared pair by pair, a lane for each pair; larger ones fingerprint by fingerprint, a lane for each partner.
+PAIRWISE = 32
+#: Pairs that are sliced together.
+PAIRS = 1 << 14
+
+
 def bit_sliced_links(groups: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows within the radius in each group, each pair once, as positions in the groups laid end to end.
 
-    A group is an array of unsigned 64-bit words, a row (of one or more words) for each fingerprint.
+    A group is an array of unsigned 64-bit words, a row (of one or more words) for each fingerprint. Lanes would stay
+    empty in words of small groups; their pairs fill words of their own.
     """
     size = np.array([len(g) for g in groups])
+    start = np.cumsum(size) - size
+    rows = np.concatenate(groups).reshape(int(size.sum()), -1)
+    out = [_pair_lanes(rows, size[size <= PAIRWISE], start[size <= PAIRWISE], radius)]
+    if (large := np.flatnonzero(size > PAIRWISE)).size:
+        at = np.concatenate([np.arange(start[k], start[k] + size[k]) for k in large])
+        a, b = _partner_lanes([groups[k] for k in large], radius)
+        out.append((at[a], at[b]))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def _pair_lanes(rows: np.ndarray, size: np.ndarray, start: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of small groups: a bit plane holds one differing bit of 64 pairs a word."""
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(size).tolist():
+        i, j = np.triu_indices(n, 1)
+        base = start[size == n][:, None]
+        first.append((base + i).reshape(-1))
+        second.append((base + j).reshape(-1))
+    first, second = np.concatenate(first), np.concatenate(second)
+    exact = radius & (radius + 1) == 0
+    keep = []
+    for k in range(0, len(first), PAIRS):
+        differ = rows[first[k : k + PAIRS]] ^ rows[second[k : k + PAIRS]]
+        n = len(differ)
+        bits = np.unpackbits(differ.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+        bits = np.pad(bits, ((0, -n % 64), (0, 0)), constant_values=1)  # lanes without a pair exceed any radius
+        planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
+        counters = [np.zeros(planes.shape[1], np.uint64) for _ in range(int(radius).bit_length())]
+        over, word = np.zeros(planes.shape[1], np.uint64), np.arange(planes.shape[1])
+        for p in range(len(planes)):
+            carry = planes[p, word]
+            for c in counters:
+                was = c.copy()
+                c ^= carry
+                carry &= was
+            over |= carry
+            if p % 32 == 31:
+                dead = over if exact else over | _above(counters, radius)
+                alive = np.flatnonzero(dead != ~np.uint64(0))
+                if len(alive) < len(word):
+                    word, over, counters = word[alive], over[alive], [c[alive] for c in counters]
+                if not len(word):
+                    break
+        within = ~(over if exact else over | _above(counters, radius))
+        lanes = np.unpackbits(within.view(np.uint8).reshape(len(within), 8), axis=1, bitorder="little")
+        w, lane = np.nonzero(lanes)
+        hit = word[w] * 64 + lane
+        keep.append(k + hit[hit < n])
+    keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+    return first[keep], second[keep]
+
+
+def _partner_lanes(groups: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of large groups: a bit plane holds one bit of 64 fingerprints a word, and each fingerprint meets the words from its own on."""
+    size = np.array([len(g) for g in groups])
     rows = np.concatenate(groups).reshape(int(size.sum()), -1)
     width = rows.shape[1]
     words = -(-size // 64)
@@ -174,7 +236,7 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
             for fps in b.column(0):
                 held.append(np.asarray(fps.values).view(np.uint64))
                 size += len(held[-1])
-                if size >= 1 << 16:
+                if size >= 1 << 14:
                     yield found(held)
                     held, size = [], 0
             if held:
@@ -204,14 +266,16 @@ def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, words: int = WIDE_W
     n = max(1, len(parts) - shingle + 1)
     seed = np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, n))
     total = np.zeros((words, 64), np.int64)
-    for k in range(0, len(seed), 255):
-        some = seed[k : k + 255]
-        for w in range(words):
-            x = some + np.uint64((w * 0x9E3779B97F4A7C15) & (2**64 - 1))
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            total[w] += np.add.reduce(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    mixes = (np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    for k in range(0, len(seed), 2040):
+        some = seed[k : k + 2040]
+        x = some + mixes
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.view(np.uint8).reshape(words, len(some), 8), axis=2, bitorder="little")
+        for n in range(0, len(some), 255):  # sums of 255 ones fit a byte
+            total += np.add.reduce(bits[:, n : n + 255], axis=1, dtype=np.uint8)
     return np.packbits((2 * total > len(seed)).reshape(-1), bitorder="little").tobytes()
 
 
@@ -255,7 +319,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ids.append(np.asarray(i.values))
                 held.append(np.frombuffer(b"".join(fps.as_py()), np.uint64).reshape(-1, words))
                 size += len(ids[-1])
-                if size >= 1 << 16:
+                if size >= 1 << 14:
                     yield found(ids, held)
                     ids, held, size = [], [], 0
             if ids:
