@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, so lineage stays short and lost executors cost nothing."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="peakweave-")
-    path = f"{base.rstrip('/')}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from peakweave.session import written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -27,7 +17,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Self-loops count as nodes; null ends are dropped.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    nodes = _written(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    nodes = written(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     now = nodes.filter("u <> v")
     before = None
     for _ in range(max_rounds):
@@ -36,7 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.filter("u <> m").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = _written(small)
+        now = written(small, "components")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             roots = now.groupBy("u").agg(F.min("v").alias("m"))

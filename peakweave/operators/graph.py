@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.operators.components import connected_components
-from peakweave.session import ship
+from peakweave.session import ship, written
 
 #: What turns a mass into its nominal mass, rounded.
 NOMINAL = 0.9995
@@ -188,17 +188,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, max_steps: int = 5) -> DataFra
     Layer by layer a node takes the annotation of its best-scored annotated neighbour (smaller score of the edge; ties to the smaller
     node); its rate becomes f + e - f * e with the edge's rate e (column edge_fdr). One join a layer, at most ``max_steps``.
     """
-    from peakweave.operators.components import _written
-
     e = edges.select("spec1", "spec2", F.least("score1", "score2").alias("w"), "edge_fdr")
-    both = _written(e.select(F.col("spec1").alias("from"), F.col("spec2").alias("to"), "w", "edge_fdr").union(e.select("spec2", "spec1", "w", "edge_fdr")))
-    known = _written(seeds.select("node", "annotation", F.col("fdr").cast("double").alias("fdr"), F.lit(0).alias("step"), F.col("node").alias("source")))
+    both = written(e.select(F.col("spec1").alias("from"), F.col("spec2").alias("to"), "w", "edge_fdr").union(e.select("spec2", "spec1", "w", "edge_fdr")), "edges")
+    known = written(seeds.select("node", "annotation", F.col("fdr").cast("double").alias("fdr"), F.lit(0).alias("step"), F.col("node").alias("source")), "seeds")
     layer = known
     for step in range(1, max_steps + 1):
         offers = layer.join(both, F.col("node") == F.col("from")).select("to", "w", "from", "annotation", (F.col("fdr") + F.col("edge_fdr") - F.col("fdr") * F.col("edge_fdr")).alias("fdr"))
         best = offers.groupBy("to").agg(F.min_by(F.struct("annotation", "fdr", "from"), F.struct(-F.col("w"), "from")).alias("x"))
         fresh = best.join(known.select(F.col("node").alias("to")), "to", "left_anti")
-        layer = _written(fresh.select(F.col("to").alias("node"), "x.annotation", "x.fdr", F.lit(step).alias("step"), F.col("x.from").alias("source")))
+        layer = written(fresh.select(F.col("to").alias("node"), "x.annotation", "x.fdr", F.lit(step).alias("step"), F.col("x.from").alias("source")), "layer")
         if layer.isEmpty():
             break
         known = known.unionByName(layer)

@@ -36,6 +36,20 @@ def scored(found: DataFrame, query_vectors: DataFrame, entry_vectors: DataFrame)
     return found.join(a, "query").join(b, ["entry", "bin"]).groupBy(*keys).agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.count(F.lit(1)).alias("shared"))
 
 
+def dot_bias(matches: DataFrame, query_vectors: DataFrame, entry_vectors: DataFrame) -> DataFrame:
+    """Adds bias, the penalty of matches (query, entry, dot) whose similarity rests on few bins, or on too many alike.
+
+    The bias itself is the root of the cosine of the vectors' fourth powers, divided by dot (see pairs.dot_bias_penalty).
+    """
+    from peakweave.operators.pairs import dot_bias_penalty
+
+    fourth = F.pow("value", F.lit(4.0))
+    side = lambda v, name, c: v.select(F.col("spec_idx").alias(name), "bin", (fourth / F.sqrt(F.sum(fourth * fourth).over(Window.partitionBy("spec_idx")))).alias(c))
+    powers = matches.select("query", "entry").join(side(query_vectors, "query", "a"), "query").join(side(entry_vectors, "entry", "b"), ["entry", "bin"]).groupBy("query", "entry").agg(F.sum(F.col("a") * F.col("b")).alias("_c"))
+    out = matches.join(powers, ["query", "entry"], "left")
+    return out.withColumn("bias", dot_bias_penalty(F.sqrt(F.coalesce("_c", F.lit(0.0))) / F.col("dot"))).drop("_c")
+
+
 def top_hits(matches: DataFrame, k: int, least_score: float = 0.0, least_shared: int = 1) -> DataFrame:
     """The k best entries of each query with their rank; ties to the smaller entry. The frame is cut per task before the shuffle."""
     kept = matches.filter((F.col("dot") >= least_score) & (F.col("shared") >= least_shared))

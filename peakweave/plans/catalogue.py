@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from peakweave.plans import fdr_queries, network_queries, peak_queries, psm_queries
+from peakweave.plans import fdr_queries, network_queries, peak_queries, psm_queries, sequencing_queries
 
-_MODULES = (fdr_queries, peak_queries, psm_queries, network_queries)
+_MODULES = (fdr_queries, peak_queries, psm_queries, network_queries, sequencing_queries)
 
 
 def queries() -> dict:

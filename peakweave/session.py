@@ -1,12 +1,15 @@
-"""Getting this package to Python workers that don't share the driver's path."""
+"""What operators need of a session: the package on its Python workers, and a folder that all executors share."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: The size of Arrow batches is bounded in bytes too, as rows can hold long texts; a value that the session sets itself stays.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -30,3 +33,25 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("peakweave", os.path.relpath(full, here)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; only where that is unset, as in tests, a temporary one that goes with the process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = tempfile.mkdtemp(prefix="peakweave-")
+        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing behind it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
