@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakweave.llm.common import scratch, texts, written
+from peakweave.llm.common import texts
 from peakweave.llm.token_counts import arrow_type
+from peakweave.session import scratch, written
 
 #: Samples of a row of pixels.
 ROW = 576
