@@ -34,6 +34,8 @@ ZONES = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog",
 WORDS = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer header masthead topbar toolbar ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register search share sharing social comment comments reply replies disqus respond related recommended recommendations trending widget pagination pager copyright legal disclaimer tags meta byline complementary contentinfo".split()
 )
+#: How names begin that speak of other parts of the page.
+ABOUT_OTHERS = ("has", "with", "no-", "without", "is-", "js-")
 #: Elements that hold the article.
 HOLDERS = {"article", "main"}
 HOLDER_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
@@ -52,20 +54,23 @@ class Element:
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         self.zone, self.holder = (parent.zone, parent.holder) if parent else (False, False)
-        words: set[str] = set()
+        tokens: list[str] = []
         if attributes:
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "")):
                     self.zone = True
                 elif key != "style":
-                    words.update(_WORD.findall(value))
+                    tokens += value.split()
             if re.search(r"\bhidden\b(?!\s*=)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
                 self.zone = True
+        # a name that is a zone's, or holds such a word, unless it only says what else the page has or another name is the article's
+        holds = any(t in HOLDER_WORDS for t in tokens)
+        marked = any(t in WORDS for t in tokens) or (not holds and any(WORDS.intersection(_WORD.findall(t)) for t in tokens if not t.startswith(ABOUT_OTHERS)))
         outside = name == "header" and not self.holder
-        if name in HOLDERS or (words & HOLDER_WORDS and not words & WORDS):
+        if name in HOLDERS or (not marked and (holds or any(HOLDER_WORDS.intersection(_WORD.findall(t)) for t in tokens))):
             self.holder = True
-        if name in ZONES or outside or (words & WORDS and name not in ("body", "html", "article", "main")):
+        if name in ZONES or outside or (marked and name not in ("body", "html", "article", "main")):
             self.zone = True
 
 

@@ -86,7 +86,7 @@ class Encoder:
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens and added tokens in order."""
-        if self.special and "<|" in text and self.special.search(text):
+        if any(a in text for a in self.added):
             return [w for k, part in enumerate(self.special.split(text)) for w in ((part,) if k % 2 else self.find(part))]
         return self.find(text)
 

@@ -42,6 +42,12 @@ def filled(chunks: np.ndarray) -> np.ndarray:
     return (chunks != 0).mean(1, dtype=np.float32)
 
 
+def sampled_chunks(text: bytes, most: int = TRAIN_CHUNKS) -> np.ndarray:
+    """At most so many of the text's chunks, evenly spaced, the first and the last among them."""
+    c = chunks_of(text)
+    return np.ascontiguousarray(c[np.unique(np.linspace(0, len(c) - 1, min(len(c), most)).round().astype(int))])
+
+
 def byte_vectors() -> np.ndarray:
     """The fixed vector of each byte: kinds of characters, and a random part that tells bytes apart."""
     b = np.arange(256)
@@ -103,16 +109,12 @@ class ByteNet:
                 parts, count, size, at = [], [], 0, i + 1
         return out
 
-    def train(self, held: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 3) -> None:
-        """Cross entropy by Adam; gradients go through each filter's largest answer only."""
+    def train(self, cut: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 3) -> None:
+        """Cross entropy by Adam over texts given as chunks; gradients go through each filter's largest answer only."""
         names = ("filters", "filter_bias", "hidden", "hidden_bias", "out", "out_bias")
         m = {k: np.zeros_like(getattr(self, k)) for k in names}
         v = {k: np.zeros_like(getattr(self, k)) for k in names}
         r, step = np.random.default_rng(seed), 0
-        cut = []
-        for t in held:
-            c = chunks_of(t)
-            cut.append(np.ascontiguousarray(c[np.unique(np.linspace(0, len(c) - 1, min(len(c), TRAIN_CHUNKS)).round().astype(int))]))
         for epoch in range(epochs):
             order = r.permutation(len(cut))
             now = rate * (1 - epoch / epochs) + rate / 20
@@ -151,18 +153,23 @@ class ByteNet:
         return {"filters": np.einsum("nf,nfk->kf", d_z, seen, optimize=True), "filter_bias": d_z.sum(0), "hidden": a.T @ d_u, "hidden_bias": d_u.sum(0), "out": both.T @ d, "out_bias": d.sum(keepdims=True)}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[list[bytes], np.ndarray, float]:
-    """Texts and labels of at most ``per_class`` labelled rows of each class (those of least id hash), and the share of label 1.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sampled chunks and labels of at most ``per_class`` labelled rows of each class (those of least id hash).
 
-    Ids are chosen from the labels alone; the bounded list is then broadcast to the one scan that fetches the texts.
+    Ids are chosen from the labels alone; the bounded list is then broadcast to the one scan that cuts the chunks, so no whole text reaches the driver.
+    Of repeated ids one counts.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
-    number = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     ids = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
-    rows = texts(docs, id_col, text_col).join(F.broadcast(ids[0].union(ids[1])), "id").groupBy("id").agg(F.first("text").alias("text"), F.first("y").alias("y")).collect()
-    rows.sort(key=lambda r: r["id"])
-    total = sum(number.values())
-    return [r["text"].encode() for r in rows], np.array([r["y"] for r in rows], np.float32), number.get(1, 0) / total if total else 0.5
+
+    def cut(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([sampled_chunks((t.as_py() or "").encode()).tobytes() for t in b.column(1)], pa.binary())], names=["id", "y", "chunks"])
+
+    source = texts(docs, id_col, text_col).join(F.broadcast(ids[0].union(ids[1])), "id").select("id", "text", "y")
+    rows = {r["id"]: r for r in source.mapInArrow(cut, f"id {source.schema['id'].dataType.simpleString()}, y int, chunks binary").collect()}
+    rows = [rows[k] for k in sorted(rows)]
+    return [np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows], np.array([r["y"] for r in rows], np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = TRAIN_ROWS) -> ByteNet:
@@ -170,11 +177,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     With one class only (or no labelled text at all) the model is that constant (0.5 without any).
     """
-    held, y, share = training_rows(docs, labels, id_col, text_col, label_col, per_class)
+    cut, y = training_rows(docs, labels, id_col, text_col, label_col, per_class)
     if len(set(y.tolist())) < 2:
         return ByteNet.fresh(prior=float(y[0]) if len(y) else 0.5)
     net = ByteNet.fresh()
-    net.train(held, y)
+    net.train(cut, y)
     return net
 
 

@@ -36,8 +36,8 @@ class PieceCounter:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        added = [x["content"] for x in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        self.special = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.normalize = self.tokenizer.normalizer.normalize_str
         self.counts = Cache(self.count)
@@ -50,7 +50,7 @@ class PieceCounter:
     def frequencies(self, text: str) -> tuple[Counter, int]:
         """A text's pre-tokens with their frequencies, and the number of added tokens in it."""
         found = 0
-        if self.special and "<|" in text and self.special.search(text):
+        if any(a in text for a in self.added):
             parts = self.special.split(text)
             found = len(parts) - 1
         else:
