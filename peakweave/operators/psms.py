@@ -136,3 +136,19 @@ def variants(psms: DataFrame, proteins: DataFrame, overlap: float = 0.5, k: int
     shared = before - F.col("start_aa") + 1
     fresh = F.when(before.isNull() | (shared < overlap * (F.col("end_aa") - F.col("start_aa") + 1)), 1).otherwise(0)
     return found.withColumn("_f", fresh).withColumn("region", F.sum("_f").over(w).cast("int")).drop("_f")
+
+
+def supported_mods(psms: DataFrame, least: int) -> DataFrame:
+    """residues, mass, n, peptides: modifications of target matches that at least so many different peptides show."""
+    targets = psms.filter(~F.col("is_decoy")).select(P.unmodified(F.col("annotation")).alias("plain"), F.inline(P.modifications(F.col("annotation"))))
+    counts = targets.groupBy("residues", F.round("mass").cast("int").alias("mass")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("plain").alias("peptides"))
+    return counts.filter(F.col("peptides") >= least)
+
+
+def as_proteins(psms: DataFrame) -> DataFrame:
+    """db_index, id, description, sequence: the distinct plain peptides of the matches as a database, numbered in their order."""
+    from peakweave.operators.spectra import renumbered
+
+    plain = psms.select(P.unmodified(F.col("annotation")).alias("sequence")).filter("sequence <> ''").distinct()
+    out = renumbered(plain, ["sequence"], "_no")
+    return out.select((F.col("_no") - 1).cast("int").alias("db_index"), F.concat(F.lit("PEP"), F.col("_no").cast("string")).alias("id"), F.lit("").alias("description"), "sequence")

@@ -173,6 +173,37 @@ def assembled(spectra: DataFrame, alignments: DataFrame, tolerance: float = 0.05
     return nodes.groupBy("component").cogroup(edges.groupBy("edge_component")).applyInPandas(run, "contig_idx long, vertices array<struct<mz:double,score:double,members:array<struct<spec_idx:long,peak_idx:int>>>>, left_out array<long>")
 
 
+def shifted_alignments(edges: DataFrame, spectra: DataFrame, tolerance: float) -> DataFrame:
+    """spec1, spec2, score, matched: the peaks that agree at each edge's shift1."""
+    side = lambda n: spectra.select(F.col("spec_idx").alias(f"spec{n}"), F.col("peaks")["mz"].alias(f"_mz{n}"), F.col("peaks")["intensity"].alias(f"_i{n}"))
+    rows = edges.select("spec1", "spec2", "shift1").join(side(1), "spec1").join(side(2), "spec2")
+
+    def f(a, i, b, j, shift):
+        x, y = kernels.candidates(a, b, shift, tolerance + 1e-6)
+        return [(float(i[np.unique(x)].sum() + j[np.unique(y)].sum()), [{"first": int(p), "second": int(q)} for p, q in zip(x, y, strict=True)])]
+
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("second", pa.int32())]))
+    return _per_row(rows, ["spec1", "spec2"], ["_mz1", "_i1", "_mz2", "_i2"], ["shift1"], f, "score double, matched array<struct<first:int,second:int>>", [("score", pa.float64()), ("matched", kind)])
+
+
+def meta_assembled(contigs: DataFrame, tolerance: float, least_overlap: float, least_matched: int, limit: float = 400.0) -> DataFrame:
+    """Contigs of contigs: consensus spectra that overlap by ``least_overlap`` Dalton with ``least_matched`` peaks are assembled again; members are contigs."""
+    from peakweave.operators.pairs import overlap_pairs
+    from peakweave.operators.precursors import contig_spectra
+
+    s = contig_spectra(contigs)
+    return assembled(s, shifted_alignments(overlap_pairs(s, tolerance, least_overlap, least_matched, limit), s, tolerance), tolerance)
+
+
+def cyclic(spectra: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """spec_idx, sequence, score of ring-shaped peptides: peaks are masses of stretches, the ring weighs the parent mass without its proton; of all rotations the first by letters is named."""
+    def f(mz, i, pm):
+        sequence, score = kernels.de_novo(mz - 1.00727646688, i, pm - 1.00727646688, tolerance, doubles=False)
+        return [(min(sequence[k:] + sequence[:k] for k in range(max(1, len(sequence)))) if sequence.isalpha() else sequence, score)]
+
+    return _per_row(_lists(spectra), ["spec_idx"], ["_mz", "_int"], ["parent_mass"], f, "sequence string, score double", [("sequence", pa.string()), ("score", pa.float64())])
+
+
 def stars(spectra: DataFrame, edges: DataFrame, tolerance: float) -> DataFrame:
     """spec_idx, peaks: each spectrum with the peaks that its partners support, intensities summed over them; support is a partner's peak at shift 0 or at the pair's."""
     pk = lambda n: spectra.select(F.col("spec_idx").alias(f"spec{n}"), F.col("peaks").alias(f"p{n}"))

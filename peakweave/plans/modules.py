@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakweave.operators import clusters, fdr, graph, library, pairs, peaks, proteins, psms, sequencing, spectra
+from peakweave.operators import clusters, fdr, graph, library, pairs, peaks, precursors, proteins, psms, sequencing, spectra
 from peakweave.sources.tables_text import Parameters
 
 
@@ -151,6 +151,16 @@ MODULES: dict[str, Module] = {
     "propagate": Module(lambda i, p: graph.propagate(i["edges"], i["seeds"], int(p.number("MAX_STEPS", 5))), ("edges", "seeds")),
     "stars": Module(lambda i, p: sequencing.stars(i["spectra"], i["edges"], p.number("TOLERANCE_PEAK", 0.5)), ("spectra", "edges")),
     "assembly": Module(assembly, ("spectra", "edges")),
+    "meta_assembly": Module(lambda i, p: sequencing.meta_assembled(i["contigs"], p.number("TOLERANCE_PEAK", 0.05), p.number("MIN_OVERLAP", 200), int(p.number("MIN_MATCHED_PEAKS", 4))), ("contigs",)),
+    "cyclic": Module(lambda i, p: sequencing.cyclic(i["spectra"], p.number("TOLERANCE_PEAK", 0.05)), ("spectra",)),
+    "precursors": Module(lambda i, p: precursors.isotope_filter(precursors.guess(precursors.with_survey(i["spectra"], ["scan"], ["file_name"]), p.number("TOLERANCE_PEAK", 0.05)), p.number("STRICT_FILTER", 0)), ("spectra",)),
+    "merge_stages": Module(lambda i, p: precursors.merged_stages(i["spectra"], p.number("TOLERANCE_PEAK", 0.5)), ("spectra",)),
+    "boost": Module(lambda i, p: precursors.boosted(i["spectra"], p.choices("KEYS") or ["precursor"], p.number("TOLERANCE_PEAK", 0.05)), ("spectra",)),
+    "penalties": Module(lambda i, p: precursors.penalties(i["frequencies"], p.number("AVERAGE_INTENSITY", 1.0)), ("frequencies",)),
+    "supported_mods": Module(lambda i, p: psms.supported_mods(i["psms"], int(p.number("MIN_PEPTIDES", 2))), ("psms",)),
+    "peptide_database": Module(lambda i, p: psms.as_proteins(i["psms"]), ("psms",)),
+    "compare_psms": Module(lambda i, p: psms.compare(i["first"], i["second"]), ("first", "second")),
+    "subtract_psms": Module(lambda i, p: psms.subtract(i["psms"], i["other"], p.flag("INVERT")), ("psms", "other")),
     "de_novo": Module(lambda i, p: sequencing.de_novo(i["spectra"], p.number("TOLERANCE_PEAK", 0.05)), ("spectra",)),
     "spectral_probability": Module(lambda i, p: sequencing.spectral_probability(i["spectra"]), ("spectra",)),
     "protein_alignment": Module(lambda i, p: sequencing.protein_alignments(i["candidates"], p.number("TOLERANCE_PEAK", 0.5), p.number("MOD_PENALTY", 0.3), int(p.number("MAX_NUM_MODS", 1))), ("candidates",)),

@@ -324,3 +324,23 @@ def test_prefix_scores(spark):
     s = spectra_of(spark, [(1, 500.0, [(101.00727, 5.0), (83.0, 1.0)])])
     got = [p["intensity"] for p in precursors.prefix_scores(s, [(1.00727, 0.8, 0.1), (-17.0, 0.5, 0.1)], 0.05).first()["peaks"]]
     assert sorted(round(x, 4) for x in got) == sorted([round(float(np.log(8) + np.log(5)), 4), round(float(np.log(8) + np.log(0.5 / 0.9)), 4)])
+
+
+def test_contigs_of_contigs(spark):
+    full = list(itertools.accumulate(kernels.RESIDUES[c] for c in "PEPTIDESEQW"))
+    part = lambda n, a, b: (n, [(full[k] - full[a], 5.0, [(n, k)]) for k in range(a, b)])
+    c = spark.createDataFrame([part(1, 0, 8), part(2, 3, 11)], "contig_idx long, vertices array<struct<mz:double,score:double,members:array<struct<spec_idx:long,peak_idx:int>>>>")
+    r = sequencing.meta_assembled(c, 0.01, 200.0, 3).first()
+    assert len(r["vertices"]) == 11 and r["left_out"] == []
+
+
+def test_rings(spark):
+    masses = list(itertools.accumulate(kernels.RESIDUES[c] for c in "GAVW"))
+    s = spectra_of(spark, [(1, masses[-1] + 1.00727646688, [(m + 1.00727646688, 5.0) for m in masses[:-1]])])
+    assert sequencing.cyclic(s, 0.01).first()["sequence"] == "AVWG"
+
+
+def test_mods_and_databases(spark):
+    p = spark.createDataFrame([("PE(P,16)K", False), ("(P,16)EK", False), ("(S,80)K", False), ("(S,80)A", True)], "annotation string, is_decoy boolean")
+    assert [(r["residues"], r["mass"], r["n"]) for r in psms.supported_mods(p, 2).collect()] == [("P", 16, 2)]
+    assert [r["sequence"] for r in psms.as_proteins(p).orderBy("db_index").collect()] == ["PEK", "PEPK", "SA", "SK"]
