@@ -37,7 +37,8 @@ def mass_pairs(spectra: DataFrame, width: float, keep: list[str] | None = None)
 def binned(peaks: DataFrame, width: float = 1.0005, root: bool = True) -> DataFrame:
     """spec_idx, bin, value: intensities (their roots) summed per bin, scaled to length 1 for each spectrum."""
     value = F.sqrt("intensity") if root else F.col("intensity")
-    bins = peaks.groupBy("spec_idx", F.floor(F.col("mz") / width).cast("int").alias("bin")).agg(F.sum(value).alias("value"))
+    # one shuffle, by spectrum, serves both the bins and their length
+    bins = peaks.repartition("spec_idx").groupBy("spec_idx", F.floor(F.col("mz") / width).cast("int").alias("bin")).agg(F.sum(value).alias("value"))
     return bins.withColumn("value", F.col("value") / F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("spec_idx"))))
 
 

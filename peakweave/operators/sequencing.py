@@ -135,6 +135,24 @@ def explained_intensity(spectra: DataFrame, tolerance: float) -> DataFrame:
     return spectra.withColumn("_ions", P.ions(F.col("annotation"))).select("spec_idx", F.when(total(counted) > 0, 100 * total(hit) / total(counted)).otherwise(0.0).alias("explained"))
 
 
+def match_features(spectra: DataFrame, tolerance: float) -> DataFrame:
+    """spec_idx, n_peaks, explained_peaks, b_found, y_found (percents), longest (most consecutive b or y ions found), mass_error_ppm: what a match's quality is judged by."""
+    rows = spectra.withColumn("_ions", P.ions(F.col("annotation"))).withColumn("_n", F.length(P.unmodified(F.col("annotation"))))
+    hit = F.filter("_ions", lambda i: F.exists(F.col("peaks"), lambda p: F.abs(p["mz"] - i["mz"]) <= tolerance))
+    rows = rows.withColumn("_hit", hit)
+    at = F.filter("peaks", lambda p: F.exists(F.col("_ions"), lambda i: F.abs(p["mz"] - i["mz"]) <= tolerance))
+    found = lambda kind: F.filter("_hit", lambda i: i["ion"] == kind)
+    percent = lambda part, whole: F.when(whole > 0, 100.0 * part / whole).otherwise(0.0)
+
+    def longest(kind: str):
+        numbers = F.array_sort(F.transform(found(kind), lambda i: i["number"]))
+        step = lambda a, n: F.struct(F.when(n == a["last"] + 1, a["run"] + 1).otherwise(F.lit(1)).alias("run"), n.alias("last"), F.greatest(a["top"], F.when(n == a["last"] + 1, a["run"] + 1).otherwise(F.lit(1))).alias("top"))
+        return F.aggregate(numbers, F.struct(F.lit(0).alias("run"), F.lit(-9).alias("last"), F.lit(0).alias("top")), step)["top"]
+
+    mass = P.parent_mass(F.col("annotation"))
+    return rows.select("spec_idx", F.size("peaks").alias("n_peaks"), percent(F.size(at), F.size("peaks")).alias("explained_peaks"), percent(F.size(found("b")), F.col("_n") - 1).alias("b_found"), percent(F.size(found("y")), F.col("_n") - 1).alias("y_found"), F.greatest(longest("b"), longest("y")).alias("longest"), ((F.col("parent_mass") - mass) / mass * 1e6).alias("mass_error_ppm"))
+
+
 def mass_errors(annotated: DataFrame, width_ppm: float = 5.0) -> DataFrame:
     """bin, n, share: histogram of errors of annotated peaks in parts per million."""
     from pyspark.sql import Window

@@ -179,6 +179,7 @@ MODULES: dict[str, Module] = {
     "variants": Module(lambda i, p: psms.variants(i["psms"], i["proteins"], p.number("MIN_OVERLAP", 0.5)), ("psms", "proteins")),
     "extract": Module(lambda i, p: spectra.extracted(i["spectra"], i["wanted"], p.choices("KEYS") or ["file_name", "scan"]), ("spectra", "wanted")),
     "explained_intensity": Module(lambda i, p: sequencing.explained_intensity(i["spectra"], p.number("TOLERANCE_PEAK", 0.5)), ("spectra",)),
+    "match_features": Module(lambda i, p: sequencing.match_features(i["spectra"], p.number("TOLERANCE_PEAK", 0.5)), ("spectra",)),
     "mass_errors": Module(lambda i, p: sequencing.mass_errors(sequencing.annotated_peaks(i["spectra"], p.number("TOLERANCE_PEAK", 0.5)), p.number("BIN_PPM", 5.0)), ("spectra",)),
     "pair_quality": Module(lambda i, p: pairs.precision_recall(i["edges"], i["gold"]), ("edges", "gold")),
     "modification_frequencies": Module(lambda i, p: pairs.modification_frequencies(i["edges"], p.number("RESOLUTION", 1.0), p.number("MAX_MOD_MASS", 100.0)), ("edges",)),

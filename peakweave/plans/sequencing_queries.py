@@ -66,6 +66,12 @@ def explained_intensity(spark, d):
     return sequencing.explained_intensity(s, 0.001).select("spec_idx", F.round("explained", 4).alias("explained"))
 
 
+def match_features(spark, d):
+    s = _spectra(spark, d).withColumn("peaks", F.transform(peptide.ions(F.col("annotation")), lambda i: A.peak(i["mz"], i["number"].cast("double"), F.lit(0.0))))
+    f = sequencing.match_features(s.withColumn("peaks", F.filter("peaks", lambda p, i: i % 2 == 0)), 1e-6)
+    return f.select("spec_idx", "n_peaks", F.round("explained_peaks", 4).alias("explained_peaks"), "longest", F.round("mass_error_ppm", 3).alias("mass_error_ppm"))
+
+
 def site_localisation(spark, d):
     s = _spectra(spark, d).select(F.col("spec_idx").alias("psm_id"), F.col("annotation").alias("plain"), F.lit(79.9663).alias("mod_mass"), F.transform("peaks", lambda p: A.peak(p["mz"] + 1.00727646688, p["intensity"], p["tol"])).alias("peaks"))
     return sequencing.localisation(s, 0.01).select("psm_id", "position", F.round("share", R).alias("share"))

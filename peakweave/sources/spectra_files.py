@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -312,3 +313,23 @@ def read_spectra(spark: SparkSession, path: str, kind: str | None = None) -> Dat
 def by_scan(spectra: DataFrame, first: int, last: int | None = None) -> DataFrame:
     """A scan, or a range of them; on Parquet the bounds reach the scan."""
     return spectra.filter(F.col("scan").between(first, first if last is None else last))
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The paths in a text file that names one a line (lines that begin with # left out), or in a text with several between semicolons."""
+    if path.endswith((".txt", ".lst", ".list")):
+        lines = [r["value"].strip() for r in spark.read.text(path).collect()]  # a list of files, read on the driver
+        return [x for x in lines if x and not x.startswith("#")]
+    return [p.strip() for p in path.split(";") if p.strip()]
+
+
+def read_project(spark: SparkSession, folder: str, names: tuple[str, ...] = ("spectra", "psms", "edges", "clusters", "contigs", "proteins")) -> dict[str, DataFrame]:
+    """The tables of a project folder that are there, by name."""
+    out = {}
+    for name in names:
+        try:
+            out[name] = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return out

@@ -93,3 +93,10 @@ def test_stream(spark, spectra, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["query"], r["entry"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 8), (2, 8), (3, 8)}
+
+
+def test_projects(spark, spectra, tmp_path):
+    spectra.write.parquet(str(tmp_path / "spectra.parquet"))
+    assert list(sources.read_project(spark, str(tmp_path))) == ["spectra"]
+    (tmp_path / "files.txt").write_text("a.mgf\n# no\n\nb.mgf\n")
+    assert sources.listed(spark, str(tmp_path / "files.txt")) == ["a.mgf", "b.mgf"] == sources.listed(spark, "a.mgf; b.mgf")

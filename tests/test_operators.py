@@ -344,3 +344,12 @@ def test_mods_and_databases(spark):
     p = spark.createDataFrame([("PE(P,16)K", False), ("(P,16)EK", False), ("(S,80)K", False), ("(S,80)A", True)], "annotation string, is_decoy boolean")
     assert [(r["residues"], r["mass"], r["n"]) for r in psms.supported_mods(p, 2).collect()] == [("P", 16, 2)]
     assert [r["sequence"] for r in psms.as_proteins(p).orderBy("db_index").collect()] == ["PEK", "PEPK", "SA", "SK"]
+
+
+def test_match_features(spark):
+    ions = peptide.ions(F.lit("PEPTIDE"))
+    mz = {(r["ion"], r["number"]): r["mz"] for r in spark.range(1).select(F.inline(ions)).collect()}
+    own = sorted([mz["b", 2], mz["b", 3], mz["b", 4], mz["y", 1], 5000.0])
+    s = spark.createDataFrame([(1, "PEPTIDE", sum(kernels.RESIDUES[c] for c in "PEPTIDE") + 18.010564686 + 1.00727646688, [(m, 1.0, 0.0) for m in own])], f"spec_idx long, annotation string, parent_mass double, peaks {PEAKS}")
+    r = sequencing.match_features(s, 0.01).first()
+    assert (r["n_peaks"], r["explained_peaks"], r["b_found"], r["longest"]) == (5, 80.0, 50.0, 3) and abs(r["mass_error_ppm"]) < 1e-6
