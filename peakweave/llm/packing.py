@@ -26,11 +26,11 @@ END = 0
 BLOCK_PIECES = 1_000_000
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int, gap_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each item, in the order given. Ties go to the fullest open sequence, a new one last.
+def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each item, in the order given. Ties go to the fullest sequence; a new one is opened only where no open one has room.
 
-    Putting size s where the gap is g changes the sum by 2(N[g-s] - N[g]) + 2 for g > s, by 1 - 2N[s] for
-    g = s (a closed sequence has no gap), by 2N[capacity-s] + 1 for a new sequence.
+    Putting size s where the gap is g changes the sum by 2(N[g-s] - N[g]) + 2 for g > s, and by 1 - 2N[s] for g = s, as a
+    closed sequence has no gap.
     """
     n = len(sizes)
     where, at = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -41,14 +41,13 @@ def sum_of_squares(sizes: np.ndarray, capacity: int, gap_out: np.ndarray | None
     lack = np.full(capacity + 1, far, np.int64)
     made = 0
     for i, s in enumerate(sizes.tolist()):
-        best, gain = capacity, 2 * int(count[capacity - s]) + 1 if s < capacity else 1
+        best, gain = capacity, far
         if s < capacity:
             change = lack[s + 1 : capacity] + count[1 : capacity - s]
             if len(change):
                 k = int(change.argmin())
-                c = 2 * int(change[k]) + 2
-                if c <= gain:
-                    best, gain = s + 1 + k, c
+                if change[k] < far // 2:
+                    best, gain = s + 1 + k, 2 * int(change[k]) + 2
             if count[s] and 1 - 2 * int(count[s]) <= gain:
                 best = s
         if best == capacity:
