@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations as _combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +45,12 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def combinations(rows: DataFrame, array_col: str, k: int) -> DataFrame:
-    """One row per choice of k elements of an array, in order, as ``combination``; k is a small constant."""
-    kind = rows.schema[array_col].dataType.simpleString()
-    choose = F.udf(lambda xs: [list(c) for c in _combinations(xs or [], k)], f"array<{kind}>")
-    return rows.select("*", F.explode(choose(array_col)).alias("combination"))
+    """One row per choice of k elements of an array, in order, as ``combination``; k is a small constant, 1 at least."""
+    out = rows.withColumn("_at", F.array().cast("array<int>"))
+    for _ in range(k):
+        later = F.sequence(F.coalesce(F.try_element_at("_at", F.lit(-1)), F.lit(-1)) + 1, F.size(array_col))
+        out = out.withColumn("_next", F.explode(F.filter(later, lambda i: i < F.size(array_col)))).withColumn("_at", F.array_append("_at", F.col("_next"))).drop("_next")
+    return out.withColumn("combination", F.transform("_at", lambda i: F.get(array_col, i))).drop("_at")
 
 
 def histogram(rows: DataFrame, value: str, width: float) -> DataFrame:

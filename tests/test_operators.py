@@ -353,3 +353,12 @@ def test_match_features(spark):
     s = spark.createDataFrame([(1, "PEPTIDE", sum(kernels.RESIDUES[c] for c in "PEPTIDE") + 18.010564686 + 1.00727646688, [(m, 1.0, 0.0) for m in own])], f"spec_idx long, annotation string, parent_mass double, peaks {PEAKS}")
     r = sequencing.match_features(s, 0.01).first()
     assert (r["n_peaks"], r["explained_peaks"], r["b_found"], r["longest"]) == (5, 80.0, 50.0, 3) and abs(r["mass_error_ppm"]) < 1e-6
+
+
+def test_text_helpers(spark):
+    df = spark.createDataFrame([("a/b\\\\c.Tar.GZ", ["x", "y", "z"]), ("none", ["x"]), ("", [])], "p string, xs array<string>")
+    got = df.select(text.base_name(F.col("p")).alias("b"), text.extension(F.col("p")).alias("e"), text.without_extension(F.col("p")).alias("w")).collect()
+    assert [r["b"] for r in got] == ["c.Tar.GZ", "none", ""] and [r["e"] for r in got] == ["gz", "", ""]
+    assert sorted(r["combination"] for r in text.combinations(df, "xs", 2).collect()) == [["x", "y"], ["x", "z"], ["y", "z"]]
+    assert abs(text.binomial_tail(2, 3, 0.5) - 0.5) < 1e-12
+    assert {r["bin"]: r["count"] for r in text.histogram(spark.createDataFrame([(0.5,), (1.2,), (1.9,)], "v double"), "v", 1.0).collect()} == {0: 1, 1: 2}
