@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from peakweave.llm import packing, private_data, quality, simhash
 from peakweave.session import ship, written
@@ -25,8 +26,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and disclosing terms replaced in their texts."""
-    return private_data.sanitised(docs)
+    """All documents, with personal data and disclosing terms replaced in their texts, and n_chars of the texts as they now are."""
+    out = private_data.sanitised(docs)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

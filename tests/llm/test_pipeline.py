@@ -15,6 +15,8 @@ def test_stages(spark):
         counts.append((name, now.select("doc_id").distinct().count()))
         if stage is not corpus_pipeline.packing_stage:
             assert now.columns == columns
+        if stage is corpus_pipeline.private_data_stage:
+            assert now.filter("n_chars <> length(text)").count() == 0
         if stage is corpus_pipeline.quality_stage:
             kept = {r["doc_id"] for r in now.collect()}
             good = [i for i, q in labels.items() if q == 1]
