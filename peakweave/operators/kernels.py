@@ -51,6 +51,50 @@ def greedy_match(mz1, i1, mz2, i2, shift: float, tolerance: float, root: bool =
     return float(score), int(used1.sum()), share(np.asarray(i1, float), used1), share(np.asarray(i2, float), used2)
 
 
+def greedy_match_many(mz1, i1, size1, mz2, i2, size2, shift, tolerance: float, root: bool = True, projected: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """greedy_match of many pairs at once, their peaks laid end to end.
+
+    Each pair's masses are moved to a stretch of the number line of its own, so one search finds the candidates of all pairs; only the
+    choice among them, in one order for all, is a loop.
+    """
+    n = len(size1)
+    pair1, pair2 = np.repeat(np.arange(n), size1), np.repeat(np.arange(n), size2)
+    sums = lambda x, pair: np.bincount(pair, x, minlength=n)
+
+    def scaled(x, pair):
+        v = np.sqrt(x) if root else np.asarray(x, float)
+        length = np.sqrt(sums(v * v, pair))
+        return v / np.where(length > 0, length, 1.0)[pair]
+
+    a, b = scaled(i1, pair1), scaled(i2, pair2)
+    top = max(mz1.max(initial=0.0), mz2.max(initial=0.0))
+    low = min(mz1.min(initial=0.0), mz2.min(initial=0.0))
+    apart = 2 * (top - low + np.abs(shift).max(initial=0.0) + tolerance + 1)
+    here2 = mz2 + pair2 * apart
+    found = []
+    for move in (np.zeros(n), shift):
+        i, j = candidates(mz1 + pair1 * apart, here2, move[pair1], tolerance)
+        keep = (pair1[i] == pair2[j]) & ((move is not shift) | (shift[pair1[i]] != 0))
+        found.append((i[keep], j[keep]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((j, i, -(a[i] * b[j]), pair1[i]))
+    used1, used2 = bytearray(len(a)), bytearray(len(b))
+    taken1, taken2 = [], []
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if not used1[x] and not used2[y]:
+            used1[x] = used2[y] = 1
+            taken1.append(x)
+            taken2.append(y)
+    x, y = np.array(taken1, np.int64), np.array(taken2, np.int64)
+    score = np.bincount(pair1[x], a[x] * b[y], minlength=n)
+    count = np.bincount(pair1[x], minlength=n)
+    if projected:
+        length = np.sqrt(np.bincount(pair1[x], a[x] ** 2, minlength=n) * np.bincount(pair1[x], b[y] ** 2, minlength=n))
+        score = np.where(length > 0, score / np.where(length > 0, length, 1.0), score)
+    share = lambda v, at, pair: np.bincount(pair[at], v[at], minlength=n) / np.where((t := sums(v, pair)) > 0, t, 1.0)
+    return score, count, share(np.asarray(i1, float), x, pair1), share(np.asarray(i2, float), y, pair2)
+
+
 def union_match(mz1, i1, mz2, i2, shift: float, tolerance: float, reach: float = 0.5) -> tuple[float, float, float, int]:
     """(best shift near the mass difference, matched shares of both, matched peaks of the first): union of peaks matched at shift 0 and at the best shift.
 

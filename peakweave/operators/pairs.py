@@ -13,6 +13,8 @@ from peakweave.session import ship
 
 #: Slack on match tolerances.
 SLACK = 1e-6
+#: Pairs that the greedy cosine takes together.
+PAIRS = 1000
 
 
 def band_join(left: DataFrame, right: DataFrame, left_mass: str, right_mass: str, width: float, on: list[str] | None = None) -> DataFrame:
@@ -73,12 +75,15 @@ def greedy_cosine(pairs: DataFrame, tolerance: float, preprocess: bool = True, e
     shape = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        for b in batches:
-            cols = [b.column(f"_{p}_{f}") for p in ("peaks1", "peaks2") for f in ("mz", "intensity")]
-            shift = b.column("shift").to_numpy(zero_copy_only=False)
-            rows = [kernels.greedy_match(*(np.asarray(c[i].values) for c in cols), 0.0 if exact else float(shift[i]), tolerance + SLACK, preprocess, projected) for i in range(b.num_rows)]
-            out = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(out[0], pa.float64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], names=[*keep, "cosine", "matched", "matched1", "matched2"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS):
+                b = whole.slice(at, PAIRS)
+                lists = [b.column(f"_{p}_{f}") for p in ("peaks1", "peaks2") for f in ("mz", "intensity")]
+                mz1, i1, mz2, i2 = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+                size1, size2 = (np.diff(x.offsets.to_numpy()) for x in (lists[0], lists[2]))
+                shift = np.zeros(b.num_rows) if exact else b.column("shift").to_numpy(zero_copy_only=False)
+                cosine, matched, share1, share2 = kernels.greedy_match_many(mz1, i1, size1, mz2, i2, size2, shift, tolerance + SLACK, preprocess, projected)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(cosine), pa.array(matched, pa.int32()), pa.array(share1), pa.array(share2)], names=[*keep, "cosine", "matched", "matched1", "matched2"])
 
     return source.mapInArrow(run, f"{shape}, cosine double, matched int, matched1 double, matched2 double")
 

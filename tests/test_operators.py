@@ -88,6 +88,17 @@ def test_greedy_cosine(x, y, shift):
     assert abs(kernels.greedy_match(*arrays, 0.0, 1.0)[0] - kernels.greedy_match(*arrays[2:], *arrays[:2], 0.0, 1.0)[0]) < 0.2
 
 
+def test_many_cosines_at_once():
+    r = np.random.default_rng(8)
+    own = [[np.sort(r.uniform(50, 90, n)), r.uniform(1, 9, n)] for n in r.integers(1, 12, 80)]
+    shift = r.integers(-3, 4, 40).astype(float)
+    for projected in (False, True):
+        left, right = own[:40], own[40:]
+        many = kernels.greedy_match_many(*(np.concatenate([x[k] for x in left]) for k in (0, 1)), np.array([len(x[0]) for x in left]), *(np.concatenate([x[k] for x in right]) for k in (0, 1)), np.array([len(x[0]) for x in right]), shift, 1.5, projected=projected)
+        for k in range(40):
+            assert np.allclose([m[k] for m in many], kernels.greedy_match(*left[k], *right[k], shift[k], 1.5, projected=projected))
+
+
 def test_cosine_network_finds_all_close_pairs(spark):
     r = random.Random(2)
     rows = [(i, r.uniform(400, 420), sorted((r.uniform(50, 390), r.uniform(1, 9)) for _ in range(8))) for i in range(60)]
