@@ -40,7 +40,7 @@ def mod_positions(peptide: Column) -> Column:
     return F.transform(ends, lambda _, i: F.aggregate(F.slice(ends, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)))
 
 
-def from_inspect(peptide: Column) -> Column:
+def from_signed(peptide: Column) -> Column:
     """S+80 or T-18 to (S,80) and (T,-18)."""
     return F.regexp_replace(F.regexp_replace(peptide, r"([A-Z])\+([0-9.]+)", "($1,$2)"), r"([A-Z])(-[0-9.]+)", "($1,$2)")
 

@@ -26,7 +26,7 @@ ALIASES = {
     "db_index": ["dbindex", "protein index"],
     "num_mods": ["nummods", "mods"],
     "charge": ["charge", "z"],
-    "score": ["mqscore", "score", "msgfscore", "rawscore", "match score"],
+    "score": ["mqscore", "score", "rawscore", "match score"],
     "p_value": ["p-value", "pvalue", "specprob", "spece-value", "specevalue", "probability", "e-value"],
     "is_decoy": ["isdecoy", "decoy"],
     "fdr": ["fdr", "qvalue", "q-value"],
@@ -37,8 +37,8 @@ ALIASES = {
     "organism": ["organism"],
     "library_id": ["libraryspectrumid", "filescanuniqueid"],
 }
-#: Result dialects: what their annotations need.
-DIALECTS = {"generic": None, "inspect": "inspect", "msgfdb": "inspect", "msgf+": "inspect", "moda": "inspect", "msplit": "inspect", "multipass": None, "report": None}
+#: How result tables write modifications: (S,80), or with signs, S+80.
+DIALECTS = ("bracketed", "signed")
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t", required: list[str] | None = None, schema: str | None = None, comment: str | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t", required: li
     return out
 
 
-def read_psms(spark: SparkSession, path: str | list[str], dialect: str = "generic", zero_based: bool = False) -> DataFrame:
+def read_psms(spark: SparkSession, path: str | list[str], dialect: str = "bracketed", zero_based: bool = False) -> DataFrame:
     """Matches of one or several files of one dialect. Known headers become typed columns, absent ones are null; zero-based scans are raised by one."""
     raw = spark.read.option("sep", "\t").option("header", True).csv(path)
     by_alias = {re.sub(r"\s+", " ", c.strip().lower()).lstrip("#"): c for c in raw.columns}
@@ -61,8 +61,10 @@ def read_psms(spark: SparkSession, path: str | list[str], dialect: str = "generi
         values = [F.expr(f"try_cast(`{c}` as {kind})") for c in dict.fromkeys(found.get(name, []))]
         columns.append((F.coalesce(*values) if values else F.lit(None).cast(kind)).alias(name))
     out = raw.select(*columns)
-    if DIALECTS[dialect] == "inspect":
-        out = out.withColumn("orig_annotation", F.coalesce("orig_annotation", "annotation")).withColumn("annotation", peptide.from_inspect(F.col("annotation")))
+    if dialect not in DIALECTS:
+        raise ValueError(f"no dialect {dialect}; there are {DIALECTS}")
+    if dialect == "signed":
+        out = out.withColumn("orig_annotation", F.coalesce("orig_annotation", "annotation")).withColumn("annotation", peptide.from_signed(F.col("annotation")))
     if zero_based:
         out = out.withColumn("scan", F.col("scan") + 1)
     decoy = F.coalesce(F.col("is_decoy"), F.col("protein").rlike("^(XXX|REV|DECOY)"), F.lit(False))

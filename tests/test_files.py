@@ -65,7 +65,7 @@ def test_tables(spark, tmp_path):
     sinks.fasta(tables_text.read_fasta(spark, str(tmp_path / "a.fasta")), str(tmp_path / "b.fasta"))
     assert tables_text.read_fasta(spark, str(tmp_path / "b.fasta")).count() == 2
     (tmp_path / "r.tsv").write_text("#Scan#\tPeptide\tProtein\tCharge\tMQScore\tp-value\n4\tK.PES+80TIDE.R\tXXXP1\t2\t3.5\t1e-3\n")
-    r = tables_text.read_psms(spark, str(tmp_path / "r.tsv"), "inspect", zero_based=True).first()
+    r = tables_text.read_psms(spark, str(tmp_path / "r.tsv"), "signed", zero_based=True).first()
     assert (r["scan"], r["annotation"], r["is_decoy"], r["charge"], r["p_value"]) == (5, "K.PE(S,80)TIDE.R", True, 2, 1e-3)
     sinks.psm_table(tables_text.read_psms(spark, str(tmp_path / "r.tsv")), str(tmp_path / "out.tsv"))
     assert tables_text.read_psms(spark, str(tmp_path / "out.tsv")).first()["score"] == 3.5
