@@ -202,7 +202,8 @@ def islands_paired_scans(spark, d):
 
 def last_ms1_carry(spark, d):
     s = view(spark, d, "psms").withColumn("ms_level", F.when(F.col("annotation") == "purchase", 1).otherwise(2))
-    return spectra.last_ms1(s, ["psm_id"], ["scan"], ["psm_id", "score"]).select("psm_id", "ms1_psm_id", "ms1_score")
+    m = spectra.last_ms1(s, ["psm_id"], ["scan"], ["psm_id", "score"])
+    return m.select("psm_id", F.coalesce("ms1_psm_id", F.lit(-1).cast("long")).alias("ms1_psm_id"), F.coalesce("ms1_score", F.lit(0.0)).alias("ms1_score"))
 
 
 def mass_histogram(spark, d):
@@ -311,7 +312,7 @@ ORACLES = {
     "report_lists": "SELECT n_regionkey, count(DISTINCT n_name) AS n, array_to_string(list_sort(list_distinct(list(n_name))), ',') AS list FROM nation GROUP BY 1",
     "islands_paired_scans": with_views("""WITH a AS (SELECT *, sum(f) OVER (PARTITION BY scan ORDER BY psm_id) AS g FROM (SELECT *, CASE WHEN lag(annotation) OVER (PARTITION BY scan ORDER BY psm_id) = annotation THEN 0 ELSE 1 END AS f FROM psms WHERE scan <= 60)),
         b AS (SELECT *, CASE WHEN (row_number() OVER (PARTITION BY scan, g ORDER BY psm_id) - 1) % 2 = 0 THEN 1 ELSE 0 END AS h FROM a) SELECT psm_id, scan, (sum(h) OVER (PARTITION BY scan ORDER BY psm_id))::BIGINT AS run FROM b""", "psms"),
-    "last_ms1_carry": with_views("""SELECT psm_id, ms1_psm_id, ms1_score FROM (SELECT *, last_value(CASE WHEN annotation = 'purchase' THEN psm_id END IGNORE NULLS) OVER w AS ms1_psm_id, last_value(CASE WHEN annotation = 'purchase' THEN score END IGNORE NULLS) OVER w AS ms1_score
+    "last_ms1_carry": with_views("""SELECT psm_id, coalesce(ms1_psm_id, -1) AS ms1_psm_id, coalesce(ms1_score, 0.0)::DOUBLE AS ms1_score FROM (SELECT *, last_value(CASE WHEN annotation = 'purchase' THEN psm_id END IGNORE NULLS) OVER w AS ms1_psm_id, last_value(CASE WHEN annotation = 'purchase' THEN score END IGNORE NULLS) OVER w AS ms1_score
         FROM psms WINDOW w AS (PARTITION BY scan ORDER BY psm_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE annotation <> 'purchase'""", "psms"),
     "mass_histogram": with_views("SELECT round(parent_mass / 10.0)::BIGINT AS bin, count(*) AS n, min(spec_idx) AS first_member FROM spectra GROUP BY 1", "spectra"),
     "avg_intensity": with_views(f"SELECT round(avg(intensity), {R}) AS average, count(*) AS n FROM peaks", "peaks"),
