@@ -251,22 +251,35 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
     return groups.mapInArrow(run, "a long, b long")
 
 
-#: For near copies by similarity: words of shingles, 64-bit words of a fingerprint, bits of a band, differing bits allowed.
-#: Shingle sets with a Jaccard similarity of 0.8 differ in 15 % of the bits on average, 77 of 512, give or take 8.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_BAND, WIDE_RADIUS = 5, 8, 16, 88
+#: For near copies by similarity: words of shingles, 64-bit words of a fingerprint, bits of a band, differing bits of candidates.
+#: Shingle sets with a Jaccard similarity of 0.8 differ in 15 % of the bits on average, 77 of 512, give or take 8; sets of four
+#: and five shingles in 19 %, 96 bits, give or take 9. The radius leaves five deviations above that.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_BAND, WIDE_RADIUS = 5, 8, 16, 140
+#: Bytes of shingle hashes, and sets, of one tile when candidates are confirmed.
+SET_BYTES, SET_TILE = 1 << 21, 512
 
 
-def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
-    """SimHash of 64 * words bits: each shingle's hash is mixed anew for every 64 bits. A wordless text has zeros."""
+def shingle_set(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Distinct hashes of the text's word shingles in ascending order; of all words if there are no more than a shingle's. A wordless text has none."""
     from xxhash import xxh64_intdigest
 
     parts = text.encode().lower().split()
     if not parts:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(parts[i:] for i in range(shingle)), strict=False)) if len(parts) > shingle else [b" ".join(parts)]
     n = max(1, len(parts) - shingle + 1)
-    seed = np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, n))
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64, n))
+
+
+def wide_marks(seed: np.ndarray, words: int = WIDE_WORDS) -> tuple[bytes, bytes]:
+    """SimHash of 64 * words bits of a shingle set, and the low halves of the least hash in each word's mix (MinHash). An empty set has zeros.
+
+    Each shingle's hash is mixed anew for every 64 bits.
+    """
+    if not len(seed):
+        return bytes(8 * words), bytes(4 * words)
     total = np.zeros((words, 64), np.int64)
+    least = np.full(words, ~np.uint64(0))
     mixes = (np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
     for k in range(0, len(seed), 2040):
         some = seed[k : k + 2040]
@@ -274,44 +287,83 @@ def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, words: int = WIDE_W
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
+        least = np.minimum(least, x.min(axis=1))
         bits = np.unpackbits(x.view(np.uint8).reshape(words, len(some), 8), axis=2, bitorder="little")
         for n in range(0, len(some), 255):  # sums of 255 ones fit a byte
             total += np.add.reduce(bits[:, n : n + 255], axis=1, dtype=np.uint8)
-    return np.packbits((2 * total > len(seed)).reshape(-1), bitorder="little").tobytes()
+    return np.packbits((2 * total > len(seed)).reshape(-1), bitorder="little").tobytes(), least.astype(np.uint32).tobytes()
+
+
+def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> bytes:
+    """SimHash of 64 * words bits. A wordless text has zeros."""
+    return wide_marks(shingle_set(text, shingle), words)[0]
+
+
+def exact_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets (arrays without repeats) with a Jaccard similarity of 0.8 or more, each pair once. Common elements are counted, not estimated."""
+    size = np.array([len(s) for s in sets])
+    start = np.cumsum(size) - size
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(element, kind="stable")]
+    held = np.bincount(element, minlength=1)
+    first = np.cumsum(held) - held
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(sets)):
+        mine = element[start[i] : start[i] + size[i]]
+        mine = mine[held[mine] > 1]
+        n = held[mine]
+        at = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(holders[at], minlength=len(sets))
+        # common / (size + size - common) >= 4 / 5
+        hit = np.flatnonzero((common > 0) & (9 * common >= 4 * (size + size[i])))
+        hit = hit[hit > i]
+        out_a.append(np.full(len(hit), i))
+        out_b.append(hit)
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, band: int = WIDE_BAND, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
     """One row per input row: id_col, text_hash and component_id, the smallest id reachable over links between similar texts.
 
-    Candidates share a band of ``band`` fingerprint bits: of 32 bands, texts with a similarity of 0.8 share one
-    with a probability of 0.92, of 0.85 with 0.98, of 0.9 with 0.998. A candidate links if at most ``radius`` bits differ.
-    Equal fingerprints always link. Null and wordless texts have fingerprint zero and are one class. Repeated rows each
-    get a row; an empty table gives an empty table; other columns are not read.
+    Two texts link if their shingle sets have a Jaccard similarity of 0.8 or more, counted on the sets. Candidates share a band of
+    ``band`` fingerprint bits or two of ``words`` least hashes, and differ in ``radius`` bits at most; pairs with a similarity of 0.8
+    share two of eight least hashes with a probability of 0.9999. All sets that candidates connect are compared with each other.
+    Null and wordless texts have no shingles and are one class. Repeated rows each get a row; an empty table gives an empty
+    table; other columns are not read.
     """
 
     def marks(batches):
         for b in batches:
-            fps = [wide_fingerprint(t.as_py() or "", shingle, words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(id_type), b.column(2), pa.array(fps, pa.binary())], names=["id", "text_hash", "fp"])
-
-    source = texts(docs, id_col, text_col)
+            nodes, fps, minima = [], [], []
+            for t in b.column(1):
+                s = shingle_set(t.as_py() or "", shingle)
+                fp, least = wide_marks(s, words)
+                nodes.append(set_hash(s))
+                fps.append(fp)
+                minima.append(least)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(id_type), b.column(2), pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), pa.array(minima, pa.binary())], names=["id", "text_hash", "node", "fp", "minima"])
+
+    source = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     id_type = arrow_type(source)
     kind = source.schema["id"].dataType.simpleString()
-    marked = written(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(marks, f"id {kind}, text_hash long, fp binary"), "wide-fingerprints")
-    least = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "wide-distinct")
+    marked = written(source.mapInArrow(marks, f"id {kind}, text_hash long, node long, fp binary, minima binary"), "wide-fingerprints")
+    distinct = marked.groupBy("node").agg(F.min("id").alias("least"), F.min_by("text_hash", "id").alias("text_hash"), F.min("fp").alias("fp"), F.min("minima").alias("minima"))
+    least = written(distinct, "wide-distinct")
     step = band // 8
-    keys = F.array(*[F.struct(F.lit(i).alias("no"), F.substring("fp", i * step + 1, step).alias("bits")) for i in range(8 * words // step)])
-    keyed = least.filter("least IS NOT NULL").select("least", "fp", F.explode(keys).alias("key")).select("least", "fp", "key.no", "key.bits")
+    bands = [F.substring("fp", i * step + 1, step) for i in range(8 * words // step)]
+    twos = [F.concat(F.substring("minima", 4 * i + 1, 4), F.substring("minima", 4 * j + 1, 4)) for i, j in combinations(range(words), 2)]
+    keys = F.array(*[F.struct(F.lit(n).alias("no"), bits.alias("bits")) for n, bits in enumerate(bands + twos)])
+    keyed = least.filter("least IS NOT NULL").select("node", "fp", F.explode(keys).alias("key")).select("node", "fp", "key.no", "key.bits")
     shared = keyed.groupBy("no", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y")))
-    dealt = keyed.join(shared, ["no", "bits"]).select("no", "bits", "least", "fp", F.explode(pairs).alias("p"))
-    groups = dealt.groupBy("no", "bits", "p").agg(F.collect_list("least").alias("ids"), F.collect_list("fp").alias("fps")).filter(F.size("ids") > 1).select("ids", "fps")
+    dealt = keyed.join(shared, ["no", "bits"]).select("no", "bits", "node", "fp", F.explode(pairs).alias("p"))
+    groups = dealt.groupBy("no", "bits", "p").agg(F.collect_list("node").alias("ids"), F.collect_list("fp").alias("fps")).filter(F.size("ids") > 1).select("ids", "fps")
 
     def found(ids, held):
         flat = np.concatenate(ids)
         a, b = spanning(*(flat[x] for x in bit_sliced_links(held, radius)))
-        return pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def compare(batches):
         for b in batches:
@@ -326,9 +378,55 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if ids:
                 yield found(ids, held)
 
-    joined = connected_components(groups.mapInArrow(compare, f"a {kind}, b {kind}"))
-    named = least.join(joined, F.col("least") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "text_hash", "component_id")
+    candidates = connected_components(groups.mapInArrow(compare, "a long, b long"))
+    joined = connected_components(_confirmed(source, least, candidates, shingle))
+    member = least.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = member.join(ids, "component").select("node", "component_id")
+    return marked.join(named, "node").select(F.col("id").alias(id_col), "text_hash", "component_id")
+
+
+def set_hash(s: np.ndarray) -> int:
+    """One signed 64-bit hash of a shingle set."""
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(s.tobytes(), SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _confirmed(source: DataFrame, least: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): links that connect all similar sets of each component of candidates, from the texts that have their least ids.
+
+    Large components are compared tile by tile, each pair of tiles a row of its own.
+    """
+
+    def sets_of(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py() or "", shingle) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "component", "hashes"])
+
+    wanted = least.join(candidates, "node").select(F.col("least"), F.col("text_hash").alias("wanted_hash"), F.col("component"))
+    wanted = written(wanted.distinct(), "wide-candidates")
+    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    members = source.join(small, (F.col("id") == F.col("least")) & (F.col("text_hash") == F.col("wanted_hash"))).select("component", "text")
+    sets = members.mapInArrow(sets_of, "node long, component long, hashes binary")
+    sets = written(sets.dropDuplicates(["component", "node"]), "wide-sets")
+    tiles = F.ceil(F.greatest(F.sum(F.length("hashes")) / SET_BYTES, F.count(F.lit(1)) / SET_TILE)).cast("int")
+    tiled = sets.groupBy("component").agg(F.greatest(tiles, F.lit(1)).alias("tiles"))
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y")))
+    dealt = sets.join(tiled, "component").select("component", "node", "hashes", F.explode(pairs).alias("p"))
+    groups = dealt.groupBy("component", "p").agg(F.collect_list(F.struct("node", "hashes")).alias("sets")).filter(F.size("sets") > 1).select("sets")
+
+    def confirm(batches):
+        for b in batches:
+            for group in b.column(0):
+                nodes = np.asarray(group.values.field("node"))
+                held = [np.frombuffer(h.as_py(), np.uint64) for h in group.values.field("hashes")]
+                a, c = spanning(*(nodes[x] for x in exact_links(held)))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+
+    return groups.mapInArrow(confirm, "a long, b long")
 
 
 #: Rows up to which the list of copies is broadcast (16 bytes each); beyond, it is joined by a shuffle.

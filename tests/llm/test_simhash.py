@@ -114,6 +114,45 @@ def test_similar_texts_and_clean_ones(spark, awkward):
     assert sorted(x["doc_id"] or -1 for x in kept.collect()) == [-1, 1, 2, 4, 5, 7, 8]
 
 
+def test_similarity_is_counted_on_the_sets(spark):
+    r = np.random.default_rng(8)
+    texts = []
+    for k in range(60):  # families around one text each, with similarities on both sides of 0.8; some texts have few shingles
+        words = [f"w{x}" for x in r.integers(0, 9000, 9 if k % 6 == 0 else r.integers(40, 400))]
+        texts.append(" ".join(words))
+        for _ in range(6):
+            near = list(words)
+            if k % 6 == 0:
+                near = near[: r.integers(7, 10)]
+            else:
+                at = r.integers(0, len(words) - 1)
+                near[at : at + round(len(words) * r.uniform(0.02, 0.25))] = [f"v{x}" for x in r.integers(0, 10**6, 3)]
+            texts.append(" ".join(near))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    parent, pairs = list(range(len(texts))), []
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                pairs.append((j, i))
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    a, b = simhash.exact_links([simhash.shingle_set(t) for t in texts])
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_classes(docs).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert 60 < len(set(got.values())) < len(texts)
+
+
 def test_awkward(awkward, nothing):
     got = simhash.near_duplicates(awkward)
     assert got.count() == awkward.count()
