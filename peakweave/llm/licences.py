@@ -1,8 +1,8 @@
 """Operator 7: licence scans by sentences and rules, in DataFrame functions only.
 
 A text is cut into sentences; each is normalised (ASCII lower case, everything but letters and digits one
-space) and mapped to the identifier of a known licence sentence, or to ``?``. The sequence of identifiers
-is then matched against ordered rules: a rule that finds its identifiers in a row names its licence and takes
+space) and mapped to the identifiers of the known licence sentences in it, or to ``?``. Known sentences start and
+end with lines but can go over several, behind comment marks too. The sequence of identifiers is then matched against ordered rules: a rule that finds its identifiers in a row names its licence and takes
 them out, so that a later rule can't use them again. Runs of unknown sentences count as one ``?``.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sentences end at line ends, and at these marks before white space.
+#: Sentences end at blank lines, and at these marks before white space. (In the SQL they end at every line end.)
 END = r"([.!?;])[ \t]+"
 #: Only sentences with one of these are compared.
 HINT = r"(?:licen[sc]|copyright|permission|permitted|redistribut|warrant|rights reserved|public domain|free software|as is)"
@@ -114,6 +114,23 @@ def _pattern(ids: tuple[str, ...]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
 
+#: Identifiers that stand on one line.
+ONE_LINE = ("Reserved", "Copyright")
+#: Identifiers whose sentences go on after what is known of them.
+OPEN = tuple(i for i, p in SENTENCES.items() if ".*" in p.removeprefix("(?:.* )?")[-6:] and i not in ONE_LINE)
+
+
+def _over_lines(identifier: str, pattern: str) -> str:
+    """The pattern for whole lines of a normalised sentence; what precedes or follows the known words ends with their first or last line."""
+    start, rest = ("(?:[^\n<]* )?", pattern.removeprefix("(?:.* )?")) if pattern.startswith("(?:.* )?") else ("", pattern)
+    if identifier in ONE_LINE:
+        rest = rest.replace(".*", "[^\n<]*")
+    else:
+        tail = next((t for t in (".*", ".*)?") if rest.endswith(t)), "")
+        rest = rest.removesuffix(tail).replace(".*", "[^<]*?").replace(" ", "[ \n]") + tail.replace(".*", "[^\n<]*")
+    return f"(?<![^\n]){start}(?:{rest})(?![^\n])"
+
+
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_sentences (known licence sentences), sequence (identifiers in order) and licences (names found, sorted, comma-joined).
 
@@ -122,13 +139,18 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lower = F.translate(text, _UPPER, _LOWER)
-    out = docs.select(F.col(id_col).alias("id"), F.when(lower.rlike(HINT), lower).otherwise(F.lit("")).alias("lower"))
-    parts = F.split(F.regexp_replace("lower", END, "$1\n"), "[\r\n]+", -1)
-    parts = F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+    out = docs.select(F.col(id_col).alias("id"), F.regexp_replace(lower, "\r\n?", "\n").alias("lower"))
+    bare = F.regexp_replace("lower", r"(?<![^\n])[^a-z0-9\n]+", "")
+    ended = F.regexp_replace(F.regexp_replace(bare, r"(?<![^\n])[0-9]{1,2}[.)][ \t]+", "\n"), END, "$1\n\n")
+    plain = F.regexp_replace(F.regexp_replace(ended, r"[^a-z0-9\n]+", " "), " ?\n ?", "\n")
+    parts = F.filter(F.transform(F.split(plain, "\n{2,}", -1), lambda s: F.trim(F.regexp_replace(s, r"^\n|\n$", ""))), lambda s: s != "")
 
     def known(s: Column) -> Column:
-        first = F.coalesce(*[F.when(s.rlike(f"^(?:{p})$"), F.lit(f"<{i}>")) for i, p in SENTENCES.items()], F.lit("<?>"))
-        return F.when(s.rlike(HINT) | s.rlike("^(?:copyright|c) "), first).otherwise(F.lit("<?>"))
+        x = s
+        for i, p in SENTENCES.items():
+            x = F.regexp_replace(x, _over_lines(i, p), f"<{i}>")
+        x = F.regexp_replace(x, rf"(<(?:{'|'.join(OPEN)})>)(?:\n[^<\n]+)+", "$1")
+        return F.when(s.rlike(HINT) | s.rlike(r"(?<![^\n])(?:copyright|c) "), F.regexp_replace(F.regexp_replace(x, r"(?<![^\n])[^<\n]+", "<?>"), "\n", "")).otherwise(F.lit("<?>"))
 
     ids = F.regexp_replace(F.array_join(F.transform(parts, known), ""), r"(?:<\?>)+", "<?>")
     out = out.select("id", ids.alias("seq"))

@@ -186,6 +186,51 @@ def test_licences(spark, awkward, nothing):
     assert licences.licence_scan(awkward).count() == awkward.count() and licences.licence_scan(nothing).count() == 0
 
 
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice appears in all copies.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY.""",
+}
+
+
+def test_licences_over_lines(spark):
+    marks = ["", " * ", "# ", "// ", ";; "]
+    rows = [(f"{name}|{m}|{end!r}", end.join(m + line for line in t.split("\n"))) for name, t in WRAPPED.items() for m in marks for end in ("\n", "\r\n")]
+    for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        assert r["licences"] == r["doc_id"].split("|")[0], r
+    rows = [(1, "Released under MIT\nLicensed under CC BY 4.0\nother words"), (2, "Copyright 2020 A\nAll rights reserved"), (3, "An essay\nthat goes on")]
+    got = {r["doc_id"]: r["sequence"] for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MitNamed,CcBy", 2: "Copyright,Reserved", 3: ""}
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(7)
     v = r.normal(size=(3000, 16)).astype(np.float32)
