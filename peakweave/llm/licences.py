@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sentences end at blank lines, and at these marks before white space. (In the SQL they end at every line end.)
 END = r"([.!?;])[ \t]+"
-#: Only sentences with one of these are compared.
+#: Only sentences with one of these are compared in the SQL.
 HINT = r"(?:licen[sc]|copyright|permission|permitted|redistribut|warrant|rights reserved|public domain|free software|as is)"
 
 #: Identifier -> pattern of the whole normalised sentence. The first that matches counts.
@@ -114,6 +114,8 @@ def _pattern(ids: tuple[str, ...]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
 
+#: Each pattern has one of these wherever it matches; only normalised sentences with one are compared.
+IMPLIED = r"licen[sc]|copyright|permission|reserved|warrant|as[ \n]is|liable|redistribut|endorse|under[ \n]|public[ \n]domain|cc0|creative|(?<![^\n])c [0-9]{4}"
 #: Identifiers that stand on one line.
 ONE_LINE = ("Reserved", "Copyright")
 #: Identifiers whose sentences go on after what is known of them.
@@ -150,7 +152,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for i, p in SENTENCES.items():
             x = F.regexp_replace(x, _over_lines(i, p), f"<{i}>")
         x = F.regexp_replace(x, rf"(<(?:{'|'.join(OPEN)})>)(?:\n[^<\n]+)+", "$1")
-        return F.when(s.rlike(HINT) | s.rlike(r"(?<![^\n])(?:copyright|c) "), F.regexp_replace(F.regexp_replace(x, r"(?<![^\n])[^<\n]+", "<?>"), "\n", "")).otherwise(F.lit("<?>"))
+        return F.when(s.rlike(IMPLIED), F.regexp_replace(F.regexp_replace(x, r"(?<![^\n])[^<\n]+", "<?>"), "\n", "")).otherwise(F.lit("<?>"))
 
     ids = F.regexp_replace(F.array_join(F.transform(parts, known), ""), r"(?:<\?>)+", "<?>")
     out = out.select("id", ids.alias("seq"))

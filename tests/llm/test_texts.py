@@ -231,6 +231,12 @@ def test_licences_over_lines(spark):
     assert got == {1: "MitNamed,CcBy", 2: "Copyright,Reserved", 3: ""}
 
 
+def test_licences_without_the_word(spark):
+    want = {"Released under the GPL v3.": "GPL-3.0", "Distributed under the GNU GPL, version 2.": "GPL-2.0", "Available under CC BY-SA 4.0.": "CC-BY-SA", "Released under the MIT.": "MIT", "Provided under BSD.": "BSD", "Dedicated to CC0.": "CC0-1.0"}
+    got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(spark.createDataFrame([(t, t) for t in want], "doc_id string, text string")).collect()}
+    assert got == want
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(7)
     v = r.normal(size=(3000, 16)).astype(np.float32)
