@@ -156,12 +156,16 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
             allowed[i, cells] = True
         eu, qu, norm, qnorm = unit(e), unit(q), np.linalg.norm(e, axis=1), np.linalg.norm(q, axis=1)
         out_q, out_v, out_s = [], [], []
+        by_id = np.argsort(ids, kind="stable")
+        starts = np.flatnonzero(np.append(True, ids[by_id][1:] != ids[by_id][:-1]))
         slab = max(1, (4 << 20) // len(e))
         for k0 in range(0, len(q), slab):
             s = qu[k0 : k0 + slab] @ eu.T
             s[~allowed[k0 : k0 + slab][:, c2]] = -2
             s[qid[k0 : k0 + slab, None] == ids] = -2
-            floor = np.partition(s, len(e) - k, axis=1)[:, len(e) - k] - 1e-9 if len(e) > k else np.full(len(s), -1.5)
+            best = np.maximum.reduceat(s[:, by_id], starts, axis=1) if len(starts) < len(e) else s  # one score an id
+            n = len(starts)
+            floor = np.partition(best, n - k, axis=1)[:, n - k] - 1e-9 if n > k else np.full(len(s), -1.5)
             for i in range(len(s)):
                 near = np.flatnonzero((s[i] >= floor[i]) & (s[i] > -1.5))
                 exact = (e[near] * q[k0 + i]).sum(1) / (norm[near] * qnorm[k0 + i])

@@ -264,6 +264,17 @@ def test_neighbours(spark):
     assert neighbours.nearest_neighbours(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_repeated_ids_leave_room_for_others(spark):
+    # one first half and one length, so one block
+    flip = lambda k: [1.0] * 8 + [-1.0 if j == k else 1.0 for j in range(8)]
+    rows = [(0, flip(None))] + [(1, flip(None))] * 12 + [(i, flip(i)) for i in range(2, 6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    table = table.repartition(1)
+    got = neighbours.nearest_neighbours(table, F.col("vec_id") == 0, entry_block=1000).collect()
+    assert sorted(x["vec_id"] for x in got) == [1, 2, 3, 4, 5]
+    assert sorted(x["rank"] for x in got) == [1, 2, 3, 4, 5]
+
+
 def test_media(spark, awkward, nothing, tmp_path):
     folder = str(tmp_path / "shards")
     got = media.media_columns(awkward, folder=folder).collect()
