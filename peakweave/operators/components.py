@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakweave.operators.hubs import hub_join
 from peakweave.session import written
 
 
@@ -12,8 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component) for each node of an edge; the component is its smallest node.
 
     Each round links every larger neighbour of a node to the node's smallest neighbour, then every
-    smaller one; nodes of a hub reach its minimum by a join whose skewed partitions Spark can split, and
-    minima are aggregated before the shuffle. Rounds grow with the logarithm of the longest chain.
+    smaller one. Minima are aggregated before the shuffle, and the edges of a hub (a node with very many) meet its minimum
+    where they are instead of in one task. Rounds grow with the logarithm of the longest chain.
     Self-loops count as nodes; null ends are dropped.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
@@ -22,10 +23,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     before = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.filter("u <> m").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = hub_join(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.filter("u <> m").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = hub_join(large, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, "components")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
