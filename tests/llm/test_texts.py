@@ -29,14 +29,14 @@ def test_quality_on_held_out_rows(spark):
 
 def test_network_gradients_match_differences():
     net = quality.ByteNet.fresh()
-    cut, y = [quality.chunks_of(b"Some text to learn from, " * 30), quality.chunks_of(b"!!## " * 90)], np.array([1, 0], np.float32)
+    held, y = [b"Some text to learn from, " * 30, b"!!## " * 90 + bytes(40)], np.array([1, 0], np.float32)
 
     def loss():
-        h = [np.maximum(net.pooled(c) @ net.hidden + net.hidden_bias, 0) for c in cut]
+        h = [np.maximum(net.pooled(*quality.cut_up([t])[:2]) @ net.hidden + net.hidden_bias, 0) for t in held]
         z = np.array([np.concatenate([x.max(0), x.mean(0)]) @ net.out + net.out_bias for x in h])[:, 0]
         return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
 
-    g = net.gradients(cut, y)
+    g = net.gradients(held, y)
     for name in ("hidden_bias", "out", "filter_bias", "filters", "hidden"):
         w, k = getattr(net, name), int(np.abs(g[name]).argmax())
         old = w.flat[k]
@@ -54,6 +54,24 @@ def test_chunks_cover_whole_texts():
         c = quality.chunks_of(text)
         assert all(c[k].tobytes() == text[k * quality.STEP : k * quality.STEP + quality.CHUNK].ljust(quality.CHUNK, b"\0") for k in range(len(c)))
         assert (len(c) - 1) * quality.STEP + quality.CHUNK >= n
+        assert [round(x * quality.CHUNK) for x in quality.filled(n)] == [min(quality.CHUNK, n - k * quality.STEP) for k in range(len(c))]
+
+
+def test_scores_of_whole_texts():
+    """Brute force: every place of every chunk on its own; bytes 0 count as text."""
+    net = quality.ByteNet.fresh(seed=4)
+    r = np.random.default_rng(0)
+    held = [b"", b"short", bytes(300), r.integers(0, 256, 5000).astype(np.uint8).tobytes(), b"words and words " * 20000]
+    for t, got in zip(held, net.scores(held), strict=True):
+        hidden = []
+        for k in range(max(1, 1 + -(-(len(t) - quality.CHUNK) // quality.STEP))):
+            part = t[k * quality.STEP : k * quality.STEP + quality.CHUNK]
+            e = net.vectors[np.frombuffer(part.ljust(quality.CHUNK, b"\0"), np.uint8)]
+            answers = [e[a : a + quality.WIDTH].reshape(-1) @ net.filters for a in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+            seen = np.append(np.maximum(np.max(answers, 0) + net.filter_bias, 0), len(part) / quality.CHUNK)
+            hidden.append(np.maximum(seen @ net.hidden + net.hidden_bias, 0))
+        z = np.concatenate([np.max(hidden, 0), np.mean(hidden, 0)]) @ net.out + net.out_bias[0]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-3
 
 
 def test_quality_without_labels(awkward, nothing, spark):
@@ -143,6 +161,32 @@ def test_disclosing_terms(spark):
         assert rows[0][1][int(a) : int(b)].lower() in {"zebulon", "acme", "zeb@corp.example.com"}
 
 
+def test_many_matches_in_one_text(spark):
+    """100,000 matches and terms beside them: every place is right, and the time is that of one pass."""
+    r = random.Random(8)
+    parts = ["é", "zebulon ", "x@y.z ", " 10.0.0.1 ", "word ", "🙂", "+1 (988) 555-2485 ", "zebulon@y.z "]
+    long = "".join(r.choice(parts) for _ in range(180_000))
+    rows = [(i, f"Zebulon wrote x@y.z number{i}") for i in range(8)] + [(100, long)] + [(200 + i, "other text") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {x["doc_id"]: x for x in private_data.private_data(docs).collect()}
+    assert out[100]["base_spans"] == brute_base(long)
+    emails = [m.span() for m in re.finditer(BASE["email"], long)]
+    taken = np.zeros(len(long) + 1, int)
+    for a, b in emails:
+        taken[a:b] = 1
+    words = [m.span() for m in re.finditer(r"[^\W\d_]+", long) if m[0].lower() == "zebulon" and not taken[m.start() : m.end()].any()]
+    got = [tuple(map(int, x.split(":")[1:])) for x in out[100]["spans"].split(",") if x.startswith("term")]
+    assert len(emails) > 20_000 and got == words and len(words) > 10_000
+    clean = {x["doc_id"]: x["text"] for x in private_data.sanitised(docs).collect()}
+    want, at = [], 0
+    spans = [(a, b, k) for a, _, b, k in ((int(x.split(":")[1]), 0, int(x.split(":")[2]), x.split(":")[0]) for x in out[100]["spans"].split(","))]
+    for a, b, kind in spans:
+        if a >= at:
+            want.append(long[at:a] + ("[" + kind.upper() + "]" if kind != "term" else ""))
+        at = max(at, b)
+    assert clean[100] == "".join(want) + long[at:] and clean[200] == "other text"
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
     <nav><ul><li><a href="/a">Home</a></li></ul></nav><header>Site name</header><div class="ad">Buy now.</div>
@@ -224,13 +268,62 @@ MERCHANTABILITY.""",
 def test_licences_over_lines(spark):
     marks = ["", " * ", "# ", "// ", ";; "]
     rows = [(f"{name}|{m}|{end!r}", end.join(m + line for line in t.split("\n"))) for name, t in WRAPPED.items() for m in marks for end in ("\n", "\r\n")]
-    for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = licences.licence_scan(docs).collect()
+    for r in got:
         assert r["licences"] == r["doc_id"].split("|")[0], r
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(map(tuple, got)) == sorted(con.execute(licences.oracle()).fetchall())
     rows = [(1, "Released under MIT\nLicensed under CC BY 4.0\nother words"), (2, "Copyright 2020 A\nAll rights reserved"), (3, "An essay\nthat goes on")]
     got = {r["doc_id"]: r["sequence"] for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "MitNamed,CcBy", 2: "Copyright,Reserved", 3: ""}
 
 
+def sampled(pattern, r):
+    """A text that the pattern matches, by random choices at each of its parts."""
+    from re import _parser as parser
+
+    def of(tree):
+        out = ""
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "ANY":
+                out += r.choice("ab z")
+            elif name == "IN":
+                kind, value = r.choice(arg)
+                out += chr(value if str(kind) == "LITERAL" else r.randint(*value))
+            elif name == "BRANCH":
+                out += of(r.choice(arg[1]))
+            elif name == "SUBPATTERN":
+                out += of(arg[-1])
+            else:
+                assert name == "MAX_REPEAT", name
+                out += "".join(of(arg[2]) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 2))))
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def test_every_pattern_is_compared(spark):
+    """No sentence that a pattern knows is passed over: each is given an identifier, its own or an earlier one's, in Spark and in SQL."""
+    r = random.Random(5)
+    order = list(licences.SENTENCES)
+    rows = [(f"{i}|{k}", re.sub(" +", " ", sampled(p, r)).strip()) for i, p in licences.SENTENCES.items() for k in range(25)]
+    rows = [(i, t) for i, t in rows if re.fullmatch(licences.SENTENCES[i.split("|")[0]], t)]
+    assert len({i.split("|")[0] for i, _ in rows}) == len(order) and {x for ids, _ in licences.RULES for x in ids} <= set(order)
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = licences.licence_scan(docs).collect()
+    for x in got:
+        named = x["sequence"].split(",")
+        assert x["n_sentences"] == 1 and order.index(named[0]) <= order.index(x["doc_id"].split("|")[0]), x
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(map(tuple, got)) == sorted(con.execute(licences.oracle()).fetchall())
+
+
 def test_licences_without_the_word(spark):
     want = {"Released under the GPL v3.": "GPL-3.0", "Distributed under the GNU GPL, version 2.": "GPL-2.0", "Available under CC BY-SA 4.0.": "CC-BY-SA", "Released under the MIT.": "MIT", "Provided under BSD.": "BSD", "Dedicated to CC0.": "CC0-1.0"}
     got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(spark.createDataFrame([(t, t) for t in want], "doc_id string, text string")).collect()}
@@ -244,7 +337,7 @@ def test_neighbours(spark):
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None), (5050, [0.0] * 16), (5051, [float("nan")] * 16), (5100, [1.0, None] + [0.0] * 14), (5150, [1.0]), (5151, []), (None, v[0].tolist())]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     got = {}
-    for x in neighbours.nearest_neighbours(table, F.col("vec_id") % 50 == 0, entry_block=700, query_block=25).collect():
+    for x in neighbours.nearest_neighbours(table, F.col("vec_id") % 50 == 0, entry_block=700).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
     u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
     hits = 0
@@ -293,9 +386,14 @@ def test_media(spark, awkward, nothing, tmp_path):
                 names.add(m.name)
                 assert hashlib.sha256(media.from_png(t.extractfile(m).read())).hexdigest() == m.name.removesuffix(".png")
     assert names == {f"{r['payload_sha256']}.png" for r in got}
-    rows = media.store(awkward, folder + "2")
-    heads = media.headers(media.locations(rows), folder + "2").collect()
-    assert {(h["width"], h["depth"]) for h in heads} == {(576, 8)}
+    stored = sum(len(tarfile.open(shard).getnames()) for shard in (tmp_path / "shards").iterdir())
+    assert stored == len(names)  # once each, though rows repeat
+    for r in got:
+        with open(tmp_path / "shards" / r["shard"], "rb") as f:
+            f.seek(r["offset"])
+            image = f.read(r["length"])
+        assert hashlib.sha256(media.from_png(image)).hexdigest() == r["digest"] == r["payload_sha256"]
+        assert (r["width"], r["height"], r["depth"]) == media.read_header(image[: media.HEADER]) == (576, r["payload_bytes"] // 576, 8)
     assert media.media_columns(nothing).count() == 0
 
 
