@@ -23,8 +23,8 @@ WIDTH, STRIDE, SIZE = 8, 2, 8
 FILTERS, HIDDEN = 32, 16
 #: Chunks that pass through the network together.
 SLAB = 256
-#: Labelled rows of each class that training takes at most, and chunks of each (evenly spaced over the text).
-TRAIN_ROWS, TRAIN_CHUNKS = 2500, 16
+#: Labelled rows of each class that training takes at most, with their whole texts.
+TRAIN_ROWS = 2500
 #: Share of them that also yields a short example.
 SHORT = 0.2
 EPOCHS, BATCH, RATE = 8, 32, 0.003
@@ -39,15 +39,16 @@ def chunks_of(text: bytes) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(flat, (k, CHUNK), (STEP, 1))
 
 
-def filled(chunks: np.ndarray) -> np.ndarray:
-    """The share of each chunk that isn't padding."""
-    return (chunks != 0).mean(1, dtype=np.float32)
+def filled(length: int) -> np.ndarray:
+    """The share that a text of so many bytes fills of each of its chunks; the rest is padding."""
+    k = 1 + max(0, -(-(length - CHUNK) // STEP))
+    return (np.minimum(length - np.arange(k) * STEP, CHUNK) / CHUNK).astype(np.float32)
 
 
-def sampled_chunks(text: bytes, most: int = TRAIN_CHUNKS) -> np.ndarray:
-    """At most so many of the text's chunks, evenly spaced, the first and the last among them."""
-    c = chunks_of(text)
-    return np.ascontiguousarray(c[np.unique(np.linspace(0, len(c) - 1, min(len(c), most)).round().astype(int))])
+def cut_up(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chunks of all texts, what each text fills of its own, and the number of chunks of each text."""
+    parts = [chunks_of(t) for t in held]
+    return np.concatenate(parts), np.concatenate([filled(len(t)) for t in held]), np.array([len(c) for c in parts])
 
 
 def byte_vectors() -> np.ndarray:
@@ -84,10 +85,10 @@ class ByteNet:
         e = self.vectors[chunks].reshape(len(chunks), CHUNK * SIZE)
         return np.lib.stride_tricks.as_strided(e, (len(chunks), (CHUNK - WIDTH) // STRIDE + 1, WIDTH * SIZE), (e.strides[0], STRIDE * SIZE * 4, 4))
 
-    def pooled(self, chunks: np.ndarray) -> np.ndarray:
+    def pooled(self, chunks: np.ndarray, fills: np.ndarray) -> np.ndarray:
         """Each filter's largest answer in each chunk, rectified, and the share of the chunk that the text fills."""
         out = np.empty((len(chunks), FILTERS + 1), np.float32)
-        out[:, FILTERS] = filled(chunks)
+        out[:, FILTERS] = fills
         for k in range(0, len(chunks), SLAB):
             w = self.windows(chunks[k : k + SLAB])
             out[k : k + SLAB, :FILTERS] = np.maximum((w.reshape(-1, WIDTH * SIZE) @ self.filters).reshape(len(w), -1, FILTERS).max(1) + self.filter_bias, 0)
@@ -97,32 +98,30 @@ class ByteNet:
         """The probability of each text."""
         if self.prior is not None:
             return np.full(len(held), self.prior)
-        out = np.empty(len(held))
-        parts, count, size, at = [], [], 0, 0
+        out, at, size = np.empty(len(held)), 0, 0
         for i, t in enumerate(held):
-            parts.append(chunks_of(t))
-            count.append(len(parts[-1]))
-            size += count[-1]
+            size += len(t) // STEP + 1
             if size >= 4096 or i == len(held) - 1:
-                h = np.maximum(self.pooled(np.concatenate(parts)) @ self.hidden + self.hidden_bias, 0)
-                first = np.cumsum([0, *count[:-1]])
-                z = np.concatenate([np.maximum.reduceat(h, first), np.add.reduceat(h, first) / np.array(count)[:, None]], 1) @ self.out + self.out_bias
+                chunks, fills, count = cut_up(held[at : i + 1])
+                h = np.maximum(self.pooled(chunks, fills) @ self.hidden + self.hidden_bias, 0)
+                first = np.cumsum(count) - count
+                z = np.concatenate([np.maximum.reduceat(h, first), np.add.reduceat(h, first) / count[:, None]], 1) @ self.out + self.out_bias
                 out[at : i + 1] = 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(float)))
-                parts, count, size, at = [], [], 0, i + 1
+                at, size = i + 1, 0
         return out
 
-    def train(self, cut: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 3) -> None:
-        """Cross entropy by Adam over texts given as chunks; gradients go through each filter's largest answer only."""
+    def train(self, held: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 3) -> None:
+        """Cross entropy by Adam over whole texts; gradients go through each filter's largest answer only."""
         names = ("filters", "filter_bias", "hidden", "hidden_bias", "out", "out_bias")
         m = {k: np.zeros_like(getattr(self, k)) for k in names}
         v = {k: np.zeros_like(getattr(self, k)) for k in names}
         r, step = np.random.default_rng(seed), 0
         for epoch in range(epochs):
-            order = r.permutation(len(cut))
+            order = r.permutation(len(held))
             now = rate * (1 - epoch / epochs) + rate / 20
             for k in range(0, len(order), BATCH):
                 who = order[k : k + BATCH]
-                g = self.gradients([cut[i] for i in who], labels[who])
+                g = self.gradients([held[i] for i in who], labels[who])
                 step += 1
                 for name, d in g.items():
                     m[name] += 0.1 * (d - m[name])
@@ -130,83 +129,78 @@ class ByteNet:
                     w = getattr(self, name)
                     w -= (now * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
-    def gradients(self, cut: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
-        chunks, count = np.concatenate(cut), np.array([len(c) for c in cut])
-        doc, first = np.repeat(np.arange(len(cut)), count), np.cumsum(count) - count
-        win = self.windows(chunks)
-        answers = (win.reshape(-1, WIDTH * SIZE) @ self.filters).reshape(len(chunks), -1, FILTERS)
-        at = answers.argmax(1)
-        z = np.take_along_axis(answers, at[:, None, :], 1)[:, 0] + self.filter_bias
-        a = np.concatenate([np.maximum(z, 0), filled(chunks)[:, None]], 1)
+    def gradients(self, held: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
+        chunks, fills, count = cut_up(held)
+        doc, first = np.repeat(np.arange(len(held)), count), np.cumsum(count) - count
+        z, seen = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS, WIDTH * SIZE), np.float32)
+        for k in range(0, len(chunks), SLAB):
+            win = self.windows(chunks[k : k + SLAB])
+            answers = (win.reshape(-1, WIDTH * SIZE) @ self.filters).reshape(len(win), -1, FILTERS)
+            at = answers.argmax(1)
+            z[k : k + SLAB] = np.take_along_axis(answers, at[:, None, :], 1)[:, 0] + self.filter_bias
+            seen[k : k + SLAB] = win[np.arange(len(win))[:, None], at]
+        a = np.concatenate([np.maximum(z, 0), fills[:, None]], 1)
         u = a @ self.hidden + self.hidden_bias
         h = np.maximum(u, 0)
         top = np.maximum.reduceat(h, first)
         mean = np.add.reduceat(h, first) / count[:, None]
         both = np.concatenate([top, mean], 1)
         p = 1 / (1 + np.exp(-np.clip(both @ self.out + self.out_bias, -30, 30)))
-        d = ((p - y) / len(cut)).astype(np.float32)
+        d = ((p - y) / len(held)).astype(np.float32)
         d_both = d[:, None] * self.out
         is_top = h == top[doc]
         share = is_top / np.maximum(1, np.add.reduceat(is_top.astype(np.float32), first))[doc]
         d_h = d_both[doc, :HIDDEN] * share + d_both[doc, HIDDEN:] / count[doc][:, None]
         d_u = (d_h * (u > 0)).astype(np.float32)
         d_z = (d_u @ self.hidden[:FILTERS].T) * (z > 0)
-        seen = win[np.arange(len(chunks))[:, None], at]
         return {"filters": np.einsum("nf,nfk->kf", d_z, seen, optimize=True), "filter_bias": d_z.sum(0), "hidden": a.T @ d_u, "hidden_bias": d_u.sum(0), "out": both.T @ d, "out_bias": d.sum(keepdims=True)}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sampled chunks and labels of at most ``per_class`` labelled rows of each class (those of least id hash).
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[list[bytes], np.ndarray]:
+    """Whole texts and labels of at most ``per_class`` labelled rows of each class (those of least id hash).
 
-    Ids are chosen from the labels alone; the bounded list is then broadcast to the one scan that cuts the chunks, so no whole text reaches the driver.
-    Of repeated ids one counts.
+    Ids are chosen from the labels alone; the bounded list is then broadcast to the one scan that finds their texts. Of repeated
+    ids the least text counts.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     ids = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
+    rows = texts(docs, id_col, text_col).join(F.broadcast(ids[0].union(ids[1])), "id").select("id", "text", "y")
+    found = rows.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")).orderBy("id").toArrow()
+    return [t.as_py().encode() for t in found.column("text")], found.column("y").to_numpy().astype(np.float32)
 
-    def cut(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([sampled_chunks((t.as_py() or "").encode()).tobytes() for t in b.column(1)], pa.binary())], names=["id", "y", "chunks"])
-
-    source = texts(docs, id_col, text_col).join(F.broadcast(ids[0].union(ids[1])), "id").select("id", "text", "y")
-    rows = {r["id"]: r for r in source.mapInArrow(cut, f"id {source.schema['id'].dataType.simpleString()}, y int, chunks binary").collect()}
-    rows = [rows[k] for k in sorted(rows)]
-    return [np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows], np.array([r["y"] for r in rows], np.float32)
 
-
-def with_short(cut: list[np.ndarray], y: np.ndarray, share: float = SHORT, seed: int = 11) -> tuple[list[np.ndarray], np.ndarray]:
+def with_short(held: list[bytes], y: np.ndarray, share: float = SHORT, seed: int = 11) -> tuple[list[bytes], np.ndarray]:
     """The examples and, made from a share of them, short ones: the first 16 to 96 bytes of texts with label 1, the last of those with label 0.
 
     Few labelled texts are that short, and an almost empty chunk looks like a monotonous one to maxima alone.
     """
     r, more, labels = np.random.default_rng(seed), [], []
-    for c, label in zip(cut, y, strict=True):
+    for t, label in zip(held, y, strict=True):
         if r.random() < share:
-            text = (c[0] if label else c[-1]).tobytes().rstrip(b"\0")
             n = int(r.integers(16, 97))
-            more.append(chunks_of(text[:n] if label else text[-n:]))
+            more.append(t[:n] if label else t[-n:])
             labels.append(label)
-    return [*cut, *more], np.concatenate([y, np.array(labels, np.float32)])
+    return [*held, *more], np.concatenate([y, np.array(labels, np.float32)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = TRAIN_ROWS) -> ByteNet:
-    """A network trained on the driver on a bounded sample: ``per_class`` rows a class, ``TRAIN_CHUNKS`` chunks each.
+    """A network trained on the driver on a bounded sample: the whole texts of ``per_class`` labelled rows a class.
 
     With one class only (or no labelled text at all) the model is that constant (0.5 without any).
     """
-    cut, y = training_rows(docs, labels, id_col, text_col, label_col, per_class)
+    held, y = training_rows(docs, labels, id_col, text_col, label_col, per_class)
     if len(set(y.tolist())) < 2:
         return ByteNet.fresh(prior=float(y[0]) if len(y) else 0.5)
     net = ByteNet.fresh()
-    net.train(*with_short(cut, y))
+    net.train(*with_short(held, y))
     return net
 
 
 def score(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col and score, from 0 to 1.
 
-    Whole texts are scored; null text counts as empty, which is one chunk of zeros. Repeated rows each get a
-    row; an empty table gives an empty table; other columns are not read.
+    Whole texts are scored, however long, some thousand chunks at a time; null text counts as empty, which is one chunk
+    of zeros. Null ids stay null. Repeated rows each get a row; an empty table gives an empty table; other columns are not read.
     """
 
     def run(batches):
@@ -220,7 +214,10 @@ def score(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, net: ByteNet, least: float, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores at least ``least``, with all their columns. Null text counts as empty."""
+    """The rows whose text scores at least ``least``, with all their columns, whatever their names.
+
+    Null text counts as empty. Repeated rows stay or go together; an empty table gives an empty table.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
