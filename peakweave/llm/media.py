@@ -1,10 +1,10 @@
 """Operator 10: media columns over content-addressed tar shards.
 
 A text's bytes, filled up with bytes 255 to rows of 576 samples, are stored as an 8-bit grey PNG image
-(lossless). Images go to tar shards in the shared folder, each named by the digest of its samples, and
-once a task however often the text occurs. Rows carry digest, shard, offset and length. Of the copies that
-different tasks stored, the first location is the one used; the header (33 bytes, a range read) fills the
-metadata columns, and the whole image is read back for the rest.
+(lossless). Images go to tar shards in the shared folder, each named by the digest of its samples and stored
+once however often the text occurs: texts that occur once are stored where they are read, the others are
+brought together first. Rows carry digest, shard, offset and length. Header-only range reads (33 bytes)
+fill the metadata columns; the columns on the samples come from a read of the whole image.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.llm.common import texts
-from peakweave.llm.token_counts import arrow_type
+from peakweave.operators.hubs import hub_join
 from peakweave.session import scratch, written
 
 #: Samples of a row of pixels.
@@ -111,101 +111,111 @@ class ShardWriter:
             self.out = None
 
 
-def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes shards to ``folder`` and returns a written table: id_col, n_bytes, digest, shard, offset, length; one row per input row.
+_PLACE = ("n_bytes", "digest", "shard", "offset", "length")
 
-    Null text counts as empty (one row of bytes 255). Repeated texts share an image within a task.
+
+def store(keyed: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes an image of each row's text, the last column, to shards in ``folder``: the other columns, n_bytes, digest, shard, offset, length.
+
+    A written table, so that images of task attempts that failed are referred to by no row.
     """
+    names = [*keyed.columns[:-1], *_PLACE]
 
     def run(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        out, seen = ShardWriter(folder, f"{task.partitionId():06d}-{task.taskAttemptId()}", shard_bytes), {}
+        out = ShardWriter(folder, f"{task.partitionId():06d}-{task.taskAttemptId()}", shard_bytes)
         for b in batches:
             rows = []
-            for t in b.column(1):
+            for t in b.column(b.num_columns - 1):
                 raw = (t.as_py() or "").encode()
                 payload = payload_of(raw)
-                key = hashlib.sha256(payload)
-                if (place := seen.get(key.digest())) is None:
-                    place = seen[key.digest()] = out.put(key.hexdigest(), to_png(payload))
-                rows.append((len(raw), key.hexdigest(), *place))
+                digest = hashlib.sha256(payload).hexdigest()
+                rows.append((len(raw), digest, *out.put(digest, to_png(payload))))
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(id_type), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]], names=["id", "n_bytes", "digest", "shard", "offset", "length"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]], names=names)
         out.close()
 
-    source = texts(docs, id_col, text_col)
-    id_type = arrow_type(source)
-    return written(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, digest string, shard string, offset long, length long").withColumnRenamed("id", id_col), "media-rows")
+    shape = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keyed.schema.fields[:-1])
+    return written(keyed.mapInArrow(run, f"{shape}n_bytes long, digest string, shard string, offset long, length long"), "media-places")
 
 
-def locations(rows: DataFrame) -> DataFrame:
-    """One place for each digest."""
-    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
-    return first.select("digest", "at.shard", "at.offset", "at.length")
+def _reads(places: DataFrame, folder: str, shape: str, look) -> DataFrame:
+    """places with the columns of ``shape``, which ``look`` makes from a range reader, shard, offset and length."""
+    names, kinds = zip(*[f.split() for f in shape.split(", ")], strict=True)
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 
+    def run(batches):
+        fs, path = file_system(folder)
+        held: dict = {}
 
-def headers(places: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height, depth, from range reads of HEADER bytes each."""
+        def read(shard: str, offset: int, length: int) -> bytes:
+            if shard not in held:
+                for f in held.values():
+                    f.close()
+                held.clear()
+                held[shard] = fs.open_input_file(f"{path}/{shard}")
+            return held[shard].read_at(length, offset)
 
-    def run(batches):
-        for b, read in _ranges(batches, folder):
-            found = [read_header(read(s, o, HEADER)) for s, o in zip(b.column("shard").to_pylist(), b.column("offset").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("digest"), *[pa.array([x[k] for x in found], pa.int32()) for k in range(3)]], names=["digest", "width", "height", "depth"])
+        for b in batches:
+            rows = [look(read, *at) for at in zip(*[b.column(c).to_pylist() for c in ("shard", "offset", "length")], strict=True)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)]], names=[*b.schema.names, *names])
+
+    before = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in places.schema.fields)
+    return places.mapInArrow(run, before + shape)
 
-    return places.mapInArrow(run, "digest string, width int, height int, depth int")
+
+def headers(places: DataFrame, folder: str) -> DataFrame:
+    """places (shard, offset, length and any other columns) with width, height and depth, from range reads of HEADER bytes each."""
+    return _reads(places, folder, "width int, height int, depth int", lambda read, shard, offset, length: read_header(read(shard, offset, HEADER)))
 
 
-def _ranges(batches, folder: str):
-    """(batch, range reader) with the open shard kept."""
-    fs, path = file_system(folder)
-    held: dict = {}
+def contents(places: DataFrame, folder: str) -> DataFrame:
+    """places with what the samples of the stored image say: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, samples.
+
+    samples: their mean, and the shares of them below 64, 128, 192 and 256.
+    """
 
-    def read(shard: str, offset: int, length: int) -> bytes:
-        if shard not in held:
-            for f in held.values():
-                f.close()
-            held.clear()
-            held[shard] = fs.open_input_file(f"{path}/{shard}")
-        return held[shard].read_at(length, offset)
+    def look(read, shard: str, offset: int, length: int) -> tuple:
+        image = read(shard, offset, length)
+        payload = from_png(image)
+        sample = np.frombuffer(payload, np.uint8)
+        shares = np.bincount(sample >> 6, minlength=4) / len(sample)
+        samples = f"mean={sample.mean():.4f};" + ",".join(f"{x:.4f}" for x in shares)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), samples
 
-    for b in batches:
-        yield b, read
+    return _reads(places, folder, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, samples string", look)
 
 
 def features(places: DataFrame, folder: str) -> DataFrame:
-    """digest and what its stored image says: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+    """places with the columns of ``headers`` and ``contents``, and feature, a string of the size and what the samples say."""
+    out = contents(headers(places, folder), folder)
+    return out.withColumn("feature", F.concat_ws(";", F.concat_ws("x", "width", "height", "depth"), "samples")).drop("samples")
 
-    The header's range read gives width, height and depth; the feature string holds these, the mean sample
-    and the shares of samples below 64, 128, 192 and 256.
-    """
 
-    def run(batches):
-        for b, read in _ranges(batches, folder):
-            rows = []
-            for s, o, n in zip(b.column("shard").to_pylist(), b.column("offset").to_pylist(), b.column("length").to_pylist(), strict=True):
-                width, height, depth = read_header(read(s, o, HEADER))
-                image = read(s, o, n)
-                payload = from_png(image)
-                sample = np.frombuffer(payload, np.uint8)
-                shares = np.bincount(sample >> 6, minlength=4) / len(sample)
-                feature = f"{width}x{height}x{depth};mean={sample.mean():.4f};" + ",".join(f"{x:.4f}" for x in shares)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), n, hashlib.sha256(image).hexdigest(), feature))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("digest"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    # tasks read neighbouring ranges of a few shards each
-    near = places.repartition("shard", (F.col("offset") / (16 << 20)).cast("long")).sortWithinPartitions("shard", "offset")
-    return near.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+#: Texts that occur more than once, up to which the list of their hashes (8 bytes each) is broadcast; beyond, all texts are brought together by digest.
+BROADCAST_ROWS = 1_000_000
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """One row per input row: id_col, n_bytes and the columns of ``features``. Equal texts have equal values.
+    """One row per input row: id_col, n_bytes, digest, shard, offset, length and the columns of ``features``. Equal texts have equal values.
 
-    folder: where shards go, by default a new one in the shared folder. An empty table gives an empty table.
+    folder: where shards go, by default a new one in the shared folder. Null text counts as empty (one row of bytes 255); a very
+    long text is one image. Repeated rows each get a row and share an image; null ids stay null; an empty table gives an empty
+    table; columns of other names are not read.
     """
     folder = folder or scratch(docs.sparkSession, "media")
-    rows = store(docs, folder, id_col, text_col)
-    return rows.select(id_col, "n_bytes", "digest").join(features(locations(rows), folder), "digest").drop("digest")
+    source = texts(docs, id_col, text_col).select("id", F.xxhash64("text").alias("hash"), "text")
+    twice = written(source.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "media-copies")
+    if twice.count() <= BROADCAST_ROWS:
+        alone = store(source.join(F.broadcast(twice), "hash", "left_anti").select("id", "text"), folder)
+        several = source.join(F.broadcast(twice.select("hash")), "hash", "left_semi")
+    else:
+        alone, several = None, source
+    several = several.select("id", F.sha2("text", 256).alias("content"), "text")
+    stored = store(several.groupBy("content").agg(F.count(F.lit(1)).alias("copies"), F.min("text").alias("text")), folder)
+    shared = hub_join(several.select("id", "content"), features(stored, folder), "content", "copies").drop("content")
+    out = shared if alone is None else features(alone, folder).unionByName(shared)
+    return out.withColumnRenamed("id", id_col)
