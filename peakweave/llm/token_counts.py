@@ -1,9 +1,9 @@
 """Operator 2: token counts by pre-token.
 
-Within a block of documents every distinct pre-token is counted once, whatever the number of its
-occurrences; the counts are joined to each document's own pre-token frequencies and summed. No
-sequence of ids is ever made. Blocks bound the memory, the scan is the only stage, and a pre-token
-that a worker has counted for one block is not counted again for the next.
+Blocks of documents become one row a pre-token, with the documents of the block that hold it and how often.
+The pieces of each distinct pre-token of the corpus are counted once; these counts are joined to the
+blocks' rows, and each block sums its documents. No sequence of ids is ever made, and as a block names a
+pre-token once, no pre-token holds more than a small share of the rows that are joined.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ from __future__ import annotations
 import functools
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.llm.common import blocks, texts
-from peakweave.llm.pretokens import Cache, lettered
+from peakweave.llm.pretokens import lettered
+from peakweave.session import written
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -40,7 +43,6 @@ class PieceCounter:
         self.special = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.normalize = self.tokenizer.normalizer.normalize_str
-        self.counts = Cache(self.count)
 
     def count(self, words: list[str]) -> list[int]:
         """Pieces of each pre-token."""
@@ -60,13 +62,6 @@ class PieceCounter:
             out.update(self.pattern.findall(p.lower() if p.isascii() else self.normalize(p)))
         return out, found
 
-    def totals(self, held: list[str]) -> list[int]:
-        """Tokens of each text of a block."""
-        freq = [self.frequencies(t) for t in held]
-        self.counts.fill(set().union(*(f for f, _ in freq)))
-        n = self.counts
-        return [found + sum(k * n[w] for w, k in f.items()) for f, found in freq]
-
 
 @functools.lru_cache(maxsize=2)
 def counter(vocabulary: str) -> PieceCounter:
@@ -74,25 +69,86 @@ def counter(vocabulary: str) -> PieceCounter:
     return PieceCounter(vocabulary)
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
-    """One row per input row: id_col, n_bytes, n_tokens, over_limit.
+#: Distinct pre-tokens up to which their counts are broadcast, and bytes of a pre-token that are; beyond, both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
-    vocabulary: a file of the tokenizers library (a name among the public files, or a path). Null text
-    counts as empty: 0 bytes, 0 tokens. Repeated rows each get a row, null ids stay null, an empty
-    table gives an empty table; columns of other names are not read. Special strings in a text
-    count as their one token, as the library does by default.
+
+def pretoken_frequencies(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
+    """A written table of blocks: for each block one row with word null, the ids of its documents, their bytes and added tokens, and one row a pre-token.
+
+    In rows of pre-tokens, at holds the places in the block of the documents that have the pre-token, times how often each.
     """
 
     def run(batches):
-        c = counter(vocabulary)
-        for ids, held in blocks(batches):
-            n = c.totals(held)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array([len(t.encode()) for t in held], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["id", "n_bytes", "n_tokens", "over_limit"])
+        from pyspark import TaskContext
+
+        c, base = counter(vocabulary), TaskContext.get().partitionId() << 32
+        for k, (ids, held) in enumerate(blocks(batches)):
+            found = [c.frequencies(t) for t in held]
+            size = np.array([len(f) for f, _ in found])
+            words = [w for f, _ in found for w in f]
+            place: dict[str, int] = {}
+            number = np.array([place.setdefault(w, len(place)) for w in words], np.int64)
+            times = np.array([n for f, _ in found for n in f.values()], np.int32)
+            order = np.argsort(number, kind="stable")
+            at = np.repeat(np.arange(len(held), dtype=np.int32), size)[order]
+            ends = pa.array(np.concatenate([[0, 0], np.cumsum(np.bincount(number, minlength=len(place)))]).astype(np.int32))
+            n = len(place)
+            none = lambda values, kind: pa.ListArray.from_arrays(pa.array([0] + [len(values)] * (n + 1), pa.int32()), pa.array(values, kind))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n + 1, base + k)), pa.array([None, *place], pa.string()), pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(times[order])),
+                    none(ids, id_type), none([len(t.encode()) for t in held], pa.int64()), none([x for _, x in found], pa.int64()),
+                ],
+                names=["block", "word", "at", "times", "ids", "n_bytes", "added"],
+            )
 
     source = texts(docs, id_col, text_col)
     id_type = arrow_type(source)
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", "over_limit")
+    return written(source.mapInArrow(run, f"block long, word string, at array<int>, times array<int>, ids array<{source.schema['id'].dataType.simpleString()}>, n_bytes array<long>, added array<long>"), "pre-tokens")
+
+
+def piece_counts(words: DataFrame, vocabulary: str) -> DataFrame:
+    """A written table: word and n, its number of pieces, once for each distinct word."""
+
+    def run(batches):
+        c = counter(vocabulary)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.count(b.column(0).to_pylist()), pa.int32())], names=["word", "n"])
+
+    return written(words.distinct().mapInArrow(run, "word string, n int"), "pieces")
+
+
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
+    """One row per input row: id_col, n_bytes, n_tokens, over_limit.
+
+    vocabulary: a file of the tokenizers library (a name among the public files, or a path). Null text
+    counts as empty: 0 bytes, 0 tokens. A very long text is a block of its own. Repeated rows each get a row, null ids stay
+    null, an empty table gives an empty table; columns of other names are not read. Special strings in a text
+    count as their one token, as the library does by default.
+    """
+    rows = pretoken_frequencies(docs, id_col, text_col, vocabulary)
+    words = rows.filter("word IS NOT NULL")
+    counts = piece_counts(words.select("word"), vocabulary)
+    size = counts.agg(F.count(F.lit(1)), F.sum(F.length("word"))).first()
+    few = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_BYTES
+    counted = words.join(F.broadcast(counts) if few else counts, "word").select("block", "n", "at", "times", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("ids", "n_bytes", "added")])
+    heads = rows.filter("word IS NULL").select("block", F.lit(None).cast("int").alias("n"), "at", "times", "ids", "n_bytes", "added")
+
+    def total(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        head = block.filter(pa.compute.is_valid(block.column("ids")))
+        ids, n_bytes, added = (head.column(c).chunk(0).flatten() for c in ("ids", "n_bytes", "added"))
+        rest = block.filter(pa.compute.is_valid(block.column("n")))
+        tokens = added.to_numpy()
+        for n, at, times in zip(*(rest.column(c).chunks for c in ("n", "at", "times")), strict=True):
+            pieces = np.repeat(n.to_numpy(), np.diff(at.offsets.to_numpy())).astype(np.float64) * times.flatten().to_numpy()
+            tokens = tokens + np.bincount(at.flatten().to_numpy(), pieces, len(tokens)).astype(np.int64)
+        return pa.table([ids, n_bytes, pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
+
+    kind = rows.schema["ids"].dataType.elementType.simpleString()
+    summed = heads.unionByName(counted).groupBy("block").applyInArrow(total, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return summed.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", "over_limit")
 
 
 def arrow_type(source: DataFrame):
