@@ -2,14 +2,16 @@
 
 Unit vectors are cut into halves, each quantised by its own centroids; a pair of centroids is a cell, and
 every vector is filed in one. A query visits cells in the order of the summed distances of its halves to
-the two centroids, by a heap over pairs, until it has met a set share of all entries; these are ranked by
-their true cosine in double precision. Cells with the same first centroid are dealt together, in blocks of
-entries and of queries, so no task holds more than one block of each, and only a block's best leave it.
+the two centroids, by a heap that holds the next cell of each first centroid, until it has met a set share of all
+entries; only these are ranked, by their true cosine in double precision. Entries are dealt into blocks by first
+centroid and id, each once; a query's list of cells goes to the blocks that hold some, which stream the lists past
+their entries, and only a block's best leave it.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,13 @@ from pyspark.sql import functions as F
 from peakweave.llm.token_counts import arrow_type
 from peakweave.session import written
 
-CENTROIDS = 64
+CENTROIDS = 1024
 #: Rows that the centroids are fitted on at most, chosen by id hash.
 FIT_ROWS = 20_000
-#: Share of all entries that a query meets at least, and their least number.
-SHARE, LEAST = 0.55, 1_000
-ENTRY_BLOCK, QUERY_BLOCK = 50_000, 20_000
+#: Share of all entries that a query meets at least.
+SHARE = 0.2
+#: Groups of first centroids, and entries of a block; a group with more is dealt into several by id.
+GROUPS, ENTRY_BLOCK = 64, 50_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -36,12 +39,13 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.
     distinct = np.unique(x, axis=0)
     k = min(k, len(distinct))
     c = distinct[np.random.default_rng(seed).choice(len(distinct), k, replace=False)]
+    square = (x * x).sum(1)[:, None]
     for _ in range(rounds):
-        d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+        d = square - 2 * x @ c.T + (c * c).sum(1)
         own = d.argmin(1)
-        for j in range(k):
-            mine = own == j
-            c[j] = x[mine].mean(0) if mine.any() else x[d.min(1).argmax()]
+        n, total = np.bincount(own, minlength=k), np.zeros_like(c)
+        np.add.at(total, own, x)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[d.min(1).argmax()])
     return c
 
 
@@ -62,43 +66,93 @@ class MultiIndex:
         d1, d2 = self.distances(u)
         return d1.argmin(1), d2.argmin(1)
 
-    def visit(self, d1: np.ndarray, d2: np.ndarray, count: np.ndarray, wanted: int) -> dict[int, list[int]]:
-        """Cells in the order of d1 + d2 until ``wanted`` entries are met, as first centroid -> second centroids; empty cells left out."""
-        o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
-        s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-        size = count.tolist()
-        heap, out, met = [(s1[0] + s2[0], 0, 0)], {}, 0
+    def visit(self, d1: np.ndarray, d2: np.ndarray, count: np.ndarray, wanted: int) -> np.ndarray:
+        """The numbers (first * second centroids + second) of the cells met in the order of d1 + d2 until they hold ``wanted`` entries; empty cells left out."""
+        order = np.argsort(d2, kind="stable")
+        rows, ranks = np.nonzero(count[:, order])  # each row's cells by distance
+        size, cell = count[rows, order[ranks]].tolist(), rows * len(d2) + order[ranks]
+        distance = (d1[rows] + d2[order[ranks]]).tolist()
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])).tolist()
+        last = [*(i - 1 for i in first[1:]), len(rows) - 1]
+        heap = [(distance[i], i, end) for i, end in zip(first, last, strict=True)]
+        heapq.heapify(heap)
+        out, met = [], 0
         while heap and met < wanted:
-            _, i, j = heapq.heappop(heap)
-            if n := size[o1[i]][o2[j]]:
-                out.setdefault(o1[i], []).append(o2[j])
-                met += n
-            if j + 1 < len(s2):
-                heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
-            if j == 0 and i + 1 < len(s1):
-                heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
-        return out
+            _, i, end = heap[0]
+            out.append(i)
+            met += size[i]
+            if i < end:
+                heapq.heapreplace(heap, (distance[i + 1], i + 1, end))
+            else:
+                heapq.heappop(heap)
+        return cell[out]
 
 
 def usable(vectors: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and values (double) of the vectors that take part: of the length ``dim``, finite, not zero."""
+    """Positions and values (double) of the vectors that take part: of the length ``dim``, finite, not zero.
+
+    Values are scaled by a power of two, so that the largest lies between a half and 1; no cosine changes by that.
+    """
     keep, rows = [], []
     for i, v in enumerate(vectors):
         if v.is_valid and len(v) and (dim is None or len(v) == dim) and not v.values.null_count:
             x = v.values.to_numpy().astype(np.float64)
             if np.isfinite(x).all() and x.any():
                 keep.append(i)
-                rows.append(x)
+                rows.append(np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])))
     return np.array(keep, np.int64), np.array(rows).reshape(len(rows), -1) if rows else np.zeros((0, dim or 0))
 
 
-def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST, fit_rows: int = FIT_ROWS, entry_block: int = ENTRY_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+class Block:
+    """Entries of one block: ids, vectors and cells, without repeats of an (id, vector)."""
+
+    def __init__(self, dim: int):
+        self.dim, self.seen = dim, {}
+
+    def add(self, ids: list, vectors: list[bytes], cells: list[int]) -> None:
+        self.seen.update(zip(zip(ids, vectors, strict=True), cells, strict=True))
+
+    def close(self) -> None:
+        """From now on queries come: entries are put in the order of their cells."""
+        cells = np.fromiter(self.seen.values(), np.int64, len(self.seen))
+        order = np.argsort(cells, kind="stable")
+        held = list(self.seen)
+        self.ids = np.array([held[i][0] for i in order])
+        self.vectors = np.frombuffer(b"".join(held[i][1] for i in order), np.float64).reshape(-1, self.dim)
+        self.cells, self.size = np.unique(cells, return_counts=True)
+        self.start = np.cumsum(self.size) - self.size
+        self.norm, self.unit = np.linalg.norm(self.vectors, axis=1), unit(self.vectors)
+        # an id can be here with several vectors
+        self.repeats = int(np.unique(self.ids, return_counts=True)[1].max()) if len(self.ids) else 1
+        self.seen = {}
+
+    def nearest(self, query_id, query: np.ndarray, cells: np.ndarray, k: int) -> list[tuple]:
+        """(id, cosine) of the k nearest entries of the cells, nearest first, ties to the smaller id."""
+        at = np.searchsorted(self.cells, cells)
+        at = at[(at < len(self.cells)) & (self.cells[np.minimum(at, len(self.cells) - 1)] == cells)] if len(self.cells) else at[:0]
+        size = self.size[at]
+        met = np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        met = met[self.ids[met] != query_id]
+        rough, most = self.unit[met] @ query, k * self.repeats
+        if len(met) > most:
+            met = met[rough >= np.partition(rough, len(rough) - most)[len(rough) - most] - 1e-9 * np.linalg.norm(query)]
+        exact = (self.vectors[met] * query).sum(1) / (self.norm[met] * np.linalg.norm(query))
+        found: dict = {}
+        for j in np.lexsort((self.ids[met], -exact)).tolist():
+            if len(found) == k:
+                break
+            found.setdefault(self.ids[met[j]], exact[j])
+        return list(found.items())
+
+
+def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, centroids: int = CENTROIDS, share: float = SHARE, fit_rows: int = FIT_ROWS, entry_block: int = ENTRY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row that ``is_query`` (a condition on the table) selects.
 
     Nearness is the cosine of the original vectors in double precision; ties go to the smaller id. A row is
-    no candidate of its own query, nor are rows that repeat its id; of repeated ids one result stays. With fewer than
+    no candidate of its own query, nor are rows that repeat its id; of repeated ids one result stays, and of a repeated
+    query id the least vector asks. A query meets ``share`` of all entries, and 10 * (k + 1) at least, so that with fewer than
     k candidates all are returned. Vectors that are null, empty, zero, not finite, or of another length than most of the
-    fitted rows take no part; null ids neither. An empty table gives an empty table.
+    fitted rows take no part; null ids neither. An empty table gives an empty table. Columns of other names are not read.
     """
     spark = vectors.sparkSession
     source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query")).filter("id IS NOT NULL AND vector IS NOT NULL")
@@ -112,75 +166,63 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
     if not len(x):
         return spark.createDataFrame([], shape)
     index = MultiIndex(x, centroids)
+    wide, groups = len(index.second), min(GROUPS, len(index.first))
 
     def file(batches):
         for b in batches:
             keep, rows = usable(b.column(1), dim)
             c1, c2 = index.cells(unit(rows)) if len(keep) else (keep, keep)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array([r.tobytes() for r in rows], pa.binary()), b.column(2).take(pa.array(keep)), pa.array(c1, pa.int32()), pa.array(c2, pa.int32())], names=["id", "vec", "query", "c1", "c2"])
-
-    entries = written(source.mapInArrow(file, f"id {kind}, vec binary, query boolean, c1 int, c2 int"), "multi-index")
-    count = np.zeros((len(index.first), len(index.second)), np.int64)
-    for r in entries.groupBy("c1", "c2").count().collect():  # centroids squared rows at most
-        count[r["c1"], r["c2"]] = r["count"]
-    wanted = max(least, int(np.ceil(share * count.sum())))
-    salts = np.maximum(1, -(-count.sum(1) // entry_block))
-    asked = entries.filter("query").groupBy("id").agg(F.min("vec").alias("vec"))
-    parts = max(1, -(-asked.count() // query_block))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array([r.tobytes() for r in rows], pa.binary()), b.column(2).take(pa.array(keep)), pa.array(c1 * wide + c2, pa.int32())], names=["id", "vec", "query", "cell"])
+
+    entries = written(source.mapInArrow(file, f"id {kind}, vec binary, query boolean, cell int"), "multi-index")
+    count = np.zeros((len(index.first), wide), np.int32)
+    found = entries.select("cell", "id").distinct().groupBy("cell").agg(F.count(F.lit(1)).cast("int").alias("n")).toArrow()  # centroids squared rows at most, 8 bytes each
+    count.reshape(-1)[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    wanted = max(10 * (k + 1), int(np.ceil(share * count.sum())))
+    held = np.bincount(np.arange(len(index.first)) % groups, count.sum(1), groups)
+    salts = np.maximum(1, np.ceil(held / entry_block)).astype(int)
 
     def probe(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            q = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(-1, dim)
-            d1, d2 = index.distances(unit(q))
-            rows = [(i, c1, c2) for i in range(len(q)) for c1, c2 in index.visit(d1[i], d2[i], count, wanted).items()]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["id", "vec", "c1", "cells"])
-
-    salt = F.element_at(F.array(*[F.lit(int(s)) for s in salts]), F.col("c1") + 1)
-    probes = asked.mapInArrow(probe, f"id {kind}, vec binary, c1 int, cells array<int>")
-    probes = probes.select("*", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), salt - 1)).alias("salt"))
-    dealt = entries.select("id", "vec", "c1", "c2", F.pmod(F.xxhash64("id"), salt).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-
-    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], id_type), "vec_id": pa.array([], id_type), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        ids, c2 = left.column("id").to_numpy(), left.column("c2").to_numpy()
-        e = np.frombuffer(b"".join(left.column("vec").to_pylist()), np.float64).reshape(-1, dim)
-        q = np.frombuffer(b"".join(right.column("vec").to_pylist()), np.float64).reshape(-1, dim)
-        qid = right.column("id").to_numpy()
-        allowed = np.zeros((len(q), len(index.second)), bool)
-        for i, cells in enumerate(right.column("cells").to_pylist()):
-            allowed[i, cells] = True
-        eu, qu, norm, qnorm = unit(e), unit(q), np.linalg.norm(e, axis=1), np.linalg.norm(q, axis=1)
-        out_q, out_v, out_s = [], [], []
-        by_id = np.argsort(ids, kind="stable")
-        starts = np.flatnonzero(np.append(True, ids[by_id][1:] != ids[by_id][:-1]))
-        slab = max(1, (4 << 20) // len(e))
-        for k0 in range(0, len(q), slab):
-            s = qu[k0 : k0 + slab] @ eu.T
-            s[~allowed[k0 : k0 + slab][:, c2]] = -2
-            s[qid[k0 : k0 + slab, None] == ids] = -2
-            best = np.maximum.reduceat(s[:, by_id], starts, axis=1) if len(starts) < len(e) else s  # one score an id
-            n = len(starts)
-            floor = np.partition(best, n - k, axis=1)[:, n - k] - 1e-9 if n > k else np.full(len(s), -1.5)
-            for i in range(len(s)):
-                near = np.flatnonzero((s[i] >= floor[i]) & (s[i] > -1.5))
-                exact = (e[near] * q[k0 + i]).sum(1) / (norm[near] * qnorm[k0 + i])
-                seen: dict = {}
-                for j in np.lexsort((ids[near], -exact)).tolist():
-                    if len(seen) == k:
-                        break
-                    seen.setdefault(ids[near[j]], exact[j])
-                out_q += [qid[k0 + i]] * len(seen)
-                out_v += seen.keys()
-                out_s += seen.values()
-        return pa.table({"query_id": pa.array(out_q, id_type), "vec_id": pa.array(out_v, id_type), "score": pa.array(out_s, pa.float64())})
-
-    keys = ["c1", "salt", "part"]
-    found = dealt.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(rank, f"query_id {kind}, vec_id {kind}, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            d1, d2 = index.distances(unit(np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(-1, dim)))
+            for i in range(b.num_rows):
+                cells = np.sort(index.visit(d1[i], d2[i], count, wanted))
+                group = cells // wide % groups
+                order = np.argsort(group, kind="stable")
+                own, n = np.unique(group, return_counts=True)
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                at = pa.array(np.full(len(own), i))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(own, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(cells[order], pa.int32()))], names=["id", "vec", "part", "cells"])
+
+    salt = lambda part: F.element_at(F.array(*[F.lit(int(s)) for s in salts]), part + 1)
+    part = (F.floor(F.col("cell") / wide) % groups).cast("int")
+    filed = entries.select("id", "vec", part.alias("part"), F.array("cell").alias("cells"), F.lit(0).alias("asks")).withColumn("salt", F.pmod(F.xxhash64("id", "vec"), salt(F.col("part"))).cast("int"))
+    asked = entries.filter("query").groupBy("id").agg(F.min("vec").alias("vec"))
+    probes = asked.mapInArrow(probe, f"id {kind}, vec binary, part int, cells array<int>")
+    probes = probes.select("*", F.lit(1).alias("asks"), F.explode(F.sequence(F.lit(0), salt(F.col("part")) - 1)).alias("salt"))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, closed = Block(dim), False
+        for b in batches:
+            ids, vecs, cells, asks = b.column("id").to_pylist(), b.column("vec").to_pylist(), b.column("cells"), b.column("asks").to_numpy()
+            n = int((asks == 0).sum())
+            if n and (closed or asks[:n].any()):
+                raise RuntimeError("entries must come before queries")
+            block.add(ids[:n], vecs[:n], cells[:n].flatten().to_pylist())
+            if n == len(asks):
+                continue
+            if not closed:
+                block.close()
+                closed = True
+            rows = [(ids[i], *x) for i in range(n, len(ids)) for x in block.nearest(ids[i], np.frombuffer(vecs[i], np.float64), cells[i].values.to_numpy(), k)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((id_type, id_type, pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    keys = ["part", "salt"]
+    # dealt by block; sorted so that the entries of a block come first
+    dealt = filed.unionByName(probes).select(*keys, "asks", "id", "vec", "cells").repartition(*keys).sortWithinPartitions(*keys, "asks")
+    best = dealt.groupBy(*keys).applyInArrow(rank, f"query_id {kind}, vec_id {kind}, score double")
+    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
