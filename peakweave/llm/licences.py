@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sentences end at blank lines, and at these marks before white space. (In the SQL they end at every line end.)
+#: Sentences end at blank lines, and at these marks before white space.
 END = r"([.!?;])[ \t]+"
-#: Only sentences with one of these are compared in the SQL.
-HINT = r"(?:licen[sc]|copyright|permission|permitted|redistribut|warrant|rights reserved|public domain|free software|as is)"
 
 #: Identifier -> pattern of the whole normalised sentence. The first that matches counts.
 SENTENCES = {
@@ -25,12 +23,26 @@ SENTENCES = {
     "SpdxGpl3": r"(?:.* )?spdx license identifier gpl 3 0(?: only| or later)?",
     "SpdxBsd3": r"(?:.* )?spdx license identifier bsd 3 clause",
     "SpdxBsd2": r"(?:.* )?spdx license identifier bsd 2 clause",
+    "SpdxLgpl2": r"(?:.* )?spdx license identifier lgpl 2 1(?: only| or later)?",
+    "SpdxLgpl3": r"(?:.* )?spdx license identifier lgpl 3 0(?: only| or later)?",
+    "SpdxAgpl3": r"(?:.* )?spdx license identifier agpl 3 0(?: only| or later)?",
+    "SpdxMpl2": r"(?:.* )?spdx license identifier mpl 2 0",
+    "SpdxIsc": r"(?:.* )?spdx license identifier isc",
+    "SpdxZlib": r"(?:.* )?spdx license identifier zlib",
+    "SpdxBsl1": r"(?:.* )?spdx license identifier bsl 1 0",
+    "SpdxEpl2": r"(?:.* )?spdx license identifier epl 2 0",
+    "SpdxUnlicense": r"(?:.* )?spdx license identifier unlicense",
+    "SpdxCc0": r"(?:.* )?spdx license identifier cc0 1 0",
     "MitNamed": r"(?:.* )?(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?(?:mit|expat|x11)(?: license)?",
     "MitGrant": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .*",
     "MitNotice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "AsIs": r"(?:the|this) software is provided (?:by .* )?as is .*",
     "Liability": r"in no event shall .* be liable for any .*",
     "IscGrant": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted .*",
+    "BslGrant": r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license .*",
+    "ZlibGrant": r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely .*",
+    "Unlicense": r"this is free and unencumbered software released into the public domain",
+    "WtfplTitle": r"do what the fuck you want to public license",
     "BsdRedistribution": r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "BsdSource": r"(?:1 )?redistributions of source code must retain the above copyright notice .*",
     "BsdBinary": r"(?:2 )?redistributions in binary form must reproduce the above copyright notice .*",
@@ -51,6 +63,11 @@ SENTENCES = {
     "GplHope": r"(?:this program|it) is distributed in the hope that it will be useful but without any warranty .*",
     "GplReceived": r"you should have received a copy of the gnu general public license along with .*",
     "MplNamed2": r"(?:.* )?(?:under|to) (?:the )?(?:terms of )?(?:the )?mozilla public license(?: version| v)? ?2 0",
+    "EplNamed2": r"(?:.* )?under (?:the )?(?:terms of )?(?:the )?eclipse public license(?: version| v)? ?2 0",
+    "EuplNamed": r"(?:.* )?under (?:the )?(?:terms of )?(?:the )?european union public licen[sc]e(?: version| v)?(?: ?1 [012])?",
+    "CddlNamed": r"(?:.* )?under (?:the )?(?:terms of )?(?:the )?common development and distribution license(?: version| v)?(?: ?1 [01])?",
+    "ArtisticNamed2": r"(?:.* )?under (?:the )?(?:terms of )?(?:the )?artistic license(?: version| v)? ?2 0",
+    "OdblNamed": r"(?:.* )?under (?:the )?(?:terms of )?(?:the )?open (?:database|data commons open database) license(?: version| v)?(?: ?1 0)?",
     "CcByNcSa": r"(?:.* )?under (?:a |the )?(?:cc by nc sa|creative commons attribution noncommercial sharealike)(?: [0-9] [0-9])?(?: international| unported)?(?: license)?",
     "CcByNcNd": r"(?:.* )?under (?:a |the )?(?:cc by nc nd|creative commons attribution noncommercial noderivatives)(?: [0-9] [0-9])?(?: international| unported)?(?: license)?",
     "CcByNc": r"(?:.* )?under (?:a |the )?(?:cc by nc|creative commons attribution noncommercial)(?: [0-9] [0-9])?(?: international| unported)?(?: license)?",
@@ -83,6 +100,26 @@ RULES = [
     (("SpdxGpl3",), "GPL-3.0"),
     (("SpdxBsd3",), "BSD-3-Clause"),
     (("SpdxBsd2",), "BSD-2-Clause"),
+    (("SpdxLgpl2",), "LGPL-2.1"),
+    (("SpdxLgpl3",), "LGPL-3.0"),
+    (("SpdxAgpl3",), "AGPL-3.0"),
+    (("SpdxMpl2",), "MPL-2.0"),
+    (("SpdxIsc",), "ISC"),
+    (("SpdxZlib",), "Zlib"),
+    (("SpdxBsl1",), "BSL-1.0"),
+    (("SpdxEpl2",), "EPL-2.0"),
+    (("SpdxUnlicense",), "Unlicense"),
+    (("SpdxCc0",), "CC0-1.0"),
+    (("BslGrant", "AsIs"), "BSL-1.0"),
+    (("BslGrant",), "BSL-1.0"),
+    (("ZlibGrant",), "Zlib"),
+    (("Unlicense",), "Unlicense"),
+    (("WtfplTitle",), "WTFPL"),
+    (("EplNamed2",), "EPL-2.0"),
+    (("EuplNamed",), "EUPL"),
+    (("CddlNamed",), "CDDL"),
+    (("ArtisticNamed2",), "Artistic-2.0"),
+    (("OdblNamed",), "ODbL-1.0"),
     (("MitNamed",), "MIT"),
     (("MitGrant",), "MIT-like"),
     (("BsdNamed3",), "BSD-3-Clause"),
@@ -115,7 +152,7 @@ def _pattern(ids: tuple[str, ...]) -> str:
 
 
 #: Each pattern has one of these wherever it matches; only normalised sentences with one are compared.
-IMPLIED = r"licen[sc]|copyright|permission|reserved|warrant|as[ \n]is|liable|redistribut|endorse|under[ \n]|public[ \n]domain|cc0|creative|(?<![^\n])c [0-9]{4}"
+IMPLIED = r"licen[sc]|copyright|permission|reserved|warrant|as[ \n]is|liable|redistribut|endorse|(?:released|distributed|available|provided)[ \n]under|bsd|apache|gpl|general[ \n]public|mozilla|cc[ \n]by|public[ \n]domain|cc0|creative|(?<![^\n])c [0-9]{4}"
 #: Identifiers that stand on one line.
 ONE_LINE = ("Reserved", "Copyright")
 #: Identifiers whose sentences go on after what is known of them.
@@ -136,8 +173,8 @@ def _over_lines(identifier: str, pattern: str) -> str:
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_sentences (known licence sentences), sequence (identifiers in order) and licences (names found, sorted, comma-joined).
 
-    Null and empty texts have none. Repeated rows each get a row; an empty table gives an empty table; columns
-    of other names are not read.
+    Null and empty texts have none; null ids stay null. Very long texts are scanned whole, sentence by sentence. Repeated rows
+    each get a row; an empty table gives an empty table; columns of other names are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lower = F.translate(text, _UPPER, _LOWER)
@@ -169,14 +206,24 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def oracle(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL. Its patterns can't look behind or ahead, so each line gets line ends of its own, two between lines."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    cases = " ".join(f"WHEN regexp_full_match(s, {q(p)}) THEN {q(f'<{i}>')}" for i, p in SENTENCES.items())
-    known = f"CASE WHEN NOT (regexp_matches(s, {q(HINT)}) OR regexp_matches(s, '^(?:copyright|c) ')) THEN '<?>' {cases} ELSE '<?>' END"
-    body = f"""SELECT {id_col}, seq AS s0, []::VARCHAR[] AS n0, seq FROM (SELECT {id_col}, regexp_replace(array_to_string(list_transform(
-        list_filter(list_transform(string_split_regex(regexp_replace(low, {q(END)}, '\\1' || chr(10), 'g'), '[\\r\\n]+'),
-        lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> ''), lambda s: {known}), ''), '(?:<\\?>)+', '<?>', 'g') AS seq
-        FROM (SELECT {id_col}, CASE WHEN regexp_matches(l, {q(HINT)}) THEN l ELSE '' END AS low FROM (SELECT {id_col}, translate(coalesce({text_col}, ''), '{_UPPER}', '{_LOWER}') AS l FROM {table})))"""
+    sub = lambda of, pattern, by: f"regexp_replace({of}, {q(pattern)}, {q(by)}, 'g')"
+    lines = sub("translate(coalesce({c}, ''), '{u}', '{l}')".format(c=text_col, u=_UPPER, l=_LOWER), "\r\n?", "\n")
+    bare = sub(f"chr(10) || {lines}", "\n[^a-z0-9\n]+", "\n")
+    ended = sub(sub(bare, r"\n[0-9]{1,2}[.)][ \t]+", "\n\n"), END, "\\1\n\n")
+    plain = f"substr({sub(sub(ended, r'[^a-z0-9' + chr(10) + ']+', ' '), ' ?\n ?', chr(10))}, 2)"
+    parts = f"list_filter(list_transform(string_split_regex({plain}, '\\n{{2,}}'), lambda s: trim({sub('s', '^\n|\n$', '')})), lambda s: s <> '')"
+    known = "chr(10) || replace(s, chr(10), chr(10) || chr(10)) || chr(10)"
+    for i, p in SENTENCES.items():
+        own = _over_lines(i, p).removeprefix("(?<![^\n])").removesuffix("(?![^\n])").replace("[ \n]", "(?: |\n\n)")
+        known = sub(known, f"\n(?:{own})\n", f"\n<{i}>\n")
+    known = sub(known, rf"(<(?:{'|'.join(OPEN)})>)\n(?:\n[^<\n]+\n)+", "\\1\n")
+    known = f"replace({sub(known, chr(10) + '[^<' + chr(10) + ']+' + chr(10), '<?>')}, chr(10), '')"
+    implied = IMPLIED.replace(r"(?<![^\n])", "\n")
+    known = f"CASE WHEN regexp_matches(chr(10) || s, {q(implied)}) THEN {known} ELSE '<?>' END"
+    seq = sub(f"array_to_string(list_transform({parts}, lambda s: {known}), '')", r"(?:<\?>)+", "<?>")
+    body = f"SELECT {id_col}, seq AS s0, []::VARCHAR[] AS n0, seq FROM (SELECT {id_col}, {seq} AS seq FROM {table})"
     for k, (r, name) in enumerate(RULES):
         row = q(_pattern(r))
         body = f"SELECT {id_col}, seq, replace(s{k}, {row}, '<?>') AS s{k + 1}, CASE WHEN contains(s{k}, {row}) THEN list_append(n{k}, {q(name)}) ELSE n{k} END AS n{k + 1} FROM ({body})"
