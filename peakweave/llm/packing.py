@@ -1,36 +1,41 @@
 """Operator 8: packing documents into sequences by sums of squares.
 
-A document's pieces go to open sequences so that the sum, over all residual gaps, of the squared
-number of open sequences with that gap becomes smallest. Full pieces fill a sequence each. Each block
-(the documents of one file split, at most ``BLOCK_PIECES`` pieces) is packed on its own, longest pieces
-first, so no row moves between tasks; a block of thousands of documents leaves a sequence or two unfilled.
+A document's pieces go to sequences so that the sum, over all residual gaps, of the squared
+number of open sequences with that gap becomes smallest; a new sequence is one of the choices. Full pieces fill a sequence
+each. Pieces are dealt into groups of about ``GROUP_PIECES`` whatever the files they come from, and a group is packed longest
+pieces first. What its open sequences hold in the end, and for comparison all pieces, are placed by the same rule with a new
+sequence only where no open one has room, and the fewest sequences count. A group so leaves a sequence or two unfilled.
 """
 
 from __future__ import annotations
 
 import functools
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from peakweave.llm.common import blocks, texts
 from peakweave.llm.pretokens import Cache, lettered, word_finder
 from peakweave.llm.token_counts import arrow_type
+from peakweave.session import written
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
 END = 0
-#: Pieces that one block holds before it is packed.
-BLOCK_PIECES = 1_000_000
+#: Pieces of a group, on average.
+GROUP_PIECES = 25_000
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each item, in the order given. Ties go to the fullest sequence; a new one is opened only where no open one has room.
+def sum_of_squares(sizes: np.ndarray, capacity: int, weigh_new: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each item, in the order given. Ties go to the fullest sequence, last to a new one.
 
     Putting size s where the gap is g changes the sum by 2(N[g-s] - N[g]) + 2 for g > s, and by 1 - 2N[s] for g = s, as a
-    closed sequence has no gap.
+    closed sequence has no gap; a new sequence changes it by 2N[capacity-s] + 1. Without ``weigh_new`` a new one is opened only
+    where no open one has room.
     """
     n = len(sizes)
     where, at = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -43,10 +48,12 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     for i, s in enumerate(sizes.tolist()):
         best, gain = capacity, far
         if s < capacity:
+            if weigh_new:
+                gain = 2 * int(count[capacity - s]) + 1
             change = lack[s + 1 : capacity] + count[1 : capacity - s]
             if len(change):
                 k = int(change.argmin())
-                if change[k] < far // 2:
+                if change[k] < far // 2 and 2 * int(change[k]) + 2 <= gain:
                     best, gain = s + 1 + k, 2 * int(change[k]) + 2
             if count[s] and 1 - 2 * int(count[s]) <= gain:
                 best = s
@@ -64,6 +71,28 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return where, at
 
 
+def packed(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each item, longest first by sums of squares: what takes fewest sequences of three ways.
+
+    These are a new sequence as one of the choices; that, and then the items of open sequences placed once more, with a new
+    sequence only where no open one has room; and all items so.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    where, at = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    where[order], at[order] = sum_of_squares(sizes[order], capacity)
+    filled = np.bincount(where, sizes)
+    loose = order[filled[where[order]] < capacity]
+    if len(loose):
+        w, a = sum_of_squares(sizes[loose], capacity, weigh_new=False)
+        old = np.unique(where[loose])
+        if w.max() + 1 < len(old):
+            where[loose], at[loose] = old[w], a
+    w, a = sum_of_squares(sizes[order], capacity, weigh_new=False)
+    if w.max() + 1 < len(np.unique(where)):
+        where[order], at[order] = w, a
+    return np.unique(where, return_inverse=True)[1], at
+
+
 class Encoder:
     """Ids by the tokenizers library, pre-token by pre-token; its added tokens are recognised as by default."""
 
@@ -91,10 +120,9 @@ class Encoder:
 
     def encode(self, held: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
-        words = [self.words(t) for t in held]
-        self.cache.fill(set().union(*words))
+        self.cache.trim()
         get = self.cache.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        return [b"".join(map(get, self.words(t))) for t in held]
 
 
 @functools.lru_cache(maxsize=2)
@@ -103,43 +131,49 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
-
-    A document is its ids and one closing id 0. Longer than ``capacity``, it is cut into pieces of that
-    length, of which the first may be shorter. Null text counts as empty: a piece of length 1. Repeated
-    rows are packed each; an empty table gives an empty table; columns of other names are not read.
-    """
+def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int) -> DataFrame:
+    """A written table of all pieces: id, piece, start, length, ids_crc32 and place, a number of the piece's own."""
     end = np.array([END], "<u4").tobytes()
 
-    def pack(held: list[tuple], base: int) -> tuple[pa.RecordBatch, int]:
-        keys, piece, start, length, crc = zip(*held, strict=True)
-        size = np.array(length, np.int64)
-        order = np.argsort(-size, kind="stable")
-        where, at = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
-        where[order], at[order] = sum_of_squares(size[order], capacity)
-        made = int(where.max()) + 1
-        columns = [pa.array(keys, id_type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()), pa.array(where + base), pa.array(at)]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]), made
-
     def run(batches):
         from pyspark import TaskContext
 
-        enc, base, held = encoder(vocabulary), TaskContext.get().partitionId() << 40, []
-        for keys, held_texts in blocks(batches):
-            for key, ids in zip(keys, enc.encode(held_texts), strict=True):
+        enc, place = encoder(vocabulary), TaskContext.get().partitionId() << 40
+        for keys, held in blocks(batches):
+            rows = []
+            for key, ids in zip(keys, enc.encode(held), strict=True):
                 ids += end
                 n = len(ids) // 4
                 first = n % capacity or min(n, capacity)
                 cuts = [0, *range(first, n + 1, capacity)]
-                held += [(key, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            if len(held) >= BLOCK_PIECES:
-                batch, made = pack(held, base)
-                base, held = base + made, []
-                yield batch
-        if held:
-            yield pack(held, base)[0]
+                rows += [(key, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            kinds = (id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], pa.array(np.arange(place, place + len(rows)))], names=["id", "piece", "start", "length", "ids_crc32", "place"])
+            place += len(rows)
 
     source = texts(docs, id_col, text_col)
     id_type = arrow_type(source)
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return written(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, place long"), "pieces")
+
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A document is its ids and one closing id 0. Longer than ``capacity``, it is cut into pieces of that
+    length, of which the first may be shorter. Null text counts as empty: a piece of length 1; null ids stay null. A very long
+    text is a block of its own, and its pieces go to all groups. Repeated rows are packed each; an empty table gives an empty
+    table; columns of other names are not read.
+    """
+    found = pieces(docs, id_col, text_col, vocabulary, capacity)
+    groups = max(1, -(-found.count() // group_pieces))
+
+    def pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).sort_by("place")  # whatever the order in which a shuffle delivers them
+        where, at = packed(rows.column("length").to_numpy(), capacity)
+        out = rows.select(["id", "piece", "start", "length", "ids_crc32"])
+        out = out.append_column("sequence_id", pa.array(where + (key[0].as_py() << 40))).append_column("offset", pa.array(at))
+        yield from out.combine_chunks().to_batches()
+
+    dealt = found.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(groups)))
+    shape = f"id {found.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return dealt.groupBy("part").applyInArrow(pack, shape).withColumnRenamed("id", id_col)

@@ -5,26 +5,39 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterable
 
-#: Entries that a worker keeps; beyond that it starts anew. About 200 bytes each.
-CACHE_ENTRIES = 500_000
+#: Entries that a worker keeps, and their bytes, pre-tokens and values together; beyond that it starts anew. About 200 bytes an entry besides.
+CACHE_ENTRIES, CACHE_BYTES = 500_000, 64 << 20
+#: Characters of the longest pre-token that is kept.
+CACHE_WORD = 1 << 12
 
 
 class Cache(dict):
-    """pre-token -> value. ``fill`` computes the missing ones together."""
+    """pre-token -> value (bytes). ``fill`` computes missing ones together, ``trim`` starts anew where there are too many; what is asked for alone is computed alone."""
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = CACHE_ENTRIES):
+    def __init__(self, compute: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE_ENTRIES, most_bytes: int = CACHE_BYTES):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.most_bytes, self.bytes = compute, limit, most_bytes, 0
+
+    def __missing__(self, word: str) -> bytes:
+        (value,) = self.compute([word])
+        if len(word) <= CACHE_WORD:
+            self[word] = value
+            self.bytes += len(word) + len(value)
+        return value
+
+    def trim(self) -> None:
+        """An empty cache if it has grown beyond a bound."""
+        if len(self) > self.limit or self.bytes > self.most_bytes:
+            self.clear()
+            self.bytes = 0
 
     def fill(self, wanted: set[str]) -> None:
-        """After this, all of ``wanted`` are present."""
-        missing = wanted.difference(self)
-        if len(self) + len(missing) > self.limit:
-            self.clear()
-            missing = wanted
-        if missing:
-            missing = list(missing)
-            self.update(zip(missing, self.compute(missing), strict=True))
+        """Has all of ``wanted`` but the longest."""
+        self.trim()
+        if missing := [w for w in wanted.difference(self) if len(w) <= CACHE_WORD]:
+            values = list(self.compute(missing))
+            self.update(zip(missing, values, strict=True))
+            self.bytes += sum(map(len, missing)) + sum(map(len, values))
 
 
 @functools.lru_cache

@@ -88,25 +88,27 @@ def test_packing(awkward):
     assert len([r for r in got if r["doc_id"] == 1]) == 2
 
 
-def brute_sum_of_squares(sizes, capacity):
+def brute_sum_of_squares(sizes, capacity, weigh_new):
     gaps, out = [], []
     square = lambda g: sum(g.count(x) ** 2 for x in set(g) if x)
     for s in sizes:
-        fits = [(square(gaps[:i] + [g - s] + gaps[i + 1 :]), g) for i, g in enumerate(gaps) if g >= s]
-        best = min(fits) if fits else (0, capacity)
-        if not fits:
-            gaps.append(capacity - s)
-        else:
-            i = max(i for i, g in enumerate(gaps) if g == best[1])
-            gaps[i] -= s
+        fits = [(square(gaps[:i] + [g - s] + gaps[i + 1 :]), g, i) for i, g in enumerate(gaps) if g >= s]
+        if weigh_new or not fits:
+            fits.append((square([*gaps, capacity - s]), capacity, len(gaps)))
+        best = min(fits)
+        if best[1] == capacity:
+            gaps.append(capacity)
+        i = max(i for i, g in enumerate(gaps) if g == best[1])
+        gaps[i] -= s
         out.append(square(gaps))
     return out
 
 
+@pytest.mark.parametrize("weigh_new", [True, False])
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=25))
-def test_sum_of_squares_is_least(sizes):
-    where, at = packing.sum_of_squares(np.array(sizes), 12)
+def test_sum_of_squares_is_least(weigh_new, sizes):
+    where, at = packing.sum_of_squares(np.array(sizes), 12, weigh_new)
     used, got = {}, []
     for s, w, a in zip(sizes, where.tolist(), at.tolist(), strict=True):
         assert used.get(w, 0) == a
@@ -114,13 +116,39 @@ def test_sum_of_squares_is_least(sizes):
         assert used[w] <= 12
         gaps = [12 - u for u in used.values()]
         got.append(sum(gaps.count(x) ** 2 for x in set(gaps) if x))
-    assert got == brute_sum_of_squares(sizes, 12)
+    assert got == brute_sum_of_squares(sizes, 12, weigh_new)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=25))
+def test_packed_is_whole(sizes):
+    where, at = packing.packed(np.array(sizes), 12)
+    assert sorted(set(where.tolist())) == list(range(where.max() + 1))
+    for w in set(where.tolist()):
+        end = 0
+        for a, s in sorted((a, s) for a, s, x in zip(at.tolist(), sizes, where.tolist(), strict=True) if x == w):
+            assert a == end
+            end += s
+        assert end <= 12
 
 
 def test_packs_tightly():
-    sizes = np.sort(np.random.default_rng(1).integers(1, 2049, 4000))[::-1]
-    where, _ = packing.sum_of_squares(sizes, 2048)
-    assert where.max() + 1 <= 1.01 * -(-sizes.sum() // 2048)
+    sizes = np.random.default_rng(1).integers(1, 2049, 4000)
+    where, _ = packing.packed(sizes, 2048)
+    assert where.max() + 1 <= 1.006 * -(-sizes.sum() // 2048)
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = {packing.pack_documents(docs.repartition(n)).select("sequence_id").distinct().count() for n in (1, 16)}
+    total = packing.pack_documents(docs).agg({"length": "sum"}).first()[0]
+    assert max(counts) - min(counts) <= 1 and max(counts) <= -(-total // 2048) + 2
+
+
+def test_long_pretoken(encoding):
+    pairs = bpe.byte_pairs(bpe.VOCABULARY)
+    word = ("abcdefgh" * 3 + "zzzzz") * 4000
+    assert np.frombuffer(pairs.encode([word]), "<u4").tolist() == encoding.encode_ordinary(word) and word not in pairs.cache
 
 
 def test_empty_tables(nothing):
