@@ -149,12 +149,9 @@ def disclosing_terms(marked: DataFrame, texts_: DataFrame, total: int, support:
     joint = joint.join(held, ["kind", "value"]).join(seen, "term")
     joint = joint.filter(F.col("n_seen") <= F.col("both") * F.pow(total / F.col("n_value"), F.lit(1 - least)) * 1.000001)
     joint = written(joint.select("kind", "value", "term", "both", "n_value").coalesce(8), "term-candidates")
-    wanted = joint.select("term").distinct()
     # counted before they are joined: one row a term, not one an occurrence
-    words = texts_.select(F.explode(_terms(F.col("text"))).alias("term"))
-    few = joint.count() <= BROADCAST_TERMS
-    counted = words.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    out = (F.broadcast(joint) if few else joint).join(counted, "term")
+    counted = texts_.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    out = (F.broadcast(joint) if joint.count() <= BROADCAST_TERMS else joint).join(counted, "term")
     own = F.log2(total / F.col("n_value"))
     mutual = F.log2(F.col("both") * total / (F.col("n_value") * F.col("n_term")))
     share = F.when(own > 0, mutual / own).otherwise(0.0)
