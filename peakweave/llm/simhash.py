@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from peakweave.llm.common import texts
 from peakweave.llm.token_counts import arrow_type
 from peakweave.operators.components import connected_components
+from peakweave.operators.hubs import hub_join
 from peakweave.session import written
 
 SHINGLE = 3
@@ -251,10 +252,10 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
     return groups.mapInArrow(run, "a long, b long")
 
 
-#: For near copies by similarity: words of shingles, 64-bit words of a fingerprint, bits of a band, differing bits of candidates.
+#: For near copies by similarity: words of shingles, 64-bit words of a fingerprint, differing bits of candidates.
 #: Shingle sets with a Jaccard similarity of 0.8 differ in 15 % of the bits on average, 77 of 512, give or take 8; sets of four
 #: and five shingles in 19 %, 96 bits, give or take 9. The radius leaves five deviations above that.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_BAND, WIDE_RADIUS = 5, 8, 16, 140
+WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 8, 140
 #: Bytes of shingle hashes, and sets, of one tile when candidates are confirmed.
 SET_BYTES, SET_TILE = 1 << 21, 512
 
@@ -322,14 +323,14 @@ def exact_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, band: int = WIDE_BAND, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
     """One row per input row: id_col, text_hash and component_id, the smallest id reachable over links between similar texts.
 
-    Two texts link if their shingle sets have a Jaccard similarity of 0.8 or more, counted on the sets. Candidates share a band of
-    ``band`` fingerprint bits or two of ``words`` least hashes, and differ in ``radius`` bits at most; pairs with a similarity of 0.8
-    share two of eight least hashes with a probability of 0.9999. All sets that candidates connect are compared with each other.
-    Null and wordless texts have no shingles and are one class. Repeated rows each get a row; an empty table gives an empty
-    table; other columns are not read.
+    Two texts link if their shingle sets have a Jaccard similarity of 0.8 or more, counted on the sets. Candidates share two of
+    ``words`` least hashes, which pairs with a similarity of 0.8 do with a probability of 0.9999 (for eight), and their
+    SimHashes, compared in bit slices, differ in ``radius`` bits at most. All sets that candidates connect are compared with each other.
+    Null and wordless texts have no shingles and are one class. A null id counts for no class's id. Repeated rows each get a
+    row; an empty table gives an empty table; other columns are not read.
     """
 
     def marks(batches):
@@ -347,18 +348,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = arrow_type(source)
     kind = source.schema["id"].dataType.simpleString()
     marked = written(source.mapInArrow(marks, f"id {kind}, text_hash long, node long, fp binary, minima binary"), "wide-fingerprints")
-    distinct = marked.groupBy("node").agg(F.min("id").alias("least"), F.min_by("text_hash", "id").alias("text_hash"), F.min("fp").alias("fp"), F.min("minima").alias("minima"))
+    distinct = marked.groupBy("node").agg(F.min("id").alias("least"), F.min_by("text_hash", "id").alias("text_hash"), F.min("fp").alias("fp"), F.min("minima").alias("minima"), F.count(F.lit(1)).alias("copies"))
     least = written(distinct, "wide-distinct")
-    step = band // 8
-    bands = [F.substring("fp", i * step + 1, step) for i in range(8 * words // step)]
-    twos = [F.concat(F.substring("minima", 4 * i + 1, 4), F.substring("minima", 4 * j + 1, 4)) for i, j in combinations(range(words), 2)]
-    keys = F.array(*[F.struct(F.lit(n).alias("no"), bits.alias("bits")) for n, bits in enumerate(bands + twos)])
-    keyed = least.filter("least IS NOT NULL").select("node", "fp", F.explode(keys).alias("key")).select("node", "fp", "key.no", "key.bits")
-    shared = keyed.groupBy("no", "bits").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    least_hash = lambda i: F.substring("minima", 4 * i + 1, 4)
+    keys = F.array(*[F.xxhash64(F.lit(n), least_hash(i), least_hash(j)) for n, (i, j) in enumerate(combinations(range(words), 2))])
+    keyed = least.filter("least IS NOT NULL").select("node", F.explode(keys).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "wide-keys")
+    held = keyed.join(F.broadcast(shared), "key") if shared.count() <= BROADCAST_ROWS else hub_join(keyed, shared.withColumn("rows", F.col("n")), "key", "rows")
+    held = written(held.select("key", "node", "n"), "wide-held")
+    # keys with the same nodes are compared once: their number, and two hashes of all, tell sets of nodes apart
+    alike = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"))
+    tiled = alike.groupBy("n", "one", "two").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y")))
-    dealt = keyed.join(shared, ["no", "bits"]).select("no", "bits", "node", "fp", F.explode(pairs).alias("p"))
-    groups = dealt.groupBy("no", "bits", "p").agg(F.collect_list("node").alias("ids"), F.collect_list("fp").alias("fps")).filter(F.size("ids") > 1).select("ids", "fps")
+    dealt = hub_join(held.select("key", "node"), tiled, "key", "n").select("key", "node", F.explode(pairs).alias("p"))
+    groups = dealt.join(least.select("node", "fp"), "node").groupBy("key", "p").agg(F.collect_list("node").alias("ids"), F.collect_list("fp").alias("fps")).filter(F.size("ids") > 1).select("ids", "fps")
 
     def found(ids, held):
         flat = np.concatenate(ids)
@@ -379,11 +383,12 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield found(ids, held)
 
     candidates = connected_components(groups.mapInArrow(compare, "a long, b long"))
-    joined = connected_components(_confirmed(source, least, candidates, shingle))
-    member = least.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = member.join(ids, "component").select("node", "component_id")
-    return marked.join(named, "node").select(F.col("id").alias(id_col), "text_hash", "component_id")
+    central = held.groupBy("node").agg(F.sum("n").alias("met"))
+    joined = connected_components(_confirmed(source, least.join(central, "node"), candidates, shingle))
+    member = least.join(joined, "node", "left").select("node", "least", "copies", F.coalesce("component", "node").alias("component"))
+    ids = member.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    named = hub_join(member, ids, "component", "nodes").select("node", "copies", "component_id")
+    return hub_join(marked.select("id", "text_hash", "node"), named, "node", "copies").select(F.col("id").alias(id_col), "text_hash", "component_id")
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -397,36 +402,65 @@ def set_hash(s: np.ndarray) -> int:
 def _confirmed(source: DataFrame, least: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
     """(a, b): links that connect all similar sets of each component of candidates, from the texts that have their least ids.
 
-    Large components are compared tile by tile, each pair of tiles a row of its own.
+    All sets of a component are first compared with that of its most central node (the one that met most others among the
+    candidates). Those that link to it are of one class, so what is left to compare are pairs with one of the others. These are
+    compared tile by tile, each pair of tiles a row of its own.
     """
 
     def sets_of(batches):
+        seen: set[int] = set()  # repeated rows of a task count once
         for b in batches:
-            sets = [shingle_set(t.as_py() or "", shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "component", "hashes"])
-
-    wanted = least.join(candidates, "node").select(F.col("least"), F.col("text_hash").alias("wanted_hash"), F.col("component"))
-    wanted = written(wanted.distinct(), "wide-candidates")
+            rows = []
+            for i, (node, text) in enumerate(zip(b.column("node").to_pylist(), b.column("text"), strict=True)):
+                if node not in seen:
+                    seen.add(node)
+                    rows.append((i, shingle_set(text.as_py() or "", shingle).tobytes()))
+            at = pa.array([i for i, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("component", "node", "central")), pa.array([h for _, h in rows], pa.binary())], names=["component", "node", "central", "hashes"])
+
+    wanted = least.join(candidates, "node").select("least", F.col("text_hash").alias("wanted_hash"), "node", "component", "met")
+    first = wanted.groupBy("component").agg(F.max_by("node", F.struct("met", "node")).alias("central"), F.count(F.lit(1)).alias("nodes"))
+    wanted = written(hub_join(wanted.drop("met"), first, "component", "nodes"), "wide-candidates")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    members = source.join(small, (F.col("id") == F.col("least")) & (F.col("text_hash") == F.col("wanted_hash"))).select("component", "text")
-    sets = members.mapInArrow(sets_of, "node long, component long, hashes binary")
-    sets = written(sets.dropDuplicates(["component", "node"]), "wide-sets")
-    tiles = F.ceil(F.greatest(F.sum(F.length("hashes")) / SET_BYTES, F.count(F.lit(1)) / SET_TILE)).cast("int")
-    tiled = sets.groupBy("component").agg(F.greatest(tiles, F.lit(1)).alias("tiles"))
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y")))
-    dealt = sets.join(tiled, "component").select("component", "node", "hashes", F.explode(pairs).alias("p"))
+    members = source.join(small, (F.col("id") == F.col("least")) & (F.col("text_hash") == F.col("wanted_hash"))).select("component", "node", "central", "text")
+    sets = written(members.mapInArrow(sets_of, "component long, node long, central long, hashes binary"), "wide-sets")
+
+    def judge(batches):
+        for b in batches:
+            tied = []
+            for mine, other in zip(b.column("hashes"), b.column("first"), strict=True):
+                x, y = np.frombuffer(mine.as_py(), np.uint64), np.frombuffer(other.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                tied.append(9 * common >= 4 * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "node", "central")), pa.array(tied, pa.bool_()), pa.array([len(h.as_py()) for h in b.column("hashes")], pa.int64())], names=["component", "node", "central", "tied", "bytes"])
+
+    centre = sets.filter("node = central").groupBy("component").agg(F.min("hashes").alias("first"))
+    counts = sets.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    judged = hub_join(sets, centre.join(counts, "component"), "component", "nodes").select("component", "node", "central", "hashes", "first")
+    judged = written(judged.mapInArrow(judge, "component long, node long, central long, tied boolean, bytes long"), "wide-judged")
+    tiles = lambda which: F.ceil(F.greatest(F.sum(F.when(which, F.col("bytes"))) / SET_BYTES, F.count(F.when(which, 1)) / SET_TILE)).cast("int")
+    shape = judged.groupBy("component").agg(F.coalesce(tiles(~F.col("tied")), F.lit(0)).alias("rest"), F.coalesce(tiles(F.col("tied")), F.lit(0)).alias("ties"), F.count(F.lit(1)).alias("nodes"))
+    open_ = written(shape.filter("rest > 0"), "wide-open")
+    known = hub_join(judged.select("component", "node", "tied").dropDuplicates(["component", "node"]), open_, "component", "nodes").select("node", "tied", "rest", "ties")
+    number = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
+    own = F.when(F.col("tied"), F.col("rest") + number(F.greatest("ties", F.lit(1)))).otherwise(number(F.greatest("rest", F.lit(1))))
+    others = F.sequence(F.lit(0), F.col("rest") + F.when(F.col("tied"), 0).otherwise(F.col("ties")) - 1)
+    pairs = F.transform(others, lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y")))
+    known = written(known.select("node", pairs.alias("pairs")), "wide-tiles")
+    side = F.broadcast(known) if (known.agg(F.sum(F.size("pairs"))).first()[0] or 0) <= BROADCAST_ROWS else known
+    dealt = sets.select("component", "node", "hashes").join(side, "node").select("component", "node", "hashes", F.explode("pairs").alias("p"))
     groups = dealt.groupBy("component", "p").agg(F.collect_list(F.struct("node", "hashes")).alias("sets")).filter(F.size("sets") > 1).select("sets")
 
     def confirm(batches):
         for b in batches:
             for group in b.column(0):
-                nodes = np.asarray(group.values.field("node"))
-                held = [np.frombuffer(h.as_py(), np.uint64) for h in group.values.field("hashes")]
-                a, c = spanning(*(nodes[x] for x in exact_links(held)))
+                nodes, at = np.unique(np.asarray(group.values.field("node")), return_index=True)
+                hashes = group.values.field("hashes")
+                a, c = spanning(*(nodes[x] for x in exact_links([np.frombuffer(hashes[int(i)].as_py(), np.uint64) for i in at])))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
-    return groups.mapInArrow(confirm, "a long, b long")
+    ties = judged.filter("tied AND node <> central").select(F.col("node").alias("a"), F.col("central").alias("b"))
+    return ties.union(groups.mapInArrow(confirm, "a long, b long"))
 
 
 #: Rows up to which the list of copies is broadcast (16 bytes each); beyond, it is joined by a shuffle.
@@ -463,12 +497,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows each get a row; an empty table gives an empty table; other columns are not read.
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = written(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    least = written(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies")), "distinct")
     joined = connected_components(links(least.select("fp"), radius))
-    member = least.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = member.join(ids, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    member = least.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("component"))
+    ids = member.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    named = hub_join(member, ids, "component", "nodes").select("fp", "copies", "component_id")
+    return hub_join(marked, named, "fp", "copies").select(id_col, "fp", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):
