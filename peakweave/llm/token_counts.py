@@ -1,19 +1,20 @@
 """Operator 2: token counts by pre-token.
 
-Blocks of documents become one row a pre-token, with the documents of the block that hold it and how often.
-The pieces of each distinct pre-token of the corpus are counted once; these counts are joined to the
-blocks' rows, and each block sums its documents. No sequence of ids is ever made, and as a block names a
-pre-token once, no pre-token holds more than a small share of the rows that are joined.
+Blocks of documents are cut into pre-tokens once: a block keeps its documents' pre-token frequencies, packed, and
+lists its different pre-tokens. The pieces of each distinct pre-token of the corpus are counted once; these counts are
+joined to the blocks' lists, go back to the blocks, and each block sums its documents' frequencies times counts. No
+sequence of ids is ever made, frequencies are never dealt by pre-token, and as a block names a pre-token once, no
+pre-token holds more than a small share of the rows that are joined.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,43 +70,40 @@ def counter(vocabulary: str) -> PieceCounter:
     return PieceCounter(vocabulary)
 
 
-#: Distinct pre-tokens up to which their counts are broadcast, and bytes of a pre-token that are; beyond, both sides are shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Characters of text in a block; a longer text is a block of its own.
+BLOCK = 8 << 20
+#: Distinct pre-tokens up to which their counts are broadcast, and characters of them; beyond, both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 8 << 20
 
 
 def pretoken_frequencies(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
-    """A written table of blocks: for each block one row with word null, the ids of its documents, their bytes and added tokens, and one row a pre-token.
+    """A written table with one row a block: block, words (its different pre-tokens), ids, n_bytes and added (added tokens) of its documents, and packed.
 
-    In rows of pre-tokens, at holds the places in the block of the documents that have the pre-token, times how often each.
+    packed: for each document, how many of the block's words it has, then which, then how often each; 32-bit integers, deflated.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
         c, base = counter(vocabulary), TaskContext.get().partitionId() << 32
-        for k, (ids, held) in enumerate(blocks(batches)):
-            found = [c.frequencies(t) for t in held]
-            size = np.array([len(f) for f, _ in found])
-            words = [w for f, _ in found for w in f]
+        for k, (ids, held) in enumerate(blocks(batches, BLOCK)):
             place: dict[str, int] = {}
-            number = np.array([place.setdefault(w, len(place)) for w in words], np.int64)
-            times = np.array([n for f, _ in found for n in f.values()], np.int32)
-            order = np.argsort(number, kind="stable")
-            at = np.repeat(np.arange(len(held), dtype=np.int32), size)[order]
-            ends = pa.array(np.concatenate([[0, 0], np.cumsum(np.bincount(number, minlength=len(place)))]).astype(np.int32))
-            n = len(place)
-            none = lambda values, kind: pa.ListArray.from_arrays(pa.array([0] + [len(values)] * (n + 1), pa.int32()), pa.array(values, kind))
+            added, parts = [], []
+            for t in held:
+                found, n = c.frequencies(t)
+                added.append(n)
+                parts.append((np.fromiter((place.setdefault(w, len(place)) for w in found), np.uint32, len(found)), np.fromiter(found.values(), np.uint32, len(found))))
+            numbers = [np.array([len(p) for p, _ in parts], np.uint32), *(p for p, _ in parts), *(n for _, n in parts)]
+            packed = zlib.compress(np.concatenate(numbers).tobytes(), 1)
+            whole = lambda values, kind: pa.array([values], pa.list_(kind))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n + 1, base + k)), pa.array([None, *place], pa.string()), pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(times[order])),
-                    none(ids, id_type), none([len(t.encode()) for t in held], pa.int64()), none([x for _, x in found], pa.int64()),
-                ],
-                names=["block", "word", "at", "times", "ids", "n_bytes", "added"],
-            )
+                [pa.array([base + k]), whole(list(place), pa.string()), whole(ids, id_type), whole([len(t.encode()) for t in held], pa.int64()), whole(added, pa.int64()), pa.array([packed], pa.binary())],
+                names=["block", "words", "ids", "n_bytes", "added", "packed"],
+            )
 
     source = texts(docs, id_col, text_col)
     id_type = arrow_type(source)
-    return written(source.mapInArrow(run, f"block long, word string, at array<int>, times array<int>, ids array<{source.schema['id'].dataType.simpleString()}>, n_bytes array<long>, added array<long>"), "pre-tokens")
+    return written(source.mapInArrow(run, f"block long, words array<string>, ids array<{source.schema['id'].dataType.simpleString()}>, n_bytes array<long>, added array<long>, packed binary"), "pre-tokens")
 
 
 def piece_counts(words: DataFrame, vocabulary: str) -> DataFrame:
@@ -128,27 +126,27 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count as their one token, as the library does by default.
     """
     rows = pretoken_frequencies(docs, id_col, text_col, vocabulary)
-    words = rows.filter("word IS NOT NULL")
+    words = rows.select(F.col("block").alias("of"), F.posexplode("words").alias("place", "word"))
     counts = piece_counts(words.select("word"), vocabulary)
     size = counts.agg(F.count(F.lit(1)), F.sum(F.length("word"))).first()
-    few = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_BYTES
-    counted = words.join(F.broadcast(counts) if few else counts, "word").select("block", "n", "at", "times", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("ids", "n_bytes", "added")])
-    heads = rows.filter("word IS NULL").select("block", F.lit(None).cast("int").alias("n"), "at", "times", "ids", "n_bytes", "added")
-
-    def total(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        head = block.filter(pa.compute.is_valid(block.column("ids")))
-        ids, n_bytes, added = (head.column(c).chunk(0).flatten() for c in ("ids", "n_bytes", "added"))
-        rest = block.filter(pa.compute.is_valid(block.column("n")))
-        tokens = added.to_numpy()
-        for n, at, times in zip(*(rest.column(c).chunks for c in ("n", "at", "times")), strict=True):
-            pieces = np.repeat(n.to_numpy(), np.diff(at.offsets.to_numpy())).astype(np.float64) * times.flatten().to_numpy()
-            tokens = tokens + np.bincount(at.flatten().to_numpy(), pieces, len(tokens)).astype(np.int64)
+    few = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_CHARS
+    counted = words.join(F.broadcast(counts) if few else counts, "word").select("of", "place", "n")
+    kind = rows.schema["ids"].dataType.elementType.simpleString()
+
+    def total(block: pa.Table, counts: pa.Table) -> pa.Table:
+        ids, n_bytes, added = (block.column(c).combine_chunks().flatten() for c in ("ids", "n_bytes", "added"))
+        pieces = np.zeros(counts.num_rows, np.int64)
+        pieces[counts.column("place").to_numpy()] = counts.column("n").to_numpy()
+        flat = np.frombuffer(zlib.decompress(block.column("packed")[0].as_py()), np.uint32).astype(np.int64)
+        size = flat[: len(ids)]
+        which, times = flat[len(ids) :].reshape(2, -1)
+        sums = np.concatenate([[0], np.cumsum(pieces[which] * times)])
+        ends = np.cumsum(size)
+        tokens = added.to_numpy() + sums[ends] - sums[ends - size]
         return pa.table([ids, n_bytes, pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
-    kind = rows.schema["ids"].dataType.elementType.simpleString()
-    summed = heads.unionByName(counted).groupBy("block").applyInArrow(total, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
-    return summed.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", "over_limit")
+    both = rows.drop("words").groupBy("block").cogroup(counted.groupBy("of"))
+    return both.applyInArrow(total, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", "over_limit")
 
 
 def arrow_type(source: DataFrame):
