@@ -1,7 +1,8 @@
 """Operator 4: main text of web pages by minimum cuts.
 
-A page becomes text blocks in order. A small classifier gives each block two costs, of calling it
-content and of calling it boilerplate; they are its capacities to the two terminals. Neighbouring blocks,
+A page becomes text blocks in order. A small linear classifier gives each block log-odds of being page text: what calling it
+boilerplate costs if above 0, what calling it page text costs if below. These are its capacities to the two terminals. A block
+without evidence against it is page text. Neighbouring blocks,
 and consecutive blocks of one parent element, are joined by smoothness edges, weaker the farther apart
 they lie in the element tree. The minimum cut (maximum flow) labels all blocks of a page at once.
 """
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 _NAME = r"[a-zA-Z][^\s/>]*+"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({_NAME})((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)({_NAME})([^>]*+)>|<[!?][^>]*+>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_UNFINISHED = re.compile(r"</?[a-zA-Z]|<[!?]")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -34,72 +36,112 @@ ZONES = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog",
 WORDS = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer header masthead topbar toolbar ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register search share sharing social comment comments reply replies disqus respond related recommended recommendations trending widget pagination pager copyright legal disclaimer tags meta byline complementary contentinfo".split()
 )
+#: What may follow such a word in a name that still means the zone (comment-list, cookie-box).
+PARTS = set("list lists box bar section wrapper wrap area block container thread item items body text content inner outer link links main top bottom left right author panel row group".split())
 #: How names begin that speak of other parts of the page.
 ABOUT_OTHERS = ("has", "with", "no-", "without", "is-", "js-")
-#: Elements that hold the article.
+#: Elements and roles that hold the article, and words of classes and ids that may.
 HOLDERS = {"article", "main"}
 HOLDER_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
 
-#: Costs beyond any sum of edges, and the edges' capacities: neighbours in order, consecutive under one parent; divided by their distance in the tree.
-CERTAIN = 100.0
-NEAR, SIBLING = 0.6, 0.8
+#: The classifier's weights, log-odds that a block is page text: of any block; of each 100 characters, up to two hundred; of a sentence's end; of a heading,
+#: paragraph or quotation; of a share of 1 in links, outside and inside an article; of an element or a name of a zone, and of a name that only mentions one;
+#: of an article's element around the block, or elsewhere on the page; of a name that may hold the article, or elsewhere on the page.
+ANY, LENGTH, SENTENCE, PROSE = 1.0, 1.0, 0.5, 0.5
+LINKS, LINKS_INSIDE = -3.5, -0.5
+ZONE, MENTION = -12.0, -2.0
+INSIDE, OUTSIDE, NAMED_INSIDE, NAMED_OUTSIDE = 3.0, -6.0, 1.5, -2.5
+#: The edges' capacities: neighbours in order, consecutive under one parent; divided by their distance in the tree.
+NEAR, SIBLING = 0.4, 0.5
+
+
+def zone_evidence(tokens: list[str]) -> float:
+    """Of names in class, id, role: ZONE if one is a zone's, MENTION if one only has such a word in it, else 0."""
+    found = 0.0
+    for t in tokens:
+        parts = _WORD.findall(t)
+        hits = [p in WORDS for p in parts]
+        if any(hits) and not t.startswith(ABOUT_OTHERS):
+            if parts[-1] == "header" and any(p in HOLDER_WORDS for p in parts):
+                continue  # the article's own heading
+            if hits[-1] or (hits[0] and all(p in PARTS or p in WORDS for p in parts[1:])):
+                return ZONE
+            found = MENTION
+    return found
 
 
 class Element:
-    """An open element: its name, whether it lies in a zone or an article, its depth and parent."""
+    """An open element: its name, the evidence on it (zone: 0 or less; article: 2 by element, 1 by name), its depth and parent."""
 
-    __slots__ = ("depth", "holder", "name", "parent", "zone")
+    __slots__ = ("block", "depth", "holder", "name", "parent", "zone")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         self.name, self.parent = name, parent
+        self.block = self if name in BLOCK or parent is None else parent.block
         self.depth = parent.depth + 1 if parent else 0
-        self.zone, self.holder = (parent.zone, parent.holder) if parent else (False, False)
+        self.zone, self.holder = (parent.zone, parent.holder) if parent else (0.0, 0)
         tokens: list[str] = []
         if attributes:
             for key, value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'").lower()
-                if key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "")):
-                    self.zone = True
-                elif key != "style":
+                if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+                    self.zone = ZONE
+                elif key in ("class", "id", "role", "aria-label"):
                     tokens += value.split()
-            if re.search(r"\bhidden\b(?!\s*=)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
-                self.zone = True
-        # a name that is a zone's, or holds such a word, unless it only says what else the page has or another name is the article's
-        holds = any(t in HOLDER_WORDS for t in tokens)
-        marked = any(t in WORDS for t in tokens) or (not holds and any(WORDS.intersection(_WORD.findall(t)) for t in tokens if not t.startswith(ABOUT_OTHERS)))
-        outside = name == "header" and not self.holder
-        if name in HOLDERS or (not marked and (holds or any(HOLDER_WORDS.intersection(_WORD.findall(t)) for t in tokens))):
-            self.holder = True
-        if name in ZONES or outside or (marked and name not in ("body", "html", "article", "main")):
-            self.zone = True
+        if name in HOLDERS or "main" in tokens and 'role="main"' in attributes.lower().replace("'", '"').replace(" ", ""):
+            self.holder = 2
+        elif name in ZONES or (name == "header" and self.holder < 2):
+            self.zone = ZONE
+        elif tokens and name not in ("body", "html"):
+            evidence = zone_evidence(tokens)
+            self.zone = min(self.zone, evidence)
+            if not evidence and any(p in HOLDER_WORDS for t in tokens for p in _WORD.findall(t)):
+                self.holder = max(self.holder, 1)
 
 
 def text_blocks(html: str) -> list[tuple[str, int, Element]]:
     """(text, characters in links, innermost block element) of each block with text, in page order."""
     root = Element("html", "", None)
     stack, out, parts, linked, links = [root], [], [], 0, 0
-    at, skip = 0, ""
+    at = 0
+
+    opened: dict[str, list[int]] = {}  # places in the stack by name; some may be gone
 
-    def block_of() -> Element:
-        return next((e for e in reversed(stack) if e.name in BLOCK), root)
+    def place_of(name: str) -> int:
+        held = opened.get(name, [])
+        while held and (held[-1] >= len(stack) or stack[held[-1]].name != name):
+            held.pop()
+        return held[-1] if held else 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", unescape("".join(parts))).strip()
-            if text:
-                out.append((text, linked, block_of()))
+            joined = _SPACE.sub(" ", "".join(parts)).strip()
+            if joined:
+                out.append((joined, linked, stack[-1].block))
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
+    closed = html.rfind(">")
+
+    def text(piece: str) -> None:
+        nonlocal linked
+        parts.append(unescape(piece))
+        if links:
+            linked += len(piece.strip())
+
+    while True:
+        i = html.find("<", at)
+        m = _TOKEN.match(html, i) if 0 <= i <= closed or html.startswith("<!--", i) else None
+        if m is None:
+            if i < 0 or (i > closed and _UNFINISHED.match(html, i)):  # a tag that the page's end cuts is no text
+                text(html[at:] if i < 0 else html[at:i])
+                break
+            text(html[at : i + 1])
+            at = i + 1
             continue
-        if m.start() > at and not skip:
-            piece = html[at : m.start()]
-            parts.append(piece)
-            if links:
-                linked += len(piece.strip())
+        if i > at:
+            text(html[at:i])
         at = m.end()
         name = m.group(2) or m.group(5)
         if not name:
@@ -112,8 +154,8 @@ def text_blocks(html: str) -> list[tuple[str, int, Element]]:
                 flush()
             elif name == "a":
                 links = max(0, links - 1)
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-            if k and not (name not in BLOCK and any(e.name in BLOCK for e in stack[k + 1 :])):
+            k = place_of(name)
+            if k and (name in BLOCK or stack[-1].block.depth <= k):
                 del stack[k:]
             continue
         if name in RAW:
@@ -131,41 +173,36 @@ def text_blocks(html: str) -> list[tuple[str, int, Element]]:
             continue
         if name in BLOCK:
             flush()
-            if (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in BLOCK), 0)) and stack[k].name == "p":
-                del stack[k:]
-            if name in CLOSES and (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in BLOCK), 0)) and stack[k].name in CLOSES[name]:
-                del stack[k:]
+            for closes in ({"p"}, CLOSES.get(name, set())):
+                if (inner := stack[-1].block).name in closes:
+                    del stack[inner.depth :]
         elif name == "a":
             links += 1
         if not attributes.rstrip().endswith("/"):
+            opened.setdefault(name, []).append(len(stack))
             stack.append(Element(name, attributes, stack[-1]))
-    if at < len(html):
-        parts.append(html[at:])
     flush()
     return out
 
 
-def costs(text: str, linked: int, element: Element, has_holder: bool) -> tuple[float, float]:
-    """(cost of calling the block boilerplate, cost of calling it content)."""
-    if element.zone:
-        return 0.0, CERTAIN
-    n = len(text)
-    share = min(1.0, linked / n)
-    content = min(3.0, n / 60) * (1 - share) + (0.8 if text[-1] in ".!?…:;\"”»" else 0.0)
-    boilerplate = 1.0 + 3.0 * share
-    if element.holder:
-        content += 2.5
-    elif has_holder:
-        boilerplate += 4.0
+def evidence(text: str, linked: int, element: Element, holder: int) -> float:
+    """The block's log-odds of being page text. holder: the strongest sign of an article's element on the page."""
+    share = min(1.0, linked / len(text))
+    out = ANY + min(2.0, LENGTH * len(text) / 100) * (1 - share) + (SENTENCE if text[-1] in ".!?…:;\"”»" else 0.0) + element.zone
     if element.name in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figcaption"):
-        content += 0.7
-    return content, boilerplate
+        out += PROSE
+    out += share * (LINKS_INSIDE if element.holder else LINKS)
+    if holder == 2:
+        return out + (INSIDE if element.holder == 2 else OUTSIDE)
+    if holder:
+        return out + (NAMED_INSIDE if element.holder else NAMED_OUTSIDE)
+    return out
 
 
-def apart(a: Element, b: Element) -> int:
-    """1 for blocks of one parent, more the farther apart in the tree."""
+def apart(a: Element, b: Element, most: int = 16) -> int:
+    """1 for blocks of one parent, more the farther apart in the tree, up to ``most``."""
     steps = 0
-    while a is not b:
+    while a is not b and steps <= most:
         if a.depth >= b.depth:
             a = a.parent or a
         else:
@@ -177,60 +214,91 @@ def apart(a: Element, b: Element) -> int:
 
 
 def minimum_cut(to_source: list[float], to_sink: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """Which nodes lie on the source's side of a minimum cut (of several, that with fewest), by shortest augmenting paths.
+    """Which nodes lie on the source's side of a minimum cut (of several, that with fewest), by maximum flow.
 
     to_source, to_sink: each node's terminal capacities; edges: (i, j) -> capacity in both directions.
     Nodes whose terminals differ by more than all their edges together have their side already; they hand
-    their edges on to their neighbours as terminal capacities, and flow is sought among the rest only.
+    their edges on to their neighbours as terminal capacities. That parts the rest into pieces, in each of which
+    flow is sought on its own.
     """
     n = len(to_source)
-    s, t = list(to_source), list(to_sink)
+    net = [a - b for a, b in zip(to_source, to_sink, strict=True)]
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for (i, j), c in edges.items():
-        if i != j:
+        if i != j and c > 0:
             near[i][j] = near[i].get(j, 0.0) + c
             near[j][i] = near[j].get(i, 0.0) + c
     side: list[bool | None] = [None] * n
     todo = deque(range(n))
     while todo:
         i = todo.popleft()
-        if side[i] is None and abs(s[i] - t[i]) > sum(near[i].values()) + 1e-12:
-            side[i] = s[i] > t[i]
+        if side[i] is None and abs(net[i]) > sum(near[i].values()) + 1e-12:
+            side[i] = net[i] > 0
             for j, c in near[i].items():
-                (s if side[i] else t)[j] += c
+                net[j] += c if side[i] else -c
                 del near[j][i]
                 todo.append(j)
             near[i].clear()
-    rest = [i for i in range(n) if side[i] is None]
-    if not rest:
-        return [bool(x) for x in side]
-    source, sink = n, n + 1
-    residual: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest}
-    residual[source], residual[sink] = {}, {}
-    for i in rest:
-        residual[source][i], residual[i][source] = s[i], 0.0
-        residual[i][sink], residual[sink][i] = t[i], 0.0
+    for i in range(n):
+        if side[i] is None:
+            piece, queue = {i: 0}, [i]
+            for j in queue:
+                for k in near[j]:
+                    if k not in piece:
+                        piece[k] = len(piece)
+                        queue.append(k)
+            for j, at_source in zip(queue, _reached([net[j] for j in queue], [{piece[k]: c for k, c in near[j].items()} for j in queue]), strict=True):
+                side[j] = at_source
+    return [bool(x) for x in side]
+
+
+def _reached(net: list[float], near: list[dict[int, float]]) -> list[bool]:
+    """Which nodes the source still reaches once the flow is greatest. net: what each node gets from the source, or, below 0, can give to the sink.
+
+    Blocking flows over the shortest ways that are left, in rounds of growing length.
+    """
+    n, least = len(net), 1e-12
+    residual = [dict(x) for x in near]
     while True:
-        before, queue = {source: source}, deque([source])
-        while queue and sink not in before:
-            i = queue.popleft()
+        level = [0 if x > least else -1 for x in net]
+        queue, end = [i for i in range(n) if level[i] == 0], -1
+        for i in queue:
+            if end >= 0 and level[i] >= end:
+                break
             for j, c in residual[i].items():
-                if c > 1e-12 and j not in before:
-                    before[j] = i
+                if c > least and level[j] < 0:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if sink not in before:
-            break
-        path, j = [], sink
-        while j != source:
-            path.append((before[j], j))
-            j = before[j]
-        flow = min(residual[i][j] for i, j in path)
-        for i, j in path:
-            residual[i][j] -= flow
-            residual[j][i] = residual[j].get(i, 0.0) + flow
-    for i in rest:
-        side[i] = i in before
-    return [bool(x) for x in side]
+                    if net[j] < -least:
+                        end = level[j]
+        if end < 0:
+            return [x >= 0 for x in level]
+        ways = [list(x) for x in residual]
+        for start in range(n):
+            if level[start]:
+                continue
+            path = [start]
+            while path and net[start] > least:
+                i = path[-1]
+                if net[i] < -least and len(path) > 1:
+                    flow = min(net[start], -net[i], min(residual[a][b] for a, b in zip(path, path[1:], strict=False)))
+                    net[start] -= flow
+                    net[i] += flow
+                    for a, b in zip(path, path[1:], strict=False):
+                        residual[a][b] -= flow
+                        residual[b][a] += flow
+                    full = next((k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if residual[a][b] <= least), None)
+                    del path[(full + 1) if full is not None else 1 :]
+                elif ways[i]:
+                    j = ways[i][-1]
+                    if level[j] == level[i] + 1 and residual[i][j] > least and (level[j] < end or net[j] < -least):
+                        path.append(j)
+                    else:
+                        ways[i].pop()
+                else:
+                    path.pop()
+                    if path:
+                        ways[path[-1]].pop()
 
 
 def main_text(html: str) -> str:
@@ -238,8 +306,8 @@ def main_text(html: str) -> str:
     blocks = text_blocks(html)
     if not blocks:
         return ""
-    has_holder = any(e.holder and not e.zone for _, _, e in blocks)
-    terminal = [costs(*b, has_holder) for b in blocks]
+    holder = max((e.holder for _, _, e in blocks if e.zone > ZONE), default=0)
+    odds = [evidence(*b, holder) for b in blocks]
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, (_, _, e) in enumerate(blocks):
@@ -249,15 +317,15 @@ def main_text(html: str) -> str:
         if over in last:
             edges[last[over], i] = edges.get((last[over], i), 0.0) + SIBLING
         last[over] = i
-    content = minimum_cut([c for c, _ in terminal], [b for _, b in terminal], edges)
+    content = minimum_cut([max(x, 0.0) for x in odds], [max(-x, 0.0) for x in odds], edges)
     return "\n\n".join(t for (t, _, _), keep in zip(blocks, content, strict=True) if keep)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """One row per input row: id_col, the columns to keep, text and n_chars (code points).
 
-    Null or empty html gives an empty text, 0 characters. Repeated rows each get a row; an empty table gives an
-    empty table; columns not named are not read.
+    Null or empty html gives an empty text, 0 characters; null ids stay null. Pages of any length are read whole, in time
+    about in proportion. Repeated rows each get a row; an empty table gives an empty table; columns not named are not read.
     """
     source = pages.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     names = [*source.columns[:-1], "text", "n_chars"]
