@@ -28,6 +28,8 @@ FIT_ROWS = 20_000
 SHARE = 0.2
 #: Groups of first centroids, and entries of a block; a group with more is dealt into several by id.
 GROUPS, ENTRY_BLOCK = 64, 50_000
+#: Queries whose cells one task lists.
+PROBES = 128
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -200,7 +202,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
     part = (F.floor(F.col("cell") / wide) % groups).cast("int")
     filed = entries.select("id", "vec", part.alias("part"), F.array("cell").alias("cells"), F.lit(0).alias("asks")).withColumn("salt", F.pmod(F.xxhash64("id", "vec"), salt(F.col("part"))).cast("int"))
     asked = entries.filter("query").groupBy("id").agg(F.min("vec").alias("vec"))
-    probes = asked.mapInArrow(probe, f"id {kind}, vec binary, part int, cells array<int>")
+    tasks = min(10_000, -(-entries.filter("query").count() // PROBES) or 1)  # few rows, but much work on each
+    probes = asked.repartition(tasks, "id").mapInArrow(probe, f"id {kind}, vec binary, part int, cells array<int>")
     probes = probes.select("*", F.lit(1).alias("asks"), F.explode(F.sequence(F.lit(0), salt(F.col("part")) - 1)).alias("salt"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
