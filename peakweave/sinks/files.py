@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import struct
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -73,26 +75,99 @@ def binary_spectra_bytes(rows: list[dict]) -> bytes:
     return b"".join(out)
 
 
-def binary_spectra(spectra: DataFrame, path: str) -> None:
-    """A folder of binary files, one a partition, written by the tasks through pyarrow's file systems. A task that runs again writes its file again."""
+def _binary_files(rows: DataFrame, path: str, extension: str, encode) -> None:
+    """A folder of files, one a partition that has rows, encoded by the tasks and written through pyarrow's file systems. A task that runs again writes its file again."""
     from peakweave.session import ship
 
-    ship(spectra.sparkSession)
-    names = spectra.columns
+    ship(rows.sparkSession)
 
     def run(batches):
         from pyarrow import fs
         from pyspark import TaskContext
 
-        rows = [dict(zip(names, x.values(), strict=True)) for b in batches for x in b.to_pylist()]
-        if rows:
-            system, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        held = [x for b in batches for x in b.to_pylist()]
+        if held:
+            system, folder = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and "://" not in path else path if "://" in path else f"file://{path}")
             system.create_dir(folder)
-            with system.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId():05d}.pklbin") as f:
-                f.write(binary_spectra_bytes(rows))
+            with system.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId():05d}.{extension}") as f:
+                f.write(encode(held))
         yield from ()
 
-    spectra.mapInArrow(run, "done int").count()
+    rows.mapInArrow(run, "done int").count()
+
+
+def binary_spectra(spectra: DataFrame, path: str) -> None:
+    """Binary spectra."""
+    _binary_files(spectra, path, "pklbin", binary_spectra_bytes)
+
+
+def pairs_binary(edges: DataFrame, path: str) -> None:
+    """Binary pairs."""
+    rows = edges.select("spec1", "spec2", "shift1", "shift2", "score1", "score2")
+    _binary_files(rows, path, "bin", lambda held: pairs_bytes([tuple(r.values()) for r in held]))
+
+
+def matrix(rows: DataFrame, path: str) -> None:
+    """A binary matrix a partition, from equally long ``values`` in the order of row_no."""
+
+    def encode(held: list[dict]) -> bytes:
+        x = np.array([r["values"] for r in sorted(held, key=lambda r: r["row_no"])], "<f8")
+        return struct.pack("<II", *x.shape) + x.tobytes()
+
+    _binary_files(rows.select("row_no", "values"), path, "bin", encode)
+
+
+def mzxml_bytes(rows: list[dict]) -> bytes:
+    """One mzXML file, peaks as compressed 64-bit numbers."""
+    out = ['<?xml version="1.0"?><mzXML><msRun>']
+    for r in rows:
+        xs = np.array([[p["mz"], p["intensity"]] for p in r["peaks"] or []], ">f8").tobytes()
+        out.append(f'<scan num="{r["scan"]}" msLevel="{r.get("ms_level") or 2}" retentionTime="PT{r.get("retention_time") or 0}S"><precursorMz precursorCharge="{r.get("charge") or 0}" precursorIntensity="{r.get("precursor_intensity") or 0}">{r["parent_mz"]!r}</precursorMz>')
+        out.append(f'<peaks precision="64" byteOrder="network" compressionType="zlib">{base64.b64encode(zlib.compress(xs)).decode()}</peaks></scan>')
+    return "".join([*out, "</msRun></mzXML>"]).encode()
+
+
+def mzml_bytes(rows: list[dict]) -> bytes:
+    """One mzML file: level, precursor, retention time in seconds, and 64-bit arrays."""
+    cv = lambda accession, value="", more="": f'<cvParam cvRef="MS" accession="{accession}" value="{value}"{more}/>'
+    out = [f'<?xml version="1.0"?><mzML><run><spectrumList count="{len(rows)}">']
+    for k, r in enumerate(rows):
+        out.append(f'<spectrum index="{k}" id="scan={r["scan"]}">' + cv("MS:1000511", r.get("ms_level") or 2))
+        out.append(cv("MS:1000016", r.get("retention_time") or 0, ' unitName="second"') + cv("MS:1000744", repr(r["parent_mz"])) + cv("MS:1000041", r.get("charge") or 0) + cv("MS:1000042", r.get("precursor_intensity") or 0))
+        for field, kind in (("mz", "MS:1000514"), ("intensity", "MS:1000515")):
+            data = base64.b64encode(np.array([p[field] for p in r["peaks"] or []], "<f8").tobytes()).decode()
+            out.append(f"<binaryDataArray>{cv('MS:1000523')}{cv(kind)}<binary>{data}</binary></binaryDataArray>")
+        out.append("</spectrum>")
+    return "".join([*out, "</spectrumList></run></mzML>"]).encode()
+
+
+def mzxml(spectra: DataFrame, path: str) -> None:
+    """mzXML files."""
+    _binary_files(spectra, path, "mzXML", mzxml_bytes)
+
+
+def mzml(spectra: DataFrame, path: str) -> None:
+    """mzML files."""
+    _binary_files(spectra, path, "mzML", mzml_bytes)
+
+
+def prms(spectra: DataFrame, path: str) -> None:
+    """>> blocks of scored prefix masses."""
+    head = F.concat(F.lit(">>SCAN "), F.col("scan").cast("string"), F.lit(" charge="), F.coalesce("charge", F.lit(0)).cast("string"), F.lit(" mass="), F.col("parent_mass").cast("string"), F.lit("\n"))
+    spectra.select(F.concat(head, _peak_lines()).alias("value")).write.text(path)
+
+
+def dta(spectra: DataFrame, path: str) -> None:
+    """Blocks of mass and charge, then peaks, an empty line behind each."""
+    spectra.select(F.concat(F.col("parent_mass").cast("string"), F.lit(" "), F.coalesce("charge", F.lit(0)).cast("string"), F.lit("\n"), _peak_lines(), F.lit("\n")).alias("value")).write.text(path)
+
+
+def clusters(members: DataFrame, path: str) -> None:
+    """Cluster text: a line ``name index size`` for each cluster, its members (file index, scan, m/z, charge) indented below. Clusters stand in the order of their index."""
+    lines = members.groupBy("cluster_idx").agg(F.array_sort(F.collect_list(F.struct("file_idx", "scan", "parent_mz", "charge"))).alias("m"))
+    body = F.array_join(F.transform("m", lambda x: F.concat(F.lit("\n\t"), F.concat_ws(" ", x["file_idx"].cast("string"), x["scan"].cast("string"), x["parent_mz"].cast("string"), x["charge"].cast("string")))), "")
+    head = F.concat(F.lit("cluster "), F.col("cluster_idx").cast("string"), F.lit(" "), F.size("m").cast("string"))
+    lines.orderBy("cluster_idx").select(F.concat(head, body).alias("value")).write.text(path)
 
 
 def fasta(proteins: DataFrame, path: str) -> None:
@@ -105,6 +180,18 @@ def report(table: DataFrame, path: str) -> None:
     table.select(*[F.col(c).cast("string") for c in table.columns]).write.csv(path, sep=";")
 
 
+def html(table: DataFrame, path: str, title: str = "", rows_per_page: int = 1000) -> None:
+    """HTML pages of a table, so many rows each, in the order of the first column; pages are part files of a folder, and cells are escaped."""
+    from peakweave.operators.spectra import renumbered
+
+    escaped = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *[escaped(c) for c in table.columns]), F.lit("</td></tr>"))
+    numbered = renumbered(table, [table.columns[0]], "_no").select(F.floor((F.col("_no") - 1) / rows_per_page).alias("page"), "_no", row.alias("row"))
+    pages = numbered.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "row"))), lambda x: x["row"]), "").alias("rows"))
+    head = f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{title}</title></head><body><table><tr><th>{'</th><th>'.join(table.columns)}</th></tr>"
+    pages.select(F.concat(F.lit(head), "rows", F.lit("</table></body></html>")).alias("value")).write.text(path)
+
+
 def tags(rows: DataFrame, path: str) -> None:
     """Tab-separated tags."""
     rows.select("spec_idx", "tag", "before", "after", "score").write.csv(path, sep="\t")
@@ -115,7 +202,7 @@ def graphviz(edges: DataFrame, path: str, weight: str = "score1") -> None:
     edges.select(F.format_string('%d -- %d [label="%.3f"];', F.col("spec1"), F.col("spec2"), F.col(weight)).alias("value")).write.text(path)
 
 
-WRITERS = {"pklbin": binary_spectra, "mgf": mgf, "ms2": ms2, "pkl": pkl, "parquet": lambda df, path: df.write.parquet(path)}
+WRITERS = {"pklbin": binary_spectra, "mgf": mgf, "ms2": ms2, "pkl": pkl, "prms": prms, "dta": dta, "mzxml": mzxml, "mzml": mzml, "parquet": lambda df, path: df.write.parquet(path)}
 
 
 def write_spectra(spectra: DataFrame, path: str, kind: str) -> None:

@@ -68,6 +68,21 @@ def parse_pkl(text: str, file_name: str) -> dict | None:
     return _row(file_name, -1, [(x[0], x[1]) for x in lines[1:] if len(x) > 1], int(charge), mz, precursor_intensity=intensity)
 
 
+def parse_pkl_mic(text: str, file_name: str) -> dict | None:
+    """As PKL, but every charge weighs 1 in the header's mass, and only one proton counts."""
+    row = parse_pkl(text, file_name)
+    return row and row | {"parent_mass": row["parent_mz"] * row["charge"] - row["charge"] + PROTON if row["charge"] > 0 else row["parent_mz"], "precursor_intensity": None}
+
+
+def parse_dta(text: str, file_name: str) -> dict | None:
+    """Singly protonated mass and charge, then peaks."""
+    lines = [x for x in (_numbers(line) for line in text.splitlines()) if x]
+    if not lines or len(lines[0]) < 2:
+        return None
+    mass, z = lines[0][0], int(lines[0][1])
+    return _row(file_name, -1, [(x[0], x[1]) for x in lines[1:] if len(x) > 1], z, (mass + (max(z, 1) - 1) * PROTON) / max(z, 1), mass)
+
+
 def parse_ms2(text: str, file_name: str) -> dict | None:
     """A block headed by ``:scan`` (or ``:first.last.charge``), then mass and charge, then peaks."""
     lines = text.strip().splitlines()
@@ -112,6 +127,8 @@ def _text_reader(parse: Callable, separator: str | None) -> Callable:
 
 read_mgf = _text_reader(parse_mgf, "END IONS")
 read_pkl = _text_reader(parse_pkl, None)
+read_pkl_mic = _text_reader(parse_pkl_mic, None)
+read_dta = _text_reader(parse_dta, None)
 read_ms2 = _text_reader(lambda v, f: parse_ms2(v, f), "\n:")
 read_prms = _text_reader(lambda v, f: parse_prms(v, f), "\n>>")
 
@@ -279,21 +296,23 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out, now = [], -1
+            out = []
             for text in b["value"]:
+                place = -1  # clusters without a number are numbered by their place in the file
                 for line in text.splitlines():
-                    if line[:1] in "\t " and line.strip():
-                        x = line.split()
+                    x = line.split()
+                    if line[:1] in "\t " and x:
                         out.append((now, int(x[0]), int(x[1]), float(x[2]) if len(x) > 2 else None, int(float(x[3])) if len(x) > 3 else None))
-                    elif line.strip():
-                        now += 1
+                    elif x:
+                        place += 1
+                        now = int(x[1]) if len(x) > 2 and x[1].isdigit() else place
             yield pd.DataFrame(out, columns=["cluster_idx", "file_idx", "scan", "parent_mz", "charge"])
 
     return rows.mapInPandas(run, "cluster_idx int, file_idx int, scan int, parent_mz double, charge int")
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "mgf": read_mgf, "pkl": read_pkl, "ms2": read_ms2, "prms": read_prms, "prmsv3": read_prms, "mzxml": read_mzxml, "mzml": read_mzml, "pklbin": read_binary_spectra,
+    "mgf": read_mgf, "pkl": read_pkl, "mic": read_pkl_mic, "dta": read_dta, "ms2": read_ms2, "prms": read_prms, "prmsv3": read_prms, "mzxml": read_mzxml, "mzml": read_mzml, "pklbin": read_binary_spectra,
     "parquet": lambda spark, path: spark.read.parquet(path),
 }
 
