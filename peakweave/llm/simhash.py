@@ -464,7 +464,7 @@ def _confirmed(source: DataFrame, least: DataFrame, candidates: DataFrame, shing
 
 
 #: Rows up to which the list of copies is broadcast (16 bytes each); beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
