@@ -54,3 +54,15 @@ def density(peaks: Column) -> Column:
 def by_mz(peaks: Column) -> Column:
     """Sorted by m/z, then intensity and tolerance."""
     return F.array_sort(peaks)
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of an array of doubles up to each place. Chunks of about the square root of the length run on their own first, so long arrays take little more than time in proportion."""
+    zero = F.lit(0.0)
+    let = lambda f, **of: F.transform(F.array(F.struct(*[v.alias(k) for k, v in of.items()])), f)[0]  # noqa: E731  (each value is evaluated once)
+    along = lambda part: F.slice(F.aggregate(part, F.array(zero), lambda a, x: F.array_append(a, F.element_at(a, -1) + x)), F.lit(2), F.size(part))
+    chunked = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s["v"]) - 1) / s["step"]).cast("int")), lambda k: along(F.slice(s["v"], k * s["step"] + 1, s["step"])))
+    before = lambda t: F.aggregate(t["chunks"], F.array(zero), lambda a, c: F.array_append(a, F.element_at(a, -1) + F.element_at(c, -1)))
+    joined = lambda u: F.flatten(F.zip_with(u["chunks"], F.slice(u["before"], F.lit(1), F.size(u["chunks"])), lambda c, b: F.transform(c, lambda x: b + x)))
+    whole = let(lambda s: let(lambda t: let(joined, chunks=t["chunks"], before=before(t)), chunks=chunked(s)), v=values, step=F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(values)))).cast("int"))
+    return F.when(F.size(values) > 0, whole).otherwise(F.array().cast("array<double>"))

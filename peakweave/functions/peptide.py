@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from peakweave.functions.arrays import PROTON, WATER
+from peakweave.functions.arrays import PROTON, WATER, running_sums
 from peakweave.operators.kernels import RESIDUES
 
 _TOKEN = r"\([A-Z]+,-?[0-9.]+\)|\[-?[0-9.]+\]|[A-Z]"
@@ -75,7 +75,7 @@ def prefix_masses(peptide: Column, plain: bool = False) -> Column:
     """Cumulative masses from the first residue on, the whole included. plain: letters only, which is faster."""
     table = masses()
     letters = F.transform(F.filter(F.split(peptide, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0.0)))
-    return F.aggregate(letters if plain else _steps(peptide), F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
+    return running_sums(letters if plain else _steps(peptide))
 
 
 def ions(peptide: Column) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakweave.operators.components import connected_components
@@ -102,16 +103,25 @@ def split(rows: list[int], a, b) -> list[tuple[int, list[int]]]:
 def in_triangles(edges: DataFrame, tolerance: float) -> DataFrame:
     """Edges that are part of a triangle whose longest mass difference is the sum of the others within the tolerance.
 
-    Triangles a < b < c are listed from the edge (a, b) over (b, c) to (a, c), so each is found once; differences are |shift1|.
+    Each edge is read from its end with fewer edges to the other (ties to the smaller id), and each triangle is found once, from
+    its lowest node: no node has more outgoing edges than the root of twice their number, so a hub lists no pairs of all its
+    neighbours. Differences are |shift1|.
     """
     e = edges.select("spec1", "spec2", F.abs("shift1").alias("s"))
-    ab = e.toDF("a", "b", "s1")
-    bc = e.toDF("b", "c", "s2")
-    ac = e.toDF("a", "c", "s3")
-    t = ab.join(bc, "b").join(ac, ["a", "c"]).filter(2 * F.greatest("s1", "s2", "s3") - F.col("s1") - F.col("s2") - F.col("s3") <= tolerance).filter(F.col("s1") + F.col("s2") + F.col("s3") - 2 * F.greatest("s1", "s2", "s3") <= tolerance)
-    ends = F.array(F.struct(F.col("a").alias("spec1"), F.col("b").alias("spec2")), F.struct(F.col("b").alias("spec1"), F.col("c").alias("spec2")), F.struct(F.col("a").alias("spec1"), F.col("c").alias("spec2")))
+    degree = e.select(F.explode(F.array("spec1", "spec2")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda k: degree.select(F.col("node").alias(f"spec{k}"), F.struct("n", "node").alias(f"d{k}"))
+    both = e.join(side(1), "spec1").join(side(2), "spec2")
+    low, up = F.least("d1", "d2"), F.greatest("d1", "d2")
+    out = both.select(low["node"].alias("a"), up.alias("up"), "s")
+    first = out.select("a", F.col("up").alias("x"), F.col("s").alias("s1"))
+    second = out.select("a", F.col("up").alias("y"), F.col("s").alias("s2"))
+    wedges = first.join(second, "a").filter("x < y").select("a", F.col("x.node").alias("b"), F.col("y.node").alias("c"), "s1", "s2")
+    third = out.select(F.col("a").alias("b"), F.col("up.node").alias("c"), F.col("s").alias("s3"))
+    t = wedges.join(third, ["b", "c"]).filter(F.abs(2 * F.greatest("s1", "s2", "s3") - F.col("s1") - F.col("s2") - F.col("s3")) <= tolerance)
+    pair = lambda x, y: F.struct(F.least(x, y).alias("spec1"), F.greatest(x, y).alias("spec2"))
+    ends = F.array(pair("a", "b"), pair("b", "c"), pair("a", "c"))
     kept = t.select(F.inline(ends)).distinct()
-    return edges.join(kept, ["spec1", "spec2"], "left_semi").select(*edges.columns)
+    return edges.join(kept, (F.least(edges["spec1"], edges["spec2"]) == kept["spec1"]) & (F.greatest(edges["spec1"], edges["spec2"]) == kept["spec2"]), "left_semi").select(*edges.columns)
 
 
 def _greedy(edges: DataFrame, masses: DataFrame, decide, most: int) -> DataFrame:
@@ -130,20 +140,35 @@ def _greedy(edges: DataFrame, masses: DataFrame, decide, most: int) -> DataFrame
     return named.groupBy("component").applyInPandas(run, edges.schema)
 
 
-def _per_variant(a: list, b: list, mass_a: list, mass_b: list, most: int) -> list[int]:
-    count: dict = {}
-    keep = []
-    for k, (x, y, mx, my) in enumerate(zip(a, b, mass_a, mass_b, strict=True)):
-        if count.get((x, my), 0) < most and count.get((y, mx), 0) < most:
-            count[x, my] = count.get((x, my), 0) + 1
-            count[y, mx] = count.get((y, mx), 0) + 1
-            keep.append(k)
-    return keep
+def limit_per_variant(edges: DataFrame, spectra: DataFrame, most: int, max_rounds: int = 200) -> DataFrame:
+    """At most ``most`` edges from a spectrum to spectra of one nominal mass, the best scored first; an edge counts at both ends.
 
-
-def limit_per_variant(edges: DataFrame, spectra: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` edges from a spectrum to spectra of one nominal mass, the best scored first; an edge counts at both ends."""
-    return _greedy(edges, spectra, _per_variant, most)
+    Edges are offered by score, as one by one, but decided many at a time: an edge is taken as soon as all better undecided ones of
+    its two counts together leave room for it, and goes when one of the counts is full. Each round is a window over the counts,
+    whatever the components; the best undecided edge is always decided.
+    """
+    side = lambda n: spectra.select(F.col("spec_idx").alias(f"spec{n}"), nominal_mass(F.col("parent_mass")).alias(f"_m{n}"))
+    order = F.struct((-F.least("score1", "score2")).alias("l"), (-F.greatest("score1", "score2")).alias("h"), "spec1", "spec2")
+    named = edges.join(side(1), "spec1").join(side(2), "spec2").withColumn("_order", order)
+    counts = F.explode(F.array(F.struct(F.col("spec1").alias("node"), F.col("_m2").alias("mass")), F.struct(F.col("spec2").alias("node"), F.col("_m1").alias("mass"))))
+    left = written(named.select("_order", counts.alias("count")).select("_order", "count.node", "count.mass", F.lit(0).cast("long").alias("held")), "variants")
+    taken = []
+    w = Window.partitionBy("node", "mass")
+    for _ in range(max_rounds):
+        ranked = left.withColumn("rank", F.row_number().over(w.orderBy("_order")))
+        fate = ranked.groupBy("_order").agg(F.max(F.col("held") + F.col("rank")).alias("worst"), F.max("held").alias("held"))
+        fate = written(fate.select("_order", F.when(F.col("held") >= most, -1).when(F.col("worst") <= most, 1).otherwise(0).alias("fate")).filter("fate <> 0"), "variants")
+        if fate.isEmpty():
+            break
+        taken.append(fate.filter("fate = 1").select("_order"))
+        known = left.join(fate, "_order", "left").withColumn("held", F.col("held") + F.sum(F.when(F.col("fate") == 1, 1).otherwise(0)).over(w))
+        left = written(known.filter("fate IS NULL").drop("fate"), "variants")
+    else:
+        raise RuntimeError(f"edges weren't decided in {max_rounds} rounds")
+    if not taken:
+        return edges.limit(0)
+    kept = reduce(DataFrame.union, taken).select("_order.spec1", "_order.spec2").distinct()
+    return edges.join(kept, ["spec1", "spec2"], "left_semi").select(*edges.columns)
 
 
 def _unique_masses(a: list, b: list, mass_a: list, mass_b: list, most: int) -> list[int]:
@@ -209,7 +234,10 @@ def _per_component(edges: DataFrame, f, schema: str) -> DataFrame:
 
 
 def topological_order(edges: DataFrame) -> DataFrame:
-    """component, node, position (from 0; of several next nodes the smallest) of directed edges spec1 -> spec2. Nodes on cycles, or behind one, have -1."""
+    """component, node, position (from 0; of several next nodes the smallest) and layer (edges of the longest way to it) of directed edges spec1 -> spec2.
+
+    Nodes on cycles, or behind one, have -1. One component is ordered in one task.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         after, degree = {}, {}
         for a, b in zip(pdf["spec1"], pdf["spec2"], strict=True):
@@ -217,17 +245,19 @@ def topological_order(edges: DataFrame) -> DataFrame:
             degree[b] = degree.get(b, 0) + 1
             degree.setdefault(a, 0)
         ready, out = [n for n, d in degree.items() if not d], {}
+        layer = dict.fromkeys(ready, 0)
         heapq.heapify(ready)
         while ready:
             n = heapq.heappop(ready)
             out[n] = len(out)
             for m in after.get(n, ()):
                 degree[m] -= 1
+                layer[m] = max(layer.get(m, 0), layer[n] + 1)
                 if not degree[m]:
                     heapq.heappush(ready, m)
-        return pd.DataFrame([(pdf["component"].iloc[0], n, out.get(n, -1)) for n in sorted(degree)], columns=["component", "node", "position"])
+        return pd.DataFrame([(pdf["component"].iloc[0], n, out.get(n, -1), layer[n] if n in out else -1) for n in sorted(degree)], columns=["component", "node", "position", "layer"])
 
-    return _per_component(edges, run, "component long, node long, position int")
+    return _per_component(edges, run, "component long, node long, position int, layer int")
 
 
 def heaviest_path(edges: DataFrame, weight: str = "score1") -> DataFrame:
@@ -261,30 +291,21 @@ def heaviest_path(edges: DataFrame, weight: str = "score1") -> DataFrame:
     return _per_component(edges, run, "component long, weight double, path array<long>")
 
 
-def lightest_paths(edges: DataFrame, sources: DataFrame, weight: str = "score1") -> DataFrame:
-    """node, distance, source: the nearest source (node) over undirected edges of weights of 0 or more; ties to the smaller source."""
-    first = sources.select(F.col("node").alias("spec1"), F.lit(None).cast("long").alias("spec2"), F.lit(None).cast("double").alias("w"), F.lit(True).alias("is_source"))
-    nodes = components(edges)
-    rows = edges.select("spec1", "spec2", F.col(weight).cast("double").alias("w"), F.lit(False).alias("is_source")).unionByName(first)
-    rows = rows.join(nodes.select(F.col("node").alias("spec1"), "component"), "spec1")
-    ship(edges.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        e = pdf[~pdf["is_source"]]
-        for a, b, w in zip(e["spec1"].astype(int), e["spec2"].astype(int), e["w"], strict=True):
-            near.setdefault(a, []).append((b, w))
-            near.setdefault(b, []).append((a, w))
-        heap = [(0.0, int(s), int(s)) for s in sorted(set(pdf.loc[pdf["is_source"], "spec1"]))]
-        done: dict = {}
-        while heap:
-            d, s, n = heapq.heappop(heap)
-            if n in done:
-                continue
-            done[n] = (d, s)
-            for m, w in near.get(n, ()):
-                if m not in done:
-                    heapq.heappush(heap, (d + w, s, m))
-        return pd.DataFrame([(n, d, s) for n, (d, s) in done.items()], columns=["node", "distance", "source"])
+def lightest_paths(edges: DataFrame, sources: DataFrame, weight: str = "score1", max_rounds: int = 10_000) -> DataFrame:
+    """node, distance, source: the nearest source (node) over undirected edges of weights of 0 or more; ties to the smaller source. Nodes that no source reaches have no row.
 
-    return rows.groupBy("component").applyInPandas(run, "node long, distance double, source long")
+    Each round extends the nodes that became nearer by one edge, and writes what got better; there are as many rounds as a lightest
+    path has edges, and no node's edges but a round's are read.
+    """
+    e = edges.select(F.col("spec1").cast("long").alias("from"), F.col("spec2").cast("long").alias("to"), F.col(weight).cast("double").alias("w"))
+    both = written(e.union(e.select("to", "from", "w")).groupBy("from", "to").agg(F.min("w").alias("w")), "paths")
+    best = written(sources.select(F.col("node").cast("long").alias("node"), F.struct(F.lit(0.0).alias("distance"), F.col("node").cast("long").alias("source")).alias("way")).distinct(), "paths")
+    front = best
+    for _ in range(max_rounds):
+        offers = front.join(both, F.col("node") == F.col("from")).groupBy("to").agg(F.min(F.struct((F.col("way.distance") + F.col("w")).alias("distance"), F.col("way.source").alias("source"))).alias("way"))
+        known = best.select(F.col("node").alias("to"), F.col("way").alias("had"))
+        front = written(offers.join(known, "to", "left").filter("had IS NULL OR way < had").select(F.col("to").alias("node"), "way"), "paths")
+        if front.isEmpty():
+            return best.select("node", "way.distance", "way.source")
+        best = written(best.join(front.select("node"), "node", "left_anti").unionByName(front), "paths")
+    raise RuntimeError(f"paths didn't settle in {max_rounds} rounds")

@@ -185,7 +185,7 @@ def de_novo(mz: np.ndarray, intensity: np.ndarray, full: float, tolerance: float
     for i in range(1, len(m)):
         options = [(best[j][0] + float(v[i]), best[j][1] + n) for j in range(i) if best[j] is not None for k, n in after[j] if k == i]
         if options:
-            best[i] = max(options, key=lambda o: (o[0], o[1]))
+            best[i] = max(options, key=lambda o: (o[0], -o[1].count("["), o[1]))  # of equal masses a residue rather than two
             reached.append(i)
     if best[-1] is not None:
         return best[-1][1], best[-1][0]

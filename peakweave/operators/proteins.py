@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,16 +40,21 @@ def heads(proteins: DataFrame, n: int) -> DataFrame:
     return letters.select("db_index", F.inline(places))
 
 
-def substring_search(proteins: DataFrame, peptides: DataFrame, k: int | None = None) -> DataFrame:
+def substring_search(proteins: DataFrame, peptides: DataFrame, classes: tuple[int, ...] = (8, 4, 2, 1)) -> DataFrame:
     """peptide, db_index, position (from 1): all occurrences, overlapping ones too; empty peptides have none.
 
-    Peptides meet only places with their first k letters (by default as many as the shortest has, up to 8), and are then compared in the sequence.
+    Peptides meet only places with their first k letters, and are then compared in the sequence; k is the largest of ``classes`` that
+    isn't longer than the peptide, so a short peptide doesn't make the others meet more places.
     """
-    peptides = peptides.filter(F.length("peptide") > 0)
-    k = k or min(8, peptides.agg(F.min(F.length("peptide"))).first()[0] or 1)
-    long_ = peptides.filter(F.length("peptide") >= k).withColumn("head", F.substring("peptide", 1, k)).join(heads(proteins, k), "head")
-    long_ = long_.join(proteins.select("db_index", "sequence"), "db_index").filter(F.substr("sequence", F.col("position"), F.length("peptide")) == F.col("peptide"))
-    return long_.select("peptide", "db_index", "position")
+    out = []
+    for n, k in enumerate(classes):
+        own = peptides.filter(F.length("peptide") >= k)
+        own = own.filter(F.length("peptide") < classes[n - 1]) if n else own
+        met = own.select("peptide", F.substring("peptide", 1, k).alias("head")).join(heads(proteins, k), "head")
+        if not n or classes[n - 1] > k + 1:  # else the head is the peptide
+            met = met.join(proteins.select("db_index", "sequence"), "db_index").filter(F.substr("sequence", F.col("position"), F.length("peptide")) == F.col("peptide"))
+        out.append(met.select("peptide", "db_index", "position"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def tag_index(proteins: DataFrame, k: int = 3) -> DataFrame:

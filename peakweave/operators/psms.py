@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakweave.functions import peptide as P
-from peakweave.operators.components import connected_components
 from peakweave.operators.proteins import heads
-from peakweave.session import ship
+from peakweave.session import written
 
 
 def select(psms: DataFrame, charge: int | None = None, tryptic: int | None = None, first_scan: int | None = None, last_scan: int | None = None, p_value: float | None = None) -> DataFrame:
@@ -77,30 +77,29 @@ def consensus_compat(psms: DataFrame, members: DataFrame, keys: tuple[str, ...]
     return lists.select("cluster_idx", held.alias("x")).select("cluster_idx", "x.*")
 
 
-def parsimony(psms: DataFrame, scan: str = "scan", protein: str = "protein") -> DataFrame:
+def parsimony(psms: DataFrame, scan: str = "scan", protein: str = "protein", max_rounds: int = 1000) -> DataFrame:
     """Rows of the proteins of a greedy cover: again and again the protein with most scans left (ties to the first by name) takes all their rows.
 
-    Proteins that share no scan, even over others, can't affect each other: each such group is covered on its own.
+    Only proteins that share a scan affect each other, and scans left only become fewer: so each round takes every protein that
+    is the best of all that hold one of its scans.
     """
-    ship(psms.sparkSession)
-    keyed = psms.select("*", F.xxhash64(F.lit("s"), F.col(scan)).alias("_s"), F.xxhash64(F.lit("p"), F.col(protein)).alias("_p"))
-    named = connected_components(keyed.select("_s", "_p").distinct(), "_s", "_p")
-    grouped = keyed.join(named.select(F.col("node").alias("_s"), "component"), "_s")
-    columns = psms.columns
-
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.groupby(protein)[scan].agg(set).to_dict()
-        owner: dict = {}
-        while left:
-            best = min(left, key=lambda p: (-len(left[p]), p))
-            taken = left.pop(best)
-            if not taken:
-                break
-            owner.update(dict.fromkeys(taken, best))
-            left = {p: s - taken for p, s in left.items() if s - taken}
-        return pdf.loc[pdf[scan].map(owner) == pdf[protein], columns]
-
-    return grouped.groupBy("component").applyInPandas(cover, psms.schema)
+    left = written(psms.select(F.col(scan).alias("s"), F.col(protein).alias("p")).filter("s IS NOT NULL AND p IS NOT NULL").distinct(), "cover")
+    owners = []
+    for _ in range(max_rounds):
+        sized = left.join(left.groupBy("p").agg(F.count(F.lit(1)).alias("n")), "p")
+        best = sized.groupBy("s").agg(F.min(F.struct((-F.col("n")).alias("m"), "p")).alias("b"))
+        won = best.groupBy("b.p").agg(F.count(F.lit(1)).alias("won"), F.min(-F.col("b.m")).alias("n")).filter("won = n").select("p")
+        taken = written(left.join(won, "p", "left_semi"), "cover")
+        if taken.isEmpty():
+            break
+        owners.append(taken)
+        left = written(left.join(taken.select("s").distinct(), "s", "left_anti"), "cover")
+    else:
+        raise RuntimeError(f"scans weren't covered in {max_rounds} rounds")
+    if not owners:
+        return psms.limit(0)
+    kept = reduce(DataFrame.unionByName, owners)
+    return psms.join(kept, (psms[scan] == kept["s"]) & (psms[protein] == kept["p"]), "left_semi").select(*psms.columns)
 
 
 def mod_counts(psms: DataFrame) -> DataFrame:

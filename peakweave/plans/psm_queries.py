@@ -116,13 +116,13 @@ def unmodified_peptides(spark, d):
 def substring_search(spark, d):
     words = table(spark, d, "region").select(F.regexp_replace(F.upper("r_name"), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("peptide"))
     extra = spark.createDataFrame([("THE",), ("EAND",), ("ATTHENINE",), ("NDTHERE",)], "peptide string")
-    return proteins.substring_search(_proteins(spark, d), words.union(extra)).groupBy("peptide", "db_index").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position"))
+    return proteins.substring_search(_proteins(spark, d), words.union(extra))
 
 
 def tag_index_join(spark, d):
-    index = proteins.tag_index(_proteins(spark, d).filter("length(sequence) < 2000"))
+    index = proteins.tag_index(_proteins(spark, d))
     tags = spark.createDataFrame([("THE",), ("AND",), ("NIN",)], "tag string")
-    return index.join(F.broadcast(tags), "tag").groupBy("tag", "db_index").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("before"), 3).alias("least_before"))
+    return index.join(F.broadcast(tags), "tag").select("tag", "db_index", "pos", (F.round("before", 3) + 0.0).alias("before"), (F.round("after", 3) + 0.0).alias("after"))
 
 
 def protein_coverage(spark, d):
@@ -196,7 +196,7 @@ def report_lists(spark, d):
 
 
 def islands_paired_scans(spark, d):
-    p = view(spark, d, "psms").filter("scan <= 60").select("psm_id", "scan", "annotation")
+    p = view(spark, d, "psms").select("psm_id", "scan", "annotation")
     return spectra.runs(p, ["scan"], ["psm_id"], "annotation", longest=2).select("psm_id", "scan", "run")
 
 
@@ -286,10 +286,11 @@ ORACLES = {
     "unmodified_peptides": f"WITH {_ANN} SELECT psm_id, plain, concat(substr(plain, 1, 1), '+', (size * 1.5)::DECIMAL(9,1)::VARCHAR, substr(plain, 2)) AS signed_form FROM ann",
     "substring_search": f"""WITH {_PROT}, w AS (SELECT regexp_replace(upper(r_name), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS peptide FROM region UNION ALL SELECT unnest(['THE', 'EAND', 'ATTHENINE', 'NDTHERE'])),
         f AS (SELECT peptide, db_index, list_filter(range(1, length(sequence) + 1), lambda i: substr(sequence, i, length(peptide)) = peptide) AS places FROM prot, w WHERE contains(sequence, peptide) AND peptide <> '')
-        SELECT peptide, db_index, len(places)::BIGINT AS n, list_min(places)::INT AS first_position FROM f""",
-    "tag_index_join": f"""WITH {_PROT}, s AS (SELECT db_index, sequence, unnest(range(1, length(sequence) + 1)) AS i FROM prot WHERE length(sequence) BETWEEN 3 AND 1999),
-        p AS (SELECT db_index, i, substr(sequence, i, 3) AS tag, sum({_MASS}[substr(sequence, i, 1)]) OVER (PARTITION BY db_index ORDER BY i) - {_MASS}[substr(sequence, i, 1)] AS before FROM s)
-        SELECT tag, db_index, count(*) AS n, round(min(before), 3) AS least_before FROM p WHERE tag IN ('THE', 'AND', 'NIN') GROUP BY 1, 2""",
+        SELECT peptide, db_index, unnest(places)::INT AS position FROM f""",
+    "tag_index_join": f"""WITH {_PROT}, s AS (SELECT db_index, sequence, unnest(range(1, length(sequence) + 1)) AS i FROM prot WHERE length(sequence) >= 3),
+        p AS (SELECT db_index, i, substr(sequence, i, 3) AS tag, sum({_MASS}[substr(sequence, i, 1)]) OVER (PARTITION BY db_index ORDER BY i) - {_MASS}[substr(sequence, i, 1)] AS before,
+            sum({_MASS}[substr(sequence, i, 1)]) OVER (PARTITION BY db_index) AS whole FROM s)
+        SELECT tag, db_index, i::INT AS pos, round(before, 3) + 0.0 AS before, round(whole - before - {" - ".join(f"{_MASS}[substr(tag, {k}, 1)]" for k in (1, 2, 3))}, 3) + 0.0 AS after FROM p WHERE tag IN ('THE', 'AND', 'NIN')""",
     "protein_coverage": """WITH h AS (SELECT l_partkey::INT AS db_index, l_linenumber AS s, l_linenumber + l_quantity::INT AS e FROM lineitem),
         c AS (SELECT db_index, count(DISTINCT r) AS covered, count(*) AS total FROM (SELECT db_index, unnest(range(s, e + 1)) AS r FROM h) GROUP BY 1)
         SELECT db_index, covered, total, round(total / covered, 6) AS redundancy, round(100.0 * covered / 60, 6)::DOUBLE AS percent FROM c""",
@@ -310,7 +311,7 @@ ORACLES = {
     "report_find": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 1",
     "report_update": "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'changed' ELSE n_name END AS n_name, n_regionkey FROM nation",
     "report_lists": "SELECT n_regionkey, count(DISTINCT n_name) AS n, array_to_string(list_sort(list_distinct(list(n_name))), ',') AS list FROM nation GROUP BY 1",
-    "islands_paired_scans": with_views("""WITH a AS (SELECT *, sum(f) OVER (PARTITION BY scan ORDER BY psm_id) AS g FROM (SELECT *, CASE WHEN lag(annotation) OVER (PARTITION BY scan ORDER BY psm_id) = annotation THEN 0 ELSE 1 END AS f FROM psms WHERE scan <= 60)),
+    "islands_paired_scans": with_views("""WITH a AS (SELECT *, sum(f) OVER (PARTITION BY scan ORDER BY psm_id) AS g FROM (SELECT *, CASE WHEN lag(annotation) OVER (PARTITION BY scan ORDER BY psm_id) = annotation THEN 0 ELSE 1 END AS f FROM psms)),
         b AS (SELECT *, CASE WHEN (row_number() OVER (PARTITION BY scan, g ORDER BY psm_id) - 1) % 2 = 0 THEN 1 ELSE 0 END AS h FROM a) SELECT psm_id, scan, (sum(h) OVER (PARTITION BY scan ORDER BY psm_id))::BIGINT AS run FROM b""", "psms"),
     "last_ms1_carry": with_views("""SELECT psm_id, coalesce(ms1_psm_id, -1) AS ms1_psm_id, coalesce(ms1_score, 0.0)::DOUBLE AS ms1_score FROM (SELECT *, last_value(CASE WHEN annotation = 'purchase' THEN psm_id END IGNORE NULLS) OVER w AS ms1_psm_id, last_value(CASE WHEN annotation = 'purchase' THEN score END IGNORE NULLS) OVER w AS ms1_score
         FROM psms WINDOW w AS (PARTITION BY scan ORDER BY psm_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE annotation <> 'purchase'""", "psms"),

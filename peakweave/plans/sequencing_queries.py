@@ -8,15 +8,15 @@ from peakweave.functions import arrays as A
 from peakweave.functions import peptide
 from peakweave.operators import library, pairs, precursors, proteins, sequencing
 from peakweave.plans.network_queries import _library
-from peakweave.plans.psm_queries import _DUCK_PEPTIDES, _peptides, _proteins
+from peakweave.plans.psm_queries import _DUCK_PEPTIDES, _MASS, _peptides
 from peakweave.sources.tables import view, with_views
 
 R = 6
 
 
 def _spectra(spark, d):
-    """One spectrum per distinct peptide of 5 letters or more: prefix masses, the intensity their place from 1."""
-    p = _peptides(spark, d).filter("length(plain) >= 5").groupBy("plain").agg(F.min("psm_id").alias("spec_idx"))
+    """One spectrum per distinct peptide: prefix masses, the intensity their place from 1."""
+    p = _peptides(spark, d).filter("plain <> ''").groupBy("plain").agg(F.min("psm_id").alias("spec_idx"))
     masses = peptide.prefix_masses(F.col("plain"), plain=True)
     peaks = F.concat(F.array(A.peak(F.lit(0.0), F.lit(1.0), F.lit(0.0))), F.transform(masses, lambda m, i: A.peak(m, i + 1.0, F.lit(0.0))))
     return p.select("spec_idx", F.col("plain").alias("annotation"), (F.element_at(masses, -1) + 19.01784115).alias("parent_mass"), peaks.alias("peaks"), F.lit(2).alias("charge"))
@@ -32,11 +32,11 @@ def first_correct_tag(spark, d):
 
 
 def de_novo(spark, d):
-    return sequencing.de_novo(_spectra(spark, d), 0.01).select("spec_idx", F.round("score", 4).alias("score"))
+    return sequencing.de_novo(_spectra(spark, d), 0.01).select("spec_idx", F.round("score", 4).alias("score"), "sequence")
 
 
 def spectral_probability(spark, d):
-    s = _spectra(spark, d).filter("parent_mass < 1500").withColumn("score", F.lit(12.0))
+    s = _spectra(spark, d).withColumn("score", F.lit(12.0))
     return sequencing.spectral_probability(s).select("spec_idx", F.round("p_value", 12).alias("p_value"))
 
 
@@ -58,7 +58,7 @@ def assembled_contigs(spark, d):
 def annotated_peaks(spark, d):
     s = _spectra(spark, d).withColumn("peaks", F.transform(peptide.ions(F.col("annotation")), lambda i: A.peak(i["mz"] + 0.001, i["number"].cast("double"), F.lit(0.0))))
     a = sequencing.annotated_peaks(s.withColumn("peaks", A.by_mz(F.col("peaks"))), 0.005)
-    return a.groupBy("spec_idx").agg(F.count(F.lit(1)).alias("n"))
+    return a.select("spec_idx", "ion", "number", F.round("mz", 4).alias("mz"), F.round("error", 4).alias("error"))
 
 
 def explained_intensity(spark, d):
@@ -101,24 +101,35 @@ def weighted_masses(spark, d):
 
 
 def mod_placements(spark, d):
-    p = _peptides(spark, d).filter("length(plain) BETWEEN 1 AND 30").select("psm_id", "plain", F.lit("ST").alias("sites"), (F.col("psm_id") % 3).cast("int").alias("n_mods"))
-    return precursors.placements(p).groupBy("psm_id").agg(F.count(F.lit(1)).alias("n"))
+    p = _peptides(spark, d).filter("plain <> ''").select("psm_id", "plain", F.lit("ST").alias("sites"), (F.col("psm_id") % 3).cast("int").alias("n_mods"))
+    return precursors.placements(p).select("psm_id", F.array_join(F.transform("positions", lambda i: i.cast("string")), ",").alias("positions"))
 
 
 def mass_to_stretch(spark, d):
-    own = _spectra(spark, d).select("spec_idx", "parent_mass").filter("parent_mass < 900")
-    seq = _proteins(spark, d).filter("length(sequence) < 300")
-    return proteins.mass_search(own, seq, 0.01, 12).select("spec_idx", "db_index", "start_aa", "end_aa")
+    own = _spectra(spark, d).select("spec_idx", "parent_mass")
+    seq = _peptides(spark, d).select(F.col("psm_id").cast("int").alias("db_index"), F.col("plain").alias("sequence"))
+    return proteins.mass_search(own, seq, 0.001, 60).select("spec_idx", "db_index", "start_aa", "end_aa")
 
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
-_PEP = f"pep AS ({_DUCK_PEPTIDES}), u AS (SELECT plain, min(psm_id) AS spec_idx FROM pep WHERE length(plain) >= 5 GROUP BY 1)"
+_PEP = f"pep AS ({_DUCK_PEPTIDES}), u AS (SELECT plain, min(psm_id) AS spec_idx FROM pep WHERE plain <> '' GROUP BY 1)"
 ORACLES = {
-    "de_novo": f"WITH {_PEP} SELECT spec_idx, ((length(plain) - 1) * length(plain) / 2)::DOUBLE AS score FROM u",
-    "annotated_peaks": f"WITH {_PEP} SELECT spec_idx, (2 * (length(plain) - 1))::BIGINT AS n FROM u",
+    "de_novo": f"WITH {_PEP} SELECT spec_idx, ((length(plain) - 1) * length(plain) / 2)::DOUBLE AS score, replace(plain, 'L', 'I') AS sequence FROM u",
+    "annotated_peaks": f"""WITH {_PEP}, l AS (SELECT spec_idx, length(plain) AS n, plain, unnest(range(1, length(plain) + 1)) AS i FROM u),
+        m AS (SELECT spec_idx, i, n, sum({_MASS}[substr(plain, i, 1)]) OVER (PARTITION BY spec_idx ORDER BY i) AS b, sum({_MASS}[substr(plain, i, 1)]) OVER (PARTITION BY spec_idx) AS w FROM l),
+        x AS (SELECT spec_idx, 'b' AS ion, i AS number, b + 1.00727646688 AS mz FROM m WHERE i < n UNION ALL SELECT spec_idx, 'y', n - i, w - b + 18.010564686 + 1.00727646688 FROM m WHERE i < n)
+        SELECT a.spec_idx, a.ion, a.number::INT AS number, round(arg_min(p.mz + 0.001, (-p.number, p.mz)), 4) AS mz, round(arg_min(p.mz + 0.001, (-p.number, p.mz)) - any_value(a.mz), 4) AS error
+        FROM x a JOIN x p ON a.spec_idx = p.spec_idx AND abs(p.mz + 0.001 - a.mz) <= 0.005 GROUP BY 1, 2, 3""",
+    "mass_to_stretch": f"""WITH {_PEP}, l AS (SELECT psm_id, plain, unnest(range(1, length(plain) + 1)) AS i FROM pep),
+        c AS (SELECT psm_id::INT AS db_index, i, sum({_MASS}[substr(plain, i, 1)]) OVER (PARTITION BY psm_id ORDER BY i) AS m FROM l), z AS (SELECT * FROM c UNION ALL SELECT DISTINCT db_index, 0, 0.0 FROM c),
+        s AS (SELECT db_index, a.i + 1 AS start_aa, b.i AS end_aa, b.m - a.m AS mass FROM z a JOIN c b USING (db_index) WHERE b.i > a.i AND b.i <= a.i + 60),
+        o AS (SELECT spec_idx, list_sum(list_transform(string_split(plain, ''), lambda x: {_MASS}[x])) AS mass FROM u)
+        SELECT spec_idx, db_index, start_aa::INT AS start_aa, end_aa::INT AS end_aa FROM o JOIN s ON floor(s.mass) BETWEEN floor(o.mass) - 1 AND floor(o.mass) + 1 AND abs(o.mass - s.mass) <= 0.001""",
     "weighted_masses": with_views(f"SELECT spec_idx, round(sum(mz * intensity) / sum(intensity), {R}) AS mz FROM peaks GROUP BY 1", "peaks"),
     "boosted_spectra": with_views("""WITH g AS (SELECT p.spec_idx, mz, intensity, frag_type, s.file_idx AS precursor FROM peaks p JOIN spectra s USING (spec_idx)),
         b AS (SELECT precursor, floor(mz / 50.0 + 0.5) AS bin, sum(intensity) * count(DISTINCT frag_type) AS i FROM g GROUP BY 1, 2) SELECT precursor, count(*)::INT AS n_peaks, round(sum(i), 2) AS total FROM b GROUP BY 1""", "peaks", "spectra"),
-    "mod_placements": f"""WITH pep AS ({_DUCK_PEPTIDES}), c AS (SELECT psm_id, (psm_id % 3)::INT AS k, length(regexp_replace(plain, '[^ST]', '', 'g')) AS s FROM pep WHERE length(plain) BETWEEN 1 AND 30)
-        SELECT psm_id, (CASE k WHEN 0 THEN 1 WHEN 1 THEN s ELSE s * (s - 1) // 2 END)::BIGINT AS n FROM c WHERE k = 0 OR (k = 1 AND s > 0) OR s > 1""",
+    "mod_placements": f"""WITH pep AS ({_DUCK_PEPTIDES}), c AS (SELECT psm_id, (psm_id % 3)::INT AS k, list_filter(range(1, length(plain) + 1), lambda i: substr(plain, i, 1) IN ('S', 'T')) AS s FROM pep WHERE plain <> ''),
+        p AS (SELECT psm_id, k, unnest(s) AS a, s FROM c)
+        SELECT psm_id, '' AS positions FROM c WHERE k = 0 UNION ALL SELECT psm_id, a::VARCHAR FROM p WHERE k = 1 UNION ALL
+        SELECT psm_id, concat(a::VARCHAR, ',', b::VARCHAR) FROM (SELECT psm_id, a, unnest(list_filter(s, lambda x: x > a)) AS b FROM p WHERE k = 2)""",
 }
