@@ -1,10 +1,10 @@
 """Operator 2: token counts by pre-token.
 
 Blocks of documents are cut into pre-tokens once: a block keeps its documents' pre-token frequencies, packed, and
-lists its different pre-tokens. The pieces of each distinct pre-token of the corpus are counted once; these counts are
-joined to the blocks' lists, go back to the blocks, and each block sums its documents' frequencies times counts. No
-sequence of ids is ever made, frequencies are never dealt by pre-token, and as a block names a pre-token once, no
-pre-token holds more than a small share of the rows that are joined.
+lists its different pre-tokens. The lists are dealt into buckets by the pre-token's hash; a bucket counts the pieces of
+each of its distinct pre-tokens once and joins the counts to the lists. Counts go back to the blocks, and each block sums
+its documents' frequencies times counts. No sequence of ids is ever made, frequencies are never dealt by pre-token, and as
+a block names a pre-token once, none is more than a small share of its bucket.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,13 @@ def counter(vocabulary: str) -> PieceCounter:
 
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK = 8 << 20
-#: Distinct pre-tokens up to which their counts are broadcast, and characters of them; beyond, both sides are shuffled.
-BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 8 << 20
+#: Pre-tokens of a bucket, on average, as the blocks list them.
+BUCKET = 100_000
+
+
+def packed(*numbers: np.ndarray, text: bytes = b"") -> bytes:
+    """Deflated 32-bit integers, and bytes."""
+    return zlib.compress(np.concatenate(numbers).astype("<u4").tobytes() + text, 1)
 
 
 def pretoken_frequencies(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
@@ -94,10 +100,9 @@ def pretoken_frequencies(docs: DataFrame, id_col: str, text_col: str, vocabulary
                 added.append(n)
                 parts.append((np.fromiter((place.setdefault(w, len(place)) for w in found), np.uint32, len(found)), np.fromiter(found.values(), np.uint32, len(found))))
             numbers = [np.array([len(p) for p, _ in parts], np.uint32), *(p for p, _ in parts), *(n for _, n in parts)]
-            packed = zlib.compress(np.concatenate(numbers).tobytes(), 1)
             whole = lambda values, kind: pa.array([values], pa.list_(kind))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([base + k]), whole(list(place), pa.string()), whole(ids, id_type), whole([len(t.encode()) for t in held], pa.int64()), whole(added, pa.int64()), pa.array([packed], pa.binary())],
+                [pa.array([base + k]), whole(list(place), pa.string()), whole(ids, id_type), whole([len(t.encode()) for t in held], pa.int64()), whole(added, pa.int64()), pa.array([packed(*numbers)], pa.binary())],
                 names=["block", "words", "ids", "n_bytes", "added", "packed"],
             )
 
@@ -106,15 +111,41 @@ def pretoken_frequencies(docs: DataFrame, id_col: str, text_col: str, vocabulary
     return written(source.mapInArrow(run, f"block long, words array<string>, ids array<{source.schema['id'].dataType.simpleString()}>, n_bytes array<long>, added array<long>, packed binary"), "pre-tokens")
 
 
-def piece_counts(words: DataFrame, vocabulary: str) -> DataFrame:
-    """A written table: word and n, its number of pieces, once for each distinct word."""
+def piece_counts(rows: DataFrame, vocabulary: str, bucket: int = BUCKET) -> DataFrame:
+    """of (a block) and counts, packed places in its list with the pieces there; a block has a row for each bucket that holds some of its words.
 
-    def run(batches):
-        c = counter(vocabulary)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.count(b.column(0).to_pylist()), pa.int32())], names=["word", "n"])
+    rows: block and words, a list of different ones.
+    """
+    buckets = max(1, -(-(rows.agg(F.sum(F.size("words"))).first()[0] or 0) // bucket))
 
-    return written(words.distinct().mapInArrow(run, "word string, n int"), "pieces")
+    def deal(batches):
+        for b in batches:
+            for block, words in zip(b.column("block").to_pylist(), b.column("words"), strict=True):
+                raw = [w.encode() for w in words.as_py()]
+                own = np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % buckets
+                order = np.argsort(own, kind="stable")
+                found, first = np.unique(own[order], return_index=True)
+                parts = np.split(order, first[1:]) if len(found) else []
+                lists = [packed(np.array([len(p)]), p, np.array([len(raw[i]) for i in p.tolist()]), text=b"".join(raw[i] for i in p.tolist())) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), block)), pa.array(lists, pa.binary())], names=["bucket", "of", "words"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, known = counter(vocabulary), {}
+        for b in batches:
+            out = []
+            for x in b.column("words").to_pylist():
+                raw = zlib.decompress(x)
+                n = int.from_bytes(raw[:4], "little")
+                places, size = np.frombuffer(raw, "<u4", 2 * n, 4).reshape(2, n)
+                ends = (8 * n + 4 + np.cumsum(size, dtype=np.int64)).tolist()
+                words = [raw[e - k : e].decode() for e, k in zip(ends, size.tolist(), strict=True)]
+                fresh = [w for w in words if w not in known]
+                known.update(zip(fresh, c.count(fresh), strict=True))
+                out.append(packed(places, np.fromiter(map(known.__getitem__, words), np.int64, n)))
+            yield pa.RecordBatch.from_arrays([b.column("of"), pa.array(out, pa.binary())], names=["of", "counts"])
+
+    dealt = rows.select("block", "words").mapInArrow(deal, "bucket int, of long, words binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "of long, counts binary")
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
@@ -126,18 +157,15 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count as their one token, as the library does by default.
     """
     rows = pretoken_frequencies(docs, id_col, text_col, vocabulary)
-    words = rows.select(F.col("block").alias("of"), F.posexplode("words").alias("place", "word"))
-    counts = piece_counts(words.select("word"), vocabulary)
-    size = counts.agg(F.count(F.lit(1)), F.sum(F.length("word"))).first()
-    few = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_CHARS
-    counted = words.join(F.broadcast(counts) if few else counts, "word").select("of", "place", "n")
     kind = rows.schema["ids"].dataType.elementType.simpleString()
 
     def total(block: pa.Table, counts: pa.Table) -> pa.Table:
         ids, n_bytes, added = (block.column(c).combine_chunks().flatten() for c in ("ids", "n_bytes", "added"))
-        pieces = np.zeros(counts.num_rows, np.int64)
-        pieces[counts.column("place").to_numpy()] = counts.column("n").to_numpy()
-        flat = np.frombuffer(zlib.decompress(block.column("packed")[0].as_py()), np.uint32).astype(np.int64)
+        found = [np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64).reshape(2, -1) for x in counts.column("counts").to_pylist()]
+        pieces = np.zeros(sum(x.shape[1] for x in found), np.int64)
+        for places, n in found:
+            pieces[places] = n
+        flat = np.frombuffer(zlib.decompress(block.column("packed")[0].as_py()), "<u4").astype(np.int64)
         size = flat[: len(ids)]
         which, times = flat[len(ids) :].reshape(2, -1)
         sums = np.concatenate([[0], np.cumsum(pieces[which] * times)])
@@ -145,7 +173,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tokens = added.to_numpy() + sums[ends] - sums[ends - size]
         return pa.table([ids, n_bytes, pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
-    both = rows.drop("words").groupBy("block").cogroup(counted.groupBy("of"))
+    both = rows.drop("words").groupBy("block").cogroup(piece_counts(rows, vocabulary).groupBy("of"))
     return both.applyInArrow(total, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", "over_limit")
 
 

@@ -30,6 +30,24 @@ def test_counts_match_library(awkward):
     assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in got)
 
 
+def test_counts_of_a_corpus(spark):
+    """Several blocks and buckets, of which words are counted once each."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(3)
+    t = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ids = list(texts)
+    want = {i: len(e.ids) for i, e in zip(ids, t.encode_batch([texts[i] for i in ids], add_special_tokens=False), strict=True)}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs).collect()} == want
+    rows = spark.createDataFrame([(k, [f"w{(j * 7 + k) % 50}\0" for j in range(30)]) for k in range(9)], "block long, words array<string>")
+    c = token_counts.counter(token_counts.VOCABULARY)
+    got = {}
+    for r in token_counts.piece_counts(rows, token_counts.VOCABULARY, bucket=20).collect():
+        places, n = np.frombuffer(zlib.decompress(r["counts"]), "<u4").reshape(2, -1).tolist()
+        got.setdefault(r["of"], {}).update(zip(places, n, strict=True))
+    for r in rows.collect():
+        assert got[r["block"]] == dict(enumerate(c.count(r["words"])))
+
+
 def test_round_trip_matches_library(awkward, encoding):
     want = sorted((r["doc_id"] or -1, *digests(encoding.encode_ordinary(r["text"] or ""), r["text"] or "")) for r in awkward.collect())
     assert sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.bpe_round_trip(awkward).collect()) == want
