@@ -132,6 +132,9 @@ _C = "count(*) OVER (PARTITION BY spec_idx)"
 _ORDER = "ORDER BY mz, intensity"
 _PROTON, _WATER, _GLY = 1.00727646688, 18.010564686, 57.0214637230
 ORACLES = {
+    "peaks_merge_close": with_views(f"""WITH RECURSIVE r AS (SELECT spec_idx, mz, intensity, row_number() OVER (PARTITION BY spec_idx ORDER BY mz, intensity) AS k FROM peaks),
+        w(spec_idx, k, base, g) AS (SELECT spec_idx, k, mz, k FROM r WHERE k = 1 UNION ALL SELECT w.spec_idx, r.k, CASE WHEN r.mz - w.base <= 150 THEN w.base ELSE r.mz END, CASE WHEN r.mz - w.base <= 150 THEN w.g ELSE r.k END FROM w JOIN r ON r.spec_idx = w.spec_idx AND r.k = w.k + 1)
+        SELECT spec_idx, round(arg_min(mz, (-intensity, k)), {R}) AS mz, round(sum(intensity), {R}) AS intensity FROM w JOIN r USING (spec_idx, k) GROUP BY spec_idx, g""", "peaks"),
     "peaks_normalize_tic": _sql("SELECT spec_idx, mz, intensity * 100 / sum(intensity) OVER (PARTITION BY spec_idx) AS intensity FROM peaks"),
     "peaks_normalize_l2": _sql("SELECT spec_idx, mz, intensity / sqrt(sum(intensity * intensity) OVER (PARTITION BY spec_idx)) AS intensity FROM peaks"),
     "peaks_sqrt": _sql("SELECT spec_idx, mz, sqrt(intensity) AS intensity FROM peaks"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from peakweave.functions import arrays as A
 from peakweave.functions import peptide
 from peakweave.operators import library, pairs, precursors, proteins, sequencing
-from peakweave.plans.network_queries import _library
+from peakweave.operators.kernels import RESIDUES
+from peakweave.plans.network_queries import _LIB, _library
 from peakweave.plans.psm_queries import _DUCK_PEPTIDES, _MASS, _peptides
 from peakweave.sources.tables import view, with_views
 
@@ -23,12 +24,12 @@ def _spectra(spark, d):
 
 
 def sequence_tags(spark, d):
-    return sequencing.tags(_spectra(spark, d), 3, 0.01, 5).select("spec_idx", "rank", "tag", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), "score")
+    return sequencing.tags(_spectra(spark, d), 3, 0.01, 5).select("spec_idx", "rank", "tag", F.round("before", 4).alias("before"), (F.round("after", 4) + 0.0).alias("after"), "score")
 
 
 def first_correct_tag(spark, d):
     s = _spectra(spark, d)
-    return sequencing.first_correct_tag(sequencing.tags(s, 3, 0.01, 5), s)
+    return sequencing.first_correct_tag(sequencing.tags(s, 3, 0.01, 5), s).withColumn("rank", F.coalesce("rank", F.lit(-1)))
 
 
 def de_novo(spark, d):
@@ -83,7 +84,7 @@ def library_decoys(spark, d):
 
 def library_dot_bias(spark, d):
     v = pairs.binned(view(spark, d, "peaks"), 50.0)
-    m = library.dot_bias(_library(spark, d), v, v)
+    m = library.dot_bias(_library(spark, d).withColumn("dot", F.round("dot", R)), v, v)
     return m.select("query", "entry", "bias")
 
 
@@ -113,7 +114,36 @@ def mass_to_stretch(spark, d):
 
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 _PEP = f"pep AS ({_DUCK_PEPTIDES}), u AS (SELECT plain, min(psm_id) AS spec_idx FROM pep WHERE plain <> '' GROUP BY 1)"
+_PREFIX = f"""l AS (SELECT spec_idx, plain, unnest(range(1, length(plain) + 1)) AS k FROM u),
+    pk AS (SELECT spec_idx, k, sum({_MASS}[substr(plain, k, 1)]) OVER (PARTITION BY spec_idx ORDER BY k) AS mz, (k::DOUBLE) AS intensity FROM l)"""
+
+
+def _tags_sql(length: int, most: int, tolerance: float = 0.01) -> str:
+    """Tables up to ``tags``: all paths of residue-sized steps, ranked."""
+    residues = ", ".join(f"('{r}', {m:.12f}::DOUBLE)" for r, m in RESIDUES.items() if r != "L")
+    joins = " ".join(f"JOIN st s{n} ON s{n}.spec_idx = s{n - 1}.spec_idx AND s{n}.a = s{n - 1}.b" for n in range(2, length + 1))
+    score = " + ".join(["s1.ia", *[f"s{n}.ib" for n in range(1, length + 1)]])
+    return f"""{_PEP}, {_PREFIX}, pz AS (SELECT * FROM pk UNION ALL SELECT spec_idx, 0, 0.0, 1.0 FROM u), res(r, m) AS (VALUES {residues}),
+        st AS (SELECT a.spec_idx, a.k AS a, b.k AS b, a.mz AS ma, b.mz AS mb, a.intensity AS ia, b.intensity AS ib, r FROM pz a JOIN pz b ON a.spec_idx = b.spec_idx AND b.mz > a.mz AND b.mz - a.mz < 200 JOIN res ON abs(b.mz - a.mz - m) <= {tolerance} + 1e-6),
+        paths AS (SELECT s1.spec_idx, concat({", ".join(f"s{n}.r" for n in range(1, length + 1))}) AS tag, s1.ma AS before, s{length}.mb AS last, {score} AS score, s1.a AS i, s{length}.b AS e FROM st s1 {joins}),
+        tags AS (SELECT spec_idx, tag, before, w.mz - last AS after, score, row_number() OVER (PARTITION BY spec_idx ORDER BY score DESC, tag, i, e) AS rank
+            FROM paths JOIN (SELECT spec_idx, max(mz) AS mz FROM pk GROUP BY 1) w USING (spec_idx) QUALIFY rank <= {most})"""
+
+
 ORACLES = {
+    "sequence_tags": f"WITH {_tags_sql(3, 5)} SELECT spec_idx, rank::INT AS rank, tag, round(before, 4) AS before, round(after, 4) + 0.0 AS after, score FROM tags",
+    "first_correct_tag": f"""WITH {_tags_sql(3, 5)}, f AS (SELECT spec_idx, min(rank)::INT AS rank FROM tags JOIN u USING (spec_idx) WHERE contains(replace(plain, 'L', 'I'), replace(tag, 'L', 'I')) GROUP BY 1)
+        SELECT spec_idx, coalesce(rank, -1)::INT AS rank FROM u LEFT JOIN f USING (spec_idx)""",
+    "tag_pairs": f"""WITH {_tags_sql(4, 3)}, f AS (SELECT DISTINCT spec_idx, tag, 0 AS side, before AS flank FROM tags UNION SELECT DISTINCT spec_idx, tag, 1, after FROM tags)
+        SELECT DISTINCT a.spec_idx AS spec1, b.spec_idx AS spec2 FROM f a JOIN f b ON a.tag = b.tag AND a.side = b.side AND a.spec_idx < b.spec_idx AND abs(a.flank - b.flank) <= 0.02""",
+    "explained_intensity": f"""WITH {_PEP}, {_PREFIX}, w AS (SELECT spec_idx, max(mz) AS whole FROM pk GROUP BY 1), b AS (SELECT spec_idx, mz FROM pk JOIN w USING (spec_idx) WHERE mz < whole - 1e-6),
+        ions AS (SELECT spec_idx, mz + 1.00727646688 AS mz FROM b UNION ALL SELECT spec_idx, whole - mz + 18.010564686 + 1.00727646688 FROM b JOIN w USING (spec_idx)),
+        own AS (SELECT spec_idx, mz + 1.00727646688 AS mz, k + 1 AS i FROM pk UNION ALL SELECT spec_idx, 1.00727646688, 1 FROM u),
+        c AS (SELECT own.*, EXISTS (SELECT 1 FROM ions WHERE ions.spec_idx = own.spec_idx AND abs(ions.mz - own.mz) <= 0.001) AS hit FROM own JOIN w USING (spec_idx) WHERE own.mz >= 57.0214637230 AND own.mz <= whole - 37)
+        SELECT u.spec_idx, coalesce(round(100 * sum(i) FILTER (hit) / sum(i), 4), 0.0)::DOUBLE AS explained FROM u LEFT JOIN c USING (spec_idx) GROUP BY 1""",
+    "library_dot_bias": with_views(f"""WITH {_LIB}, f AS (SELECT spec_idx, bin, pow(value, 4) AS x FROM v), g AS (SELECT spec_idx, bin, x / sqrt(sum(x * x) OVER (PARTITION BY spec_idx)) AS x FROM f),
+        p AS (SELECT query, entry, sum(a.x * b.x) AS c FROM m JOIN g a ON a.spec_idx = query JOIN g b ON b.spec_idx = entry AND a.bin = b.bin GROUP BY 1, 2), r AS (SELECT query, entry, sqrt(c) / dot AS b FROM m JOIN p USING (query, entry))
+        SELECT query, entry, CASE WHEN b < 0.1 THEN 0.12 WHEN b <= 0.35 THEN 0.0 WHEN b <= 0.4 THEN 0.12 WHEN b <= 0.45 THEN 0.18 ELSE 0.24 END::DOUBLE AS bias FROM r""", "spectra", "peaks"),
     "de_novo": f"WITH {_PEP} SELECT spec_idx, ((length(plain) - 1) * length(plain) / 2)::DOUBLE AS score, replace(plain, 'L', 'I') AS sequence FROM u",
     "annotated_peaks": f"""WITH {_PEP}, l AS (SELECT spec_idx, length(plain) AS n, plain, unnest(range(1, length(plain) + 1)) AS i FROM u),
         m AS (SELECT spec_idx, i, n, sum({_MASS}[substr(plain, i, 1)]) OVER (PARTITION BY spec_idx ORDER BY i) AS b, sum({_MASS}[substr(plain, i, 1)]) OVER (PARTITION BY spec_idx) AS w FROM l),

@@ -31,4 +31,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     """The oracle SQL with the named views in front."""
     heads = ", ".join(f"{n} AS ({VIEWS[n].replace('AS STRING', 'AS VARCHAR')})" for n in names)
-    return f"WITH {heads}{', ' if sql.lstrip().upper().startswith('WITH ') else ' '}{sql.lstrip()[5:] if sql.lstrip().upper().startswith('WITH ') else sql}"
+    body = sql.lstrip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{heads}, {body[len(start):]}"
+    return f"WITH {heads} {body}"
