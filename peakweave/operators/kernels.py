@@ -387,3 +387,98 @@ def assemble(members: dict[int, tuple[np.ndarray, np.ndarray]], links: list[tupl
         path.append(placed[n])
         n = best[n][1]
     return path[::-1], sorted(set(members) - set(offset))
+
+
+def cosine_distribution(values: np.ndarray, bands: np.ndarray, factors: np.ndarray, shares: np.ndarray, loss: np.ndarray, bins: int = 50, grid: int = 48) -> np.ndarray:
+    """Probability that a replicate's cosine with the unit vector ``values`` is below k / bins, for k from 0 to bins.
+
+    Each element is lost, or multiplied by one of its band's factors, on its own. The cosine is x / sqrt(y), where x sums value^2 * factor and y sums
+    value^2 * factor^2: a table over rounded x and y is carried from element to element, probability split between the cells around a sum.
+    """
+    most = factors.max(initial=1.0)
+    step_x, step_y = most / (grid - 1), most * most / (grid - 1)
+    table = np.zeros((grid, grid))
+    table[0, 0] = 1.0
+    for v, band in zip(values * values, bands, strict=True):
+        out = table * loss[band]
+        for f, p in zip(factors[band], shares[band] * (1 - loss[band]), strict=True):
+            if p <= 0:
+                continue
+            dx, dy = v * f / step_x, v * f * f / step_y
+            i, j = int(dx), int(dy)
+            for a, wa in ((i, 1 - dx + i), (i + 1, dx - i)):
+                for b, wb in ((j, 1 - dy + j), (j + 1, dy - j)):
+                    if wa * wb > 0 and a < grid and b < grid:
+                        out[a:, b:] += p * wa * wb * table[: grid - a, : grid - b]
+        table = out
+    x, y = np.arange(grid) * step_x, np.arange(grid) * step_y
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cosine = np.where(y > 0, x[:, None] / np.sqrt(y), 0.0)
+    cosine = np.clip(cosine, 0, 1)
+    total = table.sum()
+    return np.array([table[cosine < k / bins].sum() / total for k in range(bins + 1)])
+
+
+def project(mz1: np.ndarray, i1: np.ndarray, mz2: np.ndarray, i2: np.ndarray, delta: float, tolerance: float) -> tuple[float, float, int]:
+    """(score, mass from which peaks move, matched peaks) of putting the first spectrum on the second: peaks below a point match as they are, those from it on after a move by ``delta``.
+
+    A peak that has a partner counts its own and the partner's intensity (the strongest within the tolerance). Of equal points the first counts.
+    """
+    def partner(shift: float) -> np.ndarray:
+        out = np.zeros(len(mz1))
+        for k, m in enumerate(mz1):
+            near = i2[np.abs(mz2 - m - shift) <= tolerance]
+            out[k] = near.max() + i1[k] if len(near) else 0.0
+        return out
+
+    here, moved = partner(0.0), partner(delta)
+    left, right = np.concatenate([[0], np.cumsum(here)]), np.concatenate([np.cumsum(moved[::-1])[::-1], [0]])
+    at = int((left + right).argmax())
+    return float(left[at] + right[at]), float(mz1[at]) if at < len(mz1) else float("inf"), int((here[:at] > 0).sum() + (moved[at:] > 0).sum())
+
+
+def align_runs(similar: np.ndarray, slack: float = 1e-5) -> list[tuple[int, int]]:
+    """Rising index pairs with the largest sum of similarities; a pair is taken if that costs less than ``slack``."""
+    n, m = similar.shape
+    best = np.zeros((n + 1, m + 1))
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            best[i, j] = max(best[i - 1, j - 1] + similar[i - 1, j - 1], best[i - 1, j], best[i, j - 1])
+    out, i, j = [], n, m
+    while i and j:
+        if best[i - 1, j - 1] + similar[i - 1, j - 1] + slack >= best[i, j] and best[i - 1, j - 1] + similar[i - 1, j - 1] + slack >= max(best[i - 1, j], best[i, j - 1]):
+            out.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif best[i, j - 1] > best[i - 1, j]:
+            j -= 1
+        else:
+            i -= 1
+    return out[::-1]
+
+
+def align_sequences(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2) -> tuple[int, str, str]:
+    """(score, both sequences with gaps) of the best global alignment; of equal ones pairs come before gaps in the second, then in the first."""
+    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
+    best = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+    ahead = gap * np.arange(len(y) + 1)
+    best[0] = ahead
+    for i in range(1, len(x) + 1):
+        row = np.empty(len(y) + 1, np.int64)
+        row[0] = gap * i
+        row[1:] = np.maximum(best[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), best[i - 1, 1:] + gap)
+        best[i] = np.maximum.accumulate(row - ahead) + ahead  # gaps in the first sequence
+    i, j, left, right = len(x), len(y), [], []
+    while i or j:
+        if i and j and best[i, j] == best[i - 1, j - 1] + (match if x[i - 1] == y[j - 1] else mismatch):
+            i, j = i - 1, j - 1
+            left.append(a[i])
+            right.append(b[j])
+        elif i and best[i, j] == best[i - 1, j] + gap:
+            i -= 1
+            left.append(a[i])
+            right.append("-")
+        else:
+            j -= 1
+            left.append("-")
+            right.append(b[j])
+    return int(best[-1, -1]), "".join(reversed(left)), "".join(reversed(right))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.functions import peptide as P
+from peakweave.operators import kernels
 from peakweave.operators.pairs import band_join
 
 
@@ -89,6 +91,28 @@ def mass_search(spectra: DataFrame, proteins: DataFrame, tolerance: float, longe
     return found.select("spec_idx", "db_index", "start_aa", "end_aa", (F.col("mass") - F.col("residue_mass")).alias("error"))
 
 
+def aligned(pairs: DataFrame, match: int = 2, mismatch: int = -1, gap: int = -2) -> DataFrame:
+    """db_index1, db_index2, score, row1, row2: the best global alignment of each pair's sequence1 and sequence2, as rows with gaps."""
+    from peakweave.session import ship
+
+    ship(pairs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            rows = [kernels.align_sequences(x or "", y or "", match, mismatch, gap) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]], names=["db_index1", "db_index2", "score", "row1", "row2"])
+
+    kind = [pairs.schema[c].dataType.simpleString() for c in ("db_index1", "db_index2")]
+    return pairs.select("db_index1", "db_index2", "sequence1", "sequence2").mapInArrow(run, f"db_index1 {kind[0]}, db_index2 {kind[1]}, score long, row1 string, row2 string")
+
+
+def homologues(proteins: DataFrame, k: int = 6, least: int = 2) -> DataFrame:
+    """db_index1 < db_index2, shared: proteins with at least so many different stretches of k residues in common. A stretch that many proteins have pairs them all, so k should be long enough to be rare."""
+    words = heads(proteins, k).select("db_index", "head").distinct()
+    both = words.select(F.col("db_index").alias("db_index1"), "head").join(words.select(F.col("db_index").alias("db_index2"), "head"), "head").filter("db_index1 < db_index2")
+    return both.groupBy("db_index1", "db_index2").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+
+
 def match_peptide(peaks: list[list[tuple[float, float]]], parent_masses: list[float], prefixes: list[float], tolerance: float = 0.5, end: float = 1.0) -> float:
     """Summed intensity of peaks at a peptide's prefix masses, over spectra of parts of it. Small, for checks.
 

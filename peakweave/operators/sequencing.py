@@ -247,3 +247,66 @@ def localisation(psms: DataFrame, tolerance: float) -> DataFrame:
     w = Window.partitionBy("psm_id")
     least = weighed.withColumn("w", F.col("w") - F.min("w").over(w))
     return least.withColumn("share", F.when(F.sum("w").over(w) > 0, F.col("w") / F.sum("w").over(w)).otherwise(1 / F.count(F.lit(1)).over(w))).drop("w")
+
+
+def projected(edges: DataFrame, spectra: DataFrame, tolerance: float, least_matched: int = 1) -> DataFrame:
+    """spec1, spec2, score, moved_from, matched: the first spectrum of each edge put on the second, with the parent masses' difference added from one mass on (see kernels.project)."""
+    side = lambda n: spectra.select(F.col("spec_idx").alias(f"spec{n}"), F.col("parent_mass").alias(f"_m{n}"), F.col("peaks")["mz"].alias(f"_mz{n}"), F.col("peaks")["intensity"].alias(f"_i{n}"))
+    rows = edges.select("spec1", "spec2").join(side(1), "spec1").join(side(2), "spec2").withColumn("_delta", F.col("_m2") - F.col("_m1"))
+    f = lambda a, i, b, j, d: [kernels.project(a, i, b, j, d, tolerance + 1e-6)]
+    kind = [("score", pa.float64()), ("moved_from", pa.float64()), ("matched", pa.int32())]
+    return _per_row(rows, ["spec1", "spec2"], ["_mz1", "_i1", "_mz2", "_i2"], ["_delta"], f, "score double, moved_from double, matched int", kind).filter(F.col("matched") >= least_matched)
+
+
+def oriented(edges: DataFrame) -> DataFrame:
+    """node, reversed: which spectra to reverse so that the best edges agree. edges: spec1, spec2, direct and flipped, the scores of both ways.
+
+    The edges of a maximum spanning forest by the better of both scores (ties to the smaller ids) decide; a component's smallest node stays as it is. Each component is one group.
+    """
+    ship(edges.sparkSession)
+    named = connected_components(edges, "spec1", "spec2").withColumnRenamed("node", "spec1")
+    rows = edges.select("spec1", "spec2", "direct", "flipped").join(named, "spec1")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_w=-pdf[["direct", "flipped"]].max(axis=1)).sort_values(["_w", "spec1", "spec2"])
+        parent: dict[int, tuple[int, int]] = {}
+
+        def root(x: int) -> tuple[int, int]:
+            turn, way = 0, []
+            while parent.setdefault(x, (x, 0))[0] != x:
+                way.append(x)
+                turn ^= parent[x][1]
+                x = parent[x][0]
+            for y in way:  # straight to the root from now on
+                step = parent[y][1]
+                parent[y] = (x, turn)
+                turn ^= step
+            return x, parent[way[0]][1] if way else 0
+
+        for a, b, d, f in zip(pdf["spec1"], pdf["spec2"], pdf["direct"], pdf["flipped"], strict=True):
+            (x, s), (y, t) = root(int(a)), root(int(b))
+            if x != y:
+                parent[y] = (x, s ^ t ^ int(f > d))
+        turn = {x: root(x)[1] for x in sorted(parent)}
+        first = turn[min(turn)]
+        return pd.DataFrame({"node": list(turn), "reversed": [bool(t ^ first) for t in turn.values()]})
+
+    return rows.groupBy("component").applyInPandas(run, "node long, reversed boolean")
+
+
+def aligned_runs(vectors: DataFrame, group: str = "pair") -> DataFrame:
+    """group, place1, place2, similarity: scans of two runs matched in order (see kernels.align_runs). vectors: group, run (1 or 2), place (from 0), bin, value, scaled to length 1 for each scan.
+
+    Similarities are sums over shared bins, so only scans that share one meet; the order of a pair of runs is sought in one group.
+    """
+    ship(vectors.sparkSession)
+    side = lambda n: vectors.filter(F.col("run") == n).select(group, F.col("place").alias(f"place{n}"), "bin", F.col("value").alias(f"v{n}"))
+    similar = side(1).join(side(2), [group, "bin"]).groupBy(group, "place1", "place2").agg(F.sum(F.col("v1") * F.col("v2")).alias("similarity"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((int(pdf["place1"].max()) + 1, int(pdf["place2"].max()) + 1))
+        table[pdf["place1"], pdf["place2"]] = pdf["similarity"]
+        found = [(a, b) for a, b in kernels.align_runs(table) if table[a, b] > 0]
+        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(found), "place1": [a for a, _ in found], "place2": [b for _, b in found], "similarity": [table[a, b] for a, b in found]})
+
+    return similar.groupBy(group).applyInPandas(run, f"{group} {vectors.schema[group].dataType.simpleString()}, place1 int, place2 int, similarity double")

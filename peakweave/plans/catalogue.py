@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from peakweave.plans import fdr_queries, file_queries, network_queries, peak_queries, psm_queries, sequencing_queries
+from peakweave.plans import fdr_queries, file_queries, network_queries, peak_queries, psm_queries, search_queries, sequencing_queries
 
-_MODULES = (fdr_queries, file_queries, peak_queries, psm_queries, network_queries, sequencing_queries)
+_MODULES = (fdr_queries, file_queries, peak_queries, psm_queries, network_queries, search_queries, sequencing_queries)
 
 
 def queries() -> dict:
