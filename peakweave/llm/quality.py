@@ -156,17 +156,18 @@ class ByteNet:
         return {"filters": np.einsum("nf,nfk->kf", d_z, seen, optimize=True), "filter_bias": d_z.sum(0), "hidden": a.T @ d_u, "hidden_bias": d_u.sum(0), "out": both.T @ d, "out_bias": d.sum(keepdims=True)}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[list[bytes], np.ndarray]:
-    """Whole texts and labels of at most ``per_class`` labelled rows of each class (those of least id hash).
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[list[bytes], np.ndarray, dict[int, int]]:
+    """Whole texts and labels of at most ``per_class`` labelled rows of each class (those of least id hash), and the number of all labelled ids by class.
 
     Ids are chosen from the labels alone; the bounded list is then broadcast to the one scan that finds their texts. Of repeated
     ids the least text counts.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     ids = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = texts(docs, id_col, text_col).join(F.broadcast(ids[0].union(ids[1])), "id").select("id", "text", "y")
     found = rows.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")).orderBy("id").toArrow()
-    return [t.as_py().encode() for t in found.column("text")], found.column("y").to_numpy().astype(np.float32)
+    return [t.as_py().encode() for t in found.column("text")], found.column("y").to_numpy().astype(np.float32), sizes
 
 
 def with_short(held: list[bytes], y: np.ndarray, share: float = SHORT, seed: int = 11) -> tuple[list[bytes], np.ndarray]:
@@ -186,13 +187,15 @@ def with_short(held: list[bytes], y: np.ndarray, share: float = SHORT, seed: int
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = TRAIN_ROWS) -> ByteNet:
     """A network trained on the driver on a bounded sample: the whole texts of ``per_class`` labelled rows a class.
 
-    With one class only (or no labelled text at all) the model is that constant (0.5 without any).
+    Training sees both classes about equally often; the last bias then moves by the log-odds that the labels as a whole have
+    beyond that, so that scores are probabilities among documents like the labelled ones. With one class only (or no labelled text at all) the model is that constant (0.5 without any).
     """
-    held, y = training_rows(docs, labels, id_col, text_col, label_col, per_class)
+    held, y, sizes = training_rows(docs, labels, id_col, text_col, label_col, per_class)
     if len(set(y.tolist())) < 2:
         return ByteNet.fresh(prior=float(y[0]) if len(y) else 0.5)
     net = ByteNet.fresh()
     net.train(*with_short(held, y))
+    net.out_bias += np.float32(np.log(sizes[1] / sizes[0]) - np.log(y.sum() / (1 - y).sum()))
     return net
 
 
