@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from peakweave.llm import packing, private_data, quality, simhash
 from peakweave.session import ship, written
 
-#: Documents that score below go. Lower than the classifier's own threshold, as a clean document lost costs more than a poor one kept.
-LEAST_QUALITY = 0.3
+#: Documents that score below go: the classifier's own threshold. On check_s held-out labels 15 of 4410 good texts go and 9 of 689 poor ones stay.
+LEAST_QUALITY = quality.THRESHOLD
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
