@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakweave.operators.hubs import hub_join
+from peakweave.operators.hubs import HUB_ROWS, hub_join
 from peakweave.session import written
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, hub_rows: int = HUB_ROWS) -> DataFrame:
     """(node, component) for each node of an edge; the component is its smallest node.
 
     Each round links every larger neighbour of a node to the node's smallest neighbour, then every
@@ -20,18 +20,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     nodes = written(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     now = nodes.filter("u <> v")
-    before = None
+    before, size = None, nodes.count()
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = hub_join(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.filter("u <> m").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        large = hub_join(both.filter("v > u"), least, "u", "n", size, hub_rows).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.filter("u <> m").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = hub_join(large, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = hub_join(large, least, "u", "n", 2 * size, hub_rows).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, "components")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             roots = now.groupBy("u").agg(F.min("v").alias("m"))
             everyone = nodes.select(F.col("u").alias("node")).union(nodes.select(F.col("v").alias("node"))).distinct()
             return everyone.join(roots, F.col("node") == F.col("u"), "left").select("node", F.coalesce("m", "node").alias("component"))
-        before = state
+        before, size = state, state[0]
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")

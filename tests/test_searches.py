@@ -158,9 +158,15 @@ def test_hubs_lose_nothing(spark):
     left = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(300)], "k long, v long")
     right = left.groupBy("k").count().withColumn("name", F.concat(F.lit("n"), F.col("k").cast("string")))
     for most in (1, 20, 1000):
-        got = hub_join(left, right, "k", "count", most)
+        got = hub_join(left, right, "k", "count", 300, most)
         assert got.columns == ["k", "v", "name"] and sorted(x["v"] for x in got.collect()) == list(range(300))
         assert all(x["name"] == f"n{x['k']}" for x in got.collect())
+    from peakweave.operators.components import connected_components
+
+    r = random.Random(3)
+    ends = [(0, k) for k in range(1, 60)] + [(60 + k, 61 + k) for k in range(30)] + [(r.randint(100, 140), r.randint(100, 140)) for _ in range(30)]
+    table = spark.createDataFrame(ends, "a long, b long")
+    assert sorted(map(tuple, connected_components(table, hub_rows=5).collect())) == sorted(map(tuple, connected_components(table).collect()))
 
 
 def test_substrings_of_every_length(spark):
