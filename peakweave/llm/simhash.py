@@ -349,19 +349,19 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = source.schema["id"].dataType.simpleString()
     marked = written(source.mapInArrow(marks, f"id {kind}, text_hash long, node long, fp binary, minima binary"), "wide-fingerprints")
     distinct = marked.groupBy("node").agg(F.min("id").alias("least"), F.min_by("text_hash", "id").alias("text_hash"), F.min("fp").alias("fp"), F.min("minima").alias("minima"), F.count(F.lit(1)).alias("copies"))
-    least = written(distinct, "wide-distinct")
+    least, total = written(distinct, "wide-distinct"), marked.count()
     least_hash = lambda i: F.substring("minima", 4 * i + 1, 4)
     keys = F.array(*[F.xxhash64(F.lit(n), least_hash(i), least_hash(j)) for n, (i, j) in enumerate(combinations(range(words), 2))])
     keyed = least.filter("least IS NOT NULL").select("node", F.explode(keys).alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "wide-keys")
-    held = keyed.join(F.broadcast(shared), "key") if shared.count() <= BROADCAST_ROWS else hub_join(keyed, shared.withColumn("rows", F.col("n")), "key", "rows")
+    held = keyed.join(F.broadcast(shared), "key") if shared.count() <= BROADCAST_ROWS else hub_join(keyed, shared.withColumn("rows", F.col("n")), "key", "rows", total)
     held = written(held.select("key", "node", "n"), "wide-held")
     # keys with the same nodes are compared once: their number, and two hashes of all, tell sets of nodes apart
     alike = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"))
     tiled = alike.groupBy("n", "one", "two").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, own).alias("x"), F.greatest(t, own).alias("y")))
-    dealt = hub_join(held.select("key", "node"), tiled, "key", "n").select("key", "node", F.explode(pairs).alias("p"))
+    dealt = hub_join(held.select("key", "node"), tiled, "key", "n", total).select("key", "node", F.explode(pairs).alias("p"))
     groups = dealt.join(least.select("node", "fp"), "node").groupBy("key", "p").agg(F.collect_list("node").alias("ids"), F.collect_list("fp").alias("fps")).filter(F.size("ids") > 1).select("ids", "fps")
 
     def found(ids, held):
@@ -384,11 +384,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     candidates = connected_components(groups.mapInArrow(compare, "a long, b long"))
     central = held.groupBy("node").agg(F.sum("n").alias("met"))
-    joined = connected_components(_confirmed(source, least.join(central, "node"), candidates, shingle))
+    joined = connected_components(_confirmed(source, least.join(central, "node"), candidates, shingle, total))
     member = least.join(joined, "node", "left").select("node", "least", "copies", F.coalesce("component", "node").alias("component"))
     ids = member.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
-    named = hub_join(member, ids, "component", "nodes").select("node", "copies", "component_id")
-    return hub_join(marked.select("id", "text_hash", "node"), named, "node", "copies").select(F.col("id").alias(id_col), "text_hash", "component_id")
+    named = hub_join(member, ids, "component", "nodes", total).select("node", "copies", "component_id")
+    return hub_join(marked.select("id", "text_hash", "node"), named, "node", "copies", total).select(F.col("id").alias(id_col), "text_hash", "component_id")
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -399,7 +399,7 @@ def set_hash(s: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _confirmed(source: DataFrame, least: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
+def _confirmed(source: DataFrame, least: DataFrame, candidates: DataFrame, shingle: int, total: int) -> DataFrame:
     """(a, b): links that connect all similar sets of each component of candidates, from the texts that have their least ids.
 
     All sets of a component are first compared with that of its most central node (the one that met most others among the
@@ -420,7 +420,7 @@ def _confirmed(source: DataFrame, least: DataFrame, candidates: DataFrame, shing
 
     wanted = least.join(candidates, "node").select("least", F.col("text_hash").alias("wanted_hash"), "node", "component", "met")
     first = wanted.groupBy("component").agg(F.max_by("node", F.struct("met", "node")).alias("central"), F.count(F.lit(1)).alias("nodes"))
-    wanted = written(hub_join(wanted.drop("met"), first, "component", "nodes"), "wide-candidates")
+    wanted = written(hub_join(wanted.drop("met"), first, "component", "nodes", total), "wide-candidates")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     members = source.join(small, (F.col("id") == F.col("least")) & (F.col("text_hash") == F.col("wanted_hash"))).select("component", "node", "central", "text")
     sets = written(members.mapInArrow(sets_of, "component long, node long, central long, hashes binary"), "wide-sets")
@@ -436,12 +436,12 @@ def _confirmed(source: DataFrame, least: DataFrame, candidates: DataFrame, shing
 
     centre = sets.filter("node = central").groupBy("component").agg(F.min("hashes").alias("first"))
     counts = sets.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
-    judged = hub_join(sets, centre.join(counts, "component"), "component", "nodes").select("component", "node", "central", "hashes", "first")
+    judged = hub_join(sets, centre.join(counts, "component"), "component", "nodes", total).select("component", "node", "central", "hashes", "first")
     judged = written(judged.mapInArrow(judge, "component long, node long, central long, tied boolean, bytes long"), "wide-judged")
     tiles = lambda which: F.ceil(F.greatest(F.sum(F.when(which, F.col("bytes"))) / SET_BYTES, F.count(F.when(which, 1)) / SET_TILE)).cast("int")
     shape = judged.groupBy("component").agg(F.coalesce(tiles(~F.col("tied")), F.lit(0)).alias("rest"), F.coalesce(tiles(F.col("tied")), F.lit(0)).alias("ties"), F.count(F.lit(1)).alias("nodes"))
     open_ = written(shape.filter("rest > 0"), "wide-open")
-    known = hub_join(judged.select("component", "node", "tied").dropDuplicates(["component", "node"]), open_, "component", "nodes").select("node", "tied", "rest", "ties")
+    known = hub_join(judged.select("component", "node", "tied").dropDuplicates(["component", "node"]), open_, "component", "nodes", total).select("node", "tied", "rest", "ties")
     number = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
     own = F.when(F.col("tied"), F.col("rest") + number(F.greatest("ties", F.lit(1)))).otherwise(number(F.greatest("rest", F.lit(1))))
     others = F.sequence(F.lit(0), F.col("rest") + F.when(F.col("tied"), 0).otherwise(F.col("ties")) - 1)
@@ -498,11 +498,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     least = written(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies")), "distinct")
+    total = marked.count()
     joined = connected_components(links(least.select("fp"), radius))
     member = least.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("component"))
     ids = member.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
-    named = hub_join(member, ids, "component", "nodes").select("fp", "copies", "component_id")
-    return hub_join(marked, named, "fp", "copies").select(id_col, "fp", "component_id")
+    named = hub_join(member, ids, "component", "nodes", total).select("fp", "copies", "component_id")
+    return hub_join(marked, named, "fp", "copies", total).select(id_col, "fp", "component_id")
 
 
 def hexadecimal(fp: str = "fp"):
