@@ -78,14 +78,24 @@ BUCKET = 100_000
 
 
 def packed(*numbers: np.ndarray, text: bytes = b"") -> bytes:
-    """Deflated 32-bit integers, and bytes."""
-    return zlib.compress(np.concatenate(numbers).astype("<u4").tobytes() + text, 1)
+    """Deflated 32-bit integers, first all their lowest bytes, then the next, and bytes."""
+    flat = np.concatenate(numbers).astype("<u4")
+    planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T)
+    return zlib.compress(len(flat).to_bytes(4, "little") + planes.tobytes() + text, 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
+    """The integers and bytes of ``packed``."""
+    raw = zlib.decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64), raw[4 + 4 * n :]
 
 
 def pretoken_frequencies(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
     """A written table with one row a block: block, words (its different pre-tokens), ids, n_bytes and added (added tokens) of its documents, and packed.
 
-    packed: for each document, how many of the block's words it has, then which, then how often each; 32-bit integers, deflated.
+    packed: for each document, how many of the block's words it has, then which (in rising order, as steps from one to the next), then how often each.
     """
 
     def run(batches):
@@ -98,11 +108,17 @@ def pretoken_frequencies(docs: DataFrame, id_col: str, text_col: str, vocabulary
             for t in held:
                 found, n = c.frequencies(t)
                 added.append(n)
-                parts.append((np.fromiter((place.setdefault(w, len(place)) for w in found), np.uint32, len(found)), np.fromiter(found.values(), np.uint32, len(found))))
-            numbers = [np.array([len(p) for p, _ in parts], np.uint32), *(p for p, _ in parts), *(n for _, n in parts)]
+                parts.append((np.fromiter((place.setdefault(w, len(place)) for w in found), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))))
+            size = np.array([len(p) for p, _ in parts])
+            which, times = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+            order = np.lexsort((which, np.repeat(np.arange(len(size)), size)))
+            which = which[order]
+            first = (np.cumsum(size) - size)[size > 0]
+            steps = np.diff(which, prepend=0)
+            steps[first] = which[first]
             whole = lambda values, kind: pa.array([values], pa.list_(kind))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([base + k]), whole(list(place), pa.string()), whole(ids, id_type), whole([len(t.encode()) for t in held], pa.int64()), whole(added, pa.int64()), pa.array([packed(*numbers)], pa.binary())],
+                [pa.array([base + k]), whole(list(place), pa.string()), whole(ids, id_type), whole([len(t.encode()) for t in held], pa.int64()), whole(added, pa.int64()), pa.array([packed(size, steps, times[order])], pa.binary())],
                 names=["block", "words", "ids", "n_bytes", "added", "packed"],
             )
 
@@ -126,7 +142,7 @@ def piece_counts(rows: DataFrame, vocabulary: str, bucket: int = BUCKET) -> Data
                 order = np.argsort(own, kind="stable")
                 found, first = np.unique(own[order], return_index=True)
                 parts = np.split(order, first[1:]) if len(found) else []
-                lists = [packed(np.array([len(p)]), p, np.array([len(raw[i]) for i in p.tolist()]), text=b"".join(raw[i] for i in p.tolist())) for p in parts]
+                lists = [packed(p, np.array([len(raw[i]) for i in p.tolist()]), text=b"".join(raw[i] for i in p.tolist())) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), block)), pa.array(lists, pa.binary())], names=["bucket", "of", "words"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,14 +150,12 @@ def piece_counts(rows: DataFrame, vocabulary: str, bucket: int = BUCKET) -> Data
         for b in batches:
             out = []
             for x in b.column("words").to_pylist():
-                raw = zlib.decompress(x)
-                n = int.from_bytes(raw[:4], "little")
-                places, size = np.frombuffer(raw, "<u4", 2 * n, 4).reshape(2, n)
-                ends = (8 * n + 4 + np.cumsum(size, dtype=np.int64)).tolist()
-                words = [raw[e - k : e].decode() for e, k in zip(ends, size.tolist(), strict=True)]
+                numbers, raw = unpacked(x)
+                places, size = numbers.reshape(2, -1)
+                words = [raw[e - k : e].decode() for e, k in zip(np.cumsum(size).tolist(), size.tolist(), strict=True)]
                 fresh = [w for w in words if w not in known]
                 known.update(zip(fresh, c.count(fresh), strict=True))
-                out.append(packed(places, np.fromiter(map(known.__getitem__, words), np.int64, n)))
+                out.append(packed(places, np.fromiter(map(known.__getitem__, words), np.int64, len(words))))
             yield pa.RecordBatch.from_arrays([b.column("of"), pa.array(out, pa.binary())], names=["of", "counts"])
 
     dealt = rows.select("block", "words").mapInArrow(deal, "bucket int, of long, words binary")
@@ -161,13 +175,15 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def total(block: pa.Table, counts: pa.Table) -> pa.Table:
         ids, n_bytes, added = (block.column(c).combine_chunks().flatten() for c in ("ids", "n_bytes", "added"))
-        found = [np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64).reshape(2, -1) for x in counts.column("counts").to_pylist()]
+        found = [unpacked(x)[0].reshape(2, -1) for x in counts.column("counts").to_pylist()]
         pieces = np.zeros(sum(x.shape[1] for x in found), np.int64)
         for places, n in found:
             pieces[places] = n
-        flat = np.frombuffer(zlib.decompress(block.column("packed")[0].as_py()), "<u4").astype(np.int64)
+        flat, _ = unpacked(block.column("packed")[0].as_py())
         size = flat[: len(ids)]
-        which, times = flat[len(ids) :].reshape(2, -1)
+        steps, times = flat[len(ids) :].reshape(2, -1)
+        run = np.concatenate([[0], np.cumsum(steps)])
+        which = run[1:] - np.repeat(run[np.cumsum(size) - size], size)
         sums = np.concatenate([[0], np.cumsum(pieces[which] * times)])
         ends = np.cumsum(size)
         tokens = added.to_numpy() + sums[ends] - sums[ends - size]

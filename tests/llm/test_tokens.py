@@ -42,7 +42,7 @@ def test_counts_of_a_corpus(spark):
     c = token_counts.counter(token_counts.VOCABULARY)
     got = {}
     for r in token_counts.piece_counts(rows, token_counts.VOCABULARY, bucket=20).collect():
-        places, n = np.frombuffer(zlib.decompress(r["counts"]), "<u4").reshape(2, -1).tolist()
+        places, n = token_counts.unpacked(r["counts"])[0].reshape(2, -1).tolist()
         got.setdefault(r["of"], {}).update(zip(places, n, strict=True))
     for r in rows.collect():
         assert got[r["block"]] == dict(enumerate(c.count(r["words"])))
