@@ -72,7 +72,7 @@ def prefix_cutoff(rated: DataFrame, threshold: float, keep_first: bool = False,
         return rated.filter(F.col("fdr") <= threshold)
     order = F.struct((-F.col(score)).alias("v"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak or [])])
     first = rated.groupBy().agg(F.min(order).alias("_first"))
-    return rated.crossJoin(F.broadcast(first)).filter((F.col("fdr") <= threshold) | (order == F.col("_first"))).drop("_first")
+    return rated.filter((F.col("fdr") <= threshold) | (order == first.scalar()))
 
 
 def split_fdr(psms: DataFrame, bins: list[str], score: str = "score", tiebreak: list[str] | None = None, autoscale: bool = False) -> DataFrame:

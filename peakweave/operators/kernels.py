@@ -239,11 +239,12 @@ def spectral_alignment(mz1, i1, mz2, i2, full1: float, full2: float, tolerance:
     return score, path[::-1]
 
 
-def penalty_alignment(mz: np.ndarray, intensity: np.ndarray, residues: str, tolerance: float, mod_penalty: float, max_mods: int, known: dict[tuple[str, float], float] | None = None, reach: float = 100.0) -> tuple[float, int, int, str]:
+def penalty_alignment(mz: np.ndarray, intensity: np.ndarray, residues: str, tolerance: float, mod_penalty: float, max_mods: int, known: dict[tuple[str, float], float] | None = None, reach: float = 100.0, beam: int | None = None) -> tuple[float, int, int, str]:
     """(score, start, end, annotation): best match of prefix masses to a protein with at most ``max_mods`` mass differences on a residue.
 
     A residue step explains a peak within the tolerance; a modified one, by a difference of up to ``reach`` Dalton, costs ``known[residue, mass]``
-    (rounded to integers) or ``mod_penalty``. Ties to fewer modifications, then the smaller start.
+    (rounded to integers) or ``mod_penalty``. Ties to fewer modifications, then the smaller start. All states (mass, modifications) of a residue are
+    kept; with ``beam`` only so many of the best, which is faster and can miss the best match.
     """
     known = known or {}
     total = float(intensity.sum()) or 1.0
@@ -269,7 +270,7 @@ def penalty_alignment(mz: np.ndarray, intensity: np.ndarray, residues: str, tole
                     key = (round(at, 3), mods)
                     if key not in grown or score > grown[key][0]:
                         grown[key] = (score, words)
-            layer = dict(sorted(grown.items(), key=lambda x: -x[1][0])[:64])
+            layer = grown if beam is None else dict(sorted(grown.items(), key=lambda x: -x[1][0])[:beam])
             if not layer or min(m for m, _ in layer) > mz[-1] + tolerance:
                 break
             for (_, mods), (score, words) in layer.items():

@@ -60,7 +60,7 @@ def top_hits(matches: DataFrame, k: int, least_score: float = 0.0, least_shared:
 def target_decoy_winners(matches: DataFrame, bias: Column | None = None) -> DataFrame:
     """query, entry, is_decoy, dot, score: the winning side of each query; none where both sides are equal.
 
-    score = 0.6 dot + 0.4 delta - bias, where delta is the lead over the second of its side and the best of the other, missing ones counting 0.
+    score = 0.6 dot + 0.4 delta - bias (fixed weights), where delta is the lead over the second of its side and the best of the other, missing ones counting 0.
     """
     w = Window.partitionBy("query", "is_decoy").orderBy(F.desc("dot"), "entry")
     two = matches.withColumn("_r", F.row_number().over(w)).filter("_r <= 2")

@@ -59,7 +59,7 @@ def dense_cosine(a: Column, b: Column) -> Column:
 
 
 def dot_bias_penalty(bias: Column) -> Column:
-    """The penalty of a dot bias: 0.12 below 0.1 and from 0.35 to 0.4, 0.18 from 0.4 to 0.45, 0.24 above, else 0."""
+    """The penalty of a dot bias (fixed values): 0.12 below 0.1 and from 0.35 to 0.4, 0.18 from 0.4 to 0.45, 0.24 above, else 0."""
     return F.when(bias < 0.1, 0.12).when(bias <= 0.35, 0.0).when(bias <= 0.4, 0.12).when(bias <= 0.45, 0.18).otherwise(0.24)
 
 
@@ -191,7 +191,7 @@ def modification_frequencies(edges: DataFrame, resolution: float, max_mass: floa
     counts = shifts.select(cut.alias("k")).filter("k <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     mass = F.col("k") * F.lit(resolution)
-    return counts.crossJoin(F.broadcast(total)).select(mass.alias("mass"), F.when((F.col("n") <= 1) | (mass > max_mass), 0.0).otherwise(F.col("n") / F.col("total")).alias("frequency"))
+    return counts.select(mass.alias("mass"), F.when((F.col("n") <= 1) | (mass > max_mass), 0.0).otherwise(F.col("n") / total.scalar()).alias("frequency"))
 
 
 def edge_fdr(edges: DataFrame, rate: float) -> DataFrame:
@@ -213,7 +213,7 @@ def edge_fdr(edges: DataFrame, rate: float) -> DataFrame:
     # of equal decoy scores the first comes with all others after it, the last with none of them
     best = F.when((F.col("above") > 0) & (F.col("after") / (F.col("above") + F.col("after")) <= rate), F.col("_s"))
     threshold = upto.filter("decoys > 0").agg(F.coalesce(F.min(best), F.lit(float("-inf"))).alias("_t"))
-    return scored.crossJoin(F.broadcast(threshold)).filter("_s >= _t").drop("_s", "_t")
+    return scored.filter(F.col("_s") >= threshold.scalar()).drop("_s")
 
 
 def precision_recall(found: DataFrame, gold: DataFrame, score: str = "score1", step: float = 0.1) -> DataFrame:
@@ -224,4 +224,4 @@ def precision_recall(found: DataFrame, gold: DataFrame, score: str = "score1", s
     bins = known.groupBy(F.floor(F.col(score) / step).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count("_g").alias("g"))
     w = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # one row a bin
     out = bins.select("bin", F.sum("n").over(w).alias("detected"), F.sum("g").over(w).alias("correct"))
-    return out.crossJoin(F.broadcast(total)).select("bin", "detected", "correct", (F.col("correct") / F.col("detected")).alias("precision"), (F.col("correct") / F.col("total")).alias("recall"))
+    return out.select("bin", "detected", "correct", (F.col("correct") / F.col("detected")).alias("precision"), (F.col("correct") / total.scalar()).alias("recall"))

@@ -121,13 +121,13 @@ def top_k(spectra: DataFrame, k: int) -> DataFrame:
     return spectra.withColumn(PEAKS, F.transform(F.array_sort(F.transform(ranked, lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p")))), lambda x: x["p"]))
 
 
-def rank_filter(spectra: DataFrame, max_rank: int, radius: float = A.LEAST_RESIDUE - 1, first: int = 1000) -> DataFrame:
-    """Peaks whose intensity has dense rank ``max_rank`` or better among the peaks less than ``radius`` away, after a cut to the ``first`` most intense."""
+def rank_filter(spectra: DataFrame, max_rank: int, radius: float = A.LEAST_RESIDUE - 1, first: int | None = 1000) -> DataFrame:
+    """Peaks whose intensity has dense rank ``max_rank`` or better among the peaks less than ``radius`` away, after a cut to the ``first`` most intense (None: without one)."""
     def better(p: Column) -> Column:
         near = F.filter("_all", lambda q: (F.abs(q["mz"] - p["mz"]) < radius) & (q["intensity"] > p["intensity"]))
         return F.size(F.array_distinct(F.transform(near, lambda q: q["intensity"])))
 
-    return top_k(spectra, first).withColumn("_all", F.col(PEAKS)).withColumn(PEAKS, F.filter(PEAKS, lambda p: better(p) < max_rank)).drop("_all")
+    return (spectra if first is None else top_k(spectra, first)).withColumn("_all", F.col(PEAKS)).withColumn(PEAKS, F.filter(PEAKS, lambda p: better(p) < max_rank)).drop("_all")
 
 
 def window_filter(spectra: DataFrame, width: float, keep: int) -> DataFrame:

@@ -126,7 +126,7 @@ def penalties(frequencies: DataFrame, average_intensity: float, least: float = 0
     """mass, penalty: -log10 of a modification's share, as a share of the rarest one's, times the average intensity; frequencies under ``least`` aren't known."""
     known = frequencies.filter(F.col("frequency") >= least).withColumn("_p", -F.log10("frequency"))
     top = known.agg(F.max("_p").alias("_t"))
-    return known.crossJoin(F.broadcast(top)).select("mass", F.when(F.col("_t") > 0, F.col("_p") / F.col("_t") * average_intensity).otherwise(0.0).alias("penalty"))
+    return known.select("mass", F.when(top.scalar() > 0, F.col("_p") / top.scalar() * average_intensity).otherwise(0.0).alias("penalty"))
 
 
 def partners(modified: DataFrame, unmodified: DataFrame) -> DataFrame:
