@@ -22,7 +22,7 @@ CHUNK, STEP = 256, 224
 WIDTH, STRIDE, SIZE = 8, 2, 8
 FILTERS, HIDDEN = 32, 16
 #: Chunks that pass through the network together.
-SLAB = 256
+SLAB = 128
 #: Labelled rows of each class that training takes at most, with their whole texts.
 TRAIN_ROWS = 2500
 #: Share of them that also yields a short example.
@@ -132,13 +132,13 @@ class ByteNet:
     def gradients(self, held: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         chunks, fills, count = cut_up(held)
         doc, first = np.repeat(np.arange(len(held)), count), np.cumsum(count) - count
-        z, seen = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS, WIDTH * SIZE), np.float32)
-        for k in range(0, len(chunks), SLAB):
-            win = self.windows(chunks[k : k + SLAB])
+        z, at = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int64)
+        slabs = [slice(k, k + SLAB) for k in range(0, len(chunks), SLAB)]
+        for part in slabs:
+            win = self.windows(chunks[part])
             answers = (win.reshape(-1, WIDTH * SIZE) @ self.filters).reshape(len(win), -1, FILTERS)
-            at = answers.argmax(1)
-            z[k : k + SLAB] = np.take_along_axis(answers, at[:, None, :], 1)[:, 0] + self.filter_bias
-            seen[k : k + SLAB] = win[np.arange(len(win))[:, None], at]
+            at[part] = answers.argmax(1)
+            z[part] = np.take_along_axis(answers, at[part][:, None, :], 1)[:, 0] + self.filter_bias
         a = np.concatenate([np.maximum(z, 0), fills[:, None]], 1)
         u = a @ self.hidden + self.hidden_bias
         h = np.maximum(u, 0)
@@ -153,7 +153,11 @@ class ByteNet:
         d_h = d_both[doc, :HIDDEN] * share + d_both[doc, HIDDEN:] / count[doc][:, None]
         d_u = (d_h * (u > 0)).astype(np.float32)
         d_z = (d_u @ self.hidden[:FILTERS].T) * (z > 0)
-        return {"filters": np.einsum("nf,nfk->kf", d_z, seen, optimize=True), "filter_bias": d_z.sum(0), "hidden": a.T @ d_u, "hidden_bias": d_u.sum(0), "out": both.T @ d, "out_bias": d.sum(keepdims=True)}
+        filters = np.zeros_like(self.filters)
+        for part in slabs:  # what the largest answers saw, a slab at a time
+            win = self.windows(chunks[part])
+            filters += np.einsum("nf,nfk->kf", d_z[part], win[np.arange(len(win))[:, None], at[part]], optimize=True)
+        return {"filters": filters, "filter_bias": d_z.sum(0), "hidden": a.T @ d_u, "hidden_bias": d_u.sum(0), "out": both.T @ d, "out_bias": d.sum(keepdims=True)}
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[list[bytes], np.ndarray, dict[int, int]]:
