@@ -13,26 +13,37 @@ LEAST_QUALITY = quality.THRESHOLD
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject, with all their columns. A null text counts as empty; repeated rows stay or go together.
+
+    Without labels of both classes there is nothing to learn, and no document goes. An empty table gives an empty table.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~quality.held_out())
-    return quality.keep(docs, quality.fit(docs, labels), LEAST_QUALITY)
+    net = quality.fit(docs, labels)
+    return docs if net.prior is not None else quality.keep(docs, net, LEAST_QUALITY)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document of each class of near copies: five-word shingles, similarity of 0.8 or more. The smallest id of a class stays.
+
+    Null and wordless texts are one class; of rows that repeat an id one stays. Rows with a null id all stay, unless a text like
+    theirs has an id. An empty table gives an empty table.
+    """
     ship(spark)
     return simhash.one_of_each(docs)
 
 
 def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and disclosing terms replaced in their texts, and n_chars of the texts as they now are."""
+    """All documents, with personal data and disclosing terms replaced in their texts, and n_chars of the texts as they now are.
+
+    A null text stays null and keeps its n_chars; repeated rows each stay; an empty table gives an empty table.
+    """
     out = private_data.sanitised(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences. A null text counts as empty; repeated rows are packed each; an empty table gives an empty table."""
     ship(spark)
     return packing.pack_documents(docs)
 
