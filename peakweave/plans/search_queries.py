@@ -219,6 +219,96 @@ def run_alignment(spark, d):
     return sequencing.aligned_runs(v.join(s, "spec_idx").select("pair", "run", "place", "bin", "value")).select("pair", "place1", "place2", F.round("similarity", R).alias("similarity"))
 
 
+def tag_search(spark, d):
+    t = sequencing.tags(_prefix_spectra(spark, d), 3, 0.01, 2).select("spec_idx", "tag", "before", "after")
+    p = _peptides(spark, d).select(F.col("psm_id").cast("int").alias("db_index"), F.col("plain").alias("sequence"))
+    return proteins.tag_search(t, p, 0.01, 2)
+
+
+_ENVELOPES = "SELECT p_partkey AS spec_idx, p_retailprice + 400.0 AS parent_mass, p_size + 1.0 AS a, p_size * 0.7 + 2 AS b, p_size * 0.3 + 1 AS c, p_size * 0.1 AS d FROM part"
+
+
+def envelope_scores(spark, d):
+    e = spark.sql(_ENVELOPES.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    s = e.select("spec_idx", F.col("parent_mass").cast("double").alias("parent_mass"), F.array(*[F.col(c).cast("double") for c in "abcd"]).alias("isotopes"))
+    return sequencing.envelope_scores(s).select("spec_idx", F.round("envelope_score", R).alias("envelope_score"))
+
+
+#: low, high, vectors, coefficients, gamma and rho of a small model.
+_SVM = {"low": [0.0, 0.0], "high": [9000.0, 24.0], "vectors": [[0.5, -0.5], [-0.25, 0.75], [0.0, 0.1]], "coefficients": [1.5, -0.75, 0.5], "gamma": 0.8, "rho": 0.1}
+
+
+def svm_scores(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    return sequencing.svm_scores(c, ["c_acctbal", "c_nationkey"], _SVM).select("c_custkey", F.round("svm_score", R).alias("svm_score"))
+
+
+#: Offset from the prefix mass, probability of a peak there, background.
+_IONS = [(1.0, 0.6, 0.1), (41.0, 0.3, 0.05), (-39.0, 0.2, 0.1)]
+
+
+def prefix_scores(spark, d):
+    from peakweave.operators import precursors
+
+    s = P.gathered(view(spark, d, "peaks").select("spec_idx", "mz", "intensity"))
+    return P.exploded(precursors.prefix_scores(s, _IONS, 0.5)).select("spec_idx", F.round("mz", 4).alias("mz"), F.round("intensity", R).alias("score"))
+
+
+def merged_stages(spark, d):
+    """Spectra of the kind P as a third stage of the spectrum that their file's number names."""
+    from peakweave.operators import precursors
+
+    s = _spectra(spark, d).join(view(spark, d, "spectra").select("spec_idx", F.col("file_idx").alias("parent_spec")), "spec_idx")
+    m = precursors.merged_stages(s.withColumn("ms_level", F.when(F.col("frag_type") == "P", 3).otherwise(2)), 10.0)
+    return m.select("spec_idx", F.inline("peaks")).select("spec_idx", "mz", F.round("intensity", 2).alias("intensity"))
+
+
+def modified_partners(spark, d):
+    from peakweave.operators import precursors
+
+    p = _peptides(spark, d).filter("plain <> ''").select("psm_id", F.substring("plain", 1, 4).alias("plain"), (F.col("size") % 3).alias("charge"), F.col("price").alias("score"))
+    return precursors.partners(p.filter("psm_id % 2 = 0"), p.filter("psm_id % 2 = 1")).select("psm_id", "partner")
+
+
+def psm_variants(spark, d):
+    """Places of short peptides in the sequences of parts, and the regions that they form."""
+    p = _peptides(spark, d)
+    short = p.filter("length(plain) >= 12").select("psm_id", F.substring("plain", 3, 8).alias("annotation"))
+    db = p.select(F.col("psm_id").cast("int").alias("db_index"), F.col("plain").alias("sequence"))
+    return psms.variants(short, db, 0.5).select("psm_id", "db_index", "start_aa", "end_aa", "region")
+
+
+def library_substituted(spark, d):
+    out = library.substituted(_consensus(spark, d), "S", "T", 0.001)
+    return out.select("spec_idx", "annotation", F.size("peaks").alias("n_peaks"))
+
+
+def spectra_clusters(spark, d):
+    return clusters.cosine_clusters(_spectra(spark, d), 0.2, 20.0, 0.3, 1)
+
+
+def overlap_pairs(spark, d):
+    return pairs.overlap_pairs(_prefix_spectra(spark, d), 0.02, 400.0, 5, 400.0).select("spec1", "spec2", F.round("shift1", 3).alias("shift1"), "matched")
+
+
+def deconvoluted_spectra(spark, d):
+    out = sequencing.deconvoluted(_spectra(spark, d), 0.02)
+    return out.select("spec_idx", F.size("peaks").alias("n_peaks"))
+
+
+def cyclic_sequences(spark, d):
+    return sequencing.cyclic(_prefix_spectra(spark, d), 0.01).select("spec_idx", "sequence")
+
+
+def survey_precursors(spark, d):
+    """Precursors of spectra after the latest survey spectrum of their file."""
+    s = _spectra(spark, d).join(view(spark, d, "spectra").select("spec_idx", "file_idx"), "spec_idx").withColumn("ms_level", F.when(F.col("frag_type") == "P", 1).otherwise(2)).withColumn("parent_mz", F.col("parent_mass"))
+    from peakweave.operators import precursors
+
+    out = precursors.guess(precursors.with_survey(s, ["spec_idx"], ["file_idx"]), 30.0)
+    return out.select("spec_idx", "charge", F.round("precursor_kl", R).alias("precursor_kl"))
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
 
 _TRAIN = f"""pep AS ({_DUCK_PEPTIDES}), u AS (SELECT plain, min(psm_id) AS entry FROM pep WHERE length(plain) > 1 GROUP BY 1), l AS (SELECT entry, plain, length(plain) AS n, unnest(range(1, length(plain) + 1)) AS i FROM u),
@@ -265,6 +355,26 @@ ORACLES = {
     "annotation_charge": f"WITH {_PT} SELECT psm_id, greatest(round((list_sum(list_transform(string_split(plain, ''), lambda c: {_MASS}[c])) + 18.010564686 + 1.00727646688) / price), 1)::INT AS charge FROM pt WHERE plain <> ''",
     "mod_positions": f"WITH {_ANN} SELECT psm_id, concat('1,', (length(plain) + 1)::VARCHAR) AS positions FROM ann",
     "score_histogram": with_views("SELECT floor(score / 25.0)::BIGINT AS bin, count(*) AS count FROM psms GROUP BY 1", "psms"),
+    "tag_search": f"""WITH {_tags_sql(3, 2)}, pr AS (SELECT psm_id::INT AS db_index, plain AS sequence, unnest(range(1, length(plain) + 1)) AS k FROM pep),
+        c AS (SELECT db_index, k, sum({_MASS}[substr(sequence, k, 1)]) OVER (PARTITION BY db_index ORDER BY k) AS q FROM pr UNION ALL SELECT psm_id::INT, 0, 0.0 FROM pep),
+        f AS (SELECT DISTINCT t.spec_idx, t.tag, t.before, t.after, pr.db_index, pr.k AS pos, length(sequence) AS n FROM tags t JOIN pr ON substr(sequence, k, 3) = tag),
+        g AS (SELECT f.*, EXISTS (SELECT 1 FROM c JOIN c s ON c.db_index = s.db_index WHERE c.db_index = f.db_index AND c.k BETWEEN greatest(0, f.pos - 41) AND f.pos - 1 AND s.k = f.pos - 1 AND abs(s.q - c.q - f.before) <= 0.01)::INT +
+            EXISTS (SELECT 1 FROM c JOIN c s ON c.db_index = s.db_index WHERE c.db_index = f.db_index AND c.k BETWEEN f.pos + 2 AND least(f.n, f.pos + 42) AND s.k = f.pos + 2 AND abs(c.q - s.q - f.after) <= 0.01)::INT AS matched FROM f)
+        SELECT spec_idx, tag, db_index, pos::INT AS pos, matched FROM g WHERE matched >= 2""",
+    "envelope_scores": f"""WITH e AS ({_ENVELOPES}), m AS (SELECT spec_idx, parent_mass / 1800.0 AS u, a, b, c, d, a + b + c + d AS t FROM e), q AS (SELECT *, 1 + u + u * u / 2 + u * u * u / 6 AS z FROM m),
+        p AS (SELECT spec_idx, unnest([a / t, b / t, c / t, d / t]) AS o, unnest([1 / z, u / z, u * u / 2 / z, u * u * u / 6 / z]) AS x FROM q)
+        SELECT spec_idx, round(sum(CASE WHEN o > 0 THEN o * ln(o / x) ELSE 0 END), {R}) AS envelope_score FROM p GROUP BY 1""",
+    "svm_scores": f"""WITH s AS (SELECT c_custkey, greatest(-1, least(1, 2 * (c_acctbal - {_SVM["low"][0]}) / {_SVM["high"][0] - _SVM["low"][0]} - 1)) AS x, greatest(-1, least(1, 2 * (c_nationkey - {_SVM["low"][1]}) / {_SVM["high"][1] - _SVM["low"][1]} - 1)) AS y FROM customer)
+        SELECT c_custkey, round({" + ".join(f"{k} * exp(-{_SVM['gamma']} * (pow(x - ({v[0]}), 2) + pow(y - ({v[1]}), 2)))" for k, v in zip(_SVM["coefficients"], _SVM["vectors"], strict=True))} - {_SVM["rho"]}, {R})::DOUBLE AS svm_score FROM s""",
+    "prefix_scores": with_views("WITH n AS (SELECT spec_idx, mz, row_number() OVER () AS id FROM peaks), " + ", ".join(f"h{k} AS (SELECT DISTINCT a.id FROM n a JOIN n b ON a.spec_idx = b.spec_idx AND abs(b.mz - (a.mz - 1.0) - ({o})) <= 0.5)" for k, (o, _, _) in enumerate(_IONS)) + " SELECT spec_idx, round(mz - 1.0, 4) AS mz, round(" + " + ".join(f"CASE WHEN id IN (SELECT id FROM h{k}) THEN ln({p} / {b}) ELSE ln({1 - p} / {1 - b}) END" for k, (_, p, b) in enumerate(_IONS)) + f", {R})::DOUBLE AS score FROM n", "peaks"),
+    "merged_stages": with_views("""WITH own AS (SELECT s.spec_idx, mz, intensity FROM spectra s JOIN peaks USING (spec_idx) WHERE frag_type <> 'P'), n AS (SELECT p.spec_idx, file_idx AS parent, parent_mass, mz, intensity, row_number() OVER () AS id FROM peaks p JOIN spectra USING (spec_idx) WHERE frag_type = 'P'),
+        k AS (SELECT DISTINCT parent AS spec_idx, n.id, n.mz, n.intensity FROM n JOIN own q ON q.spec_idx = n.parent WHERE abs(n.mz - q.mz) <= 10 OR abs(parent_mass - 1.00727646688 - n.mz - q.mz) <= 10)
+        SELECT spec_idx, mz, round(sum(intensity), 2) AS intensity FROM (SELECT spec_idx, mz, intensity FROM own UNION ALL SELECT spec_idx, mz, intensity FROM k) GROUP BY 1, 2""", "spectra", "peaks"),
+    "modified_partners": f"WITH {_PT}, x AS (SELECT psm_id, substr(plain, 1, 4) AS plain, size % 3 AS charge, price AS score FROM pt WHERE plain <> ''), b AS (SELECT plain, charge, psm_id AS partner FROM x WHERE psm_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY plain, charge ORDER BY score DESC, psm_id) = 1) SELECT psm_id, partner FROM x JOIN b USING (plain, charge) WHERE psm_id % 2 = 0",
+    "psm_variants": f"""WITH {_PT}, a AS (SELECT psm_id, translate(substr(plain, 3, 8), 'IQ', 'LK') AS pep FROM pt WHERE length(plain) >= 12), s AS (SELECT psm_id::INT AS db_index, translate(plain, 'IQ', 'LK') AS sequence, unnest(range(1, length(plain) - 6)) AS k FROM pt WHERE length(plain) >= 8),
+        f AS (SELECT a.psm_id, db_index, k::INT AS start_aa, (k + 7)::INT AS end_aa FROM a JOIN s ON substr(sequence, k, 8) = pep),
+        w AS (SELECT *, max(end_aa) OVER (PARTITION BY db_index ORDER BY start_aa, end_aa, psm_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f)
+        SELECT psm_id, db_index, start_aa, end_aa, (sum(CASE WHEN before IS NULL OR before - start_aa + 1 < 4 THEN 1 ELSE 0 END) OVER (PARTITION BY db_index ORDER BY start_aa, end_aa, psm_id))::INT AS region FROM w""",
     "log_scores": f"SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN round(ln(c_acctbal / 100.0), {R}) ELSE 0.0 END::DOUBLE AS score FROM customer",
     "mass_error_histogram": f"WITH {_PT}, u AS (SELECT DISTINCT plain FROM pt WHERE length(plain) > 1) SELECT sum(2 * (length(plain) - 1))::BIGINT AS n, 1.0::DOUBLE AS share FROM u",
     "protein_homologues": f"""WITH {_PT}, w AS (SELECT DISTINCT psm_id::INT AS p, substr(plain, i, 8) AS h FROM (SELECT psm_id, plain, unnest(range(1, length(plain) - 6)) AS i FROM pt WHERE length(plain) >= 8))
