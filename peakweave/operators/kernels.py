@@ -115,16 +115,15 @@ def union_match(mz1, i1, mz2, i2, shift: float, tolerance: float, reach: float =
 
 def best_overlap(mz1, i1, mz2, i2, tolerance: float, least: float) -> tuple[float, float, float, int]:
     """(shift, matched shares of both, matched peaks) of the best shift whose overlap is ``least`` Dalton or more; ties to the smaller shift."""
-    best = (0.0, 0.0, 0.0, 0)
-    top = -1.0
-    for s in np.unique(np.round(np.subtract.outer(mz1, mz2).ravel(), 4)).tolist():
-        if min(mz1[-1], mz2[-1] + s) - max(mz1[0], mz2[0] + s) < least:
-            continue
-        i, j = (np.unique(x) for x in candidates(mz1, mz2, s, tolerance))
-        r1, r2 = i1[i].sum() / max(i1.sum(), 1e-300), i2[j].sum() / max(i2.sum(), 1e-300)
-        if r1 + r2 > top + 1e-12:
-            top, best = r1 + r2, (float(s), float(r1), float(r2), len(i))
-    return best
+    tried = np.unique(np.round(np.subtract.outer(mz1, mz2).ravel(), 4))
+    tried = tried[np.minimum(mz1[-1], mz2[-1] + tried) - np.maximum(mz1[0], mz2[0] + tried) >= least]
+    if not len(tried):
+        return 0.0, 0.0, 0.0, 0
+    near = lambda x, y: np.searchsorted(y, x + tolerance, "right") > np.searchsorted(y, x - tolerance, "left")
+    hit1, hit2 = near(mz1 - tried[:, None], mz2), near(mz2 + tried[:, None], mz1)
+    r1, r2 = hit1 @ i1 / max(i1.sum(), 1e-300), hit2 @ i2 / max(i2.sum(), 1e-300)
+    k = int(np.flatnonzero(r1 + r2 >= (r1 + r2).max() - 1e-12)[0])
+    return float(tried[k]), float(r1[k]), float(r2[k]), int(hit1[k].sum())
 
 
 @lru_cache

@@ -288,7 +288,7 @@ def spectra_clusters(spark, d):
 
 
 def overlap_pairs(spark, d):
-    return pairs.overlap_pairs(_prefix_spectra(spark, d), 0.02, 400.0, 5, 400.0).select("spec1", "spec2", F.round("shift1", 3).alias("shift1"), "matched")
+    return pairs.overlap_pairs(_prefix_spectra(spark, d), 0.02, 400.0, 12, 400.0).select("spec1", "spec2", F.round("shift1", 3).alias("shift1"), "matched")
 
 
 def deconvoluted_spectra(spark, d):

@@ -52,6 +52,23 @@ def test_projection_against_all_points():
         assert abs(kernels.project(a, i, b, j, 5.0, 3.0)[0] - best) < 1e-9
 
 
+def test_best_overlap_against_all_shifts():
+    r = np.random.default_rng(11)
+    for _ in range(80):
+        a, b = np.sort(r.integers(0, 40, r.integers(1, 8))).astype(float), np.sort(r.integers(0, 40, r.integers(1, 8))).astype(float)
+        i, j = r.integers(1, 9, len(a)).astype(float), r.integers(1, 9, len(b)).astype(float)
+        best = (0.0, 0.0, 0.0, 0)
+        for s in sorted({x - y for x in a for y in b}):
+            if min(a[-1], b[-1] + s) - max(a[0], b[0] + s) < 5:
+                continue
+            own = [any(abs(x - s - y) <= 0.5 for y in b) for x in a]
+            other = [any(abs(x - s - y) <= 0.5 for x in a) for y in b]
+            new = (s, i[own].sum() / i.sum(), j[other].sum() / j.sum(), sum(own))
+            if new[1] + new[2] > best[1] + best[2] + 1e-12:
+                best = new
+        assert np.allclose(kernels.best_overlap(a, i, b, j, 0.5, 5), best)
+
+
 def test_runs_and_sequences_against_recursion():
     r = random.Random(4)
     for _ in range(60):
