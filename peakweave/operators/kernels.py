@@ -216,6 +216,42 @@ def spectral_probability(mz: np.ndarray, score: np.ndarray, full: float, thresho
     return float(table[n, min(top + 1, max(0, int(np.ceil(threshold)))) :].sum() / total) if total > 0 else 1.0
 
 
+def joint_probability(mz1: np.ndarray, score1: np.ndarray, mz2: np.ndarray, score2: np.ndarray, full: float, least1: float, least2: float, resolution: float = 1.0005) -> tuple[float, float, float]:
+    """Share of random peptides of the mass ``full`` that reach ``least1`` in the first spectrum and ``least2`` in the second, and those that reach either alone.
+
+    Table over (mass, first score, second score), scores counted up to what they must reach; each residue is equally likely, masses and scores are rounded.
+    """
+    n, most = int(round(full / resolution)), [max(0, int(np.ceil(x))) for x in (least1, least2)]
+    gain = np.zeros((2, n + 1), int)
+    for own, (mz, score) in enumerate(((mz1, score1), (mz2, score2))):
+        for m, s in zip(mz, score, strict=True):
+            k = int(round(m / resolution))
+            if 0 < k < n:
+                gain[own, k] += int(round(s))
+    gain = np.maximum(gain, 0)
+    residues = np.array([int(round(m / resolution)) for x, m in RESIDUES.items() if x != "L"])
+    table = np.zeros((n + 1, most[0] + 1, most[1] + 1))
+    table[0, 0, 0] = 1.0
+
+    def moved(x: np.ndarray, k: int) -> np.ndarray:
+        """Along the first axis by k, what would pass the end added there."""
+        if not k:
+            return x
+        out, k = np.zeros_like(x), min(k, len(x) - 1)
+        out[k:] = x[: len(x) - k]
+        out[-1] += x[len(x) - k :].sum(0)
+        return out
+
+    for m in range(residues.min(), n + 1):
+        from_ = m - residues[residues <= m]
+        row = table[from_].sum(0) / len(residues)
+        table[m] = moved(moved(row, gain[0, m]).T, gain[1, m]).T
+    total = table[n].sum()
+    if total <= 0:
+        return 1.0, 1.0, 1.0
+    return float(table[n, -1, -1] / total), float(table[n, -1].sum() / total), float(table[n, :, -1].sum() / total)
+
+
 def spectral_alignment(mz1, i1, mz2, i2, full1: float, full2: float, tolerance: float, apart: float = 57.0) -> tuple[float, list[tuple[int, int]]]:
     """(score, matched index pairs) with one modification: matches at shift 0 before a point and at the mass difference after it, rising in both, steps of ``apart`` Dalton or none."""
     shift = full1 - full2

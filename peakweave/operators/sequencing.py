@@ -77,10 +77,19 @@ def spectral_probability(spectra: DataFrame, score: str = "score") -> DataFrame:
     return _per_row(_lists(spectra), ["spec_idx"], ["_mz", "_int"], ["parent_mass", score], f, "p_value double", [("p_value", pa.float64())])
 
 
-def joint_probability(pairs: DataFrame) -> DataFrame:
-    """spec1, spec2, p_value of the peaks that both spectra share (columns mz, intensity, parent_mass, score): the table runs over the shared peaks."""
-    f = lambda mz, i, pm, s: [(kernels.spectral_probability(mz, i, pm - 19.01784115, s),)]
-    return _per_row(pairs, ["spec1", "spec2"], ["mz", "intensity"], ["parent_mass", "score"], f, "p_value double", [("p_value", pa.float64())])
+def probability_pairs(spectra: DataFrame, width: float, most: float = 1.0, score: str = "score") -> DataFrame:
+    """spec1, spec2, joint, p1, p2: pairs of about one mass whose joint probability is at most ``most``.
+
+    joint is the share of random peptides of the first spectrum's mass that score as high as ``score`` in both spectra at once, p1 and p2 in either
+    (see kernels.joint_probability); peaks have whole-number scores. A joint probability far above p1 * p2 says that both look for the same peptide.
+    """
+    from peakweave.operators.pairs import mass_pairs
+
+    rows = mass_pairs(spectra, width, ["peaks", score])
+    rows = rows.select("spec1", "spec2", "mass1", *[F.col(f"peaks{n}")[f].alias(f"_{f}{n}") for n in (1, 2) for f in ("mz", "intensity")], *[F.col(f"{score}{n}").cast("double").alias(f"_s{n}") for n in (1, 2)])
+    f = lambda a, i, b, j, pm, s, t: [kernels.joint_probability(a, i, b, j, pm - 19.01784115, s, t)]
+    kind = [(c, pa.float64()) for c in ("joint", "p1", "p2")]
+    return _per_row(rows, ["spec1", "spec2"], ["_mz1", "_intensity1", "_mz2", "_intensity2"], ["mass1", "_s1", "_s2"], f, "joint double, p1 double, p2 double", kind).filter(F.col("joint") <= most)
 
 
 def spectral_alignments(pairs: DataFrame, tolerance: float) -> DataFrame:

@@ -288,7 +288,13 @@ def spectra_clusters(spark, d):
 
 
 def overlap_pairs(spark, d):
-    return pairs.overlap_pairs(_prefix_spectra(spark, d), 0.02, 400.0, 12, 400.0).select("spec1", "spec2", F.round("shift1", 3).alias("shift1"), "matched")
+    return pairs.overlap_pairs(_prefix_spectra(spark, d), 0.02, 400.0, 8, 400.0).select("spec1", "spec2", F.round("shift1", 3).alias("shift1"), "matched")
+
+
+def probability_pairs(spark, d):
+    s = _prefix_spectra(spark, d).withColumn("peaks", A.map_peaks(F.col("peaks"), intensity=lambda p: p["intensity"] % 3)).withColumn("score", F.lit(6.0))
+    out = sequencing.probability_pairs(s, 0.5, 0.9)
+    return out.select("spec1", "spec2", F.round("joint", 9).alias("joint"), F.round("p1", 9).alias("p1"), F.round("p2", 9).alias("p2"))
 
 
 def deconvoluted_spectra(spark, d):

@@ -37,6 +37,25 @@ def test_cosine_distribution_against_all_cases():
     assert (np.diff(got) >= -1e-12).all()
 
 
+def test_joint_probability_against_all_peptides():
+    masses = [round(v / 1.0005) for k, v in kernels.RESIDUES.items() if k != "L"]
+    first, second, target = {57: 2, 170: 3, 71: 1}, {57: 1, 128: 4, 185: 2}, 300
+
+    def ways(m, a, b, p):
+        if m == target:
+            return [(a, b, p)]
+        inner = lambda own, x: own.get(x, 0) if x < target else 0
+        return [w for x in masses if m + x <= target for w in ways(m + x, a + inner(first, m + x), b + inner(second, m + x), p / len(masses))]
+
+    all_ = ways(0, 0, 0, 1.0)
+    total = sum(p for *_, p in all_)
+    arrays_ = lambda own: (np.array([k * 1.0005 for k in own]), np.array([float(v) for v in own.values()]))
+    for least in ((3, 2), (0, 1), (5, 5), (2, 7)):
+        got = kernels.joint_probability(*arrays_(first), *arrays_(second), target * 1.0005, *least)
+        want = [sum(p for a, b, p in all_ if test(a, b)) / total for test in (lambda a, b: a >= least[0] and b >= least[1], lambda a, b: a >= least[0], lambda a, b: b >= least[1])]
+        assert np.allclose(got, want)
+
+
 def test_projection_against_all_points():
     r = np.random.default_rng(3)
     for _ in range(60):
