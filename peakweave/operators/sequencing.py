@@ -250,7 +250,8 @@ def localisation(psms: DataFrame, tolerance: float) -> DataFrame:
     """
     places = psms.select("psm_id", "plain", "mod_mass", "peaks", F.explode(F.sequence(F.lit(1), F.length("plain"))).alias("position"))
     text = F.concat(F.substr("plain", F.lit(1), F.col("position") - 1), F.lit("("), F.substr("plain", F.col("position"), F.lit(1)), F.lit(","), F.format_string("%.4f", F.col("mod_mass")), F.lit(")"), F.substr("plain", F.col("position") + 1, F.length("plain")))
-    weighed = places.select("psm_id", "position", F.aggregate(F.filter("peaks", lambda p: F.exists(P.ions(text), lambda i: F.abs(p["mz"] - i["mz"]) <= tolerance)), F.lit(0.0), lambda a, p: a + p["intensity"]).alias("w"))
+    at_ions = lambda ions: F.aggregate(F.filter("peaks", lambda p: F.exists(ions, lambda m: F.abs(p["mz"] - m) <= tolerance)), F.lit(0.0), lambda a, p: a + p["intensity"])
+    weighed = places.select("psm_id", "position", F.transform(F.array(P.ions(text)["mz"]), at_ions)[0].alias("w"))  # the ions are worked out once
     from pyspark.sql import Window
 
     w = Window.partitionBy("psm_id")
