@@ -30,7 +30,7 @@ def _edges(spark, d):
 def _steps(spark, d):
     """From each event to the next of its user, and to the next of its user and type: a directed graph without cycles, a component for each user."""
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    follow = lambda *by: e.select(F.col("event_id").alias("spec1"), F.lead("event_id").over(Window.partitionBy(*by).orderBy("event_id")).alias("spec2"), F.round(F.col("value") / 500, 4).alias("score1"))
+    follow = lambda *by: e.select(F.col("event_id").alias("spec1"), F.lead("event_id").over(Window.partitionBy(*by).orderBy("event_id")).alias("spec2"), F.round(F.col("value") / 500 + 0.001, 4).alias("score1"))
     return follow("user_id").union(follow("user_id", "event_type")).filter("spec2 IS NOT NULL").distinct().withColumn("score2", F.col("score1"))
 
 
@@ -178,8 +178,8 @@ QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and ge
 _E = """edges AS (SELECT least(a.l_partkey, b.l_partkey) AS spec1, greatest(a.l_partkey, b.l_partkey) AS spec2, max(round(b.l_extendedprice / 1e5, 4)) AS score1, max(round(a.l_discount * 10, 4)) AS score2,
     max(a.l_quantity - 25) AS shift1, max(b.l_quantity - 20) AS shift2, max(a.l_orderkey) AS l_orderkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber
     WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
-_D = """sp AS (SELECT DISTINCT * FROM (SELECT event_id AS spec1, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS spec2, round(value / 500, 4) AS score1 FROM events
-    UNION ALL SELECT event_id, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id), round(value / 500, 4) FROM events) WHERE spec2 IS NOT NULL)"""
+_D = """sp AS (SELECT DISTINCT * FROM (SELECT event_id AS spec1, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS spec2, round(value / 500 + 0.001, 4) AS score1 FROM events
+    UNION ALL SELECT event_id, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id), round(value / 500 + 0.001, 4) FROM events) WHERE spec2 IS NOT NULL)"""
 _B = "pr AS (SELECT a.spec_idx AS spec1, b.spec_idx AS spec2, a.parent_mass - b.parent_mass AS shift FROM spectra a JOIN spectra b ON a.spec_idx < b.spec_idx AND b.parent_mass BETWEEN a.parent_mass - 1 AND a.parent_mass + 1 WHERE abs(a.parent_mass - b.parent_mass) <= 0.2)"
 _V = """bv AS (SELECT spec_idx, floor(mz / 50.0)::INT AS bin, sum(sqrt(intensity)) AS value FROM peaks GROUP BY 1, 2),
     v AS (SELECT spec_idx, bin, value / sqrt(sum(value * value) OVER (PARTITION BY spec_idx)) AS value FROM bv)"""
@@ -216,6 +216,8 @@ ORACLES = {
         SELECT bin, detected, correct, round(correct / detected, {R}) AS precision, round(correct / (SELECT count(*) FROM edges WHERE score2 > 0.2), {R}) AS recall FROM c""",
     "triangles": f"""WITH {_E}, t AS (SELECT x.spec1 AS a, x.spec2 AS b, y.spec2 AS c, abs(x.shift1) AS s1, abs(y.shift1) AS s2, abs(z.shift1) AS s3 FROM edges x JOIN edges y ON x.spec2 = y.spec1 JOIN edges z ON z.spec1 = x.spec1 AND z.spec2 = y.spec2),
         k AS (SELECT * FROM t WHERE abs(2 * greatest(s1, s2, s3) - s1 - s2 - s3) <= 1.0), u AS (SELECT a AS p, b AS q FROM k UNION SELECT b, c FROM k UNION SELECT a, c FROM k) SELECT spec1, spec2, shift1 FROM edges JOIN u ON spec1 = p AND spec2 = q""",
+    # every edge weighs what its first event does, so the heaviest path goes through all events of a user
+    "heaviest_path": f"WITH {_CC} SELECT component, round(sum(round(value / 500 + 0.001, 4)) FILTER (node <> last), {R}) AS weight, string_agg(node::VARCHAR, ' ' ORDER BY node) AS path FROM (SELECT *, max(node) OVER (PARTITION BY component) AS last FROM cc) JOIN events ON node = event_id GROUP BY 1",
     "components": f"WITH {_CC} SELECT node, component FROM cc",
     "components_giant": f"""WITH RECURSIVE {_E}, bi AS (SELECT spec1 AS u, spec2 AS v FROM edges UNION SELECT spec2, spec1 FROM edges), walk(node) AS (SELECT min(u) FROM bi UNION SELECT v FROM walk JOIN bi ON node = u)
         SELECT node, (SELECT min(u) FROM bi) AS component FROM walk""",

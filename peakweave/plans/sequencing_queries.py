@@ -70,7 +70,7 @@ def explained_intensity(spark, d):
 def match_features(spark, d):
     s = _spectra(spark, d).withColumn("peaks", F.transform(peptide.ions(F.col("annotation")), lambda i: A.peak(i["mz"], i["number"].cast("double"), F.lit(0.0))))
     f = sequencing.match_features(s.withColumn("peaks", F.filter("peaks", lambda p, i: i % 2 == 0)), 1e-6)
-    return f.select("spec_idx", "n_peaks", F.round("explained_peaks", 4).alias("explained_peaks"), "longest", F.round("mass_error_ppm", 3).alias("mass_error_ppm"))
+    return f.select("spec_idx", "n_peaks", F.round("explained_peaks", 4).alias("explained_peaks"), F.round("b_found", 4).alias("b_found"), F.round("y_found", 4).alias("y_found"), "longest", (F.round("mass_error_ppm", 2) + 0.0).alias("mass_error_ppm"))
 
 
 def site_localisation(spark, d):
@@ -130,7 +130,20 @@ def _tags_sql(length: int, most: int, tolerance: float = 0.01) -> str:
             FROM paths JOIN (SELECT spec_idx, max(mz) AS mz FROM pk GROUP BY 1) w USING (spec_idx) QUALIFY rank <= {most})"""
 
 
+_IONS = f"""{_PEP}, {_PREFIX}, w AS (SELECT spec_idx, max(mz) AS whole, max(k) AS n FROM pk GROUP BY 1),
+    io AS (SELECT spec_idx, 'b' AS ion, k AS number, k - 1 AS idx, mz + 1.00727646688 AS mz, n FROM pk JOIN w USING (spec_idx) WHERE k < n
+        UNION ALL SELECT spec_idx, 'y', n - k, n - 1 + k - 1, whole - mz + 18.010564686 + 1.00727646688, n FROM pk JOIN w USING (spec_idx) WHERE k < n)"""
 ORACLES = {
+    "match_features": f"""WITH {_IONS}, p AS (SELECT spec_idx, mz FROM io WHERE idx % 2 = 0), h AS (SELECT * FROM io WHERE EXISTS (SELECT 1 FROM p WHERE p.spec_idx = io.spec_idx AND abs(p.mz - io.mz) <= 1e-6)),
+        g AS (SELECT spec_idx, ion, number - row_number() OVER (PARTITION BY spec_idx, ion ORDER BY number) AS g FROM h), r AS (SELECT spec_idx, max(c) AS longest FROM (SELECT spec_idx, ion, g, count(*) AS c FROM g GROUP BY 1, 2, 3) GROUP BY 1),
+        f AS (SELECT spec_idx, count(*) FILTER (ion = 'b') AS b, count(*) FILTER (ion = 'y') AS y FROM h GROUP BY 1), c AS (SELECT spec_idx, count(*) AS n_peaks FROM p GROUP BY 1)
+        SELECT w.spec_idx, coalesce(n_peaks, 0)::INT AS n_peaks, CASE WHEN n_peaks > 0 THEN 100.0 ELSE 0.0 END::DOUBLE AS explained_peaks, coalesce(round(100.0 * b / (n - 1), 4), 0.0)::DOUBLE AS b_found, coalesce(round(100.0 * y / (n - 1), 4), 0.0)::DOUBLE AS y_found,
+            coalesce(longest, 0)::INT AS longest, 0.0::DOUBLE AS mass_error_ppm FROM w LEFT JOIN c USING (spec_idx) LEFT JOIN f USING (spec_idx) LEFT JOIN r USING (spec_idx)""",
+    "site_localisation": f"""WITH {_IONS}, pz AS (SELECT spec_idx, mz + 1.00727646688 AS mz, k AS i FROM pk UNION ALL SELECT spec_idx, 1.00727646688, 1 FROM u), spots AS (SELECT spec_idx, k AS position FROM pk),
+        v AS (SELECT io.spec_idx, position, mz + CASE WHEN (ion = 'b' AND number >= position) OR (ion = 'y' AND number > n - position) THEN 79.9663 ELSE 0 END AS mz FROM io JOIN spots USING (spec_idx)),
+        x AS (SELECT a.spec_idx, a.position, coalesce(sum(i) FILTER (EXISTS (SELECT 1 FROM v WHERE v.spec_idx = a.spec_idx AND v.position = a.position AND abs(v.mz - p.mz) <= 0.01)), 0) AS w FROM spots a JOIN pz p ON a.spec_idx = p.spec_idx GROUP BY 1, 2),
+        y AS (SELECT *, w - min(w) OVER (PARTITION BY spec_idx) AS d FROM x), z AS (SELECT *, sum(d) OVER (PARTITION BY spec_idx) AS t, count(*) OVER (PARTITION BY spec_idx) AS c FROM y)
+        SELECT spec_idx AS psm_id, position::INT AS position, round(CASE WHEN t > 0 THEN d / t ELSE 1 / c END, {R})::DOUBLE AS share FROM z""",
     "sequence_tags": f"WITH {_tags_sql(3, 5)} SELECT spec_idx, rank::INT AS rank, tag, round(before, 4) AS before, round(after, 4) + 0.0 AS after, score FROM tags",
     "first_correct_tag": f"""WITH {_tags_sql(3, 5)}, f AS (SELECT spec_idx, min(rank)::INT AS rank FROM tags JOIN u USING (spec_idx) WHERE contains(replace(plain, 'L', 'I'), replace(tag, 'L', 'I')) GROUP BY 1)
         SELECT spec_idx, coalesce(rank, -1)::INT AS rank FROM u LEFT JOIN f USING (spec_idx)""",
@@ -138,7 +151,7 @@ ORACLES = {
         SELECT DISTINCT a.spec_idx AS spec1, b.spec_idx AS spec2 FROM f a JOIN f b ON a.tag = b.tag AND a.side = b.side AND a.spec_idx < b.spec_idx AND abs(a.flank - b.flank) <= 0.02""",
     "explained_intensity": f"""WITH {_PEP}, {_PREFIX}, w AS (SELECT spec_idx, max(mz) AS whole FROM pk GROUP BY 1), b AS (SELECT spec_idx, mz FROM pk JOIN w USING (spec_idx) WHERE mz < whole - 1e-6),
         ions AS (SELECT spec_idx, mz + 1.00727646688 AS mz FROM b UNION ALL SELECT spec_idx, whole - mz + 18.010564686 + 1.00727646688 FROM b JOIN w USING (spec_idx)),
-        own AS (SELECT spec_idx, mz + 1.00727646688 AS mz, k + 1 AS i FROM pk UNION ALL SELECT spec_idx, 1.00727646688, 1 FROM u),
+        own AS (SELECT spec_idx, mz + 1.00727646688 AS mz, k AS i FROM pk UNION ALL SELECT spec_idx, 1.00727646688, 1 FROM u),
         c AS (SELECT own.*, EXISTS (SELECT 1 FROM ions WHERE ions.spec_idx = own.spec_idx AND abs(ions.mz - own.mz) <= 0.001) AS hit FROM own JOIN w USING (spec_idx) WHERE own.mz >= 57.0214637230 AND own.mz <= whole - 37)
         SELECT u.spec_idx, coalesce(round(100 * sum(i) FILTER (hit) / sum(i), 4), 0.0)::DOUBLE AS explained FROM u LEFT JOIN c USING (spec_idx) GROUP BY 1""",
     "library_dot_bias": with_views(f"""WITH {_LIB}, f AS (SELECT spec_idx, bin, pow(value, 4) AS x FROM v), g AS (SELECT spec_idx, bin, x / sqrt(sum(x * x) OVER (PARTITION BY spec_idx)) AS x FROM f),
