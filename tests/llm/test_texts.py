@@ -437,17 +437,42 @@ def test_repeated_ids_leave_room_for_others(spark):
     assert sorted(x["rank"] for x in got) == [1, 2, 3, 4, 5]
 
 
+def png_samples(image):
+    """The samples of an 8-bit grey image of unfiltered rows, by the format's own rules."""
+    assert image[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, chunks = 8, []
+    while at < len(image):
+        n = int.from_bytes(image[at : at + 4], "big")
+        kind, data = image[at + 4 : at + 8], image[at + 8 : at + 8 + n]
+        assert int.from_bytes(image[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + data)
+        chunks.append((kind, data))
+        at += 12 + n
+    assert [k for k, _ in chunks] == [b"IHDR", b"IDAT", b"IEND"]
+    width, height = (int.from_bytes(chunks[0][1][k : k + 4], "big") for k in (0, 4))
+    assert chunks[0][1][8:] == bytes([8, 0, 0, 0, 0])
+    raw = zlib.decompress(chunks[1][1])
+    assert len(raw) == height * (width + 1) and not any(raw[:: width + 1])
+    return b"".join(raw[k * (width + 1) + 1 : (k + 1) * (width + 1)] for k in range(height))
+
+
 def test_media(spark, awkward, nothing, tmp_path):
     folder = str(tmp_path / "shards")
     got = media.media_columns(awkward, folder=folder).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in awkward.collect()}
     assert len(got) == awkward.count()
     for r in got:
-        payload = media.payload_of(texts[r["doc_id"]].encode())
-        assert len(payload) % 576 == 0 and len(payload) == r["payload_bytes"] > 0
+        raw = texts[r["doc_id"]].encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert r["n_bytes"] == len(raw) and len(payload) % 576 == 0 and len(payload) == r["payload_bytes"] > 0
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
-        image = media.to_png(payload)
+        with open(tmp_path / "shards" / r["shard"], "rb") as f:
+            f.seek(r["offset"])
+            image = f.read(r["length"])
+        assert png_samples(image) == payload
         assert r["media_sha256"] == hashlib.sha256(image).hexdigest() and r["media_bytes"] == len(image)
+        samples = np.frombuffer(payload, np.uint8)
+        shares = [((samples >= 64 * k) & (samples < 64 * (k + 1))).mean() for k in range(4)]
+        assert r["feature"] == f"576x{len(payload) // 576}x8;mean={samples.mean():.4f};" + ",".join(f"{x:.4f}" for x in shares)
     names = set()
     for shard in (tmp_path / "shards").iterdir():
         with tarfile.open(shard) as t:
