@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.functions import peptide as P
@@ -34,12 +34,19 @@ def coverage(hits: DataFrame, proteins: DataFrame) -> DataFrame:
     return sums.join(proteins, "db_index").select("db_index", "covered", "total", (F.col("total") / F.col("covered")).alias("redundancy"), (100.0 * F.col("covered") / F.col("length")).alias("percent"))
 
 
+#: Peptides up to which they are broadcast to the places of sequences, with up to 16 letters each on average; beyond, both sides are shuffled.
+BROADCAST_PEPTIDES = 100_000
+
+
+def letters(sequence: Column) -> Column:
+    """The sequence as bytes, one a letter, so that a place is found without counting from the start; what is no ASCII letter counts as ?."""
+    return F.encode(F.regexp_replace(sequence, r"[^\x00-\x7f]", "?"), "utf-8")
+
+
 def heads(proteins: DataFrame, n: int) -> DataFrame:
     """db_index, position (from 1), head: the n letters at each place. Rows are small: the sequence itself isn't repeated."""
-    # a string's letters lie at no fixed place in memory, an array's do
-    letters = proteins.filter(F.length("sequence") >= n).select("db_index", F.split("sequence", "").alias("letters"), F.length("sequence").alias("length"))
-    places = F.transform(F.sequence(F.lit(1), F.col("length") - n + 1), lambda i: F.struct(i.alias("position"), F.array_join(F.slice("letters", i, n), "").alias("head")))
-    return letters.select("db_index", F.inline(places))
+    rows = proteins.filter(F.length("sequence") >= n).select("db_index", F.transform(F.array(letters(F.col("sequence"))), lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.struct(i.alias("position"), F.substr(s, i, F.lit(n)).alias("head"))))[0].alias("places"))
+    return rows.select("db_index", F.inline("places")).withColumn("head", F.col("head").cast("string"))
 
 
 def substring_search(proteins: DataFrame, peptides: DataFrame, classes: tuple[int, ...] = (8, 4, 2, 1)) -> DataFrame:
@@ -48,14 +55,23 @@ def substring_search(proteins: DataFrame, peptides: DataFrame, classes: tuple[in
     Peptides meet only places with their first k letters, and are then compared in the sequence; k is the largest of ``classes`` that
     isn't longer than the peptide, so a short peptide doesn't make the others meet more places.
     """
+    at_most = lambda n: classes[n - 1] if n else 1 << 30
+    size = [F.count(F.when((F.length("peptide") >= k) & (F.length("peptide") < at_most(n)), 1)) for n, k in enumerate(classes)]
+    *counts, letters_ = peptides.agg(*size, F.sum(F.length("peptide"))).first()
+    few = sum(counts) <= BROADCAST_PEPTIDES and (letters_ or 0) <= 16 * BROADCAST_PEPTIDES
     out = []
     for n, k in enumerate(classes):
-        own = peptides.filter(F.length("peptide") >= k)
-        own = own.filter(F.length("peptide") < classes[n - 1]) if n else own
-        met = own.select("peptide", F.substring("peptide", 1, k).alias("head")).join(heads(proteins, k), "head")
-        if not n or classes[n - 1] > k + 1:  # else the head is the peptide
-            met = met.join(proteins.select("db_index", "sequence"), "db_index").filter(F.substr("sequence", F.col("position"), F.length("peptide")) == F.col("peptide"))
+        if not counts[n]:
+            continue
+        own = peptides.filter((F.length("peptide") >= k) & (F.length("peptide") < at_most(n))).select("peptide", F.substring("peptide", 1, k).alias("head"))
+        # the places are many times what the size of the sequences lets expect, and must not be broadcast
+        met = heads(proteins, k).join(F.broadcast(own), "head") if few else own.join(heads(proteins, k).hint("merge"), "head")
+        if at_most(n) > k + 1:  # else the head is the peptide
+            whole = proteins.select("db_index", letters(F.col("sequence")).alias("letters"))
+            met = met.join(whole, "db_index").filter(F.substr("letters", F.col("position"), F.length("peptide")) == F.encode("peptide", "utf-8"))
         out.append(met.select("peptide", "db_index", "position"))
+    if not out:
+        return proteins.limit(0).select(F.lit("").alias("peptide"), "db_index", F.lit(0).alias("position"))
     return reduce(DataFrame.unionByName, out)
 
 
