@@ -131,8 +131,9 @@ def annotated_peaks(spectra: DataFrame, tolerance: float) -> DataFrame:
     """spec_idx, ion, number, mz, error: for each theoretical ion of ``annotation`` the most intense peak within the tolerance, all in array expressions."""
     ions = spectra.select("spec_idx", "peaks", F.inline(P.ions(F.col("annotation"))))
     near = F.filter("peaks", lambda p: F.abs(p["mz"] - F.col("mz")) <= tolerance)
-    best = F.element_at(F.array_sort(F.transform(near, lambda p: F.struct((-p["intensity"]).alias("i"), p["mz"].alias("mz")))), 1)
-    return ions.filter(F.size(near) > 0).select("spec_idx", "ion", "number", best["mz"].alias("mz"), (best["mz"] - F.col("mz")).alias("error"))
+    best = F.array_min(F.transform(near, lambda p: F.struct((-p["intensity"]).alias("i"), p["mz"].alias("mz"))))
+    found = ions.select("spec_idx", "ion", "number", F.col("mz").alias("_ion"), best["mz"].alias("mz")).filter("mz IS NOT NULL")
+    return found.select("spec_idx", "ion", "number", "mz", (F.col("mz") - F.col("_ion")).alias("error"))
 
 
 def explained_intensity(spectra: DataFrame, tolerance: float) -> DataFrame:
