@@ -32,6 +32,12 @@ def round_to(x: Column, digits: int) -> Column:
     return F.round(x, digits)
 
 
+def round_scaled(x: Column, digits: int) -> Column:
+    """Rounded half away from zero after scaling in double precision, as SQL engines on doubles do: 0.63355 * 1e4 falls below 6335.5, so it gives 0.6335, where ``round_to`` goes by decimal digits (0.6336)."""
+    scale = 10.0**digits
+    return F.round(x * scale) / scale
+
+
 def log_score(hit: Column, background: Column) -> Column:
     """Natural log of the ratio; null where either isn't positive."""
     return F.when((hit > 0) & (background > 0), F.log(hit / background))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from peakweave.functions import peptide, text
 from peakweave.operators import clusters, fdr, graph, kernels, library, pairs, peaks, precursors, proteins, psms, report, sequencing, spectra
 from peakweave.operators.components import connected_components
-from peakweave.plans import modules
+from peakweave.plans import modules, network_queries
 from peakweave.sources.tables_text import Parameters
 
 E = "spec1 long, spec2 long, score1 double, score2 double, shift1 double, shift2 double"
@@ -373,3 +373,20 @@ def test_text_helpers(spark):
     assert sorted(r["combination"] for r in text.combinations(df, "xs", 2).collect()) == [["x", "y"], ["x", "z"], ["y", "z"]]
     assert abs(text.binomial_tail(2, 3, 0.5) - 0.5) < 1e-12
     assert {r["bin"]: r["count"] for r in text.histogram(spark.createDataFrame([(0.5,), (1.2,), (1.9,)], "v double"), "v", 1.0).collect()} == {0: 1, 1: 2}
+
+
+def test_rounding_as_sql_does(spark):
+    duckdb = pytest.importorskip("duckdb")
+    xs = [63355 / 1e5, 56495 / 1e5, 0.12345, 0.5, -0.63355, 0.0, 1.00005, 2.675, None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(text.round_scaled(F.col("x"), 4)).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 4)", [x]).fetchone()[0] for x in xs]
+
+
+def test_edge_scores_are_rounded_as_in_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, k + 1, k + 1, p, 0.05, 1.0) for k, p in enumerate([63355.0, 33845.0, 56495.0, 12345.0, 100395.0])]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = network_queries._edges(spark, str(tmp_path)).select("spec1", "spec2", "score1", "score2").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"WITH {network_queries._E} SELECT spec1, spec2, score1, score2 FROM edges").fetchall())
