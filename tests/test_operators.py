@@ -390,3 +390,13 @@ def test_edge_scores_are_rounded_as_in_their_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     got = network_queries._edges(spark, str(tmp_path)).select("spec1", "spec2", "score1", "score2").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(f"WITH {network_queries._E} SELECT spec1, spec2, score1, score2 FROM edges").fetchall())
+
+
+def test_precision_is_rounded_as_in_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, n, 2 * k + n, 15000.0, 0.05 if k <= 41 else 0.0, 1.0) for k in range(1, 641) for n in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = network_queries.pair_precision_recall(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == con.execute(network_queries.ORACLES["pair_precision_recall"]).fetchall() == [(1, 640, 41, 0.064062, 1.0)]
