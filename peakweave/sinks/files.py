@@ -18,6 +18,9 @@ PSM_HEADER = {
     "ParentMassDiff": None, "SpecMZ": "spec_mz", "ExactMass": "exact_mass", "LibrarySpectrumID": "library_id",
 }
 
+#: Size of the Arrow rows that go into one binary or XML file, and spectra of a text file that is read whole: files of a partition, so neither writer nor reader holds more.
+FILE_BYTES, FILE_SPECTRA = 8 << 20, 10_000
+
 
 def _peak_lines(form: str = "%s %s") -> Column:
     return F.array_join(F.transform("peaks", lambda p: F.format_string(form, p["mz"], p["intensity"])), "\n")
@@ -38,7 +41,7 @@ def ms2(spectra: DataFrame, path: str) -> None:
 def pkl(spectra: DataFrame, path: str) -> None:
     """Header and peaks, an empty line behind each spectrum."""
     head = F.concat_ws(" ", F.col("parent_mz").cast("string"), F.coalesce("precursor_intensity", F.lit(0.0)).cast("string"), F.coalesce("charge", F.lit(0)).cast("string"))
-    spectra.select(F.concat(head, F.lit("\n"), _peak_lines(), F.lit("\n")).alias("value")).write.text(path)
+    spectra.select(F.concat(head, F.lit("\n"), _peak_lines(), F.lit("\n")).alias("value")).write.option("maxRecordsPerFile", FILE_SPECTRA).text(path)
 
 
 def psm_table(psms: DataFrame, path: str) -> None:
@@ -75,8 +78,8 @@ def binary_spectra_bytes(rows: list[dict]) -> bytes:
     return b"".join(out)
 
 
-def _binary_files(rows: DataFrame, path: str, extension: str, encode) -> None:
-    """A folder of files, one a partition that has rows, encoded by the tasks and written through pyarrow's file systems. A task that runs again writes its file again."""
+def _binary_files(rows: DataFrame, path: str, extension: str, encode, most: int | None = FILE_BYTES) -> None:
+    """A folder of files, encoded by the tasks and written through pyarrow's file systems: of each partition that has rows as many as take ``most`` bytes each (None: one). A task that runs again writes its files again."""
     from peakweave.session import ship
 
     ship(rows.sparkSession)
@@ -85,12 +88,33 @@ def _binary_files(rows: DataFrame, path: str, extension: str, encode) -> None:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        held = [x for b in batches for x in b.to_pylist()]
-        if held:
-            system, folder = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and "://" not in path else path if "://" in path else f"file://{path}")
+        system, folder = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and "://" not in path else path if "://" in path else f"file://{path}")
+        name = lambda n: f"{folder}/part-{TaskContext.get().partitionId():05d}{f'-{n:05d}' if n else ''}.{extension}"
+        held, size, n = [], 0, 0
+
+        def write() -> None:
             system.create_dir(folder)
-            with system.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId():05d}.{extension}") as f:
-                f.write(encode(held))
+            with system.open_output_stream(name(n)) as f:
+                f.write(encode([x for b in held for x in b.to_pylist()]))
+
+        for b in batches:
+            # a slice's buffers are its batch's, so its share of them is counted
+            step = b.num_rows if most is None else max(1, b.num_rows * most // max(1, b.nbytes))
+            for at in range(0, b.num_rows, max(1, step)):
+                part = b.slice(at, step)
+                own = b.nbytes * part.num_rows // b.num_rows
+                if held and most is not None and size + own > most:
+                    write()
+                    held, size, n = [], 0, n + 1
+                held.append(part)
+                size += own
+        if held:
+            write()
+            n += 1
+        # what an earlier attempt, which cut the rows otherwise, wrote beyond
+        while n and system.get_file_info(name(n)).type != fs.FileType.NotFound:
+            system.delete_file(name(n))
+            n += 1
         yield from ()
 
     rows.mapInArrow(run, "done int").count()
@@ -114,7 +138,7 @@ def matrix(rows: DataFrame, path: str) -> None:
         x = np.array([r["values"] for r in sorted(held, key=lambda r: r["row_no"])], "<f8")
         return struct.pack("<II", *x.shape) + x.tobytes()
 
-    _binary_files(rows.select("row_no", "values"), path, "bin", encode)
+    _binary_files(rows.select("row_no", "values"), path, "bin", encode, None)
 
 
 def mzxml_bytes(rows: list[dict]) -> bytes:
@@ -159,7 +183,7 @@ def prms(spectra: DataFrame, path: str) -> None:
 
 def dta(spectra: DataFrame, path: str) -> None:
     """Blocks of mass and charge, then peaks, an empty line behind each."""
-    spectra.select(F.concat(F.col("parent_mass").cast("string"), F.lit(" "), F.coalesce("charge", F.lit(0)).cast("string"), F.lit("\n"), _peak_lines(), F.lit("\n")).alias("value")).write.text(path)
+    spectra.select(F.concat(F.col("parent_mass").cast("string"), F.lit(" "), F.coalesce("charge", F.lit(0)).cast("string"), F.lit("\n"), _peak_lines(), F.lit("\n")).alias("value")).write.option("maxRecordsPerFile", FILE_SPECTRA).text(path)
 
 
 def clusters(members: DataFrame, path: str) -> None:

@@ -100,3 +100,41 @@ def test_projects(spark, spectra, tmp_path):
     assert list(sources.read_project(spark, str(tmp_path))) == ["spectra"]
     (tmp_path / "files.txt").write_text("a.mgf\n# no\n\nb.mgf\n")
     assert sources.listed(spark, str(tmp_path / "files.txt")) == ["a.mgf", "b.mgf"] == sources.listed(spark, "a.mgf; b.mgf")
+
+
+@pytest.mark.parametrize("kind", ["pklbin", "mzxml", "mzml", "pkl", "dta"])
+def test_files_are_bounded(spark, tmp_path, monkeypatch, kind):
+    """A partition's spectra go into as many files as their size asks for, and all come back."""
+    monkeypatch.setattr(sinks._binary_files, "__defaults__", (1000,))
+    monkeypatch.setattr(sinks, "FILE_SPECTRA", 10)
+    rows = [(k, 500.5 + k, 999.0 + 2 * k, 2, float(k), [(100.0 + j, 1.5 * j + 1, 0.0) for j in range(k % 5)]) for k in range(100)]
+    s = spark.createDataFrame(rows, f"scan int, parent_mz double, parent_mass double, charge int, precursor_intensity double, peaks {PEAKS}").coalesce(1)
+    out = tmp_path / f"x.{kind}"
+    sinks.write_spectra(s, str(out), kind)
+    assert len(list(out.glob("part-*"))) >= 5
+    got = sources.read_spectra(spark, str(out), kind).orderBy("parent_mass").collect()
+    assert [[(p["mz"], p["intensity"]) for p in r["peaks"]] for r in got] == [[(m, i) for m, i, _ in r[5]] for r in rows]
+
+
+def test_rewritten_files_leave_nothing_behind(spark, tmp_path):
+    rows = spark.createDataFrame([(k, k + 1, 0.0, 0.0, 0.5, 0.5) for k in range(100)], "spec1 long, spec2 long, shift1 double, shift2 double, score1 double, score2 double").coalesce(1)
+    encode = lambda held: sinks.pairs_bytes([tuple(r.values()) for r in held])
+    for most in (500, 2000):
+        sinks._binary_files(rows, str(tmp_path / "p"), "bin", encode, most)
+        assert sorted(r["spec1"] for r in sources.read_pairs(spark, str(tmp_path / "p")).collect()) == list(range(100))
+
+
+def test_readers_hold_few_spectra():
+    taken = []
+
+    def rows():
+        for k in range(2000):
+            taken.append(k)
+            yield sources._row("f", k, [(1.0, 2.0)] * (k % 3))
+
+    sizes = []
+    for b in sources._batches(rows()):
+        sizes.append(b.num_rows)
+        assert len(taken) == sum(sizes)
+    assert sizes == [sources.SPECTRA] * 4
+    assert list(sources._blocks("a\nb\n\nc\n \n\nd")) == ["a\nb", "c", "d"]
