@@ -80,12 +80,18 @@ def prefix_masses(peptide: Column, plain: bool = False) -> Column:
 
 def ions(peptide: Column) -> Column:
     """array<struct<ion, number, mz>> of singly charged b and y ions, without the whole peptide."""
-    p = prefix_masses(peptide)
-    whole = residue_mass(peptide)
-    inner = F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0)))
-    b = F.transform(inner, lambda m, i: F.struct(F.lit("b").alias("ion"), (i + 1).alias("number"), (m + PROTON).alias("mz")))
-    y = F.transform(inner, lambda m, i: F.struct(F.lit("y").alias("ion"), (F.size(p) - 1 - i).alias("number"), (whole - m + WATER + PROTON).alias("mz")))
-    return F.concat(b, y)
+
+    def found(s: Column) -> Column:
+        n = F.size(s["p"])
+        inner = F.slice(s["p"], F.lit(1), F.greatest(n - 1, F.lit(0)))
+        b = F.transform(inner, lambda m, i: F.struct(F.lit("b").alias("ion"), (i + 1).alias("number"), (m + PROTON).alias("mz")))
+        y = F.transform(inner, lambda m, i: F.struct(F.lit("y").alias("ion"), (n - 1 - i).alias("number"), (s["whole"] - m + WATER + PROTON).alias("mz")))
+        return F.concat(b, y)
+
+    # each value is worked out once a peptide, rather than once an ion
+    whole = lambda steps: F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
+    sums = F.transform(F.array(_steps(peptide)), lambda steps: F.struct(running_sums(steps).alias("p"), whole(steps).alias("whole")))
+    return F.transform(sums, found)[0]
 
 
 def charge(peptide: Column, mz: Column) -> Column:

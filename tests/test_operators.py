@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from peakweave.functions import peptide, text
 from peakweave.operators import clusters, fdr, graph, kernels, library, pairs, peaks, precursors, proteins, psms, report, sequencing, spectra
 from peakweave.operators.components import connected_components
-from peakweave.plans import modules, network_queries
+from peakweave.plans import modules, network_queries, psm_queries
 from peakweave.sources.tables_text import Parameters
 
 E = "spec1 long, spec2 long, score1 double, score2 double, shift1 double, shift2 double"
@@ -400,3 +400,14 @@ def test_precision_is_rounded_as_in_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     got = network_queries.pair_precision_recall(spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == con.execute(network_queries.ORACLES["pair_precision_recall"]).fetchall() == [(1, 640, 41, 0.064062, 1.0)]
+
+
+def test_ion_masses_are_worked_out_once_a_peptide(spark):
+    plan = spark.range(1).select(F.lit("PEPTIDEK").alias("p")).select(peptide.ions(F.col("p")).alias("ions"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1  # before: 32, most of them inside functions of each ion
+    got = [tuple(r) for r in spark.createDataFrame([("GA",)], "p string").select(F.inline(peptide.ions(F.col("p")))).collect()]
+    assert [(i, n) for i, n, _ in got] == [("b", 1), ("y", 1)] and got[0][2] == pytest.approx(57.0214637 + 1.0072765) and got[1][2] == pytest.approx(71.0371138 + 18.0105647 + 1.0072765)
+
+
+def test_peptides_are_dealt_to_all_tasks(spark):
+    assert psm_queries._peptides(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
