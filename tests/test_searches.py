@@ -247,3 +247,28 @@ def test_trained_model_counts_losses():
 class _rows(list):
     def collect(self):
         return self
+
+
+def test_copies_of_proteins_meet_as_one(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ABC") for _ in range(rng.randint(0, 12))) for _ in range(12)] + [None]
+    rows = [(k, texts[rng.randrange(13)]) for k in range(60)] + [(5, "ABCABCAB"), (7, texts[0])]
+    got = proteins.homologues(spark.createDataFrame(rows, "db_index int, sequence string"), 3, 2)
+    words: dict = {}
+    for k, t in rows:
+        words.setdefault(k, set()).update(t[i : i + 3] for i in range(len(t or "") - 2))
+    want = {(a, b, len(words[a] & words[b])) for a in words for b in words if a < b and len(words[a] & words[b]) >= 2}
+    assert got.count() == len(want) and {tuple(r) for r in got.collect()} == want
+
+
+def test_equal_pairs_are_aligned_once(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    calls, real, taken = [], kernels.align_sequences, []
+    monkeypatch.setattr(kernels, "align_sequences", lambda a, b, *x: calls.append((a, b)) or real(a, b, *x))
+    pairs = spark.createDataFrame([(k, k + 1, "ACDE" if k % 2 else None, "ACE") for k in range(6)], "db_index1 int, db_index2 int, sequence1 string, sequence2 string")
+    monkeypatch.setattr(type(pairs), "mapInArrow", lambda self, f, schema: taken.append(f) or self)
+    proteins.aligned(pairs)
+    table = pa.RecordBatch.from_pylist([r.asDict() for r in pairs.collect()])
+    rows = [r for b in taken[0](iter([table, table])) for r in b.to_pylist()]
+    assert len(rows) == 12 and len(calls) == 2 and {(r["row1"], r["row2"]) for r in rows} == {("ACDE", "AC-E"), ("---", "ACE")}
