@@ -411,3 +411,23 @@ def test_ion_masses_are_worked_out_once_a_peptide(spark):
 
 def test_peptides_are_dealt_to_all_tasks(spark):
     assert psm_queries._peptides(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_binned_pairs_are_not_shuffled(spark):
+    v = spark.createDataFrame([(1, 0, 0.6), (1, 3, 0.8), (2, 3, 1.0), (3, 7, 1.0), (4, 0, 0.8), (4, 3, 0.6)], "spec_idx long, bin int, value double")
+    s = spark.createDataFrame([(k, 100.0) for k in (1, 2, 3, 4)], "spec_idx long, parent_mass double")
+    plain = pairs.binned_cosine(pairs.mass_pairs(s, 0.1), v)
+    both = pairs.mass_pairs(s.join(pairs.bin_lists(v), "spec_idx"), 0.1, ["bins"])
+    key = lambda df: sorted((r["spec1"], r["spec2"], round(r["cosine"], 9), r["shared"]) for r in df.collect())
+    assert key(pairs.with_bin_products(both, "cosine")) == key(plain) == [(1, 2, 0.8, 1), (1, 4, 0.96, 2), (2, 4, 0.6, 1)]
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert shuffles(pairs.with_bin_products(both, "cosine")) == shuffles(both)
+
+
+def test_scored_candidates_equal_the_two_steps(spark):
+    v = spark.createDataFrame([(k, b, ((k * 7 + b * 3) % 5 + 1) / 5) for k in range(20) for b in range(k % 4)], "spec_idx long, bin int, value double")
+    s = spark.createDataFrame([(k, k / 10.0, k % 2 == 0) for k in range(20)], "spec_idx long, parent_mz double, is_decoy boolean")
+    q, e = s.filter("spec_idx % 3 = 0"), s.filter("spec_idx % 3 <> 0")
+    key = lambda df: sorted((r["query"], r["entry"], r["is_decoy"], round(r["dot"], 9), r["shared"]) for r in df.collect())
+    want = key(library.scored(library.candidates(q, e, 0.5), v, v))
+    assert want and key(library.scored_candidates(q, e, 0.5, v, v)) == want
