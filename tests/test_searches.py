@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakweave.functions import arrays, peptide
-from peakweave.operators import distributions, graph, kernels, proteins, psms, sequencing
+from peakweave.operators import distributions, graph, kernels, pairs, proteins, psms, sequencing
 from peakweave.plans import catalogue
 from peakweave.sinks import files as sinks
 
@@ -272,3 +272,32 @@ def test_equal_pairs_are_aligned_once(spark, tmp_path, monkeypatch):
     table = pa.RecordBatch.from_pylist([r.asDict() for r in pairs.collect()])
     rows = [r for b in taken[0](iter([table, table])) for r in b.to_pylist()]
     assert len(rows) == 12 and len(calls) == 2 and {(r["row1"], r["row2"]) for r in rows} == {("ACDE", "AC-E"), ("---", "ACE")}
+
+
+def _copied(spark, n=40):
+    """n copies each of three spectra, two of which differ by 0.05 Dalton, their ids mixed."""
+    kinds = [(100.0, [(10.0, 1.0), (20.0, 2.0)]), (100.05, [(10.0, 2.0), (30.0, 1.0)]), (300.0, [(10.0, 1.0)])]
+    rows = [(3 * c + k, m, [(mz, i, 0.0) for mz, i in p]) for c in range(n) for k, (m, p) in enumerate(kinds)]
+    return spark.createDataFrame(rows, "spec_idx long, parent_mass double, peaks array<struct<mz:double,intensity:double,tol:double>>")
+
+
+def test_copies_of_spectra_meet_as_one_class(spark):
+    s = _copied(spark)
+    ids = [(r["spec_idx"], r["parent_mass"]) for r in s.collect()]
+    want = sorted((a, b) for a, m in ids for b, k in ids if a < b and abs(m - k) <= 0.1)
+    rows = pairs.classes(s, ["peaks"], most=50)
+    met = pairs.class_pairs(rows, 0.1, ["peaks"])
+    assert rows.count() == 3 and met.count() == 5  # 3,140 pairs
+    assert sorted(tuple(r) for r in pairs.expanded(met).select("spec1", "spec2").collect()) == want
+    assert sorted(tuple(r) for r in pairs.expanded(pairs.class_pairs(pairs.classes(s, ["peaks"], most=7), 0.1)).select("spec1", "spec2").collect()) == want
+    plain = pairs.greedy_cosine(pairs.mass_pairs(s, 0.1, ["peaks"]), 0.5).select("spec1", "spec2", "cosine", F.least("matched1", "matched2"), "shift")
+    got = pairs.cosine_network(s, 0.1, 0.5, 0.1, 1, least_peaks=1).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in plain.filter("cosine >= 0.1 AND matched >= 1").collect())
+
+
+def test_network_pairs_are_scored_by_class(spark, monkeypatch):
+    seen = []
+    plain = pairs.greedy_cosine
+    monkeypatch.setattr(pairs, "greedy_cosine", lambda p, *a, **k: seen.append(p.count()) or plain(p, *a, **k))
+    assert pairs.cosine_network(_copied(spark, 20), 0.1, 0.5, 0.1, 1, least_peaks=1).count() == 40 * 39 // 2 + 20 * 19 // 2
+    assert seen == [5]
