@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakweave.functions import arrays, peptide
-from peakweave.operators import distributions, graph, kernels, pairs, proteins, psms, sequencing
+from peakweave.operators import distributions, graph, kernels, library, pairs, proteins, psms, sequencing
 from peakweave.plans import catalogue
 from peakweave.sinks import files as sinks
 
@@ -301,3 +301,14 @@ def test_network_pairs_are_scored_by_class(spark, monkeypatch):
     monkeypatch.setattr(pairs, "greedy_cosine", lambda p, *a, **k: seen.append(p.count()) or plain(p, *a, **k))
     assert pairs.cosine_network(_copied(spark, 20), 0.1, 0.5, 0.1, 1, least_peaks=1).count() == 40 * 39 // 2 + 20 * 19 // 2
     assert seen == [5]
+
+
+def test_dot_bias_of_copies(spark):
+    s = _copied(spark, 6).withColumnRenamed("parent_mass", "parent_mz").withColumn("q", F.col("spec_idx") % 2 == 0)
+    v = pairs.binned(s.select("spec_idx", F.inline("peaks")), 5.0)
+    want = library.dot_bias(library.scored_candidates(s.filter("q"), s.filter("NOT q"), 0.1, v, v), v, v).select("query", "entry", F.round("dot", 9), "bias")
+    c = pairs.classes(s, ["peaks", "q"], "parent_mz").withColumn("node", F.get("members", F.lit(0)))
+    found = library.biased_classes(c.filter("q"), c.filter("NOT q"), 0.1, v)
+    assert found.count() == 5
+    got = found.select(F.explode("members1").alias("query"), "members2", "dot", "bias").select("query", F.explode("members2").alias("entry"), F.round("dot", 9), "bias")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
