@@ -303,6 +303,13 @@ def test_network_pairs_are_scored_by_class(spark, monkeypatch):
     assert seen == [5]
 
 
+def test_stars_of_copies(spark):
+    s = _copied(spark, 5).filter("spec_idx < 14")
+    edges = pairs.mass_pairs(s, 0.1).select("spec1", "spec2", F.col("shift").alias("shift1"))
+    rows = lambda df: sorted((r["spec_idx"], [(p["mz"], p["intensity"]) for p in r["peaks"]]) for r in df.collect())
+    assert rows(sequencing.band_stars(s, 0.1, 0.5)) == rows(sequencing.stars(s, edges, 0.5))
+
+
 def test_dot_bias_of_copies(spark):
     s = _copied(spark, 6).withColumnRenamed("parent_mass", "parent_mz").withColumn("q", F.col("spec_idx") % 2 == 0)
     v = pairs.binned(s.select("spec_idx", F.inline("peaks")), 5.0)
