@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakweave.functions import arrays, peptide
-from peakweave.operators import distributions, graph, kernels, library, pairs, proteins, psms, sequencing
+from peakweave.operators import clusters, distributions, graph, kernels, library, pairs, proteins, psms, sequencing
 from peakweave.plans import catalogue
 from peakweave.sinks import files as sinks
 
@@ -303,6 +303,18 @@ def test_network_pairs_are_scored_by_class(spark, monkeypatch):
     assert seen == [5]
 
 
+def test_clusters_compare_copies_once(spark, monkeypatch):
+    seen = []
+    plain = pairs.similar
+    monkeypatch.setattr(pairs, "similar", lambda p, *a, **k: seen.append(p.count()) or plain(p, *a, **k))
+    got = {r["spec_idx"]: r["cluster_idx"] for r in clusters.cosine_clusters(_copied(spark, 20), 0.1, 0.5, 0.1, 1).collect()}
+    assert got == {i: 2 if i % 3 == 2 else 0 for i in range(60)}
+    assert seen == [3, 2]
+    # equal spectra that don't link to each other stay apart
+    apart = {r["cluster_idx"] for r in clusters.cosine_clusters(_copied(spark, 4), 0.1, 0.5, 0.1, 3).collect()}
+    assert apart == set(range(12))
+
+
 def test_stars_of_copies(spark):
     s = _copied(spark, 5).filter("spec_idx < 14")
     edges = pairs.mass_pairs(s, 0.1).select("spec1", "spec2", F.col("shift").alias("shift1"))
