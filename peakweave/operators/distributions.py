@@ -68,6 +68,8 @@ def score_distributions(consensus: DataFrame, factors: np.ndarray, shares: np.nd
     ship(consensus.sparkSession)
     rows = ion_vectors(consensus, tolerance).withColumn("band", F.floor(F.least("relative", F.lit(0.999999)) * BANDS).cast("int"))
     lists = rows.groupBy("spec_idx").agg(F.array_sort(F.collect_list(F.struct("ion", "number", "value", "band"))).alias("x"))
+    # few bytes, but much work: all tasks get a share
+    lists = lists.repartition(int(consensus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     @F.pandas_udf("array<double>")
     def spread(values: pd.Series, bands: pd.Series) -> pd.Series:

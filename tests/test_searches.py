@@ -331,3 +331,8 @@ def test_dot_bias_of_copies(spark):
     assert found.count() == 5
     got = found.select(F.explode("members1").alias("query"), "members2", "dot", "bias").select("query", F.explode("members2").alias("entry"), F.round("dot", 9), "bias")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_distribution_search_reads_parts_once(spark):
+    found = catalogue.queries()["distribution_search"](spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and not [f for f in found.inputFiles() if f.endswith("/part.parquet")]
