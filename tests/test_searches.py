@@ -336,3 +336,14 @@ def test_dot_bias_of_copies(spark):
 def test_distribution_search_reads_parts_once(spark):
     found = catalogue.queries()["distribution_search"](spark, "/root/testdata/sf0.001")
     assert found.count() > 0 and not [f for f in found.inputFiles() if f.endswith("/part.parquet")]
+
+
+def test_variants_of_copies_meet_at_the_end(spark):
+    p = spark.createDataFrame([(i, "PEPTIDE" if i % 2 else "GASPK") for i in range(30)], "psm_id long, annotation string")
+    db = spark.createDataFrame([(i, "GASPKPEPTIDEPEPTLDE" if i % 3 else "KKKK") for i in range(20)], "db_index int, sequence string")
+    out = psms.variants(p, db)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window ")  # rows are made above all that sorts or shuffles them
+    rows = {(r["psm_id"], r["db_index"], r["start_aa"], r["end_aa"], r["region"]) for r in out.collect()}
+    want = {(i, j, a, b, g) for i in range(30) for j in range(20) if j % 3 for a, b, g in ([(6, 12, 2), (13, 19, 3)] if i % 2 else [(1, 5, 1)])}
+    assert rows == want and out.count() == len(want)
