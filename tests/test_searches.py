@@ -360,3 +360,21 @@ def test_unique_masses_in_rounds_as_one_by_one(spark, most):
     e = spark.createDataFrame(rows, "spec1 long, spec2 long, score1 double, score2 double")
     got = graph.limit_unique_masses(e, spark.createDataFrame(list(mass.items()), "spec_idx long, parent_mass double"), most, few=0)
     assert {x[:2] for x in got.collect()} == {order[k][:2] for k in keep}
+
+
+def test_best_shift_links_of_blocks_against_single_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    r = random.Random(3)
+    rows = [(i, 400.0 + r.randrange(3000) / 10, sorted((float(r.randrange(900)), float(r.randrange(1, 9)), 0.0) for _ in range(r.randrange(1, 6)))) for i in range(70)]
+    rows += [(70 + i, *rows[i][1:]) for i in range(5)]
+    s = spark.createDataFrame(rows, "spec_idx long, parent_mass double, peaks array<struct<mz:double,intensity:double,tol:double>>")
+    got = pairs.best_shift_links(s, 100.0, 3.0).collect()
+    assert sorted((x["spec1"], x["spec2"]) for x in got if x["copy"]) == [(i, 70 + i) for i in range(5)]
+    values = lambda found: sorted((x[0], x[1], *[round(v, 9) for v in x[2:6]]) for x in found)
+    want = pairs.best_shift_pairs(s.filter("spec_idx < 70"), 100.0, 3.0).collect()
+    assert len(want) > 100 and values(x for x in got if not x["copy"]) == values(want)
+
+
+def test_best_shift_query_pairs_beyond_a_narrow_band(spark):
+    found = catalogue.queries()["pair_best_shift"](spark, "/root/testdata/sf0.001")
+    assert found.filter("abs(shift1) > 50").count() > 1000
