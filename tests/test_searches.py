@@ -378,3 +378,27 @@ def test_best_shift_links_of_blocks_against_single_pairs(spark, monkeypatch):
 def test_best_shift_query_pairs_beyond_a_narrow_band(spark):
     found = catalogue.queries()["pair_best_shift"](spark, "/root/testdata/sf0.001")
     assert found.filter("abs(shift1) > 50").count() > 1000
+
+
+def test_deviation_filter_of_ties_as_sql(spark):
+    import duckdb
+
+    from peakweave.operators import peaks
+    from peakweave.plans import peak_queries
+
+    r, rows = random.Random(1), []
+    for k in range(400):
+        a = r.randrange(90000, 5000000)
+        b = a + 2 * r.randrange(1, 800000)
+        tie = b + (b - a) // 2  # the mean and two deviations of a and b
+        lows = [a, b, tie] + [tie + r.randrange(1, 100000) for _ in range(5)]
+        rows += [(k, 0, j, float(j + 1), v / 100, 0.0) for j, v in enumerate(lows)]
+    names = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE TABLE lineitem (l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE)")
+    con.executemany("INSERT INTO lineitem VALUES (?, ?, ?, ?, ?, ?)", rows)
+    want = con.execute(peak_queries.ORACLES["peaks_deviation_filter"]).fetchall()
+    t = spark.createDataFrame(rows, names).selectExpr("l_orderkey AS spec_idx", "l_quantity * 40 AS mz", "l_extendedprice AS intensity")
+    got = peaks.exploded(peaks.deviation_filter(peaks.gathered(t), 2.0)).select("spec_idx", "mz", "intensity").collect()
+    assert sorted(tuple(x) for x in got) == sorted(want)
