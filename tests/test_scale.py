@@ -101,3 +101,67 @@ def test_runs_of_many_scans_align_as_few_do():
             best[i + 1, j + 1] = max(best[i, j] + large[i, j], best[i, j + 1], best[i + 1, j])
     way = kernels.align_runs(large)
     assert abs(total(way, large) - best[-1, -1]) < 1e-2 and all(a < c and b < d for (a, b), (c, d) in zip(way, way[1:], strict=False))
+
+
+def test_searches_where_sequences_lie(spark, monkeypatch):
+    from peakweave.operators import proteins
+
+    r = random.Random(8)
+    seqs = [(k, "".join(r.choice("ACDKé" if k % 3 else "ACDK") for _ in range(r.randrange(80)))) for k in range(40)] + [(40, None), (41, "AAAA"), (42, "AAAA")]
+    p = spark.createDataFrame(seqs, "db_index int, sequence string")
+    words = spark.createDataFrame([(w,) for w in ("A", "AA", "ACD", "AA", "", "DKACA", "ACDKACDKA")], "peptide string")
+    want = sorted((w, k, i + 1) for w in ("A", "AA", "ACD", "AA", "DKACA", "ACDKACDKA") for k, s in seqs if s for i in range(len(s)) if s.startswith(w, i))
+    monkeypatch.setattr(proteins, "PLACES", 9)
+    assert sorted(map(tuple, proteins.substring_search(p, words).collect())) == want
+    monkeypatch.setattr(proteins, "SCANNED", 0)
+    assert sorted(map(tuple, proteins.substring_search(p, words).collect())) == want
+    plain = p.filter("sequence IS NOT NULL AND NOT contains(sequence, 'é')")
+    tags = spark.createDataFrame([("ACD",), ("AAA",)], "tag string")
+    index = proteins.tag_index(plain).join(tags, "tag").select("tag", "db_index", "pos", "before", "after")
+    assert sorted(map(tuple, proteins.tag_places(plain, ["ACD", "AAA"]).collect())) == sorted(map(tuple, index.collect())) != []
+
+
+def test_equal_sequences_are_searched_once(spark):
+    from peakweave.operators import proteins
+
+    tags = spark.createDataFrame([(1, "TID", 97.05276, 0.0), (1, "TID", 500.0, 0.0)], "spec_idx long, tag string, before double, after double")
+    got = {}
+    for n in (1, 30):
+        p = spark.createDataFrame([(k, "GGPEPTIDE" if k % 2 else "AATID") for k in range(2 * n)], "db_index int, sequence string")
+        got[n] = [tuple(x) for x in proteins.tag_search(tags, p, 0.01, 1).collect()]
+    one = {x[2] % 2: x for x in got[1]}
+    assert one and sorted(got[30]) == sorted((s, t, k, pos, m) for k in range(60) for s, t, i, pos, m in got[1] if i == k % 2)
+
+
+def test_boosted_peaks_in_more_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from peakweave.operators import precursors
+
+    r = random.Random(6)
+    rows = [(r.randrange(9), r.choice("FOP"), float(r.randrange(300)), 1.0 + r.randrange(5), 0.0) for _ in range(400)]
+    t = spark.createDataFrame(rows, "precursor long, frag_type string, mz double, intensity double, tol double")
+    many = precursors.boosted_peaks(t, ["precursor"], 25.0, 9 * precursors.TASK_PEAKS)
+    assert many.rdd.getNumPartitions() == 10 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    s = t.groupBy("precursor", "frag_type").agg(F.collect_list(F.struct("mz", "intensity", "tol")).alias("peaks"))
+    bins = {}
+    for p, kind, m, i, _ in rows:
+        bins.setdefault((p, int(m / 50 + 0.5)), []).append((kind, i))
+    want = {(p, round(sum(i for _, i in v) * len({k for k, _ in v}), 6)) for (p, _), v in bins.items()}
+    for got in (many, precursors.boosted(s, ["precursor"], 25.0)):
+        assert {(x["precursor"], round(q["intensity"], 6)) for x in got.collect() for q in x["peaks"]} == want
+
+
+def test_deconvolution_of_rows(spark):
+    rows = [(1, [(300.0, 9.0, 0.0), (300.5014, 5.0, 0.0), (301.0028, 2.0, 0.0), (500.0, 1.0, 0.0)], 2), (2, None, 2), (3, [], None), (4, [(100.0, 2.0, 0.0)], None)]
+    s = spark.createDataFrame(rows, "spec_idx long, peaks array<struct<mz:double,intensity:double,tol:double>>, charge int")
+    got = {x["spec_idx"]: [(round(p["mz"], 3), p["intensity"]) for p in x["peaks"]] for x in sequencing.deconvoluted(s).collect()}
+    assert got == {1: [(300.0, 11.0), (500.0, 1.0), (599.996, 5.0)], 2: [], 3: [], 4: [(100.0, 2.0)]}
+
+
+def test_mgf_lines():
+    from peakweave.sources.spectra_files import parse_mgf
+
+    row = parse_mgf("BEGIN IONS\nSCANS=7\nPEPMASS=5.5 9\nCHARGE=2+\n\n .5 1\n1e1\t2.0\n3 4 x\n+2 5\nEND IONS", "f")
+    assert (row["scan"], row["charge"], row["parent_mz"]) == (7, 2, 5.5)
+    assert [(p["mz"], p["intensity"]) for p in row["peaks"]] == [(0.5, 1.0), (2.0, 5.0), (10.0, 2.0)]
