@@ -92,8 +92,21 @@ def weighted_mass(rows: DataFrame, key: str) -> DataFrame:
 
 def boosted(spectra: DataFrame, group: list[str], tolerance: float) -> DataFrame:
     """group, peaks: spectra of one precursor (by several fragmentations) combined; peaks within one tolerance-wide bin add up, times the number of kinds that show them."""
-    each = spectra.select(*group, "frag_type", F.inline("peaks")).withColumn("_bin", F.floor(F.col("mz") / (2 * tolerance) + 0.5).cast("long"))
-    bins = each.groupBy(*group, "_bin").agg((F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")).alias("mz"), F.sum("intensity").alias("i"), F.count_distinct("frag_type").alias("kinds"), F.max("tol").alias("tol"))
+    return boosted_peaks(spectra.select(*group, "frag_type", F.inline("peaks")), group, tolerance)
+
+
+#: Peaks that a task combines, about.
+TASK_PEAKS = 250_000
+
+
+def boosted_peaks(peaks: DataFrame, group: list[str], tolerance: float, n: int = 0) -> DataFrame:
+    """What ``boosted`` gives, of a table of peaks: group, frag_type, mz, intensity, tol. n: their number, if known; tasks then grow in number with it, not in size."""
+    each = peaks.withColumn("_bin", F.floor(F.col("mz") / (2 * tolerance) + 0.5).cast("long"))
+    tasks = n // TASK_PEAKS + 1
+    if tasks > int(peaks.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        each = each.repartition(tasks, *group)
+    kinds = each.groupBy(*group, "_bin", "frag_type").agg(F.sum(F.col("mz") * F.col("intensity")).alias("m"), F.sum("intensity").alias("i"), F.max("tol").alias("tol"))
+    bins = kinds.groupBy(*group, "_bin").agg((F.sum("m") / F.sum("i")).alias("mz"), F.sum("i").alias("i"), F.count("frag_type").alias("kinds"), F.max("tol").alias("tol"))
     return bins.groupBy(*group).agg(F.array_sort(F.collect_list(A.peak(F.col("mz"), F.col("i") * F.col("kinds"), F.col("tol")))).alias("peaks"))
 
 
