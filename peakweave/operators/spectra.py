@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakweave.operators.ranges import with_range
+from peakweave.session import written
 
 
 def at_least_peaks(spectra: DataFrame, n: int, empty: bool = False) -> DataFrame:
@@ -65,7 +66,7 @@ def consecutive_blocks(spectra: DataFrame, n: int, order: str = "spec_idx") -> D
 
 def parallel(*sets: DataFrame, order: str = "spec_idx") -> DataFrame:
     """Merges the spectra of the same position in each set."""
-    return merged_peaks(append(*[renumbered(s, [order], "position") for s in sets]), ["position"])
+    return merged_peaks(written(append(*[renumbered(s, [order], "position") for s in sets]), "sets"), ["position"])  # read for peaks and for numbers
 
 
 def runs(spectra: DataFrame, partition: list[str], order: list[str], value: str, longest: int | None = None) -> DataFrame:

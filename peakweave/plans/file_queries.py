@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peakweave.operators import peaks as P
 from peakweave.operators import spectra as S
 from peakweave.plans.psm_queries import _ANN, _annotated
-from peakweave.session import scratch, ship
+from peakweave.session import scratch, ship, written
 from peakweave.sinks import files as sinks
 from peakweave.sources import spectra_files as files
 from peakweave.sources import tables_text as tables
@@ -257,7 +257,7 @@ def set_parts(spark, d):
 
 
 def set_parallel(spark, d):
-    g = P.gathered(view(spark, d, "peaks").select("spec_idx", "mz", "intensity")).join(view(spark, d, "spectra").select("spec_idx", "frag_type"), "spec_idx")
+    g = written(P.gathered(view(spark, d, "peaks").select("spec_idx", "mz", "intensity")).join(view(spark, d, "spectra").select("spec_idx", "frag_type"), "spec_idx"), "sets")  # numbering reads each set several times
     m = S.parallel(S.of_kind(g, "F"), S.of_kind(g, "O"), S.of_kind(g, "P"))
     return m.select("position", "n_merged", F.size("peaks").alias("n_peaks"), F.round(F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["intensity"]), 2).alias("total"))
 
