@@ -103,7 +103,7 @@ def file_pklbin_with_matches(spark, d):
 
 def file_many(spark, d):
     """Two files of different formats, in one list."""
-    s, base = _spectra(spark, d), scratch(spark, "files")
+    s, base = written(_spectra(spark, d), "files"), scratch(spark, "files")
     sinks.mgf(s.filter("charge <= 2"), base + "-a.mgf")
     sinks.mgf(s.filter("charge > 2"), base + "-b.mgf")
     spark.createDataFrame([("# a list of files",), (base + "-a.mgf",), (base + "-b.mgf",)], "value string").coalesce(1).write.text(base + ".lst")
